@@ -229,7 +229,7 @@ def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None)
                     *INVENTORY_COLUMNS[1:])
 
 
-def _valid_lines(lines: DataFrame, cards: DataFrame | None):
+def valid_lines(lines: DataFrame, cards: DataFrame | None = None):
     """Lines without a card id are skipped; when ``cards`` is given
     (single-add route) lines naming an unknown card are rejected too."""
     no_key = is_falsy("card_id", "number")
@@ -251,7 +251,7 @@ def upsert_additive(base: DataFrame, lines: DataFrame, now=None,
     ``edicion``, ``notas`` = ``COALESCE(new, old)``, ``condicion`` /
     ``idioma`` = the request's (defaults applied first, so they overwrite),
     ``updated_at = now``.  New keys are inserted with ``created_at = now``."""
-    ok, rejected = _valid_lines(lines, cards)
+    ok, rejected = valid_lines(lines, cards)
     n = fold_additive_lines(ok, now=now)
     res = _merge_inventory(base, n, now, additive_only=False)
     return ChangeResult(res.new_state, res.affected, rejected)
@@ -274,7 +274,7 @@ def bulk_upsert(base: DataFrame, lines: DataFrame, now=None) -> ChangeResult:
     """Bulk add.  On a stored key only ``cantidad`` (added) and
     ``updated_at`` change; lines without a card id are skipped; no check that
     the card exists."""
-    ok, rejected = _valid_lines(lines, None)
+    ok, rejected = valid_lines(lines, None)
     n = fold_bulk_lines(ok, now=now)
     res = _merge_inventory(base, n, now, additive_only=True)
     return ChangeResult(res.new_state, res.affected, rejected)
@@ -310,7 +310,7 @@ def bulk_running_quantities(base: DataFrame, lines: DataFrame) -> DataFrame:
     the running sum of the batch).  Prefix sums are skew-safe (see
     ``marketframe.operators.ordered``)."""
     from marketframe.operators.ordered import running_totals
-    ok, _ = _valid_lines(lines, None)
+    ok, _ = valid_lines(lines, None)
     d = _with_add_defaults(ok).select("seq", *INVENTORY_KEY, "cantidad")
     r = running_totals(d, INVENTORY_KEY, ["seq"], sums={"running": "cantidad"},
                        rank_name="line_no")

@@ -15,8 +15,8 @@ one straggler.  Instead:
    offset table is bounded by twice the number of partitions and is joined
    with a broadcast whose size is proven by construction.
 
-The range bounds are fixed once when the exchange is planned, so recomputing
-a lost partition reproduces the same chunks.
+The chunked rows are checkpointed once, so every later branch (and any
+recomputation after a lost executor) sees the same chunks.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketframe.session import checkpoint_dir
+
 
 def _order_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
@@ -45,8 +47,13 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     spark = df.sparkSession
     n = num_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    # Range bounds are sampled each time an exchange runs, so the chunk ids are
+    # materialised once (reliable checkpoint in the shared folder) and both
+    # branches below read the same chunks.
+    checkpoint_dir(spark)
     chunked = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_c)
-                 .withColumn("_chunk", F.spark_partition_id()))
+                 .withColumn("_chunk", F.spark_partition_id())
+                 .checkpoint())
     w = (Window.partitionBy("_chunk", *keys).orderBy(*order_c)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local_cols = [F.count(F.lit(1)).over(w).alias("_lrank")]

@@ -54,9 +54,9 @@ def nest_printings(card_printings: DataFrame) -> DataFrame:
 def nest_banlist(banlist: DataFrame, seq: str | None = None) -> DataFrame:
     """One ``banlist_info`` struct per card; with several rows the last
     one (by ``seq``) wins, otherwise the table is unique on ``card_id``."""
-    order = F.col(seq) if seq else F.col("ban_ocg")
-    return banlist.groupBy("card_id").agg(
-        F.max_by(F.struct("ban_ocg"), order).alias("banlist_info"))
+    row = F.struct("ban_ocg")
+    pick = F.max_by(row, F.col(seq)) if seq else F.max(row)
+    return banlist.groupBy("card_id").agg(pick.alias("banlist_info"))
 
 
 def nest_images(card_images: DataFrame) -> DataFrame:

@@ -187,8 +187,8 @@ def inventario(spark: SparkSession, sf_dir: str, before: _dt.datetime | None = N
     """The stored inventory: every change line applied in arrival order to an
     empty table with the single-add rule, each request stamped with its own
     time.  ``before`` keeps only lines that arrived before that time."""
-    from marketframe.operators.changes import fold_additive_lines
-    lines = inventory_lines(spark, sf_dir)
+    from marketframe.operators.changes import fold_additive_lines, valid_lines
+    lines, _ = valid_lines(inventory_lines(spark, sf_dir))
     if before is not None:
         lines = lines.where(F.col("at") < F.lit(before).cast("timestamp_ntz"))
     return fold_additive_lines(lines, time_col="at")
