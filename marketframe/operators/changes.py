@@ -215,18 +215,23 @@ def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None)
     d = _with_add_defaults(lines)
     t = F.col(time_col) if time_col else _ts(now)
     d = d.withColumn("_t", t)
+    # Values of the last line travel in one struct so that the (wide) arrival
+    # order is held by as few aggregation buffers as possible.
+    last = F.max(F.struct(F.col("seq").alias("s"), F.col("condicion").alias("condicion"),
+                          F.col("idioma").alias("idioma"), F.col("_t").alias("t")))
     g = d.groupBy(*INVENTORY_KEY).agg(
         F.sum("cantidad").alias("cantidad"),
         _last_non_null("precio").alias("precio"),
-        F.max_by("condicion", "seq").alias("condicion"),
-        F.max_by("idioma", "seq").alias("idioma"),
         _last_non_null("edicion").alias("edicion"),
         _last_non_null("notas").alias("notas"),
         F.min_by("_t", "seq").alias("created_at"),
-        F.max_by("_t", "seq").alias("updated_at"),
+        last.alias("_last"),
     )
     return g.select(_inventory_id(F.col("vendedor_id"), F.col("card_id")).alias("inventario_id"),
-                    *INVENTORY_COLUMNS[1:])
+                    "vendedor_id", "card_id", "cantidad", "precio",
+                    F.col("_last.condicion").alias("condicion"),
+                    F.col("_last.idioma").alias("idioma"), "edicion", "notas", "created_at",
+                    F.col("_last.t").alias("updated_at"))
 
 
 def valid_lines(lines: DataFrame, cards: DataFrame | None = None):

@@ -15,10 +15,13 @@ keep a hot account from landing in one task, its attempts are cut into
 contiguous chunks by range partitioning on (account, time); each chunk is
 replayed from a carry-in state, and carries are iterated to a fixed point:
 
-* round 0 replays the first chunk of every account from its stored state
-  and every other chunk from a guess (count 0, no lock);
+* round 0 replays every partition in one ``mapInPandas`` pass, each run of
+  an account from its stored state (exact for the account's first chunk, a
+  guess for a chunk that continues an account across a partition border);
 * a chunk whose carry-in differs from the previous chunk's carry-out is
-  replayed again in the next round.
+  replayed again in the next round.  Only chunks that continue an account
+  can be replayed, and there is at most one per partition border, so the
+  carry tables are bounded by the number of partitions and are broadcast.
 
 Replays from different start states coincide after the first applied
 success (and usually after the first lock), so few rounds are needed; the
@@ -43,6 +46,8 @@ from marketframe.session import checkpoint_dir
 MAX_LOGIN_ATTEMPTS = 5
 LOCK_TIME = _dt.timedelta(minutes=15)
 
+LAST_ROUNDS = 0  # rounds used by the most recent replay (for tests and tuning)
+
 OUTCOME_SCHEMA = T.StructType([
     T.StructField("account_id", T.LongType()),
     T.StructField("at", T.TimestampNTZType()),
@@ -52,12 +57,6 @@ OUTCOME_SCHEMA = T.StructType([
     T.StructField("minutos_restantes", T.LongType()),
     T.StructField("intentos_restantes", T.IntegerType()),
 ])
-CARRY_FIELDS = [
-    T.StructField("account_id", T.LongType()),
-    T.StructField("_chunk", T.IntegerType()),
-    T.StructField("c_n", T.IntegerType()),
-    T.StructField("c_lock", T.TimestampNTZType()),
-]
 
 
 def step(state: tuple, at, ok: bool, lock: _dt.timedelta):
@@ -75,38 +74,49 @@ def step(state: tuple, at, ok: bool, lock: _dt.timedelta):
     return (0, None, at), "ok", None, None
 
 
-def _ts(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
-        return None
-    return pd.Timestamp(v).to_pydatetime()
-
-
-def _replay_chunk(lock: _dt.timedelta):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        first = pdf.iloc[0]
-        n0 = first["c_n"]
-        state = (None if pd.isna(n0) else int(n0), _ts(first["c_lock"]), None)
-        rows = []
-        for at, ok in zip(pdf["at"], pdf["password_ok"]):
-            at = _ts(at)
-            state, outcome, minutes, left = step(state, at, bool(ok), lock)
-            rows.append((outcome, state[0], state[1], minutes, left, at))
-        out = pd.DataFrame(rows, columns=["outcome", "intentos_fallidos", "bloqueado_hasta",
-                                          "minutos_restantes", "intentos_restantes", "at"])
-        out.insert(0, "account_id", int(first["account_id"]))
-        out["_chunk"] = int(first["_chunk"])
-        out["_carry"] = False
-        carry = pd.DataFrame([{"account_id": int(first["account_id"]), "_chunk": int(first["_chunk"]),
-                               "outcome": None, "intentos_fallidos": state[0],
-                               "bloqueado_hasta": state[1], "minutos_restantes": None,
-                               "intentos_restantes": None, "at": None, "_carry": True}])
-        res = pd.concat([out, carry], ignore_index=True)
-        res["intentos_fallidos"] = res["intentos_fallidos"].astype("Int32")
-        res["minutos_restantes"] = res["minutos_restantes"].astype("Int64")
-        res["intentos_restantes"] = res["intentos_restantes"].astype("Int32")
-        return res[["account_id", "_chunk", "_carry", "at", "outcome", "intentos_fallidos",
-                    "bloqueado_hasta", "minutos_restantes", "intentos_restantes"]]
+def _replay_partitions(lock: _dt.timedelta):
+    """``mapInPandas`` body: rows arrive sorted by (account, time) within a
+    partition; each (account, chunk) run is replayed from its carry-in
+    (``c_n``, ``c_lock``).  Emits one row per attempt and one ``_carry`` row
+    with the state after each run.  State crosses Arrow batch borders."""
+    cols = ["account_id", "_chunk", "_carry", "at", "outcome", "intentos_fallidos",
+            "bloqueado_hasta", "minutos_restantes", "intentos_restantes"]
+
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=cols)
+        out["at"] = pd.to_datetime(out["at"])
+        out["bloqueado_hasta"] = pd.to_datetime(out["bloqueado_hasta"])
+        for c, t in (("intentos_fallidos", "Int32"), ("minutos_restantes", "Int64"),
+                     ("intentos_restantes", "Int32")):
+            out[c] = out[c].astype(t)
+        return out
+
+    def run(batches):
+        key, state = None, None
+        for pdf in batches:
+            rows = []
+            accounts = pdf["account_id"].to_numpy()
+            chunks = pdf["_chunk"].to_numpy()
+            times = pdf["at"].dt.to_pydatetime()
+            oks = pdf["password_ok"].to_numpy()
+            c_n = pdf["c_n"].to_numpy(dtype=object, na_value=None)
+            c_lock = pdf["c_lock"].dt.to_pydatetime()
+            lock_na = pdf["c_lock"].isna().to_numpy()
+            for i in range(len(pdf)):
+                k = (int(accounts[i]), int(chunks[i]))
+                if k != key:
+                    if key is not None:
+                        rows.append((*key, True, None, None, state[0], state[1], None, None))
+                    key = k
+                    state = (None if c_n[i] is None else int(c_n[i]),
+                             None if lock_na[i] else c_lock[i], None)
+                at = times[i]
+                state, outcome, minutes, left = step(state, at, bool(oks[i]), lock)
+                rows.append((*key, False, at, outcome, state[0], state[1], minutes, left))
+            if rows:
+                yield frame(rows)
+        if key is not None:
+            yield frame([(*key, True, None, None, state[0], state[1], None, None)])
     return run
 
 
@@ -149,59 +159,73 @@ def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta =
         F.when(F.col("activo").isNotNull() & still_locked, minutes).alias("minutos_restantes"),
         F.lit(None).cast("int").alias("intentos_restantes"))
 
-    # active accounts: chunked replay with carry iteration
+    # active accounts: chunked replay with carry iteration.  Chunks are the
+    # range partitions themselves, sorted by (account, time) and checkpointed
+    # so that every round sees the same chunks.
     n = num_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     active = a.where(F.col("activo"))
     chunked = (active.repartitionByRange(n, "account_id", "at")
-                     .withColumn("_chunk", F.spark_partition_id())
-                     .select("account_id", "_chunk", "at", "password_ok", "s_n", "s_lock",
-                             "s_login")
+                     .sortWithinPartitions("account_id", "at")
+                     .select("account_id", F.spark_partition_id().alias("_chunk"), "at",
+                             "password_ok", F.col("s_n").alias("c_n"),
+                             F.col("s_lock").alias("c_lock"))
                      .checkpoint())
-    chunks = chunked.groupBy("account_id", "_chunk").agg(
-        F.first("s_n").alias("s_n"), F.first("s_lock").alias("s_lock"))
+    replay = _replay_partitions(lock)
+    # round 0: every run from the stored state (exact for an account's first
+    # chunk, a guess for the others); one pass, no shuffle
+    first = chunked.mapInPandas(replay, _REPLAY_SCHEMA).checkpoint()
+    # chunks that continue an account: at most one per partition boundary
     order = Window.partitionBy("account_id").orderBy("_chunk")
-    chunks = chunks.select("*", F.lag("_chunk").over(order).alias("_prev")).checkpoint()
-    # round 0 carries: stored state for first chunks, a guess for the others
-    carry = chunks.select(
-        "account_id", "_chunk", "_prev",
-        F.when(F.col("_prev").isNull(), F.col("s_n")).otherwise(F.lit(0)).cast("int").alias("c_n"),
-        F.when(F.col("_prev").isNull(), F.col("s_lock")).alias("c_lock"))
-    todo = carry
-    results = None
-    rounds = 0
-    replay = _replay_chunk(lock)
+    follow = (first.where("_carry").select("account_id", "_chunk", F.col("intentos_fallidos")
+                                           .alias("o_n"), F.col("bloqueado_hasta").alias("o_lock"))
+                   .select("*", F.lag("_chunk").over(order).alias("_prev"))
+                   .where(F.col("_prev").isNotNull())
+                   .select("account_id", "_chunk", "_prev").checkpoint())
+    used = (chunked.join(F.broadcast(follow.select("account_id", "_chunk")),
+                         ["account_id", "_chunk"])
+                   .groupBy("account_id", "_chunk")
+                   .agg(F.first("c_n").alias("c_n"), F.first("c_lock").alias("c_lock")))
+    latest = first.where("_carry").select("account_id", "_chunk", "intentos_fallidos",
+                                          "bloqueado_hasta")
+    later = None
+    rounds = 1
     while True:
+        nxt = F.broadcast(follow).join(
+            latest.withColumnRenamed("_chunk", "_prev"), ["account_id", "_prev"])
+        todo = (nxt.join(used, ["account_id", "_chunk"])
+                   .where(~(F.col("intentos_fallidos").eqNullSafe(F.col("c_n"))
+                            & F.col("bloqueado_hasta").eqNullSafe(F.col("c_lock"))))
+                   .select("account_id", "_chunk", F.col("intentos_fallidos").alias("c_n"),
+                           F.col("bloqueado_hasta").alias("c_lock"))
+                   .checkpoint())
+        if todo.isEmpty():
+            break
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"lockout replay did not settle in {max_rounds} rounds")
-        ev = chunked.join(todo.select("account_id", "_chunk", "c_n", "c_lock"),
-                          ["account_id", "_chunk"])
-        out = (ev.groupBy("account_id", "_chunk").applyInPandas(replay, _REPLAY_SCHEMA)
-                 .withColumn("_round", F.lit(rounds)).checkpoint())
-        results = out if results is None else results.unionByName(out)
-        # carry-out of each replayed chunk becomes the carry-in of the next
-        outs = out.where("_carry").select(
-            F.col("account_id"), F.col("_chunk").alias("_prev"),
-            F.col("intentos_fallidos").alias("o_n"), F.col("bloqueado_hasta").alias("o_lock"))
-        nxt = chunks.select("account_id", "_chunk", "_prev").join(outs, ["account_id", "_prev"])
-        cur = carry.select("account_id", "_chunk", "c_n", "c_lock")
-        diff = nxt.join(cur, ["account_id", "_chunk"]).where(
-            ~(F.col("o_n").eqNullSafe(F.col("c_n")) & F.col("o_lock").eqNullSafe(F.col("c_lock"))))
-        todo = diff.select("account_id", "_chunk", "_prev", F.col("o_n").alias("c_n"),
-                           F.col("o_lock").alias("c_lock")).checkpoint()
-        if todo.isEmpty():
-            break
-        carry = (carry.join(todo.select("account_id", "_chunk"), ["account_id", "_chunk"],
-                            "left_anti").unionByName(todo).checkpoint())
-    last = results.groupBy("account_id", "_chunk").agg(F.max("_round").alias("_round"))
-    final = results.join(last, ["account_id", "_chunk", "_round"])
+        # bounded by the number of partition boundaries: safe to broadcast
+        ev = chunked.drop("c_n", "c_lock").join(F.broadcast(todo), ["account_id", "_chunk"])
+        out = ev.mapInPandas(replay, _REPLAY_SCHEMA).withColumn("_round", F.lit(rounds)) \
+                .checkpoint()
+        later = out if later is None else later.unionByName(out)
+        used = used.join(todo.select("account_id", "_chunk"), ["account_id", "_chunk"],
+                         "left_anti").unionByName(todo).checkpoint()
+        latest = out.where("_carry").select("account_id", "_chunk", "intentos_fallidos",
+                                            "bloqueado_hasta")
+    global LAST_ROUNDS
+    LAST_ROUNDS = rounds
+    final = first
+    if later is not None:
+        last = later.groupBy("account_id", "_chunk").agg(F.max("_round").alias("_round"))
+        redone = later.join(last, ["account_id", "_chunk", "_round"]).drop("_round")
+        final = (first.join(F.broadcast(last.select("account_id", "_chunk")),
+                            ["account_id", "_chunk"], "left_anti").unionByName(redone))
     outcomes = final.where(~F.col("_carry")).select(*[f.name for f in OUTCOME_SCHEMA.fields])
     outcomes = outcomes.unionByName(passive)
 
     end_state = (final.where("_carry")
-                 .join(chunks.where(F.col("_prev").isNotNull()).select(
-                     "account_id", F.col("_prev").alias("_chunk")), ["account_id", "_chunk"],
-                     "left_anti")
+                 .join(F.broadcast(follow.select("account_id", F.col("_prev").alias("_chunk"))),
+                       ["account_id", "_chunk"], "left_anti")
                  .select("account_id", F.col("intentos_fallidos").alias("e_n"),
                          F.col("bloqueado_hasta").alias("e_lock"), F.lit(True).alias("_hit")))
     logins = (outcomes.where(F.col("outcome") == "ok").groupBy("account_id")

@@ -68,7 +68,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair that occurs in the card's lines, so it has at most six elements and
     is built after a map-side pre-aggregation (a hot card cannot make a
     huge array)."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", spread=True)
     sets = (li.groupBy("l_partkey", "l_returnflag", "l_linestatus")
               .agg(F.min("l_extendedprice").alias("low")))
     price = _s(F.col("low").cast(MONEY))
@@ -160,7 +160,7 @@ def inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     date first (no two lineitem rows are equal, so it is a total order).  It
     is compared, never numbered, so no window or single task is needed.
     """
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", spread=True)
     q, tax, disc = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     lines = li.select(
         F.col("l_suppkey").alias("vendedor_id"),
@@ -214,7 +214,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (user, role) pairs from orders; the priority picks the role."""
-    o = read_table(spark, sf_dir, "orders")
+    o = read_table(spark, sf_dir, "orders", spread=True)
     role = (F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "vendedor")
              .when(F.col("o_orderpriority") == "3-MEDIUM", "admin")
              .otherwise("cliente"))
@@ -223,7 +223,7 @@ def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of user registration requests (one per order)."""
-    o = read_table(spark, sf_dir, "orders")
+    o = read_table(spark, sf_dir, "orders", spread=True)
     key = F.col("o_orderkey")
     pr = F.col("o_orderpriority")
     return o.select(
@@ -306,7 +306,7 @@ def tournament_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- login attempts ----------------------------------------------------------
 def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
+    e = read_table(spark, sf_dir, "events", spread=True)
     return e.select(
         F.col("user_id").alias("account_id"),
         F.col("ts").alias("at"),

@@ -16,9 +16,27 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``SELECT * FROM name`` over ``{sf_dir}/{name}.parquet`` (S3: full scan)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """``SELECT * FROM name`` over ``{sf_dir}/{name}.parquet`` (S3: full scan).
+
+    ``spread`` is for fact tables: when the scan yields fewer splits than the
+    cluster has cores (e.g. one big file with a single row group), rows are
+    dealt round-robin to ``defaultParallelism`` tasks so that the projection
+    and the map-side partial aggregation after it run in parallel.  A large
+    input already has many splits and is left alone (no extra shuffle)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        df = spread_partitions(df)
+    return df
+
+
+def spread_partitions(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` to ``defaultParallelism`` partitions only when it has
+    fewer splits than that (planning only, no job is run)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
