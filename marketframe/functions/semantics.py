@@ -36,13 +36,14 @@ def pg_desc(c: ColumnOrName) -> Column:
 
 
 # ---- pattern matching -------------------------------------------------------
-_BAD_ESCAPE = re.compile(r"\\([^%_\\])")
+_ESCAPE_PAIR = re.compile(r"\\(.)", re.DOTALL)
 
 
 def normalize_like_text(text: str) -> str:
     """The database reads ``\\c`` as a literal ``c`` for any character; Spark
-    only accepts a backslash before ``%``, ``_`` or another backslash."""
-    return _BAD_ESCAPE.sub(lambda m: m.group(1), text)
+    only accepts a backslash before ``%``, ``_`` or another backslash.  Escape
+    pairs are read left to right, so ``\\\\`` stays one escaped backslash."""
+    return _ESCAPE_PAIR.sub(lambda m: m.group(0) if m.group(1) in "%_\\" else m.group(1), text)
 
 
 def escape_like_text(text: str) -> str:
