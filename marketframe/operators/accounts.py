@@ -29,6 +29,7 @@ PUBLIC_SELLER_COLUMNS = ("vendedor_id", "nombres", "apellidos", "konami_id", "wh
 SENSITIVE_SELLER_COLUMNS = ("password_hash", "intentos_fallidos", "bloqueado_hasta")
 USER_KEYS = ("username", "email", "dni")
 SELLER_KEYS = ("correo", "dni", "konami_id")
+LAST_ROUNDS = 0  # rounds used by the most recent batch admission (for tests and tuning)
 
 
 def _ts(now) -> Column:
@@ -137,16 +138,21 @@ def admit_batch(candidates: DataFrame, keys, max_rounds: int | None = None) -> D
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"admission did not settle in {max_rounds} rounds")
         mins = und.groupBy("kt", "kv").agg(F.min("seq").alias("_min"))
-        flagged = und.join(mins, ["kt", "kv"]).groupBy("seq").agg(
-            F.min(F.col("seq") == F.col("_min")).alias("_win"))
-        winners = flagged.where("_win").select("seq")
-        win_keys = und.join(winners, "seq", "left_semi").select("kt", "kv", F.col("seq").alias("_w"))
-        losers = (und.join(win_keys, ["kt", "kv"]).where(F.col("seq") != F.col("_w"))
-                     .select("seq").distinct())
-        winners = winners.checkpoint()
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        und = (und.join(winners, "seq", "left_anti").join(losers, "seq", "left_anti")
-                  .checkpoint())
+        j = und.join(mins, ["kt", "kv"])
+        winners = (j.groupBy("seq").agg(F.min(F.col("seq") == F.col("_min")).alias("_win"))
+                    .where("_win").select("seq"))
+        # a winner is the minimum of every key it has, so the requests that
+        # share a key with a winner are exactly those whose key minimum won
+        losers = (j.where(F.col("seq") != F.col("_min"))
+                   .join(winners.withColumnRenamed("seq", "_min"), "_min", "left_semi")
+                   .select("seq").distinct())
+        decided = (winners.withColumn("_acc", F.lit(True))
+                          .unionByName(losers.withColumn("_acc", F.lit(False))).checkpoint())
+        won = decided.where("_acc").select("seq")
+        accepted = won if accepted is None else accepted.unionByName(won)
+        und = und.join(decided.select("seq"), "seq", "left_anti").checkpoint()
+    global LAST_ROUNDS
+    LAST_ROUNDS = rounds
     # requests without any key conflict with nobody
     keyless = candidates.select("seq").join(_key_rows(candidates, keys).select("seq"),
                                             "seq", "left_anti")
@@ -158,9 +164,10 @@ def register_users(regs: DataFrame, users: DataFrame, max_rounds: int | None = N
     ``invalid``, ``conflict``), the validation ``error`` and the
     ``conflict_field`` (against stored users first, then against requests
     of the same batch accepted earlier)."""
+    checkpoint_dir(regs.sparkSession)
     v = validate_users(regs)
     valid = v.where(F.col("error").isNull())
-    stored = _first_conflict(valid, users, USER_KEYS, "id")
+    stored = _first_conflict(valid, users, USER_KEYS, "id").checkpoint()
     cand = valid.join(stored, "seq", "left_anti")
     accepted = admit_batch(cand, USER_KEYS, max_rounds)
     acc = cand.join(accepted, "seq", "left_semi")

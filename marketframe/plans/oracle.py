@@ -113,8 +113,10 @@ SELECT o_orderkey AS seq,
        substr('secretpassword', 1, CAST(o_orderkey % 12 AS INTEGER)) AS password,
        CASE WHEN o_orderkey % 10 = 0 THEN 'bad-email'
             WHEN o_orderkey % 10 = 1 THEN 'with space@mail.test'
-            ELSE 'p' || CAST(o_orderkey % 20011 AS VARCHAR) || '@mail.test' END AS email,
-       lpad(CAST(o_orderkey % 7001 AS VARCHAR), 8, '0') AS dni,
+            WHEN o_orderkey % 11 = 0 THEN 'p' || CAST(o_custkey AS VARCHAR) || '@mail.test'
+            ELSE 'r' || CAST(o_orderkey % 20011 AS VARCHAR) || '@mail.test' END AS email,
+       CASE WHEN o_orderkey % 13 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 8, '0')
+            ELSE 'R' || CAST(o_orderkey % 7001 AS VARCHAR) END AS dni,
        CASE WHEN o_orderpriority = '1-URGENT' THEN 'vendedor' WHEN o_orderpriority = '2-HIGH' THEN 'cliente'
             WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'admin' WHEN o_orderpriority = '5-LOW' THEN ''
        END AS user_type

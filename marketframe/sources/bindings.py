@@ -222,7 +222,9 @@ def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of user registration requests (one per order)."""
+    """A batch of user registration requests (one per order).  Some reuse the
+    e-mail or dni of the stored user who placed the order; the others draw
+    from key ranges that only collide inside the batch."""
     o = read_table(spark, sf_dir, "orders", spread=True)
     key = F.col("o_orderkey")
     pr = F.col("o_orderpriority")
@@ -233,8 +235,10 @@ def user_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.lit("secretpassword"), 1, (key % 12).cast("int")).alias("password"),
         F.when(key % 10 == 0, F.lit("bad-email"))
          .when(key % 10 == 1, F.lit("with space@mail.test"))
-         .otherwise(F.concat(F.lit("p"), _s(key % 20011), F.lit("@mail.test"))).alias("email"),
-        F.lpad(_s(key % 7001), 8, "0").alias("dni"),
+         .when(key % 11 == 0, F.concat(F.lit("p"), _s(F.col("o_custkey")), F.lit("@mail.test")))
+         .otherwise(F.concat(F.lit("r"), _s(key % 20011), F.lit("@mail.test"))).alias("email"),
+        F.when(key % 13 == 0, F.lpad(_s(F.col("o_custkey")), 8, "0"))
+         .otherwise(F.concat(F.lit("R"), _s(key % 7001))).alias("dni"),
         F.when(pr == "1-URGENT", "vendedor").when(pr == "2-HIGH", "cliente")
          .when(pr == "4-NOT SPECIFIED", "admin").when(pr == "5-LOW", "")
          .alias("user_type"),
