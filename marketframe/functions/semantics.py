@@ -144,3 +144,24 @@ def is_blank(c: ColumnOrName) -> Column:
 def money_text(c: ColumnOrName) -> Column:
     """``decimal.toString()``: the exact decimal text."""
     return _c(c).cast("string")
+
+
+# ---- time ---------------------------------------------------------------------
+def micros_between(start: ColumnOrName, end: ColumnOrName) -> Column:
+    """``end - start`` in microseconds on wall-clock (NTZ) timestamps; no
+    session time zone or daylight-saving shift is involved."""
+    s, e = _c(start), _c(end)
+    return F.timestamp_diff("MICROSECOND", s, e)
+
+
+def minutes_left(now: ColumnOrName, until: ColumnOrName) -> Column:
+    """``Math.ceil((until - now) / 60000)`` minutes, rounded up."""
+    return F.ceil(micros_between(now, until) / 60_000_000).cast("long")
+
+
+def ntz_instant(c: ColumnOrName) -> Column:
+    """A TIMESTAMP whose epoch equals the NTZ wall time read as UTC, for
+    event-time watermarks, independent of the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(micros_between(epoch, c))
+

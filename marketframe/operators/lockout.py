@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketframe.functions.semantics import minutes_left
 from marketframe.session import checkpoint_dir
 
 # Fixed values of the source rule.
@@ -149,8 +150,7 @@ def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta =
 
     # unknown / inactive accounts: no state change, a projection suffices
     still_locked = F.col("s_lock").isNotNull() & (F.col("s_lock") > F.col("at"))
-    minutes = F.ceil((F.unix_micros(F.col("s_lock").cast("timestamp"))
-                      - F.unix_micros(F.col("at").cast("timestamp"))) / 60_000_000).cast("long")
+    minutes = minutes_left("at", "s_lock")
     passive = a.where(F.col("activo").isNull() | ~F.col("activo")).select(
         "account_id", "at",
         F.when(F.col("activo").isNull(), "unknown").when(still_locked, "locked")

@@ -21,8 +21,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
 
     ``spread`` is for fact tables: when the scan yields fewer splits than the
     cluster has cores (e.g. one big file with a single row group), rows are
-    dealt round-robin to ``defaultParallelism`` tasks so that the projection
-    and the map-side partial aggregation after it run in parallel.  A large
+    spread over ``defaultParallelism`` tasks so that the projection and the
+    map-side partial aggregation after it run in parallel.  A large
     input already has many splits and is left alone (no extra shuffle)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
@@ -31,11 +31,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
 
 
 def spread_partitions(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` to ``defaultParallelism`` partitions only when it has
-    fewer splits than that (planning only, no job is run)."""
+    """Spread ``df`` over ``defaultParallelism`` partitions only when it has
+    fewer splits than that (deciding needs planning only, no job).  Rows are
+    hashed on all columns: deterministic on recomputation without the local
+    sort a round-robin repartition needs.  Only small inputs (fewer splits
+    than cores) ever take this path."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, *df.columns)
     return df
 
 

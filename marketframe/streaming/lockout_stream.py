@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from marketframe.functions.semantics import minutes_left, ntz_instant
 from marketframe.operators.lockout import LOCK_TIME, OUTCOME_SCHEMA, step
 
 STATE_SCHEMA = T.StructType([
@@ -85,13 +86,12 @@ def lockout_stream(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta
     acc = sellers.select(F.col("vendedor_id").alias("account_id"), "activo",
                          F.col("intentos_fallidos").alias("s_n"),
                          F.col("bloqueado_hasta").alias("s_lock"))
-    # event-time watermarks need a TIMESTAMP column; the session time zone is
-    # UTC (see marketframe.session), so the instant equals the stored wall time
-    a = (attempts.withColumn("_event", F.col("at").cast("timestamp"))
+    # event-time watermarks need a TIMESTAMP column: the NTZ wall time read as
+    # UTC, the same clock the state function uses
+    a = (attempts.withColumn("_event", ntz_instant("at"))
                  .withWatermark("_event", delay).join(acc, "account_id", "left"))
     still_locked = F.col("s_lock").isNotNull() & (F.col("s_lock") > F.col("at"))
-    minutes = F.ceil((F.unix_micros(F.col("s_lock").cast("timestamp"))
-                      - F.unix_micros(F.col("at").cast("timestamp"))) / 60_000_000).cast("long")
+    minutes = minutes_left("at", "s_lock")
     passive = a.where(F.col("activo").isNull() | ~F.col("activo")).select(
         "account_id", "at",
         F.when(F.col("activo").isNull(), "unknown").when(still_locked, "locked")
