@@ -262,6 +262,21 @@ def upsert_additive(base: DataFrame, lines: DataFrame, now=None,
     return ChangeResult(res.new_state, res.affected, rejected)
 
 
+def explode_bulk_requests(requests: DataFrame, items: str = "cartas"):
+    """bulk requests ``(seq, vendedor_id, cartas array<struct>)`` to
+    change lines.  A request whose array is missing or empty is an error of
+    the whole request (rejected); the lines of the others keep the arrival
+    order ``(request seq, position)``.  ``posexplode`` is a generator, so no
+    request array is ever regrouped.  Returns ``(lines, rejected)``."""
+    has_items = F.coalesce(F.size(F.col(items)) > 0, F.lit(False))
+    rejected = requests.where(~has_items).select("seq", "vendedor_id",
+                                                 F.lit("empty or missing array").alias("reason"))
+    exploded = requests.where(has_items).select(
+        F.col("seq").alias("_req"), "vendedor_id", F.posexplode(items).alias("_pos", "_item"))
+    lines = exploded.select(F.struct("_req", "_pos").alias("seq"), "vendedor_id", "_item.*")
+    return lines, rejected
+
+
 def fold_bulk_lines(lines: DataFrame, now=None) -> DataFrame:
     """D5 fold: quantities add up; all other columns come from the first line
     of the key (they only matter when the key is new)."""

@@ -313,6 +313,22 @@ SELECT (SELECT count(*) FROM part) AS cards,
        (SELECT count(*) FROM feed_images) AS images,
        (SELECT count(*) FROM feed_price_text) AS prices""",
     "feed_types", "feed_sets", "feed_banlist", "feed_images", "feed_price_text")
+Q["q_ingest_catalog"] = with_ctes("""
+WITH even AS (SELECT id FROM cards WHERE level % 2 = 0),
+types AS (SELECT id AS card_id, type AS type_name FROM cards WHERE id NOT IN (SELECT id FROM even)
+          UNION ALL
+          SELECT DISTINCT card_id, type_name FROM feed_types WHERE card_id IN (SELECT id FROM even)),
+ban AS (SELECT id AS card_id, 'Limited' AS ban_ocg FROM cards
+        WHERE level % 4 = 0 AND id NOT IN (SELECT card_id FROM feed_banlist WHERE card_id IN (SELECT id FROM even))
+        UNION ALL
+        SELECT card_id, ban_ocg FROM feed_banlist WHERE card_id IN (SELECT id FROM even))
+SELECT 'cards' AS table_name, count(*) AS row_count, CAST(NULL AS DECIMAL(22,2)) AS total FROM cards
+UNION ALL SELECT 'card_types', count(*), NULL FROM types
+UNION ALL SELECT 'card_printings', count(*), CAST(sum(set_price) AS DECIMAL(22,2)) FROM feed_printings
+UNION ALL SELECT 'banlist_info', count(*), CAST(count(ban_ocg) AS DECIMAL(22,2)) FROM ban
+UNION ALL SELECT 'card_images', count(*), NULL FROM feed_images
+UNION ALL SELECT 'card_prices', count(*), NULL FROM feed_prices""",
+    "cards", "feed_types", "feed_banlist", "feed_printings", "feed_images", "feed_prices")
 Q["q_unnest_zip"] = with_ctes("""
 SELECT p.p_partkey AS id, z.type_name, z.set_name
 FROM part p,

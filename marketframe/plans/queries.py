@@ -112,6 +112,33 @@ def q_ingest_report(spark, d):
     return cat.ingest_report(b.feed(spark, d))
 
 
+@query
+def q_ingest_catalog(spark, d):
+    """A feed of the even-level cards applied to a stored catalog."""
+    f = b.feed(spark, d)
+    c = b.cards(spark, d)
+    state = cat.CatalogState(
+        c, c.select(F.col("id").alias("card_id"), F.col("type").alias("type_name")),
+        cat.shred_printings(f),
+        c.where(F.col("level") % 4 == 0).select(F.col("id").alias("card_id"),
+                                                F.lit("Limited").alias("ban_ocg")),
+        cat.shred_images(f), cat.shred_prices(f))
+    new = cat.ingest(state, f.where(F.col("level") % 2 == 0))
+    def summary(name, df, total=None):
+        t = total if total is not None else F.lit(None).cast("decimal(22,2)")
+        return df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"),
+                      t.cast("decimal(22,2)").alias("total"))
+
+    parts = [summary("cards", new.cards), summary("card_types", new.card_types),
+             summary("card_printings", new.card_printings, F.sum("set_price")),
+             summary("banlist_info", new.banlist_info, F.count("ban_ocg")),
+             summary("card_images", new.card_images), summary("card_prices", new.card_prices)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query
 def q_unnest_zip(spark, d):
     f = b.feed(spark, d)

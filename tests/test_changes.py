@@ -193,3 +193,18 @@ def test_touch_rows(spark):
     users = spark.createDataFrame([(1, None), (2, None)], "id long, updated_at timestamp_ntz")
     res = ch.touch_rows(users, spark.createDataFrame([(2,)], "id long"), "id", now=NOW)
     assert sorted(tuple(r) for r in res.new_state.collect()) == [(1, None), (2, NOW)]
+
+
+def test_explode_bulk_requests(spark):
+    item = "struct<card_id:long, cantidad:int, precio:decimal(12,2), condicion:string, idioma:string, edicion:string, notas:string>"
+    reqs = spark.createDataFrame(
+        [(1, 1, [(1, 2, None, None, None, None, None), (None, 5, None, None, None, None, None),
+                 (1, None, None, "Mint", None, None, None)]),
+         (2, 1, []), (3, 2, None)],
+        f"seq long, vendedor_id long, cartas array<{item}>")
+    lines, rejected = ch.explode_bulk_requests(reqs)
+    assert sorted(r.seq for r in rejected.collect()) == [2, 3]
+    res = ch.bulk_upsert(_base(spark, []), lines, now=NOW)
+    got = {(r.vendedor_id, r.card_id): (r.cantidad, r.condicion) for r in res.new_state.collect()}
+    assert got == {(1, 1): (3, "Near Mint")}     # first line's columns, key-less line skipped
+    assert res.rejected.count() == 1
