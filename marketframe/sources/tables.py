@@ -16,6 +16,12 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations")
 
 
+# Columns a spread hashes on: the table's natural row key, so that column
+# pruning still reaches the Parquet reader.
+SPREAD_KEYS = {"lineitem": ("l_orderkey", "l_linenumber"), "orders": ("o_orderkey",),
+               "events": ("event_id",)}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """``SELECT * FROM name`` over ``{sf_dir}/{name}.parquet`` (S3: full scan).
 
@@ -26,19 +32,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     input already has many splits and is left alone (no extra shuffle)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
-        df = spread_partitions(df)
+        df = spread_partitions(df, SPREAD_KEYS.get(name))
     return df
 
 
-def spread_partitions(df: DataFrame) -> DataFrame:
+def spread_partitions(df: DataFrame, keys=None) -> DataFrame:
     """Spread ``df`` over ``defaultParallelism`` partitions only when it has
     fewer splits than that (deciding needs planning only, no job).  Rows are
-    hashed on all columns: deterministic on recomputation without the local
-    sort a round-robin repartition needs.  Only small inputs (fewer splits
-    than cores) ever take this path."""
+    hashed on ``keys`` (default: all columns): deterministic on recomputation
+    without the local sort a round-robin repartition needs, and only the key
+    columns are forced into the scan.  Only small inputs (fewer splits than
+    cores) ever take this path."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *df.columns)
+        return df.repartition(cores, *(keys or df.columns))
     return df
 
 
