@@ -207,6 +207,18 @@ SELECT l_partkey AS card_id, 'SET-' || l_returnflag AS set_name,
 FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY l_partkey, l_returnflag, l_linestatus""")
 
+_cte("feed_sets_new", """
+SELECT l_partkey AS card_id, 'SET-' || l_returnflag AS set_name,
+       l_returnflag || l_linestatus AS set_code,
+       CASE WHEN l_linestatus = 'O' THEN 'Common' ELSE 'Rare' END AS set_rarity,
+       CASE WHEN l_returnflag = 'N' THEN '' ELSE '(' || l_returnflag || ')' END AS set_rarity_code,
+       CASE WHEN l_returnflag = 'A' THEN CAST(CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS VARCHAR)
+            WHEN l_returnflag = 'R' THEN CAST(CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS VARCHAR) || 'usd'
+            WHEN l_linestatus = 'O' THEN '' ELSE 'n/a' END AS set_price
+FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'
+GROUP BY l_partkey, l_returnflag, l_linestatus""")
+
 _cte("feed_types", """
 SELECT p_partkey AS card_id, t.type_name
 FROM part, LATERAL (SELECT unnest([p_type, CASE WHEN p_size % 2 = 0 THEN 'Effect' ELSE 'Normal' END,
@@ -247,6 +259,11 @@ SELECT card_id, set_name, set_code, set_rarity, NULLIF(set_rarity_code, '') AS s
        {_stored_price('set_price')} AS set_price
 FROM feed_sets""", ("feed_sets",))
 
+_cte("feed_printings_new", f"""
+SELECT card_id, set_name, set_code, set_rarity, NULLIF(set_rarity_code, '') AS set_rarity_code,
+       {_stored_price('set_price')} AS set_price
+FROM feed_sets_new""", ("feed_sets_new",))
+
 _cte("feed_prices", f"""
 SELECT card_id, {_stored_price('cardmarket_price')} AS cardmarket_price,
        {_stored_price('tcgplayer_price')} AS tcgplayer_price, {_stored_price('ebay_price')} AS ebay_price,
@@ -314,21 +331,24 @@ SELECT (SELECT count(*) FROM part) AS cards,
        (SELECT count(*) FROM feed_price_text) AS prices""",
     "feed_types", "feed_sets", "feed_banlist", "feed_images", "feed_price_text")
 Q["q_ingest_catalog"] = with_ctes("""
-WITH even AS (SELECT id FROM cards WHERE level % 2 = 0),
-types AS (SELECT id AS card_id, type AS type_name FROM cards WHERE id NOT IN (SELECT id FROM even)
+WITH batch AS (SELECT DISTINCT card_id AS id FROM feed_sets_new),
+types AS (SELECT id AS card_id, type AS type_name FROM cards WHERE id NOT IN (SELECT id FROM batch)
           UNION ALL
-          SELECT DISTINCT card_id, type_name FROM feed_types WHERE card_id IN (SELECT id FROM even)),
+          SELECT DISTINCT card_id, type_name FROM feed_types WHERE card_id IN (SELECT id FROM batch)),
 ban AS (SELECT id AS card_id, 'Limited' AS ban_ocg FROM cards
-        WHERE level % 4 = 0 AND id NOT IN (SELECT card_id FROM feed_banlist WHERE card_id IN (SELECT id FROM even))
+        WHERE level % 4 = 0 AND id NOT IN (SELECT card_id FROM feed_banlist WHERE card_id IN (SELECT id FROM batch))
         UNION ALL
-        SELECT card_id, ban_ocg FROM feed_banlist WHERE card_id IN (SELECT id FROM even))
+        SELECT card_id, ban_ocg FROM feed_banlist WHERE card_id IN (SELECT id FROM batch)),
+printings AS (SELECT * FROM feed_printings WHERE card_id NOT IN (SELECT id FROM batch)
+              UNION ALL SELECT * FROM feed_printings_new)
 SELECT 'cards' AS table_name, count(*) AS row_count, CAST(NULL AS DECIMAL(22,2)) AS total FROM cards
 UNION ALL SELECT 'card_types', count(*), NULL FROM types
-UNION ALL SELECT 'card_printings', count(*), CAST(sum(set_price) AS DECIMAL(22,2)) FROM feed_printings
+UNION ALL SELECT 'card_printings', count(*), CAST(sum(set_price) AS DECIMAL(22,2)) FROM printings
 UNION ALL SELECT 'banlist_info', count(*), CAST(count(ban_ocg) AS DECIMAL(22,2)) FROM ban
 UNION ALL SELECT 'card_images', count(*), NULL FROM feed_images
 UNION ALL SELECT 'card_prices', count(*), NULL FROM feed_prices""",
-    "cards", "feed_types", "feed_banlist", "feed_printings", "feed_images", "feed_prices")
+    "cards", "feed_types", "feed_banlist", "feed_printings", "feed_printings_new", "feed_sets_new",
+    "feed_images", "feed_prices")
 Q["q_unnest_zip"] = with_ctes("""
 SELECT p.p_partkey AS id, z.type_name, z.set_name
 FROM part p,
@@ -593,11 +613,9 @@ SELECT COALESCE(b.card_id, n.card_id) AS card_id,
        CASE WHEN n.card_id IS NOT NULL THEN n.ban_ocg ELSE b.ban_ocg END AS ban_ocg
 FROM b FULL OUTER JOIN feed_banlist n ON b.card_id = n.card_id""", "cards", "feed_banlist")
 Q["q_replace_children"] = with_ctes("""
-SELECT p.* FROM feed_printings p JOIN part ON p.card_id = p_partkey WHERE p_size % 2 <> 0
+SELECT * FROM feed_printings WHERE card_id NOT IN (SELECT card_id FROM feed_sets_new)
 UNION ALL
-SELECT card_id, set_name, set_code, set_rarity, set_rarity_code,
-       CAST(set_price * 2 AS DECIMAL(12,2)) AS set_price
-FROM feed_printings p JOIN part ON p.card_id = p_partkey WHERE p_size % 2 = 0""", "feed_printings")
+SELECT * FROM feed_printings_new""", "feed_printings", "feed_printings_new", "feed_sets_new")
 Q["q_coalesce_update"] = with_ctes("""
 SELECT vendedor_id,
        COALESCE(CASE WHEN vendedor_id % 2 = 0 THEN upper(nombres) END, nombres) AS nombres,

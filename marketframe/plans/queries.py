@@ -114,7 +114,8 @@ def q_ingest_report(spark, d):
 
 @query
 def q_ingest_catalog(spark, d):
-    """A feed of the even-level cards applied to a stored catalog."""
+    """A later feed delivery (cards with sets shipped from the cutoff on)
+    applied to the catalog stored from the full feed."""
     f = b.feed(spark, d)
     c = b.cards(spark, d)
     state = cat.CatalogState(
@@ -123,7 +124,7 @@ def q_ingest_catalog(spark, d):
         c.where(F.col("level") % 4 == 0).select(F.col("id").alias("card_id"),
                                                 F.lit("Limited").alias("ban_ocg")),
         cat.shred_images(f), cat.shred_prices(f))
-    new = cat.ingest(state, f.where(F.col("level") % 2 == 0))
+    new = cat.ingest(state, b.feed(spark, d, since=b.CUTOFF))
     def summary(name, df, total=None):
         t = total if total is not None else F.lit(None).cast("decimal(22,2)")
         return df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"),
@@ -456,13 +457,9 @@ def q_upsert_banlist(spark, d):
 
 @query
 def q_replace_children(spark, d):
-    f = b.feed(spark, d)
-    base = cat.shred_printings(f)
-    batch = f.where(F.col("level") % 2 == 0)
-    ids = batch.select("id")
-    new_rows = cat.shred_printings(batch).withColumn("set_price", (F.col("set_price") * 2)
-                                                     .cast("decimal(12,2)"))
-    return ch.replace_children(base, ids, new_rows).new_state
+    base = cat.shred_printings(b.feed(spark, d))
+    batch = b.feed(spark, d, since=b.CUTOFF)
+    return ch.replace_children(base, batch.select("id"), cat.shred_printings(batch)).new_state
 
 
 @query

@@ -62,13 +62,16 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed(spark: SparkSession, sf_dir: str, since: _dt.datetime | None = None) -> DataFrame:
     """The nested catalog feed as it would land: one row per card with child
     arrays.  ``card_sets`` holds one entry per (return flag, line status)
     pair that occurs in the card's lines, so it has at most six elements and
     is built after a map-side pre-aggregation (a hot card cannot make a
-    huge array)."""
+    huge array).  With ``since`` the feed is a later delivery: only lines
+    shipped from then on make sets, and only cards with such sets appear."""
     li = read_table(spark, sf_dir, "lineitem", spread=True)
+    if since is not None:
+        li = li.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
     sets = (li.groupBy("l_partkey", "l_returnflag", "l_linestatus")
               .agg(F.min("l_extendedprice").alias("low")))
     price = _s(F.col("low").cast(MONEY))
@@ -115,7 +118,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("abc").alias("coolstuffinc_price")))).alias("card_prices"),
     )
     out = (c.join(extra, c.id == extra.pk, "inner")
-            .join(sets, c.id == sets.l_partkey, "left"))
+            .join(sets, c.id == sets.l_partkey, "left" if since is None else "inner"))
     return out.select(
         "id", "name", "type", F.col("human_readable_card_type").alias("humanReadableCardType"),
         F.col("frame_type").alias("frameType"), F.col("description").alias("desc"), "race",
