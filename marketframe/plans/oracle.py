@@ -335,8 +335,8 @@ WITH batch AS (SELECT DISTINCT card_id AS id FROM feed_sets_new),
 types AS (SELECT id AS card_id, type AS type_name FROM cards WHERE id NOT IN (SELECT id FROM batch)
           UNION ALL
           SELECT DISTINCT card_id, type_name FROM feed_types WHERE card_id IN (SELECT id FROM batch)),
-ban AS (SELECT id AS card_id, 'Limited' AS ban_ocg FROM cards
-        WHERE level % 4 = 0 AND id NOT IN (SELECT card_id FROM feed_banlist WHERE card_id IN (SELECT id FROM batch))
+ban AS (SELECT id AS card_id, CASE WHEN level % 4 = 0 THEN 'Limited' END AS ban_ocg FROM cards
+        WHERE id NOT IN (SELECT card_id FROM feed_banlist WHERE card_id IN (SELECT id FROM batch))
         UNION ALL
         SELECT card_id, ban_ocg FROM feed_banlist WHERE card_id IN (SELECT id FROM batch)),
 printings AS (SELECT * FROM feed_printings WHERE card_id NOT IN (SELECT id FROM batch)

@@ -121,8 +121,8 @@ def q_ingest_catalog(spark, d):
     state = cat.CatalogState(
         c, c.select(F.col("id").alias("card_id"), F.col("type").alias("type_name")),
         cat.shred_printings(f),
-        c.where(F.col("level") % 4 == 0).select(F.col("id").alias("card_id"),
-                                                F.lit("Limited").alias("ban_ocg")),
+        c.select(F.col("id").alias("card_id"),
+                 F.when(F.col("level") % 4 == 0, F.lit("Limited")).alias("ban_ocg")),
         cat.shred_images(f), cat.shred_prices(f))
     new = cat.ingest(state, b.feed(spark, d, since=b.CUTOFF))
     def summary(name, df, total=None):
