@@ -469,6 +469,39 @@ SELECT c.id, c.name, c.type, c.human_readable_card_type AS "humanReadableCardTyp
 FROM cards c WHERE c.name ILIKE '%ring%' ESCAPE '\\'"""
 Q["q_search_nested"] = with_ctes(_DOC, "cards", "feed_types", "feed_printings", "feed_banlist",
                                  "feed_images", "feed_prices")
+_JSON_BODY = """
+  'id', c.id, 'name', c.name,
+  'typeline', COALESCE((SELECT list(type_name ORDER BY type_name) FROM feed_types t
+                        WHERE t.card_id = c.id), CAST([] AS VARCHAR[])),
+  'type', c.type, 'humanReadableCardType', c.human_readable_card_type, 'frameType', c.frame_type,
+  'desc', c.description, 'race', c.race, 'atk', c.atk, 'def', c.def, 'level', c.level,
+  'attribute', c.attribute, 'archetype', c.archetype, 'ygoprodeck_url', c.ygoprodeck_url,
+  'card_sets', COALESCE((SELECT list({'set_name': set_name, 'set_code': set_code, 'set_rarity': set_rarity,
+                                      'set_rarity_code': set_rarity_code,
+                                      'set_price': CAST(set_price AS VARCHAR)}
+                                     ORDER BY set_name, set_code)
+                         FROM feed_printings p WHERE p.card_id = c.id), []),
+  {ban}
+  'card_images', COALESCE((SELECT list({'id': card_id, 'image_url': image_url,
+                                        'image_url_small': image_url_small,
+                                        'image_url_cropped': image_url_cropped} ORDER BY image_url)
+                           FROM feed_images i WHERE i.card_id = c.id), []),
+  'card_prices', COALESCE((SELECT list({'cardmarket_price': CAST(cardmarket_price AS VARCHAR),
+                                        'tcgplayer_price': CAST(tcgplayer_price AS VARCHAR),
+                                        'ebay_price': CAST(ebay_price AS VARCHAR),
+                                        'amazon_price': CAST(amazon_price AS VARCHAR),
+                                        'coolstuffinc_price': CAST(coolstuffinc_price AS VARCHAR)}
+                                       ORDER BY cardmarket_price)
+                           FROM feed_prices pr WHERE pr.card_id = c.id), [])"""
+_BAN_FIELD = ("'banlist_info', (SELECT json_object('ban_ocg', ban_ocg) FROM feed_banlist b "
+              "WHERE b.card_id = c.id),")
+Q["q_search_nested_json"] = with_ctes(f"""
+SELECT c.id,
+       CASE WHEN EXISTS (SELECT 1 FROM feed_banlist b WHERE b.card_id = c.id)
+            THEN CAST(to_json(json_object({_JSON_BODY.replace("{ban}", _BAN_FIELD)})) AS VARCHAR)
+            ELSE CAST(to_json(json_object({_JSON_BODY.replace("{ban}", "")})) AS VARCHAR) END AS doc
+FROM cards c WHERE c.name ILIKE '%ring%' ESCAPE '\\'""", "cards", "feed_types", "feed_printings",
+    "feed_banlist", "feed_images", "feed_prices")
 Q["q_user_roles"] = with_ctes("""
 SELECT u.id, u.username, u.user_type, u.is_active,
        COALESCE((SELECT string_agg(role, ',' ORDER BY role) FROM roles_t r WHERE r.user_id = u.id), '') AS roles

@@ -5,6 +5,7 @@ would carry (search text, filters, k, page) are fixed values below."""
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ SELLER_SEARCH = "gear"
 CARD_SEARCH = "ring"
 SELLER_TEXT = "1"
 PAGE_LIMIT, PAGE_OFFSET = 20, 5
-LOCK_LENGTH = __import__("datetime").timedelta(days=1)
+LOCK_LENGTH = _dt.timedelta(days=1)  # a user has an attempt every ~11 hours
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
