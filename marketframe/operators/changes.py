@@ -61,33 +61,61 @@ def assert_unique(batch: DataFrame, keys: Sequence[str]) -> None:
 
 
 # ---- generic upserts ----------------------------------------------------------
+# A batch folded to at most this many keys is broadcast to the stored table
+# (the stored table is then only scanned, never shuffled); a larger batch
+# takes a full outer join on the key.  The count is checked before choosing.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def _keyed_merge(base: DataFrame, batch: DataFrame, keys: Sequence[str], pick,
+                 max_broadcast_keys: int | None = None):
+    """Combine ``base`` and a batch that is unique on ``keys``.
+
+    ``pick(column, in_b, in_n)`` returns the merged value of ``column`` given
+    the ``_b_*`` / ``_n_*`` inputs and the presence flags.  Returns the merged
+    rows with booleans ``_touched`` (key in the batch) and ``_matched`` (key
+    in both)."""
+    cols = base.columns
+    bound = MAX_BROADCAST_KEYS if max_broadcast_keys is None else max_broadcast_keys
+    b = base.select(*[F.col(c).alias(f"_b_{c}") for c in cols], F.lit(True).alias("_in_b"))
+    n = batch.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_n"))
+    cond = [F.col(f"_b_{k}") == F.col(f"_n_{k}") for k in keys]
+    in_b, in_n = F.col("_in_b").isNotNull(), F.col("_in_n").isNotNull()
+    out = [pick(c, in_b, in_n).alias(c) for c in cols] + [
+        in_n.alias("_touched"), (in_b & in_n).alias("_matched")]
+    if batch.count() > bound:
+        return b.join(n, cond, "full_outer").select(*out)
+    # size checked above: the batch side is broadcast, the stored side streams
+    small = F.broadcast(n)
+    old = b.join(small, cond, "left")
+    hit = old.where("_in_n").select(*[F.col(f"_b_{k}").alias(f"_n_{k}") for k in keys])
+    fresh = small.join(F.broadcast(hit), [f"_n_{k}" for k in keys], "left_anti")
+    fresh = fresh.select(*[F.lit(None).cast(base.schema[c].dataType).alias(f"_b_{c}") for c in cols],
+                         F.lit(None).cast("boolean").alias("_in_b"), *n.columns)
+    return old.select(*out).unionByName(fresh.select(*out))
+
+
 def upsert_columns(base: DataFrame, batch: DataFrame, keys: Sequence[str],
-                   update_columns: Sequence[str]) -> ChangeResult:
+                   update_columns: Sequence[str],
+                   max_broadcast_keys: int | None = None) -> ChangeResult:
     """``INSERT ... ON CONFLICT (keys) DO UPDATE SET c = EXCLUDED.c``
     for the listed columns only; other columns of a matched row keep the
     stored value, NULLs in the batch overwrite.  The batch must be unique on
     ``keys`` (see ``check_unique``)."""
     keys = list(keys)
-    cols = base.columns
-    b = base.select(*[F.col(c).alias(f"_b_{c}") for c in cols], F.lit(True).alias("_in_b"))
-    n = batch.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_n"))
-    cond = [F.col(f"_b_{k}") == F.col(f"_n_{k}") for k in keys]
-    j = b.join(n, cond, "full_outer")
-    matched = F.col("_in_b").isNotNull() & F.col("_in_n").isNotNull()
-    out = []
-    for c in cols:
+
+    def pick(c, in_b, in_n):
+        bc, nc = F.col(f"_b_{c}"), F.col(f"_n_{c}")
         if c in keys:
-            out.append(F.coalesce(F.col(f"_b_{c}"), F.col(f"_n_{c}")).alias(c))
-        elif c in update_columns:
-            out.append(F.when(F.col("_in_n").isNotNull(), F.col(f"_n_{c}"))
-                        .otherwise(F.col(f"_b_{c}")).alias(c))
-        else:
-            out.append(F.when(F.col("_in_b").isNotNull(), F.col(f"_b_{c}"))
-                        .otherwise(F.col(f"_n_{c}")).alias(c))
-    state = j.select(*out, F.col("_in_n").isNotNull().alias("_touched"),
-                     matched.alias("_matched"))
-    new_state = state.select(*cols)
-    affected = state.where("_touched").select(*cols, F.col("_matched").alias("was_update"))
+            return F.coalesce(bc, nc)
+        if c in update_columns:
+            return F.when(in_n, nc).otherwise(bc)
+        return F.when(in_b, bc).otherwise(nc)
+
+    merged = _keyed_merge(base, batch, keys, pick, max_broadcast_keys)
+    new_state = merged.select(*base.columns)
+    affected = merged.where("_touched").select(*base.columns,
+                                               F.col("_matched").alias("was_update"))
     return ChangeResult(new_state, affected)
 
 
@@ -302,13 +330,8 @@ def bulk_upsert(base: DataFrame, lines: DataFrame, now=None) -> ChangeResult:
 
 def _merge_inventory(base: DataFrame, folded: DataFrame, now, additive_only: bool) -> ChangeResult:
     cols = INVENTORY_COLUMNS
-    b = base.select(*[F.col(c).alias(f"_b_{c}") for c in cols], F.lit(True).alias("_in_b"))
-    n = folded.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_n"))
-    j = b.join(n, [F.col("_b_vendedor_id") == F.col("_n_vendedor_id"),
-                   F.col("_b_card_id") == F.col("_n_card_id")], "full_outer")
-    in_b, in_n = F.col("_in_b").isNotNull(), F.col("_in_n").isNotNull()
 
-    def pick(c: str) -> Column:
+    def pick(c: str, in_b: Column, in_n: Column) -> Column:
         bc, nc = F.col(f"_b_{c}"), F.col(f"_n_{c}")
         if c in ("inventario_id", "vendedor_id", "card_id", "created_at"):
             return F.coalesce(bc, nc)
@@ -320,7 +343,7 @@ def _merge_inventory(base: DataFrame, folded: DataFrame, now, additive_only: boo
             return F.when(in_b, bc).otherwise(nc)
         return F.when(in_n, F.coalesce(nc, bc)).otherwise(bc)
 
-    state = j.select(*[pick(c).alias(c) for c in cols], in_n.alias("_touched"))
+    state = _keyed_merge(base.select(*cols), folded.select(*cols), INVENTORY_KEY, pick)
     return ChangeResult(state.select(*cols), state.where("_touched").select(*cols))
 
 

@@ -59,8 +59,10 @@ def _replay_base():
     return t
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_upsert_additive_equals_sequential_replay(spark, seed):
+@pytest.mark.parametrize("seed,bound", [(1, None), (2, 0), (3, None), (4, 0)])
+def test_upsert_additive_equals_sequential_replay(spark, seed, bound, monkeypatch):
+    if bound is not None:   # force the full-outer-join path
+        monkeypatch.setattr(ch, "MAX_BROADCAST_KEYS", bound)
     rng = random.Random(seed)
     rows = _random_lines(rng, 40)
     res = ch.upsert_additive(_base(spark, BASE_ROWS), _lines(spark, rows), now=NOW)
@@ -75,8 +77,10 @@ def test_upsert_additive_equals_sequential_replay(spark, seed):
     assert res.rejected.count() == sum(1 for r in rows if not r[2])
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_bulk_upsert_and_running_rows_equal_replay(spark, seed):
+@pytest.mark.parametrize("seed,bound", [(4, None), (5, 0)])
+def test_bulk_upsert_and_running_rows_equal_replay(spark, seed, bound, monkeypatch):
+    if bound is not None:
+        monkeypatch.setattr(ch, "MAX_BROADCAST_KEYS", bound)
     rng = random.Random(seed)
     rows = _random_lines(rng, 50)
     base = _base(spark, BASE_ROWS)
@@ -121,10 +125,12 @@ def test_upsert_partial_keeps_and_overwrites(spark):
                                  "id long, name string, type string, atk int, level int")
     batch = spark.createDataFrame([(1, "A", "X", None, 5), (3, "c", "Y", 30, 3)],
                                   "id long, name string, type string, atk int, level int")
-    res = ch.upsert_columns(base, batch, ["id"], ["name", "atk", "level"])
-    got = {r.id: tuple(r) for r in res.new_state.collect()}
-    assert got == {1: (1, "A", "T", None, 5), 2: (2, "b", "T", 20, 2), 3: (3, "c", "Y", 30, 3)}
-    assert sorted((r.id, r.was_update) for r in res.affected.collect()) == [(1, True), (3, False)]
+    for bound in (None, 0):
+        res = ch.upsert_columns(base, batch, ["id"], ["name", "atk", "level"],
+                                max_broadcast_keys=bound)
+        got = {r.id: tuple(r) for r in res.new_state.collect()}
+        assert got == {1: (1, "A", "T", None, 5), 2: (2, "b", "T", 20, 2), 3: (3, "c", "Y", 30, 3)}
+        assert sorted((r.id, r.was_update) for r in res.affected.collect()) == [(1, True), (3, False)]
 
 
 def test_batch_duplicates_report(spark):
