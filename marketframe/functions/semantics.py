@@ -147,6 +147,12 @@ def money_text(c: ColumnOrName) -> Column:
 
 
 # ---- time ---------------------------------------------------------------------
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal built from text, so no time zone (of the
+    session or of the Python process) can shift it."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def micros_between(start: ColumnOrName, end: ColumnOrName) -> Column:
     """``end - start`` in microseconds on wall-clock (NTZ) timestamps; no
     session time zone or daylight-saving shift is involved."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.semantics import (falsy_to_null, ilike_contains, is_falsy,
-                                             parse_int_param, pg_desc)
+                                             ntz_lit, parse_int_param, pg_desc)
 from marketframe.session import checkpoint_dir
 
 # Fixed values of the source rules.
@@ -35,7 +35,7 @@ LAST_ROUNDS = 0  # rounds used by the most recent batch admission (for tests and
 def _ts(now) -> Column:
     if now is None:
         return F.localtimestamp()
-    return F.lit(now).cast("timestamp_ntz")
+    return ntz_lit(now)
 
 
 # ---- validation --------------------------------------------------------------

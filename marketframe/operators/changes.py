@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.functions.semantics import falsy_default, falsy_to_null, is_falsy
+from marketframe.functions.semantics import falsy_default, falsy_to_null, is_falsy, ntz_lit
 
 INVENTORY_KEY = ("vendedor_id", "card_id")
 INVENTORY_ID_STRIDE = 1_000_000_000
@@ -39,7 +39,7 @@ def _ts(now) -> Column:
         return now
     if now is None:
         return F.localtimestamp()
-    return F.lit(now).cast("timestamp_ntz")
+    return ntz_lit(now)
 
 
 def _last_non_null(c: str, seq: str = "seq") -> Column:

@@ -56,7 +56,7 @@ def _detail(spark, d):
 
 def _base_and_changes(spark, d):
     lines = b.inventory_lines(spark, d)
-    cutoff = F.lit(b.CUTOFF).cast("timestamp_ntz")
+    cutoff = sem.ntz_lit(b.CUTOFF)
     base = b.inventario(spark, d, before=b.CUTOFF)
     return base, lines.where(F.col("at") >= cutoff)
 
@@ -103,7 +103,7 @@ def q_append_rows(spark, d):
                        F.lit(None).cast("string").alias("password_hash"), "email", "dni",
                        F.coalesce(sem.falsy_to_null("user_type"), F.lit("cliente")).alias("user_type"),
                        F.lit(True).alias("is_active"),
-                       F.lit(b.NOW).cast("timestamp_ntz").alias("created_at"),
+                       sem.ntz_lit(b.NOW).alias("created_at"),
                        F.lit(None).cast("timestamp_ntz").alias("updated_at"))
     return ch.append_rows(users, rows).new_state
 

@@ -20,6 +20,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketframe.functions.semantics import ntz_lit
 from marketframe.schemas import MONEY
 from marketframe.sources.tables import read_table
 
@@ -36,7 +37,7 @@ def _s(c: Column) -> Column:
 
 
 def _ts(value: _dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz_lit(value)
 
 
 # ---- catalog ----------------------------------------------------------------
@@ -71,7 +72,7 @@ def feed(spark: SparkSession, sf_dir: str, since: _dt.datetime | None = None) ->
     shipped from then on make sets, and only cards with such sets appear."""
     li = read_table(spark, sf_dir, "lineitem", spread=True)
     if since is not None:
-        li = li.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
+        li = li.where(F.col("l_shipdate") >= ntz_lit(since))
     sets = (li.groupBy("l_partkey", "l_returnflag", "l_linestatus")
               .agg(F.min("l_extendedprice").alias("low")))
     price = _s(F.col("low").cast(MONEY))
@@ -193,7 +194,7 @@ def inventario(spark: SparkSession, sf_dir: str, before: _dt.datetime | None = N
     from marketframe.operators.changes import fold_additive_lines, valid_lines
     lines, _ = valid_lines(inventory_lines(spark, sf_dir))
     if before is not None:
-        lines = lines.where(F.col("at") < F.lit(before).cast("timestamp_ntz"))
+        lines = lines.where(F.col("at") < ntz_lit(before))
     return fold_additive_lines(lines, time_col="at")
 
 
