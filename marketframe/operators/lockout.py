@@ -131,9 +131,19 @@ _REPLAY_SCHEMA = T.StructType([
 ])
 
 
+def attempts_by_email(attempts: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Attempts that name the account by e-mail (``correo``) as the route
+    does: the address is lowercased and looked up; an unknown address keeps
+    a NULL account and is reported as ``unknown``."""
+    ids = sellers.select(F.col("correo").alias("_correo"), F.col("vendedor_id").alias("account_id"))
+    return (attempts.withColumn("_correo", F.lower("correo")).join(ids, "_correo", "left")
+                    .select("account_id", "at", "password_ok"))
+
+
 def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta = LOCK_TIME,
                   num_chunks: int | None = None, max_rounds: int | None = None):
-    """Replay ``attempts (account_id, at, password_ok)`` against ``sellers``.
+    """Replay ``attempts (account_id, at, password_ok)`` against ``sellers``
+    (or ``(correo, at, password_ok)``, see ``attempts_by_email``).
 
     Returns ``(outcomes, new_sellers)``: one outcome row per attempt
     (``unknown``, ``locked``, ``inactive``, ``failed``, ``locked_now``,
@@ -142,6 +152,8 @@ def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta =
     the whole log."""
     spark = attempts.sparkSession
     checkpoint_dir(spark)
+    if "account_id" not in attempts.columns:
+        attempts = attempts_by_email(attempts, sellers)
     acc = sellers.select(F.col("vendedor_id").alias("account_id"), "activo",
                          F.col("intentos_fallidos").alias("s_n"),
                          F.col("bloqueado_hasta").alias("s_lock"),

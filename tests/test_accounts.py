@@ -151,3 +151,13 @@ def test_lockout_minutes_left_rounds_up(spark):
     out, _ = lk.login_lockout(att, sellers)
     r = out.first()
     assert (r.outcome, r.minutos_restantes) == ("locked", replay.ceil_minutes(dt.timedelta(minutes=10, seconds=1)))
+
+
+def test_lockout_by_email(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    sellers = spark.createDataFrame([(1, True, 4, None, None, "ana@x.com")], SELLERS + ", correo string")
+    att = spark.createDataFrame([("ANA@x.com", t0, False), ("zz@x.com", t0, True)],
+                                "correo string, at timestamp_ntz, password_ok boolean")
+    out, _ = lk.login_lockout(att, sellers)
+    got = {(r.account_id, r.outcome) for r in out.collect()}
+    assert got == {(None, "unknown"), (1, "locked_now")}
