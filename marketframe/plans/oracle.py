@@ -734,6 +734,47 @@ SELECT seq, COALESCE(NULLIF(user_type, ''), 'cliente') AS role FROM user_regs_v
     "user_regs_v")
 Q["q_tournament_admission"] = with_ctes("SELECT seq, idtournament, outcome FROM admission",
                                         "admission")
+# One-by-one replay of the candidates (valid, no stored conflict) in arrival
+# order; the state is the key lists of the accepted requests (one row, USING KEY)
+Q["q_register_batch"] = with_ctes("""
+WITH RECURSIVE stored_hit AS (
+  SELECT r.seq, (SELECT CASE WHEN u.username = r.username THEN 'username' WHEN u.email = r.email THEN 'email'
+                             WHEN u.dni = r.dni THEN 'dni' END
+                 FROM users_t u WHERE u.username = r.username OR u.email = r.email OR u.dni = r.dni
+                 ORDER BY u.id LIMIT 1) AS cf
+  FROM user_regs_v r WHERE r.error IS NULL),
+cand AS MATERIALIZED (
+  SELECT r.seq, r.username, r.email, r.dni, row_number() OVER (ORDER BY r.seq) AS rn
+  FROM user_regs_v r JOIN stored_hit h ON r.seq = h.seq WHERE h.cf IS NULL),
+walk(k, rn, us, es, ds, acc) USING KEY (k) AS (
+  SELECT 1, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT 1, c.rn,
+         CASE WHEN ok THEN list_append(w.us, c.username) ELSE w.us END,
+         CASE WHEN ok THEN list_append(w.es, c.email) ELSE w.es END,
+         CASE WHEN ok THEN list_append(w.ds, c.dni) ELSE w.ds END,
+         CASE WHEN ok THEN list_append(w.acc, c.seq) ELSE w.acc END
+  FROM walk w JOIN cand c ON c.rn = w.rn + 1,
+       LATERAL (SELECT NOT (list_contains(w.us, c.username) OR list_contains(w.es, c.email)
+                            OR list_contains(w.ds, c.dni)) AS ok)),
+accepted AS (SELECT unnest(acc) AS seq FROM walk),
+acc_rows AS (SELECT c.* FROM cand c JOIN accepted a ON c.seq = a.seq),
+lost AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.seq = c.seq)),
+hits AS (SELECT l.seq, a.seq AS aseq, 0 AS rk FROM lost l JOIN acc_rows a ON a.username = l.username
+         UNION ALL SELECT l.seq, a.seq, 1 FROM lost l JOIN acc_rows a ON a.email = l.email
+         UNION ALL SELECT l.seq, a.seq, 2 FROM lost l JOIN acc_rows a ON a.dni = l.dni),
+lost_cf AS (SELECT seq, CASE arg_min(rk, aseq * 3 + rk) WHEN 0 THEN 'username' WHEN 1 THEN 'email'
+                             ELSE 'dni' END AS cf
+            FROM hits GROUP BY seq)
+SELECT r.seq,
+       CASE WHEN r.error IS NOT NULL THEN 'invalid'
+            WHEN COALESCE(h.cf, lc.cf) IS NOT NULL THEN 'conflict' ELSE 'accepted' END AS status,
+       r.error, COALESCE(h.cf, lc.cf) AS conflict_field,
+       CASE WHEN r.error IS NULL AND COALESCE(h.cf, lc.cf) IS NULL
+            THEN COALESCE(NULLIF(r.user_type, ''), 'cliente') END AS user_type
+FROM user_regs_v r LEFT JOIN stored_hit h ON r.seq = h.seq LEFT JOIN lost_cf lc ON r.seq = lc.seq""",
+    "users_t", "user_regs_v")
+
 # One-by-one replay as a recursive CTE over the attempts numbered per account
 Q["q_login_lockout"] = with_ctes("""
 WITH RECURSIVE ev AS (
