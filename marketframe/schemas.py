@@ -78,3 +78,22 @@ LOGIN_ATTEMPTS = _struct(("account_id", L), ("at", TS), ("password_ok", B))
 TOURNAMENT_JOINS = _struct(("seq", L), ("konamiid", S), ("name", S), ("idtournament", L))
 TOURNAMENT_RESULTS = _struct(("konamiid", S), ("idtournament", L), ("victory", I),
                              ("defeat", I), ("draw", I))
+
+# ---- the given Parquet tables (declared, so reading needs no footer job) ----
+D = T.DoubleType()
+DRIVER = {
+    "region": _struct(("r_regionkey", I), ("r_name", S)),
+    "nation": _struct(("n_nationkey", I), ("n_name", S), ("n_regionkey", I)),
+    "customer": _struct(("c_custkey", L), ("c_name", S), ("c_nationkey", I), ("c_acctbal", D),
+                        ("c_mktsegment", S)),
+    "supplier": _struct(("s_suppkey", L), ("s_name", S), ("s_nationkey", I), ("s_acctbal", D)),
+    "part": _struct(("p_partkey", L), ("p_name", S), ("p_brand", S), ("p_type", S), ("p_size", I),
+                    ("p_retailprice", D)),
+    "orders": _struct(("o_orderkey", L), ("o_custkey", L), ("o_orderstatus", S),
+                      ("o_totalprice", D), ("o_orderdate", TS), ("o_orderpriority", S)),
+    "lineitem": _struct(("l_orderkey", L), ("l_partkey", L), ("l_suppkey", L), ("l_linenumber", I),
+                        ("l_quantity", D), ("l_extendedprice", D), ("l_discount", D), ("l_tax", D),
+                        ("l_returnflag", S), ("l_linestatus", S), ("l_shipdate", TS)),
+    "events": _struct(("event_id", L), ("ts", TS), ("user_id", L), ("event_type", S), ("value", D),
+                      ("props", S)),
+}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.schemas import FEED_DOCUMENT
+from marketframe.schemas import DRIVER, FEED_DOCUMENT
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -30,7 +30,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     spread over ``defaultParallelism`` tasks so that the projection and the
     map-side partial aggregation after it run in parallel.  A large
     input already has many splits and is left alone (no extra shuffle)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in DRIVER:          # declared schema: no inference job, no surprises
+        reader = reader.schema(DRIVER[name])
+    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
         df = spread_partitions(df, SPREAD_KEYS.get(name))
     return df
