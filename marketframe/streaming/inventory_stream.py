@@ -62,6 +62,8 @@ def apply_bulk_batches(initial: DataFrame, root: str,
     """``foreachBatch`` function applying each micro-batch of change lines."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():      # nothing to apply: keep the current version
+            return
         spark = batch.sparkSession
         prev = latest_version(spark, root, before=batch_id)
         base = spark.read.parquet(prev) if prev else initial
