@@ -80,7 +80,7 @@ def _replay_partitions(lock: _dt.timedelta):
     partition; each (account, chunk) run is replayed from its carry-in
     (``c_n``, ``c_lock``).  Emits one row per attempt and one ``_carry`` row
     with the state after each run.  State crosses Arrow batch borders."""
-    cols = ["account_id", "_chunk", "_carry", "at", "outcome", "intentos_fallidos",
+    cols = ["account_id", "_chunk", "_carry", "at", "password_ok", "outcome", "intentos_fallidos",
             "bloqueado_hasta", "minutos_restantes", "intentos_restantes"]
 
     def frame(rows):
@@ -107,23 +107,25 @@ def _replay_partitions(lock: _dt.timedelta):
                 k = (int(accounts[i]), int(chunks[i]))
                 if k != key:
                     if key is not None:
-                        rows.append((*key, True, None, None, state[0], state[1], None, None))
+                        rows.append((*key, True, None, None, None, state[0], state[1], None, None))
                     key = k
                     state = (None if c_n[i] is None else int(c_n[i]),
                              None if lock_na[i] else c_lock[i], None)
                 at = times[i]
                 state, outcome, minutes, left = step(state, at, bool(oks[i]), lock)
-                rows.append((*key, False, at, outcome, state[0], state[1], minutes, left))
+                rows.append((*key, False, at, bool(oks[i]), outcome, state[0], state[1], minutes,
+                             left))
             if rows:
                 yield frame(rows)
         if key is not None:
-            yield frame([(*key, True, None, None, state[0], state[1], None, None)])
+            yield frame([(*key, True, None, None, None, state[0], state[1], None, None)])
     return run
 
 
 _REPLAY_SCHEMA = T.StructType([
     T.StructField("account_id", T.LongType()), T.StructField("_chunk", T.IntegerType()),
     T.StructField("_carry", T.BooleanType()), T.StructField("at", T.TimestampNTZType()),
+    T.StructField("password_ok", T.BooleanType()),
     T.StructField("outcome", T.StringType()), T.StructField("intentos_fallidos", T.IntegerType()),
     T.StructField("bloqueado_hasta", T.TimestampNTZType()),
     T.StructField("minutos_restantes", T.LongType()),
@@ -172,19 +174,20 @@ def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta =
         F.lit(None).cast("int").alias("intentos_restantes"))
 
     # active accounts: chunked replay with carry iteration.  Chunks are the
-    # range partitions themselves, sorted by (account, time) and checkpointed
-    # so that every round sees the same chunks.
+    # range partitions themselves, sorted by (account, time).  The round-0
+    # output is checkpointed: it fixes the chunk of every attempt (range bounds
+    # are sampled anew whenever an exchange re-runs) and later rounds read
+    # their rows from it, in the same partitions and order.
     n = num_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     active = a.where(F.col("activo"))
     chunked = (active.repartitionByRange(n, "account_id", "at")
                      .sortWithinPartitions("account_id", "at")
                      .select("account_id", F.spark_partition_id().alias("_chunk"), "at",
                              "password_ok", F.col("s_n").alias("c_n"),
-                             F.col("s_lock").alias("c_lock"))
-                     .checkpoint())
+                             F.col("s_lock").alias("c_lock")))
     replay = _replay_partitions(lock)
     # round 0: every run from the stored state (exact for an account's first
-    # chunk, a guess for the others); one pass, no shuffle
+    # chunk, a guess for the others); one pass over the log
     first = chunked.mapInPandas(replay, _REPLAY_SCHEMA).checkpoint()
     # chunks that continue an account: at most one per partition boundary
     order = Window.partitionBy("account_id").orderBy("_chunk")
@@ -193,10 +196,9 @@ def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta =
                    .select("*", F.lag("_chunk").over(order).alias("_prev"))
                    .where(F.col("_prev").isNotNull())
                    .select("account_id", "_chunk", "_prev").checkpoint())
-    used = (chunked.join(F.broadcast(follow.select("account_id", "_chunk")),
-                         ["account_id", "_chunk"])
-                   .groupBy("account_id", "_chunk")
-                   .agg(F.first("c_n").alias("c_n"), F.first("c_lock").alias("c_lock")))
+    used = follow.select("account_id", "_chunk").join(
+        acc.select("account_id", F.col("s_n").alias("c_n"), F.col("s_lock").alias("c_lock")),
+        "account_id")
     latest = first.where("_carry").select("account_id", "_chunk", "intentos_fallidos",
                                           "bloqueado_hasta")
     later = None
@@ -216,7 +218,8 @@ def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta =
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"lockout replay did not settle in {max_rounds} rounds")
         # bounded by the number of partition boundaries: safe to broadcast
-        ev = chunked.drop("c_n", "c_lock").join(F.broadcast(todo), ["account_id", "_chunk"])
+        rows = first.where(~F.col("_carry")).select("account_id", "_chunk", "at", "password_ok")
+        ev = rows.join(F.broadcast(todo), ["account_id", "_chunk"])
         out = ev.mapInPandas(replay, _REPLAY_SCHEMA).withColumn("_round", F.lit(rounds)) \
                 .checkpoint()
         later = out if later is None else later.unionByName(out)
