@@ -30,6 +30,7 @@ SENSITIVE_SELLER_COLUMNS = ("password_hash", "intentos_fallidos", "bloqueado_has
 USER_KEYS = ("username", "email", "dni")
 SELLER_KEYS = ("correo", "dni", "konami_id")
 LAST_ROUNDS = 0  # rounds used by the most recent batch admission (for tests and tuning)
+CHECKPOINT_EVERY = 4  # rounds between checkpoints of the undecided requests
 
 
 def _ts(now) -> Column:
@@ -126,9 +127,9 @@ def admit_batch(candidates: DataFrame, keys, max_rounds: int | None = None) -> D
     undecided one on all of its keys, then refuses the undecided requests
     sharing a key with a newly accepted one.  Per-key minima are grouped
     aggregates (map-side combine, so a hot key value costs one partial row
-    per task).  Each round's undecided set is checkpointed to the shared
-    checkpoint folder so lineage stays short and lost executors recompute
-    only one round.  Returns ``seq`` of the accepted requests."""
+    per task).  Each round's decisions are checkpointed to the shared
+    checkpoint folder, and the undecided set every few rounds, so lineage
+    stays short and a lost executor costs at most a few rounds.  Returns ``seq`` of the accepted requests."""
     checkpoint_dir(candidates.sparkSession)
     und = _key_rows(candidates, keys).checkpoint()
     accepted = None
@@ -150,7 +151,9 @@ def admit_batch(candidates: DataFrame, keys, max_rounds: int | None = None) -> D
                           .unionByName(losers.withColumn("_acc", F.lit(False))).checkpoint())
         won = decided.where("_acc").select("seq")
         accepted = won if accepted is None else accepted.unionByName(won)
-        und = und.join(decided.select("seq"), "seq", "left_anti").checkpoint()
+        und = und.join(decided.select("seq"), "seq", "left_anti")
+        if rounds % CHECKPOINT_EVERY == 0:   # keep the lineage short on long chains
+            und = und.checkpoint()
     global LAST_ROUNDS
     LAST_ROUNDS = rounds
     # requests without any key conflict with nobody
