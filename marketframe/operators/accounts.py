@@ -129,7 +129,8 @@ def admit_batch(candidates: DataFrame, keys, max_rounds: int | None = None) -> D
     aggregates (map-side combine, so a hot key value costs one partial row
     per task).  Each round's decisions are checkpointed to the shared
     checkpoint folder, and the undecided set every few rounds, so lineage
-    stays short and a lost executor costs at most a few rounds.  Returns ``seq`` of the accepted requests."""
+    stays short and a lost executor costs at most a few rounds.  Returns
+    ``seq`` of the accepted requests."""
     checkpoint_dir(candidates.sparkSession)
     und = _key_rows(candidates, keys).checkpoint()
     accepted = None
