@@ -5,34 +5,78 @@ A plain ``Window.partitionBy(key)`` would send every row of a key to one
 task, so a key holding a third of the data would make a third of the job
 one straggler.  Instead:
 
-1. range-partition on (key, order): Spark samples bounds, so a hot key is
-   cut into many contiguous chunks in different tasks;
-2. each chunk computes local running values with a window over
-   (chunk, key) - chunks are bounded by the partition size;
+1. range-partition on (key, order) and sort within partitions: Spark
+   samples bounds, so a hot key is cut into many contiguous chunks (one per
+   partition) in different tasks;
+2. each partition computes the local running values of its (chunk, key)
+   runs in one vectorised pass (``mapInPandas``; pandas ``cumsum`` /
+   ``cumcount`` per run) - no second shuffle;
 3. per (chunk, key) totals are summed over the earlier chunks of the same
    key.  Only keys that span more than one chunk need an offset, and there
    are at most two such (chunk, key) pairs per chunk boundary, so the
    offset table is bounded by twice the number of partitions and is joined
    with a broadcast whose size is proven by construction.
 
-The chunked rows are checkpointed once, so every later branch (and any
-recomputation after a lost executor) sees the same chunks.
+The local result is checkpointed once: range bounds are sampled anew each
+time an exchange re-runs, so every later branch (and any recomputation
+after a lost executor) must read the same chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketframe.session import checkpoint_dir
 
+_SUMMABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+
 
 def _order_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def _sum_type(t: T.DataType) -> T.DataType:
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    if isinstance(t, _SUMMABLE):
+        return T.LongType()
+    raise TypeError(f"running sums support integral and floating columns, not {t}")
+
+
+def _local_prefix(keys: list[str], sums: dict[str, str]):
+    """``mapInPandas`` body: rows are sorted by (key, order) within the
+    partition; adds the 1-based position and running sums of each key run.
+    The run of the last key of a batch continues into the next batch."""
+
+    def run(batches):
+        carry_key, carry_vals = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            g = pdf.groupby(keys, sort=False, dropna=False)
+            pdf["_lrank"] = g.cumcount() + 1
+            for name, src in sums.items():
+                pdf[f"_l_{name}"] = g[src].cumsum(skipna=True)
+            first_key = tuple(pdf.iloc[0][k] for k in keys)
+            if carry_key is not None and first_key == carry_key:
+                same = pd.Series(True, index=pdf.index)
+                for k, v in zip(keys, carry_key):
+                    same &= pdf[k] == v
+                pdf.loc[same, "_lrank"] += carry_vals[0]
+                for i, name in enumerate(sums):
+                    pdf.loc[same, f"_l_{name}"] += carry_vals[i + 1]
+            last = pdf.iloc[-1]
+            carry_key = tuple(last[k] for k in keys)
+            carry_vals = [last["_lrank"]] + [last[f"_l_{n}"] for n in sums]
+            yield pdf
+    return run
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    sums: dict[str, str] | None = None, rank_name: str | None = None,
                    num_chunks: int | None = None) -> DataFrame:
@@ -40,28 +84,27 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     running sums (``{output_name: input_column}``) including the current row.
 
     ``order`` must be a total order within a key (ties make numbering
-    arbitrary, exactly as for ``row_number``)."""
+    arbitrary, exactly as for ``row_number``).  Key columns must not be
+    NULL-free-sensitive: NULL keys form their own run."""
     sums = dict(sums or {})
     keys = list(keys)
     order_c = _order_cols(order)
     spark = df.sparkSession
     n = num_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    # Range bounds are sampled each time an exchange runs, so the chunk ids are
-    # materialised once (reliable checkpoint in the shared folder) and both
-    # branches below read the same chunks.
     checkpoint_dir(spark)
-    chunked = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_c)
-                 .withColumn("_chunk", F.spark_partition_id())
-                 .checkpoint())
-    w = (Window.partitionBy("_chunk", *keys).orderBy(*order_c)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local_cols = [F.count(F.lit(1)).over(w).alias("_lrank")]
-    local_cols += [F.sum(src).over(w).alias(f"_l_{name}") for name, src in sums.items()]
-    local = chunked.select("*", *local_cols)
-
-    totals = chunked.groupBy("_chunk", *keys).agg(
-        F.count(F.lit(1)).alias("_trank"),
+
+    fields = list(df.schema.fields)
+    out_schema = T.StructType(
+        fields + [T.StructField("_chunk", T.IntegerType()), T.StructField("_lrank", T.LongType())]
+        + [T.StructField(f"_l_{name}", _sum_type(df.schema[src].dataType))
+           for name, src in sums.items()])
+    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_c)
+                .sortWithinPartitions(*[F.col(k) for k in keys], *order_c)
+                .withColumn("_chunk", F.spark_partition_id()))
+    local = ranged.mapInPandas(_local_prefix(keys, sums), out_schema).checkpoint()
+
+    totals = local.groupBy("_chunk", *keys).agg(
+        F.max("_lrank").alias("_trank"),
         *[F.sum(src).alias(f"_t_{name}") for name, src in sums.items()])
     span = Window.partitionBy(*keys)
     before = (Window.partitionBy(*keys).orderBy("_chunk")
@@ -74,11 +117,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
                                for name in sums]))
     # Bounded by 2 x number of chunks (see module doc): safe to broadcast.
     out = local.join(F.broadcast(offsets), ["_chunk", *keys], "left")
-    cols = [c for c in df.columns]
     extra = []
     if rank_name:
         extra.append((F.col("_lrank") + F.coalesce(F.col("_orank"), F.lit(0))).alias(rank_name))
     for name in sums:
         extra.append((F.col(f"_l_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
                      .alias(name))
-    return out.select(*cols, *extra)
+    return out.select(*[f.name for f in fields], *extra)

@@ -2,6 +2,8 @@ import json
 import random
 import re
 
+import pytest
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -10,13 +12,17 @@ from marketframe.operators.ordered import running_totals
 from marketframe.sources.tables import read_feed_lines
 
 
-def test_running_totals_hot_key_across_chunks(spark):
+@pytest.mark.parametrize("batch_rows", [10000, 37])
+def test_running_totals_hot_key_across_chunks(spark, batch_rows):
+    # a small Arrow batch size makes key runs continue across batch borders
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     rng = random.Random(3)
     rows = [(("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 20)}"), i, rng.randint(-5, 9))
             for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, o long, v long")
     out = running_totals(df, ["k"], ["o"], sums={"run": "v"}, rank_name="rn", num_chunks=16)
     got = {(r.k, r.o): (r.rn, r.run) for r in out.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     want, acc = {}, {}
     for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
         n, s = acc.get(k, (0, 0))
