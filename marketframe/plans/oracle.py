@@ -157,14 +157,14 @@ SELECT seq, nombres, apellidos, lower(correo) AS correo, dni,
 FROM seller_regs""", ("seller_regs",))
 
 _cte("tournaments_t", """
-SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name,
-       CAST(CASE WHEN n_nationkey % 5 <> 0 THEN (n_nationkey % 4) * 5 END AS INTEGER) AS participants,
-       CASE WHEN n_nationkey = 7 THEN 'sin limite' ELSE CAST(20 + (n_nationkey % 3) * 20 AS VARCHAR) END AS "maxPlayers"
-FROM nation""")
+SELECT s_suppkey AS id, 'Torneo ' || s_name AS name,
+       CAST(CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey % 4) * 5 END AS INTEGER) AS participants,
+       CASE WHEN s_suppkey % 11 = 7 THEN 'sin limite' ELSE CAST(20 + (s_suppkey % 3) * 20 AS VARCHAR) END AS "maxPlayers"
+FROM supplier""")
 
 _cte("joins_t", """
 SELECT c_custkey AS seq, 'KID' || CAST(c_custkey AS VARCHAR) AS konamiid, c_name AS name,
-       CAST(CASE WHEN c_custkey % 50 = 49 THEN c_nationkey + 100 ELSE c_nationkey END AS BIGINT) AS idtournament
+       CAST(CASE WHEN c_custkey % 50 = 49 THEN -1 - c_custkey ELSE c_custkey % 37 END AS BIGINT) AS idtournament
 FROM customer""")
 
 # R8 closed form; no stored players, so the real count before the batch is 0
@@ -186,7 +186,7 @@ FROM admission WHERE outcome = 'ok'""", ("admission",))
 
 _cte("results_t", """
 SELECT 'KID' || CAST(c_custkey AS VARCHAR) AS konamiid,
-       CAST(CASE WHEN c_custkey % 7 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS BIGINT) AS idtournament,
+       CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 37 + 1 ELSE c_custkey % 37 END AS BIGINT) AS idtournament,
        CAST(c_custkey % 5 AS INTEGER) AS victory, CAST(c_custkey % 4 AS INTEGER) AS defeat,
        CAST(CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 2 END AS INTEGER) AS draw
 FROM customer""")

@@ -10,7 +10,7 @@ change log.
 Fixed values of the binding (chosen by us, not taken from anywhere):
 cards <- part, sellers <- supplier, inventory change lines <- lineitem,
 users <- customer, roles <- distinct (o_custkey, o_orderpriority) of orders,
-tournaments <- nation, join requests <- customer, login attempts <- events.
+tournaments <- supplier, join requests <- customer, login attempts <- events.
 """
 
 from __future__ import annotations
@@ -273,17 +273,24 @@ def seller_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- tournaments -------------------------------------------------------------
 def tournaments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read_table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    return n.select(
-        key.cast("long").alias("id"),
-        F.col("n_name").alias("name"),
+    """One tournament per supplier (grows with the data); some have a NULL
+    stored count and one in eleven has an unparsable capacity."""
+    t = read_table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    return t.select(
+        key.alias("id"),
+        F.concat(F.lit("Torneo "), F.col("s_name")).alias("name"),
         F.when(key % 5 != 0, (key % 4) * 5).cast("int").alias("participants"),
-        F.when(key == 7, F.lit("sin limite"))
+        F.when(key % 11 == 7, F.lit("sin limite"))
          .otherwise(_s(20 + (key % 3) * 20)).alias("maxPlayers"),
     )
 
 
+# Join requests and results name one of the first TOURNAMENT_SPAN tournaments,
+# so every scale has crowded tournaments and all outcomes occur.
+TOURNAMENT_SPAN = 37
+
+
 def tournament_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join requests in arrival order ``seq`` (one per customer); every 50th
     names a tournament that does not exist."""
@@ -293,7 +300,7 @@ def tournament_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("seq"),
         F.concat(F.lit("KID"), _s(key)).alias("konamiid"),
         F.col("c_name").alias("name"),
-        F.when(key % 50 == 49, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey"))
+        F.when(key % 50 == 49, -1 - key).otherwise(key % TOURNAMENT_SPAN)
          .cast("long").alias("idtournament"),
     )
 
@@ -304,7 +311,7 @@ def tournament_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return (c.select(
         F.concat(F.lit("KID"), _s(key)).alias("konamiid"),
-        F.when(key % 7 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey"))
+        F.when(key % 7 == 0, key % TOURNAMENT_SPAN + 1).otherwise(key % TOURNAMENT_SPAN)
          .cast("long").alias("idtournament"),
         (key % 5).cast("int").alias("victory"),
         (key % 4).cast("int").alias("defeat"),
