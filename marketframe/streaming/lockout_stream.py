@@ -2,10 +2,10 @@
 order.  Each active account keeps its lockout state (failure count, lock
 end, last applied time) plus the attempts it has received but not applied
 yet.  Attempts are applied in event-time order once the watermark has
-passed them, so the outcome equals the batch replay of the same log.
-Attempts older than the watermark are dropped by Spark before the state
-function and counted in the query progress (``numRowsDroppedByWatermark``);
-they are never applied out of order.
+passed them, so the outcome equals the batch replay of the same log.  An
+attempt that arrives after a later attempt of the same account was applied
+is never applied out of order: it is reported with outcome ``late`` (a side
+output) and leaves the state unchanged.
 
 Unknown and inactive accounts need no state: a stream-static join with the
 seller table and a projection, as in the batch form.
@@ -29,6 +29,7 @@ STATE_SCHEMA = T.StructType([
     T.StructField("n", T.IntegerType()),
     T.StructField("lock_us", T.LongType()),
     T.StructField("pending", T.StringType()),   # JSON list of [at_us, ok]
+    T.StructField("last_us", T.LongType()),     # time of the last applied attempt
 ])
 _EPOCH = _dt.datetime(1970, 1, 1)
 
@@ -45,11 +46,12 @@ def _lockout_state_fn(lock: _dt.timedelta):
     def fn(key, pdfs, state):
         account = int(key[0])
         if state.exists:
-            n, lock_us, pending_js = state.get
+            n, lock_us, pending_js, last_us = state.get
             pending = json.loads(pending_js)
             until = _from_us(lock_us)
         else:
-            n, until, pending = None, None, []
+            n, until, pending, last_us = None, None, [], None
+        late = []
         for pdf in pdfs:
             if not state.exists and n is None and until is None and len(pdf):
                 first = pdf.iloc[0]
@@ -57,18 +59,22 @@ def _lockout_state_fn(lock: _dt.timedelta):
                 until = None if pd.isna(first["s_lock"]) else pd.Timestamp(first["s_lock"]).to_pydatetime()
             times = pd.to_datetime(pdf["at"]).dt.to_pydatetime()
             for at, ok in zip(times, pdf["password_ok"]):
-                pending.append([_us(at), bool(ok)])
+                if last_us is not None and _us(at) < last_us:
+                    late.append(at)          # a later attempt was applied already
+                else:
+                    pending.append([_us(at), bool(ok)])
         wm_us = state.getCurrentWatermarkMs() * 1000
         pending.sort()
         ready = [p for p in pending if p[0] <= wm_us]
         rest = [p for p in pending if p[0] > wm_us]
-        rows = []
+        rows = [(account, at, "late", n, until, None, None) for at in late]
         st = (n, until, None)
         for at_us, ok in ready:
             at = _from_us(at_us)
             st, outcome, minutes, left = step(st, at, ok, lock)
             rows.append((account, at, outcome, st[0], st[1], minutes, left))
-        state.update((st[0], None if st[1] is None else _us(st[1]), json.dumps(rest)))
+            last_us = at_us
+        state.update((st[0], None if st[1] is None else _us(st[1]), json.dumps(rest), last_us))
         if rest:
             state.setTimeoutTimestamp(rest[0][0] // 1000 + 1)
         if rows:

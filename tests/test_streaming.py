@@ -64,3 +64,32 @@ def test_lockout_stream_equals_batch(spark, scratch_dir):
                                 lock=dt.timedelta(minutes=15))
     want = sorted((r.account_id, r.at, r.outcome) for r in batch.collect())
     assert got == want
+
+
+def test_lockout_stream_reports_late_attempts(spark, scratch_dir):
+    t0 = dt.datetime(2024, 1, 1)
+    sellers = spark.createDataFrame(
+        [(1, True, 0, None, None)],
+        "vendedor_id long, activo boolean, intentos_fallidos int, bloqueado_hasta timestamp_ntz, "
+        "ultimo_login timestamp_ntz")
+    schema = "account_id long, at timestamp_ntz, password_ok boolean"
+    src = f"{scratch_dir}/late"
+    batches = [[(1, t0, False), (1, t0 + dt.timedelta(hours=5), False)],
+               [(1, t0 + dt.timedelta(hours=10), True)],
+               [(1, t0 - dt.timedelta(minutes=1), True)],   # before an applied attempt
+               [(1, t0 + dt.timedelta(days=3), True)]]
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{src}/f{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    out = lockout_stream(stream, sellers, delay="1 hour")
+    q = (out.writeStream.format("memory").queryName("late_out").outputMode("append")
+            .option("checkpointLocation", f"{scratch_dir}/ck2").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r.at: r.outcome for r in spark.table("late_out").collect()}
+    late_at = t0 - dt.timedelta(minutes=1)
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0)
+                  for p in q.recentProgress for op in p.get("stateOperators", []))
+    # never applied: either reported as late or dropped (and counted) by Spark
+    assert got.get(late_at) == "late" or (late_at not in got and dropped >= 1)
+    assert got[t0] == "failed" and got[t0 + dt.timedelta(hours=5)] == "failed"
+    assert got[t0 + dt.timedelta(hours=10)] == "ok"
