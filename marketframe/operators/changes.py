@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.semantics import falsy_default, falsy_to_null, is_falsy, ntz_lit
+from marketframe.session import checkpoint_dir
 
 INVENTORY_KEY = ("vendedor_id", "card_id")
 INVENTORY_ID_STRIDE = 1_000_000_000
@@ -77,6 +78,9 @@ def _keyed_merge(base: DataFrame, batch: DataFrame, keys: Sequence[str], pick,
     in both)."""
     cols = base.columns
     bound = MAX_BROADCAST_KEYS if max_broadcast_keys is None else max_broadcast_keys
+    # the size check and the merge read one materialised copy of the batch
+    checkpoint_dir(batch.sparkSession)
+    batch = batch.checkpoint()
     b = base.select(*[F.col(c).alias(f"_b_{c}") for c in cols], F.lit(True).alias("_in_b"))
     n = batch.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_n"))
     cond = [F.col(f"_b_{k}") == F.col(f"_n_{k}") for k in keys]
