@@ -4,13 +4,17 @@ in the shared checkpoint folder and connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketframe.session import checkpoint_dir
 
@@ -32,6 +36,27 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def runtime_filter(spark: SparkSession):
+    """Within the block, Spark may build a Bloom filter of the small side of a
+    shuffled join and apply it to the scan of the other side before the
+    shuffle, whatever that side's size.  Spark itself drops the filter where
+    the small side is over its own size limit; results never depend on it."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def selected(df: DataFrame, key: str) -> DataFrame:
+    """Non-null rows of ``df``, stated as a range of the long ``key``: the
+    planner builds runtime filters from sides that have such a predicate."""
+    return df.where(F.col(key) >= F.lit(-(1 << 63)).cast("long"))
+
+
 def slices(texts: Iterable[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, UTF-8 texts) in slices of about ``limit``
     bytes; null texts count as empty."""
@@ -189,3 +214,29 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
                 pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         before = state
+
+
+def map_texts(df: DataFrame, make, results: str, text_col: str = "text", drop: bool = False) -> DataFrame:
+    """``df`` with result columns computed from its text column, all others
+    untouched (also nulls; columns named like a result are replaced).
+
+    ``make()`` runs once in a task and returns a function from a list of
+    texts (None for null) to a list of row tuples in the order of the DDL
+    ``results``.  ``drop`` leaves the text column out."""
+    added = T._parse_datatype_string(results)
+    names = set(added.names) | ({text_col} if drop else set())
+    keep = [f.name for f in df.schema.fields if f.name not in names]
+    schema = T.StructType([f for f in df.schema.fields if f.name in keep] + added.fields)
+    if text_col in added.names:
+        raise ValueError(f"the text column {text_col} is named like a result")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            rows = work(batch.column(text_col).to_pylist())
+            columns = [batch.column(n) for n in keep]
+            for i, f in enumerate(added.fields):
+                columns.append(pa.array([r[i] for r in rows], arrow.field(f.name).type))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+    return df.select(*keep, *([text_col] if text_col not in keep else [])).mapInArrow(run, schema)

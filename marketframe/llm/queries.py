@@ -34,3 +34,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketframe.llm.jaccard_join import jaccard_components
     return jaccard_components(read_documents(spark, sf_dir)).select(
         "doc_id", F.col("n_shingles").cast("long"), "component_id")
+
+
+def toxicity_lexicon(spark: SparkSession, documents: DataFrame, sf_dir: str):
+    """The lexicon learned from the labelled rows that are not held out."""
+    from marketframe.llm import toxicity
+    labels = read_documents(spark, sf_dir, "labels")
+    return toxicity.learn(documents, labels.where(toxicity.remainder() != 0))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm import toxicity
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    lexicon = toxicity_lexicon(spark, docs, sf_dir)
+    return toxicity.score(docs, lexicon, texts=False).select(
+        "doc_id", (toxicity.remainder() == 0).alias("held_out"), "score", "predicted", "n_matches")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.line_dedup import dedup_lines
+    return dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
