@@ -56,3 +56,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketframe.llm.line_dedup import dedup_lines
     return dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.decontaminate import contaminated
+    return contaminated(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
