@@ -62,3 +62,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketframe.llm.decontaminate import contaminated
     return contaminated(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary lies; the file stays outside the repository."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.packing import pack
+    return pack(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"),
+                {"ids_crc32": F.crc32("ids")})
