@@ -24,27 +24,32 @@ metric.  Two documents link when ``d <= radius`` (0.2).
    can only link to an unlinked one whose pivot distance lies within
    ``radius`` of its own.  Linked documents outside every such window are done
    (they are one component through the pivot); the rest of the region is
-   joined again, recursively, around the next pivot.
+   joined again, recursively, around the next pivot: within one task once it
+   is small, else over the cluster.
 5. Links become component ids by large-star / small-star rounds.
 
 Equal sets are one class from the start; only class representatives are
 joined and every copy gets the class's component.
 
 Defined results: null or wordless text has no shingles and links with
-nothing; repeated rows of one ``doc_id`` with equal sets are one class; other
-columns of the input are ignored.
+nothing; rows that repeat a ``doc_id`` are one document, linked by any of its
+texts; rows without a doc_id link with nothing and come back without a
+component; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import components, intersection_size, materialise, shingle_sets, slices
+from marketframe.llm.common import (components, intersection_size, materialise, runtime_filter, selected,
+                                     shingle_sets, slices)
 
 #: Similarity 0.8 as an exact fraction: link when DEN * intersection >= NUM * union.
 NUM, DEN = 4, 5
@@ -52,6 +57,9 @@ NUM, DEN = 4, 5
 SLACK = 0.08
 #: Documents of a region that one task compares with the region's pivot.
 REGION_SPLIT = 2000
+#: Open regions of at most so many documents are joined in one task.
+REGION_DONE = 512
+RADIUS = 1 - NUM / DEN
 _EPS = 1e-9
 
 
@@ -74,20 +82,26 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketch(ids: str, text: str, k: int, with_prefix: bool):
+def _sketch(k: int, with_prefix: bool):
+    """Arrow batches (doc_id, text) to doc_id, set size and digest of the set;
+    with the class number and the emitted shingles if asked for."""
     def run(batches):
-        for pdf in batches:
-            for first, raws in slices(pdf[text]):
-                rows = []
-                for i, s in enumerate(shingle_sets(raws, k)):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    row = (pdf[ids].iat[first + i], len(s), digest)
-                    if with_prefix:
-                        cls = int.from_bytes(digest[:8], "little", signed=True)
-                        row += (cls, _signed(s[:min(len(s), _missing(len(s)) + _extra(len(s)))]).tolist())
-                    rows.append(row)
-                cols = ["doc_id", "n_shingles", "set_id"] + ["cls", "prefix"] * with_prefix
-                yield pd.DataFrame(rows, columns=cols)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for first, raws in slices(texts):
+                sets = shingle_sets(raws, k)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                columns = {"doc_id": ids.slice(first, len(sets)),
+                           "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                           "set_id": pa.array(digests, pa.binary())}
+                if with_prefix:
+                    del columns["set_id"]
+                    columns["cls"] = pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
+                    cut = [_signed(s[:_missing(len(s)) + _extra(len(s))]) for s in sets]
+                    ends = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int32)
+                    columns["prefix"] = pa.ListArray.from_arrays(
+                        pa.array(ends), pa.array(np.concatenate(cut), pa.int64()))
+                yield pa.RecordBatch.from_pydict(columns)
     return run
 
 
@@ -130,6 +144,52 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInPandas(_distances, "pivot long, doc long, dist double, linked boolean"))
 
 
+def _joined(batches):
+    """Links within small regions (rows sorted by region): the same pivots
+    and windows, one region at a time."""
+    held: list[tuple[int, np.ndarray]] = []
+    region = None
+
+    def links(docs):
+        out = []
+        while len(docs) > 1:
+            (p, base), docs = docs[0], docs[1:]
+            dist, near = [], []
+            for doc, s in docs:
+                common = intersection_size(base, s)
+                union = len(base) + len(s) - common
+                dist.append(1.0 - common / union)
+                near.append(DEN * common >= NUM * union)
+                if near[-1]:
+                    out.append((doc, p))
+            ring = min((d for d, n in zip(dist, near) if not n), default=None)
+            if ring is None:
+                break
+            docs = [x for x, d, n in zip(docs, dist, near) if not n or d + RADIUS + _EPS >= ring]
+        return out
+
+    for pdf in batches:
+        out = []
+        for r, doc, raw in zip(pdf["region"], pdf["doc"], pdf["shingles"]):
+            if r != region:
+                out += links(held)
+                region, held = r, []
+            held.append((doc, np.frombuffer(raw, np.uint64)))
+        yield pd.DataFrame(out, columns=["a", "b"])
+    yield pd.DataFrame(links(held), columns=["a", "b"])
+
+
+def _finish(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of regions of at most ``REGION_DONE`` documents, each region in
+    one task; regions with the same documents are joined once."""
+    same = rows.groupBy("key").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs").distinct()
+    members = (same.where(F.size("docs") > 1)
+               .select(F.md5(F.array_join(F.col("docs").cast("array<string>"), ",")).alias("region"),
+                       F.explode("docs").alias("doc")).join(sets, "doc"))
+    return (members.repartition("region").sortWithinPartitions("region", "doc")
+            .select("region", "doc", "shingles").mapInPandas(_joined, "a long, b long"))
+
+
 def _frequent_enough(rows: DataFrame) -> DataFrame:
     """Rows (key, doc, n) whose key has another document, of documents that
     keep at least the number of such keys that a partner would share."""
@@ -146,10 +206,8 @@ def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
     with an equal set); ``links`` has (a, b) between class representatives,
     enough of them that linked documents are connected."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = docs.mapInPandas(_sketch("doc_id", "text", k, True),
-                                "doc_id long, n_shingles long, set_id binary, cls long, prefix array<long>")
-    plain = materialise(docs.mapInPandas(_sketch("doc_id", "text", k, False),
-                                         "doc_id long, n_shingles long, set_id binary"))
+    sketched = docs.mapInArrow(_sketch(k, True), "doc_id long, n_shingles long, cls long, prefix array<long>")
+    plain = materialise(docs.mapInArrow(_sketch(k, False), "doc_id long, n_shingles long, set_id binary"))
     reps = plain.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     classes = materialise(plain.join(reps, "set_id", "left")
                           .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
@@ -159,7 +217,9 @@ def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
     common = (emitted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
               .where("lo <> hi").select("key"))
     rep_rows = sketched.select("doc_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("key"))
-    found = materialise(rep_rows.join(common, "key", "left_semi"))
+    common = materialise(common)
+    with runtime_filter(documents.sparkSession):
+        found = materialise(rep_rows.join(selected(common, "key"), "key", "left_semi"))
     # one row for each key and class, of documents that have enough of them
     own = classes.where("doc_id = rep").select(F.col("doc_id").alias("doc")).distinct()
     rows = found.withColumnRenamed("doc_id", "doc").join(own, "doc", "left_semi").distinct()
@@ -173,30 +233,33 @@ def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
                           .select("key", "doc"))
 
     # sets of the documents that are left
-    members = regions.select("doc").distinct()
-    texts = docs.join(members, docs["doc_id"] == members["doc"], "left_semi")
-    sets = materialise(texts.select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"])
-                       .mapInPandas(_sets(k), "doc long, shingles binary"))
+    members = materialise(regions.select("doc").distinct())
+    with runtime_filter(documents.sparkSession):
+        texts = docs.join(selected(members, "doc"), F.col("doc_id") == F.col("doc"), "left_semi")
+        sets = materialise(texts.select(F.col("doc_id").alias("doc"), "text")
+                           .mapInPandas(_sets(k), "doc long, shingles binary"))
 
     # 3, 4. regions around pivots, again for what the windows leave open
-    links = None
+    found = []
     while True:
         order = F.struct(F.xxhash64("doc").alias("priority"), F.col("doc"))
         first = regions.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("size"))
         placed = (regions.join(first.where("size > 1"), "key")
                   .select("key", "doc", F.col("first.doc").alias("pivot")).where("doc <> pivot"))
-        if links is not None and regions.isEmpty():
-            break
         measured = materialise(_measure(placed.select("doc", "pivot").distinct(), sets))
-        new = measured.where("linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-        links = new if links is None else links.unionByName(new)
+        found.append(measured.where("linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
         around = placed.join(measured, ["doc", "pivot"])
-        ring = around.where("not linked").groupBy("key").agg(F.min("dist").alias("ring"))
+        ring = around.where("not linked").groupBy("key").agg(F.min("dist").alias("ring"), F.count("*").alias("size"))
         # only regions with an unlinked document can hold an open link
-        regions = materialise(around.join(ring, "key")
-                              .where(F.expr("not linked") | (F.col("dist") + (1 - NUM / DEN) + _EPS >= F.col("ring")))
-                              .select("key", "doc"))
-    return classes, links
+        open_ = materialise(around.join(ring, "key")
+                            .where(F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring")))
+                            .select("key", "doc"))
+        size = open_.groupBy("key").agg(F.count("*").alias("size"))
+        found.append(materialise(_finish(open_.join(size.where(F.col("size") <= REGION_DONE), "key"), sets)))
+        regions = materialise(open_.join(size.where(F.col("size") > REGION_DONE), "key").select("key", "doc"))
+        if regions.isEmpty():
+            break
+    return classes, functools.reduce(DataFrame.unionByName, found)
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
