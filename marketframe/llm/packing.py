@@ -166,6 +166,7 @@ def pack(documents: DataFrame, path: str, carry: dict[str, Column] | None = None
     carry = {"ids": F.col("ids")} if carry is None else carry
     cut = materialise(pieces(documents, path, id_col, text_col, capacity, grain).select(
         "doc_id", "start", "length", "doc_tokens", "part", "size", "rank", *[e.alias(n) for n, e in carry.items()]))
+    small = cut.select("doc_id", "start", "length", "doc_tokens", "part", "size", "rank")
     counted = cut.groupBy("part", "size").agg(F.count("*").alias("n"))
     before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counted.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -174,12 +175,14 @@ def pack(documents: DataFrame, path: str, carry: dict[str, Column] | None = None
     for r in cut.groupBy("size").count().collect():  # at most capacity / grain rows
         demand[r["size"] - 1] = r["count"]
     runs = spark.createDataFrame(plan(demand, units), "run_size long, lo long, hi long, per long, first long")
-    ranked = cut.join(firsts, ["part", "size"]).withColumn("place", F.col("rank") + F.col("base"))
+    ranked = small.join(firsts, ["part", "size"]).withColumn("place", F.col("rank") + F.col("base"))
     # at most (capacity / grain) ^ 2 runs
     placed = ranked.join(F.broadcast(runs), (F.col("size") == F.col("run_size"))
                          & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
     sequence = F.col("first") + F.floor((F.col("place") - F.col("lo")) / F.col("per")).cast("long")
     order = Window.partitionBy("sequence_id").orderBy("size", "place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("sequence_id", sequence).select(
-        "doc_id", "start", "length", *carry, "doc_tokens", "sequence_id",
-        F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))
+    slots = placed.withColumn("sequence_id", sequence).select(
+        "doc_id", "start", "length", "doc_tokens", "sequence_id",
+        F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"), "part", "size", "rank")
+    return (slots.join(cut.select("part", "size", "rank", *carry), ["part", "size", "rank"])
+            .select("doc_id", "start", "length", *carry, "doc_tokens", "sequence_id", "offset"))

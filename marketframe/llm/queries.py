@@ -75,3 +75,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketframe.llm.packing import pack
     return pack(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"),
                 {"ids_crc32": F.crc32("ids")})
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

@@ -42,7 +42,7 @@ SAMPLE_ROWS = 20_000
 LEXICON_SIZE = 20_000
 #: Entries need this many toxic labelled texts, this share of them, and this
 #: log odds.
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 3.0
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 3.0
 #: Lengths of word beginnings that may become entries.
 STEMS = range(4, 8)
 
