@@ -81,3 +81,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.token_files import round_trip
+    return round_trip(read_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
