@@ -88,3 +88,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketframe.llm.token_files import round_trip
     return round_trip(read_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.secret_scan import digest, scan
+    return digest(scan(read_documents(spark, sf_dir), F.col("source"), F.struct("source", "lang")))
