@@ -94,3 +94,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketframe.llm.secret_scan import digest, scan
     return digest(scan(read_documents(spark, sf_dir), F.col("source"), F.struct("source", "lang")))
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.html_wrapper import extract
+    return extract(read_documents(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
