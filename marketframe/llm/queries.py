@@ -100,3 +100,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketframe.llm.html_wrapper import extract
     return extract(read_documents(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.fertility import MEASURES, judge
+    judged = judge(read_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"),
+                   tokenizer_path("piece_bpe_32k.model"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "n_tokens", *[F.round(m, 4).alias(m) for m in MEASURES])
