@@ -57,8 +57,8 @@ NUM, DEN = 4, 5
 SLACK = 0.08
 #: Documents of a region that one task compares with the region's pivot.
 REGION_SPLIT = 2000
-#: Open regions of at most so many documents are joined in one task.
-REGION_DONE = 512
+#: Overlapping open regions with at most so many documents are joined in one task.
+CLUSTER = 512
 RADIUS = 1 - NUM / DEN
 _EPS = 1e-9
 
@@ -145,49 +145,53 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _joined(batches):
-    """Links within small regions (rows sorted by region): the same pivots
-    and windows, one region at a time."""
+    """Links within clusters (rows sorted by cluster), one at a time, enough
+    that linked documents are connected: every document is a pivot in turn,
+    compared with later ones that are not connected to it yet and lie in the
+    window of the first pivot's distances."""
     held: list[tuple[int, np.ndarray]] = []
-    region = None
+    cluster = None
 
     def links(docs):
-        out = []
-        while len(docs) > 1:
-            (p, base), docs = docs[0], docs[1:]
-            dist, near = [], []
-            for doc, s in docs:
-                common = intersection_size(base, s)
-                union = len(base) + len(s) - common
-                dist.append(1.0 - common / union)
-                near.append(DEN * common >= NUM * union)
-                if near[-1]:
-                    out.append((doc, p))
-            ring = min((d for d, n in zip(dist, near) if not n), default=None)
-            if ring is None:
-                break
-            docs = [x for x, d, n in zip(docs, dist, near) if not n or d + RADIUS + _EPS >= ring]
+        if len(docs) < 2:
+            return []
+        size = np.array([len(s) for _, s in docs])
+        first = np.array([_distance(docs[0][1], s) for _, s in docs])
+        comp, out = np.arange(len(docs)), []
+        for i in range(len(docs)):
+            small, large = np.minimum(size[i], size), np.maximum(size[i], size)
+            near = (comp != comp[i]) & (DEN * small >= NUM * large) & (np.abs(first - first[i]) <= RADIUS + _EPS)
+            near[:i + 1] = False
+            for j in np.flatnonzero(near).tolist():
+                if comp[j] == comp[i]:
+                    continue
+                common = intersection_size(docs[i][1], docs[j][1])
+                if DEN * common >= NUM * (size[i] + size[j] - common):
+                    out.append((docs[j][0], docs[i][0]))
+                    comp[comp == comp[j]] = comp[i]
         return out
 
     for pdf in batches:
         out = []
-        for r, doc, raw in zip(pdf["region"], pdf["doc"], pdf["shingles"]):
-            if r != region:
+        for c, doc, raw in zip(pdf["cluster"], pdf["doc"], pdf["shingles"]):
+            if c != cluster:
                 out += links(held)
-                region, held = r, []
+                cluster, held = c, []
             held.append((doc, np.frombuffer(raw, np.uint64)))
         yield pd.DataFrame(out, columns=["a", "b"])
     yield pd.DataFrame(links(held), columns=["a", "b"])
 
 
-def _finish(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of regions of at most ``REGION_DONE`` documents, each region in
-    one task; regions with the same documents are joined once."""
-    same = rows.groupBy("key").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs").distinct()
-    members = (same.where(F.size("docs") > 1)
-               .select(F.md5(F.array_join(F.col("docs").cast("array<string>"), ",")).alias("region"),
-                       F.explode("docs").alias("doc")).join(sets, "doc"))
-    return (members.repartition("region").sortWithinPartitions("region", "doc")
-            .select("region", "doc", "shingles").mapInPandas(_joined, "a long, b long"))
+def _distance(a: np.ndarray, b: np.ndarray) -> float:
+    common = intersection_size(a, b)
+    return 1.0 - common / (len(a) + len(b) - common)
+
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """(doc, cluster): documents whose open regions overlap, in turn."""
+    low = rows.groupBy("key").agg(F.min("doc").alias("b"))
+    comp = components(rows.join(low, "key").select(F.col("doc").alias("a"), "b"))
+    return comp.select(F.col("id").alias("doc"), F.col("component").alias("cluster"))
 
 
 def _frequent_enough(rows: DataFrame) -> DataFrame:
@@ -254,9 +258,14 @@ def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
         open_ = materialise(around.join(ring, "key")
                             .where(F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring")))
                             .select("key", "doc"))
-        size = open_.groupBy("key").agg(F.count("*").alias("size"))
-        found.append(materialise(_finish(open_.join(size.where(F.col("size") <= REGION_DONE), "key"), sets)))
-        regions = materialise(open_.join(size.where(F.col("size") > REGION_DONE), "key").select("key", "doc"))
+        # overlapping open regions of few documents are joined in one task
+        cluster = materialise(_clusters(open_))
+        size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
+        small = cluster.join(size.where(F.col("size") <= CLUSTER), "cluster").select("doc", "cluster")
+        found.append(materialise(
+            small.join(sets, "doc").repartition("cluster").sortWithinPartitions("cluster", "doc")
+            .select("cluster", "doc", "shingles").mapInPandas(_joined, "a long, b long")))
+        regions = materialise(open_.join(small, "doc", "left_anti"))
         if regions.isEmpty():
             break
     return classes, functools.reduce(DataFrame.unionByName, found)
