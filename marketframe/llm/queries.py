@@ -109,3 +109,12 @@ def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
                    tokenizer_path("piece_bpe_32k.model"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "n_tokens", *[F.round(m, 4).alias(m) for m in MEASURES])
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.substring_dedup import remove_repeats
+    out = remove_repeats(read_documents(spark, sf_dir))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                      F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
