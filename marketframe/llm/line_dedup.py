@@ -66,10 +66,10 @@ def _variants(w: Column) -> Column:
         return F.aggregate(words, seed, lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
     n = F.size(w)
     before, after = running(w), F.reverse(running(F.reverse(w)))
-    gone = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(
-        F.get(before, i), F.get(after, i + 1), n - 1))
-    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.get(before, i), F.get(after, i), n))
-    return F.concat(gone, gaps)
+    # zipped, so that each running hash is worked out once
+    gone = F.zip_with(F.slice(before, F.lit(1), n), F.slice(after, F.lit(2), n),
+                      lambda b, a: F.xxhash64(b, a, n - 1))
+    return F.concat(gone, F.zip_with(before, after, lambda b, a: F.xxhash64(b, a, n)))
 
 
 def _within_one(a: Column, b: Column) -> Column:
