@@ -8,12 +8,14 @@ text of a language lies in narrow bands of these; tables of symbols, encoded
 data, repeated filler and garbled characters lie outside.
 
 Bands are set for each language (or script, where the language is unknown)
-from all its texts that pass the base rules: the median, plus and minus
-``REACH`` times the distance to the ``TAIL`` quantile on that side and a
-margin.  The quantiles are Spark's mergeable sketches, combined before the
-shuffle, so a language with a third of all rows is one sketch a task.  Texts
-with fewer than ``LEAST_TOKENS`` tokens are judged by the base rules alone:
-their measures scatter too far to reject on.
+and length class (powers of two of the tokens, as short texts scatter more)
+from all texts that pass the base rules: the median, plus and minus ``REACH``
+times the distance to the quartile on that side.  A class with fewer than
+``LEAST_TEXTS`` such texts takes its language's bands.  The quantiles are
+Spark's mergeable sketches, combined before the shuffle, so a language with a
+third of all rows is one sketch a task.  Texts with fewer than
+``LEAST_TOKENS`` tokens are judged by the base rules alone: their measures
+scatter too far to reject on.
 
 Base rules (fixed): a text fails with fewer than 10 words, or when more than
 20 % of its words lie in 5-word windows that occur twice in it.
@@ -37,9 +39,10 @@ from marketframe.llm.tokens import CachedTokenizer
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
 LEAST_TOKENS = 64
-#: Band width: REACH times the distance of the median to the TAIL quantile,
-#: and at least MARGIN (share of the median, or absolute for shares).
-TAIL, REACH, MARGIN = 0.01, 3.0, 0.25
+#: Band width in distances of the median to the quartiles, each at least
+#: MARGIN of the median; the byte share is never out of band below BYTE_SHARE.
+REACH, MARGIN, BYTE_SHARE = 7.0, 0.01, 0.1
+LEAST_TEXTS = 50
 #: Unknown languages are told apart by the script of most of their letters.
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}",
            "hebrew": r"\p{IsHebrew}", "han": r"\p{IsHan}", "kana": r"[\p{IsHiragana}\p{IsKatakana}]",
@@ -137,18 +140,16 @@ def group_of(lang: Column, text: Column) -> Column:
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "entropy")
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """group and the lowest and highest value allowed of each measure."""
-    fair = measured.where(~F.col("base_failed") & (F.col("n_tokens") >= LEAST_TOKENS))
-    q = [F.percentile_approx(m, F.array(F.lit(TAIL), F.lit(0.5), F.lit(1 - TAIL)), 10_000).alias(m) for m in MEASURES]
-    out = fair.groupBy("group").agg(*q)
+def _edges(fair: DataFrame, *by: str) -> DataFrame:
+    """Lowest and highest value allowed of each measure, and the texts seen."""
+    q = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
     edges = []
     for m in MEASURES:
         low, mid, high = (F.get(m, i) for i in range(3))
-        least = F.lit(0.02) if m == "byte_share" else MARGIN * mid
-        edges += [(mid - F.greatest(REACH * (mid - low), least)).alias(f"{m}_low"),
-                  (mid + F.greatest(REACH * (high - mid), least)).alias(f"{m}_high")]
-    return out.select("group", *edges)
+        top = mid + REACH * F.greatest(high - mid, MARGIN * mid)
+        edges += [(mid - REACH * F.greatest(mid - low, MARGIN * mid)).alias(f"{m}_low"),
+                  (F.greatest(top, F.lit(BYTE_SHARE)) if m == "byte_share" else top).alias(f"{m}_high")]
+    return fair.groupBy(*by).agg(F.count("*").alias("texts"), *q).select(*by, "texts", *edges)
 
 
 def judge(documents: DataFrame, byte_bpe: str, piece_bpe: str, **columns: str) -> DataFrame:
@@ -156,11 +157,19 @@ def judge(documents: DataFrame, byte_bpe: str, piece_bpe: str, **columns: str) -
     measured = measure(documents, byte_bpe, piece_bpe, **columns).withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS)
         | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    measured = materialise(measured)
-    # one row for each language or script
-    rows = measured.join(bands(measured), "group", "left")
+    names = measured.columns
+    measured = materialise(measured.withColumn(
+        "class", F.when(F.col("n_tokens") >= LEAST_TOKENS, F.floor(F.log2("n_tokens")))))
+    fair = measured.where(~F.col("base_failed") & F.col("class").isNotNull())
+    # one row for each language or script, and for each of its length classes
+    own = _edges(fair, "group", "class").where(F.col("texts") >= LEAST_TEXTS).drop("texts")
+    all_ = _edges(fair, "group").drop("texts")
+    every = [f"{m}_{e}" for m in MEASURES for e in ("low", "high")]
+    rows = (measured.join(own.select("group", "class", F.struct(*every).alias("own")), ["group", "class"], "left")
+            .join(all_.select("group", F.struct(*every).alias("all")), "group", "left")
+            .withColumn("band", F.coalesce("own", "all")))
     outside = F.array_compact(F.array(*[
-        F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES]))
-    out_of_band = F.when(F.col("n_tokens") >= LEAST_TOKENS, outside).otherwise(F.array().cast("array<string>"))
+        F.when((F.col(m) < F.col(f"band.{m}_low")) | (F.col(m) > F.col(f"band.{m}_high")), F.lit(m)) for m in MEASURES]))
+    out_of_band = F.when(F.col("class").isNotNull(), outside).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("out_of_band", out_of_band).select(
-        *measured.columns, "out_of_band", (~F.col("base_failed") & (F.size("out_of_band") == 0)).alias("kept"))
+        *names, "out_of_band", (~F.col("base_failed") & (F.size("out_of_band") == 0)).alias("kept"))
