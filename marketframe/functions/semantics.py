@@ -92,9 +92,9 @@ def parse_float_or_zero(c: ColumnOrName) -> Column:
 
 
 def parse_int(c: ColumnOrName) -> Column:
-    """``parseInt(x, 10)``: int or NULL (NaN); ``'12.5'`` -> 12, ``'1e3'`` -> 1."""
+    """``parseInt(x, 10)``: long or NULL (NaN); ``'12.5'`` -> 12, ``'1e3'`` -> 1."""
     text = F.regexp_extract(_c(c), INT_PREFIX, 1)
-    return F.when(text != "", text.try_cast("int"))
+    return F.when(text != "", text.try_cast("long"))
 
 
 def parse_float_param(value) -> float:

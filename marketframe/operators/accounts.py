@@ -117,7 +117,7 @@ def _key_rows(df: DataFrame, keys) -> DataFrame:
              .where(F.col("kv").isNotNull())
 
 
-def admit_batch(candidates: DataFrame, keys, max_rounds: int | None = None) -> DataFrame:
+def admit_batch(candidates: DataFrame, keys) -> DataFrame:
     """R5 core: the requests that a one-by-one replay in ``seq`` order accepts
     when a request is refused iff it shares a key with an earlier accepted
     one (the lexicographically-first maximal independent set of the
@@ -137,8 +137,6 @@ def admit_batch(candidates: DataFrame, keys, max_rounds: int | None = None) -> D
     rounds = 0
     while not und.isEmpty():
         rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"admission did not settle in {max_rounds} rounds")
         mins = und.groupBy("kt", "kv").agg(F.min("seq").alias("_min"))
         j = und.join(mins, ["kt", "kv"])
         winners = (j.groupBy("seq").agg(F.min(F.col("seq") == F.col("_min")).alias("_win"))
@@ -163,32 +161,44 @@ def admit_batch(candidates: DataFrame, keys, max_rounds: int | None = None) -> D
     return keyless if accepted is None else accepted.unionByName(keyless)
 
 
-def register_users(regs: DataFrame, users: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """R5 for user registrations: per request ``status`` (``accepted``,
-    ``invalid``, ``conflict``), the validation ``error`` and the
-    ``conflict_field`` (against stored users first, then against requests
-    of the same batch accepted earlier)."""
-    checkpoint_dir(regs.sparkSession)
-    v = validate_users(regs)
+def _register(v: DataFrame, stored_rows: DataFrame, keys, id_col: str) -> DataFrame:
+    """Validated requests with ``conflict_field`` and ``status``."""
+    checkpoint_dir(v.sparkSession)
     valid = v.where(F.col("error").isNull())
-    stored = _first_conflict(valid, users, USER_KEYS, "id").checkpoint()
+    stored = _first_conflict(valid, stored_rows, keys, id_col).checkpoint()
     cand = valid.join(stored, "seq", "left_anti")
-    accepted = admit_batch(cand, USER_KEYS, max_rounds)
+    accepted = admit_batch(cand, keys)
     acc = cand.join(accepted, "seq", "left_semi")
     lost = cand.join(accepted, "seq", "left_anti")
     # for refused batch rows: the earliest accepted request sharing a key
-    acc_as_stored = acc.select(F.col("seq").alias("_aseq"), *USER_KEYS)
-    in_batch = _first_conflict(lost, acc_as_stored, USER_KEYS, "_aseq")
+    acc_as_stored = acc.select(F.col("seq").alias("_aseq"), *keys)
+    in_batch = _first_conflict(lost, acc_as_stored, keys, "_aseq")
     conflicts = stored.unionByName(in_batch).select("seq", "conflict_field")
-    out = v.join(conflicts, "seq", "left")
     status = (F.when(F.col("error").isNotNull(), "invalid")
                .when(F.col("conflict_field").isNotNull(), "conflict").otherwise("accepted"))
-    return out.select("seq", status.alias("status"), "error", "conflict_field",
-                      F.when(status == "accepted",
+    return v.join(conflicts, "seq", "left").withColumn("status", status)
+
+
+def register_users(regs: DataFrame, users: DataFrame) -> DataFrame:
+    """R5 for user registrations: per request ``status`` (``accepted``,
+    ``invalid``, ``conflict``), the validation ``error`` and the
+    ``conflict_field`` (against stored users first, then against requests
+    of the same batch accepted earlier)."""
+    out = _register(validate_users(regs), users, USER_KEYS, "id")
+    return out.select("seq", "status", "error", "conflict_field",
+                      F.when(F.col("status") == "accepted",
                              F.coalesce(falsy_to_null("user_type"), F.lit(DEFAULT_USER_TYPE)))
                        .alias("user_type"))
 
 
+def register_sellers(regs: DataFrame, sellers: DataFrame) -> DataFrame:
+    """R5 for seller registrations: unique ``correo`` (lowercased), ``dni`` and
+    ``konami_id`` (NULL never conflicts), against stored sellers and against
+    earlier accepted requests of the batch."""
+    out = _register(validate_sellers(regs), sellers, SELLER_KEYS, "vendedor_id")
+    return out.select("seq", "status", "error", "conflict_field")
+
+
 def default_roles(accepted_users: DataFrame) -> DataFrame:
     """One role row per new user, ``role = user_type || 'cliente'``."""
     return accepted_users.select(

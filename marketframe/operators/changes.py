@@ -22,6 +22,8 @@ from marketframe.functions.semantics import falsy_default, falsy_to_null, is_fal
 from marketframe.session import checkpoint_dir
 
 INVENTORY_KEY = ("vendedor_id", "card_id")
+# inventario_id = vendedor_id * stride + card_id.  It names a row within one
+# seller; rows are always matched on the id and the seller together.
 INVENTORY_ID_STRIDE = 1_000_000_000
 DEFAULT_CONDITION = "Near Mint"
 DEFAULT_LANGUAGE = "Inglés"
@@ -62,23 +64,17 @@ def assert_unique(batch: DataFrame, keys: Sequence[str]) -> None:
 
 
 # ---- generic upserts ----------------------------------------------------------
-# A batch folded to at most this many keys is broadcast to the stored table
-# (the stored table is then only scanned, never shuffled); a larger batch
-# takes a full outer join on the key.  The count is checked before choosing.
-MAX_BROADCAST_KEYS = 1_000_000
-
-
-def _keyed_merge(base: DataFrame, batch: DataFrame, keys: Sequence[str], pick,
-                 max_broadcast_keys: int | None = None):
+def _keyed_merge(base: DataFrame, batch: DataFrame, keys: Sequence[str], pick):
     """Combine ``base`` and a batch that is unique on ``keys``.
 
     ``pick(column, in_b, in_n)`` returns the merged value of ``column`` given
     the ``_b_*`` / ``_n_*`` inputs and the presence flags.  Returns the merged
     rows with booleans ``_touched`` (key in the batch) and ``_matched`` (key
-    in both)."""
+    in both).  Stored rows take an equi left join to the batch and new keys an
+    anti join to the stored keys, so Spark may choose either join from the
+    bytes it measures; the plan here is the same at every size."""
     cols = base.columns
-    bound = MAX_BROADCAST_KEYS if max_broadcast_keys is None else max_broadcast_keys
-    # the size check and the merge read one materialised copy of the batch
+    # both joins read one materialised copy of the batch
     checkpoint_dir(batch.sparkSession)
     batch = batch.checkpoint()
     b = base.select(*[F.col(c).alias(f"_b_{c}") for c in cols], F.lit(True).alias("_in_b"))
@@ -87,21 +83,15 @@ def _keyed_merge(base: DataFrame, batch: DataFrame, keys: Sequence[str], pick,
     in_b, in_n = F.col("_in_b").isNotNull(), F.col("_in_n").isNotNull()
     out = [pick(c, in_b, in_n).alias(c) for c in cols] + [
         in_n.alias("_touched"), (in_b & in_n).alias("_matched")]
-    if batch.count() > bound:
-        return b.join(n, cond, "full_outer").select(*out)
-    # size checked above: the batch side is broadcast, the stored side streams
-    small = F.broadcast(n)
-    old = b.join(small, cond, "left")
-    hit = old.where("_in_n").select(*[F.col(f"_b_{k}").alias(f"_n_{k}") for k in keys])
-    fresh = small.join(F.broadcast(hit), [f"_n_{k}" for k in keys], "left_anti")
-    fresh = fresh.select(*[F.lit(None).cast(base.schema[c].dataType).alias(f"_b_{c}") for c in cols],
-                         F.lit(None).cast("boolean").alias("_in_b"), *n.columns)
+    old = b.join(n, cond, "left")
+    fresh = n.join(b.select(*[f"_b_{k}" for k in keys]), cond, "left_anti").select(
+        *[F.lit(None).cast(base.schema[c].dataType).alias(f"_b_{c}") for c in cols],
+        F.lit(None).cast("boolean").alias("_in_b"), *n.columns)
     return old.select(*out).unionByName(fresh.select(*out))
 
 
 def upsert_columns(base: DataFrame, batch: DataFrame, keys: Sequence[str],
-                   update_columns: Sequence[str],
-                   max_broadcast_keys: int | None = None) -> ChangeResult:
+                   update_columns: Sequence[str]) -> ChangeResult:
     """``INSERT ... ON CONFLICT (keys) DO UPDATE SET c = EXCLUDED.c``
     for the listed columns only; other columns of a matched row keep the
     stored value, NULLs in the batch overwrite.  The batch must be unique on
@@ -116,18 +106,27 @@ def upsert_columns(base: DataFrame, batch: DataFrame, keys: Sequence[str],
             return F.when(in_n, nc).otherwise(bc)
         return F.when(in_b, bc).otherwise(nc)
 
-    merged = _keyed_merge(base, batch, keys, pick, max_broadcast_keys)
+    merged = _keyed_merge(base, batch, keys, pick)
     new_state = merged.select(*base.columns)
     affected = merged.where("_touched").select(*base.columns,
                                                F.col("_matched").alias("was_update"))
     return ChangeResult(new_state, affected)
 
 
-def insert_ignore(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> ChangeResult:
+def insert_ignore(base: DataFrame, batch: DataFrame, keys: Sequence[str],
+                  seq: str | None = None) -> ChangeResult:
     """``ON CONFLICT (keys) DO NOTHING``: the first row per key of
-    the batch, and only for keys not stored yet."""
+    the batch (by ``seq``; without one the least row, so the choice does not
+    depend on partitioning), and only for keys not stored yet."""
     keys = list(keys)
-    fresh = batch.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
+    rest = [c for c in base.columns if c not in keys]
+    order = F.col(seq) if seq else F.struct(*rest) if rest else None
+    if rest:
+        one = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(
+            *[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in base.columns])
+    else:
+        one = batch.select(*base.columns).distinct()
+    fresh = one.join(base.select(*keys), keys, "left_anti").select(*base.columns)
     return ChangeResult(base.unionByName(fresh), fresh)
 
 
@@ -151,12 +150,12 @@ def coalesce_update(base: DataFrame, changes: DataFrame, keys: Sequence[str],
     """``UPDATE t SET c = COALESCE(new.c, c) WHERE key = new.key``.
 
     NULL keeps the stored value; ``''`` and 0 replace it.  Several changes to
-    one key apply in ``seq`` order (each column takes the last non-NULL).
+    one key apply in ``seq`` order (each column takes the last non-NULL;
+    without a ``seq`` the greatest), so a stored row is never multiplied.
     ``touch`` sets columns of matched rows to fixed values (e.g. a time)."""
     keys = list(keys)
-    if seq is not None:
-        changes = changes.groupBy(*keys).agg(
-            *[_last_non_null(c, seq).alias(c) for c in columns])
+    changes = changes.groupBy(*keys).agg(
+        *[_last_non_null(c, seq or c).alias(c) for c in columns])
     ch = changes.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in columns],
                         F.lit(True).alias("_hit"))
     j = base.join(ch, keys, "left")
@@ -174,12 +173,14 @@ def coalesce_update(base: DataFrame, changes: DataFrame, keys: Sequence[str],
 
 
 def guarded_update(base: DataFrame, changes: DataFrame, id_col: str, owner_col: str,
-                   columns: Sequence[str]) -> ChangeResult:
+                   columns: Sequence[str], seq: str | None = None) -> ChangeResult:
     """Apply a coalesce-update only where the row with ``id_col``
-    belongs to ``owner_col``; other change rows are returned as rejected."""
-    owned = changes.join(base.select(id_col, owner_col), [id_col, owner_col], "left_semi")
-    rejected = changes.join(base.select(id_col, owner_col), [id_col, owner_col], "left_anti")
-    res = coalesce_update(base, owned.drop(owner_col), [id_col], columns)
+    belongs to ``owner_col``; other change rows are returned as rejected.
+    Rows are matched on the id *and* the owner, so a change never reaches
+    another owner's row; several changes to one row apply in ``seq`` order."""
+    keys = [id_col, owner_col]
+    res = coalesce_update(base, changes, keys, columns, seq)
+    rejected = changes.join(base.select(*keys), keys, "left_anti")
     return ChangeResult(res.new_state, res.affected, rejected)
 
 
@@ -193,12 +194,15 @@ def guarded_delete(base: DataFrame, deletes: DataFrame, id_col: str,
 
 
 def set_columns(base: DataFrame, changes: DataFrame, keys: Sequence[str],
-                columns: Sequence[str]) -> ChangeResult:
+                columns: Sequence[str], seq: str | None = None) -> ChangeResult:
     """``UPDATE t SET c = new.c WHERE keys match`` on every matching
-    row; NULL overwrites.  ``changes`` must be unique on ``keys``."""
+    row; NULL overwrites.  Of several changes to one key the last by ``seq``
+    holds (without one the greatest row)."""
     keys = list(keys)
-    ch = changes.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in columns],
-                        F.lit(True).alias("_hit"))
+    row = F.struct(*columns)
+    last = changes.groupBy(*keys).agg(F.max_by(row, F.col(seq) if seq else row).alias("_row"))
+    ch = last.select(*keys, *[F.col("_row")[c].alias(f"_n_{c}") for c in columns],
+                     F.lit(True).alias("_hit"))
     j = base.join(ch, keys, "left")
     out = [F.when(F.col("_hit").isNotNull(), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
            if c in columns else F.col(c) for c in base.columns]

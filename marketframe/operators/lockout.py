@@ -143,7 +143,7 @@ def attempts_by_email(attempts: DataFrame, sellers: DataFrame) -> DataFrame:
 
 
 def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta = LOCK_TIME,
-                  num_chunks: int | None = None, max_rounds: int | None = None):
+                  num_chunks: int | None = None):
     """Replay ``attempts (account_id, at, password_ok)`` against ``sellers``
     (or ``(correo, at, password_ok)``, see ``attempts_by_email``).
 
@@ -215,8 +215,6 @@ def login_lockout(attempts: DataFrame, sellers: DataFrame, lock: _dt.timedelta =
         if todo.isEmpty():
             break
         rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"lockout replay did not settle in {max_rounds} rounds")
         # bounded by the number of partition boundaries: safe to broadcast
         rows = first.where(~F.col("_carry")).select("account_id", "_chunk", "at", "password_ok")
         ev = rows.join(F.broadcast(todo), ["account_id", "_chunk"])

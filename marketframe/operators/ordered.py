@@ -61,15 +61,19 @@ def _local_prefix(keys: list[str], sums: dict[str, str]):
             g = pdf.groupby(keys, sort=False, dropna=False)
             pdf["_lrank"] = g.cumcount() + 1
             for name, src in sums.items():
-                pdf[f"_l_{name}"] = g[src].cumsum(skipna=True)
+                # as in SQL: a NULL adds nothing, the sum is NULL before any value
+                total = pdf[src].fillna(0).groupby([pdf[k] for k in keys], sort=False, dropna=False).cumsum()
+                seen = pdf[src].notna().groupby([pdf[k] for k in keys], sort=False, dropna=False).cumsum()
+                pdf[f"_l_{name}"] = total.astype("float64" if total.dtype.kind == "f" else "Int64").where(seen > 0)
             first_key = tuple(pdf.iloc[0][k] for k in keys)
-            if carry_key is not None and first_key == carry_key:
+            if carry_key is not None and _same_key(first_key, carry_key):
                 same = pd.Series(True, index=pdf.index)
                 for k, v in zip(keys, carry_key):
-                    same &= pdf[k] == v
+                    same &= pdf[k].isna() if pd.isna(v) else pdf[k] == v
                 pdf.loc[same, "_lrank"] += carry_vals[0]
                 for i, name in enumerate(sums):
-                    pdf.loc[same, f"_l_{name}"] += carry_vals[i + 1]
+                    if not pd.isna(carry_vals[i + 1]):
+                        pdf.loc[same, f"_l_{name}"] = pdf.loc[same, f"_l_{name}"].fillna(0) + carry_vals[i + 1]
             last = pdf.iloc[-1]
             carry_key = tuple(last[k] for k in keys)
             carry_vals = [last["_lrank"]] + [last[f"_l_{n}"] for n in sums]
@@ -77,6 +81,12 @@ def _local_prefix(keys: list[str], sums: dict[str, str]):
     return run
 
 
+def _same_key(a: tuple, b: tuple) -> bool:
+    """Equal keys; NULLs are equal to each other."""
+    return all((pd.isna(x) and pd.isna(y)) or (not pd.isna(x) and not pd.isna(y) and x == y)
+               for x, y in zip(a, b))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    sums: dict[str, str] | None = None, rank_name: str | None = None,
                    num_chunks: int | None = None) -> DataFrame:
@@ -84,8 +94,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     running sums (``{output_name: input_column}``) including the current row.
 
     ``order`` must be a total order within a key (ties make numbering
-    arbitrary, exactly as for ``row_number``).  Key columns must not be
-    NULL-free-sensitive: NULL keys form their own run."""
+    arbitrary, exactly as for ``row_number``).  NULL keys form their own run;
+    a NULL value adds nothing, and a sum is NULL before its first value."""
     sums = dict(sums or {})
     keys = list(keys)
     order_c = _order_cols(order)
@@ -116,11 +126,16 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
                              *[F.sum(f"_t_{name}").over(before).alias(f"_o_{name}")
                                for name in sums]))
     # Bounded by 2 x number of chunks (see module doc): safe to broadcast.
-    out = local.join(F.broadcast(offsets), ["_chunk", *keys], "left")
+    offsets = offsets.select(F.col("_chunk").alias("_ochunk"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                             "_orank", *[f"_o_{name}" for name in sums])
+    same = F.col("_chunk") == F.col("_ochunk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = local.join(F.broadcast(offsets), same, "left")
     extra = []
     if rank_name:
         extra.append((F.col("_lrank") + F.coalesce(F.col("_orank"), F.lit(0))).alias(rank_name))
     for name in sums:
-        extra.append((F.col(f"_l_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
-                     .alias(name))
+        extra.append(F.coalesce(F.col(f"_l_{name}") + F.col(f"_o_{name}"), F.col(f"_l_{name}"),
+                                F.col(f"_o_{name}")).alias(name))
     return out.select(*[f.name for f in fields], *extra)

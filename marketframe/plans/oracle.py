@@ -32,7 +32,7 @@ SELECT s_suppkey AS vendedor_id, s_name AS nombres,
        'Nation' || CAST(s_nationkey AS VARCHAR) AS apellidos,
        'seller' || CAST(s_suppkey AS VARCHAR) || '@mail.test' AS correo,
        'hash' || CAST(s_suppkey AS VARCHAR) AS password_hash,
-       lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS dni,
+       CASE WHEN length(CAST(s_suppkey AS VARCHAR)) > 8 THEN CAST(s_suppkey AS VARCHAR) ELSE lpad(CAST(s_suppkey AS VARCHAR), 8, '0') END AS dni,
        CASE WHEN s_suppkey % 7 <> 3 THEN 'KID' || CAST(s_suppkey AS VARCHAR) END AS konami_id,
        CASE WHEN s_suppkey % 2 = 0 THEN '+51' || CAST(s_suppkey AS VARCHAR) END AS whatsapp,
        CASE WHEN s_suppkey % 3 = 0 THEN '@s' || CAST(s_suppkey AS VARCHAR) END AS instagram,
@@ -94,7 +94,7 @@ WHERE i.cantidad > 0 AND s.activo""", ("inventario", "cards", "vendedores"))
 _cte("users_t", """
 SELECT c_custkey AS id, c_name AS username, 'hash' || CAST(c_custkey AS VARCHAR) AS password_hash,
        'p' || CAST(c_custkey AS VARCHAR) || '@mail.test' AS email,
-       lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS dni,
+       CASE WHEN length(CAST(c_custkey AS VARCHAR)) > 8 THEN CAST(c_custkey AS VARCHAR) ELSE lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS dni,
        CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'vendedor' ELSE 'cliente' END AS user_type,
        c_acctbal > 0 AS is_active,
        TIMESTAMP '2023-01-01 00:00:00' + to_days(CAST(c_custkey % 365 AS INTEGER)) AS created_at,
@@ -109,14 +109,14 @@ FROM orders""")
 
 _cte("user_regs", """
 SELECT o_orderkey AS seq,
-       CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'player' || CAST(o_orderkey % 5003 AS VARCHAR) END AS username,
+       CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'player' || CAST(o_orderkey % (SELECT greatest(1, count(*) * 1 // 3) FROM orders) AS VARCHAR) END AS username,
        substr('secretpassword', 1, CAST(o_orderkey % 12 AS INTEGER)) AS password,
        CASE WHEN o_orderkey % 10 = 0 THEN 'bad-email'
             WHEN o_orderkey % 10 = 1 THEN 'with space@mail.test'
             WHEN o_orderkey % 11 = 0 THEN 'p' || CAST(o_custkey AS VARCHAR) || '@mail.test'
-            ELSE 'r' || CAST(o_orderkey % 20011 AS VARCHAR) || '@mail.test' END AS email,
-       CASE WHEN o_orderkey % 13 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 8, '0')
-            ELSE 'R' || CAST(o_orderkey % 7001 AS VARCHAR) END AS dni,
+            ELSE 'r' || CAST(o_orderkey % (SELECT greatest(1, count(*) * 4 // 3) FROM orders) AS VARCHAR) || '@mail.test' END AS email,
+       CASE WHEN o_orderkey % 13 = 0 THEN CASE WHEN length(CAST(o_custkey AS VARCHAR)) > 8 THEN CAST(o_custkey AS VARCHAR) ELSE lpad(CAST(o_custkey AS VARCHAR), 8, '0') END
+            ELSE 'R' || CAST(o_orderkey % (SELECT greatest(1, count(*) * 7 // 15) FROM orders) AS VARCHAR) END AS dni,
        CASE WHEN o_orderpriority = '1-URGENT' THEN 'vendedor' WHEN o_orderpriority = '2-HIGH' THEN 'cliente'
             WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'admin' WHEN o_orderpriority = '5-LOW' THEN ''
        END AS user_type
@@ -135,10 +135,10 @@ _cte("seller_regs", """
 SELECT c_custkey AS seq,
        CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS nombres,
        c_mktsegment AS apellidos,
-       CASE WHEN c_custkey % 13 <> 0 THEN 'Seller' || CAST(c_custkey % 997 AS VARCHAR) || '@Mail.Test' END AS correo,
+       CASE WHEN c_custkey % 13 <> 0 THEN 'Seller' || CAST(c_custkey % (SELECT greatest(1, count(*) * 2 // 3) FROM customer) AS VARCHAR) || '@Mail.Test' END AS correo,
        substr('contrasena-segura', 1, CAST(c_custkey % 14 AS INTEGER)) AS password,
-       lpad(CAST(c_custkey % 1201 AS VARCHAR), 8, '0') AS dni,
-       CASE WHEN c_nationkey % 4 <> 0 THEN 'KID' || CAST(c_custkey % 503 AS VARCHAR) END AS konami_id,
+       CASE WHEN length(CAST(c_custkey % (SELECT greatest(1, count(*) * 4 // 5) FROM customer) AS VARCHAR)) > 8 THEN CAST(c_custkey % (SELECT greatest(1, count(*) * 4 // 5) FROM customer) AS VARCHAR) ELSE lpad(CAST(c_custkey % (SELECT greatest(1, count(*) * 4 // 5) FROM customer) AS VARCHAR), 8, '0') END AS dni,
+       CASE WHEN c_nationkey % 4 <> 0 THEN 'KID' || CAST(c_custkey % (SELECT greatest(1, count(*) * 1 // 3) FROM customer) AS VARCHAR) END AS konami_id,
        CASE WHEN c_acctbal > 5000 THEN '+51' || CAST(c_custkey AS VARCHAR) ELSE '' END AS whatsapp,
        CASE WHEN c_custkey % 5 = 0 THEN '@c' || CAST(c_custkey AS VARCHAR) END AS instagram,
        CAST(NULL AS VARCHAR) AS facebook,
@@ -164,7 +164,7 @@ FROM supplier""")
 
 _cte("joins_t", """
 SELECT c_custkey AS seq, 'KID' || CAST(c_custkey AS VARCHAR) AS konamiid, c_name AS name,
-       CAST(CASE WHEN c_custkey % 50 = 49 THEN -1 - c_custkey ELSE c_custkey % 37 END AS BIGINT) AS idtournament
+       CAST(CASE WHEN c_custkey % 50 = 49 THEN -1 - c_custkey ELSE c_custkey % (SELECT greatest(1, count(*) * 37 // 100) FROM supplier) END AS BIGINT) AS idtournament
 FROM customer""")
 
 # R8 closed form; no stored players, so the real count before the batch is 0
@@ -186,7 +186,7 @@ FROM admission WHERE outcome = 'ok'""", ("admission",))
 
 _cte("results_t", """
 SELECT 'KID' || CAST(c_custkey AS VARCHAR) AS konamiid,
-       CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 37 + 1 ELSE c_custkey % 37 END AS BIGINT) AS idtournament,
+       CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey % (SELECT greatest(1, count(*) * 37 // 100) FROM supplier) + 1 ELSE c_custkey % (SELECT greatest(1, count(*) * 37 // 100) FROM supplier) END AS BIGINT) AS idtournament,
        CAST(c_custkey % 5 AS INTEGER) AS victory, CAST(c_custkey % 4 AS INTEGER) AS defeat,
        CAST(CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 2 END AS INTEGER) AS draw
 FROM customer""")
@@ -315,13 +315,6 @@ Q: dict[str, str] = {}
 # ---- sources ---------------------------------------------------------------------
 Q["q_scan_tournaments"] = with_ctes("SELECT * FROM tournaments_t", "tournaments_t")
 Q["q_inventory_detail"] = with_ctes("SELECT * FROM detail", "detail")
-Q["q_append_rows"] = with_ctes("""
-SELECT * FROM users_t
-UNION ALL
-SELECT seq + 100000000 AS id, username, CAST(NULL AS VARCHAR) AS password_hash, email, dni,
-       COALESCE(NULLIF(user_type, ''), 'cliente') AS user_type, TRUE AS is_active,
-       TIMESTAMP '2002-01-01 00:00:00' AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
-FROM user_regs_v WHERE error IS NULL""", "users_t", "user_regs_v")
 Q["q_ingest_report"] = with_ctes("""
 SELECT (SELECT count(*) FROM part) AS cards,
        (SELECT count(*) FROM feed_types) AS types,
@@ -418,7 +411,8 @@ WHERE EXISTS (SELECT 1 FROM roles_t r WHERE r.user_id = users_t.id AND r.role =
     "users_t", "roles_t")
 Q["q_anti_missing"] = with_ctes("""
 SELECT id, username FROM users_t
-WHERE NOT EXISTS (SELECT 1 FROM roles_t r WHERE r.user_id = users_t.id)""", "users_t", "roles_t")
+WHERE NOT EXISTS (SELECT 1 FROM roles_t r WHERE r.user_id = users_t.id AND r.role = 'admin')""",
+    "users_t", "roles_t")
 Q["q_validate_users"] = with_ctes("SELECT seq, error FROM user_regs_v", "user_regs_v")
 Q["q_role_filter"] = with_ctes("""
 SELECT u.id, u.username, string_agg(r.role, ',' ORDER BY r.role) AS roles
@@ -596,7 +590,7 @@ SELECT card_id, rank, inventario_id, precio FROM (
 # ---- keyed changes -------------------------------------------------------------------
 Q["q_upsert_partial"] = with_ctes("""
 WITH n AS (
-  SELECT CASE WHEN level % 10 = 0 THEN id + 1000000000 ELSE id END AS id, name || ' v2' AS name,
+  SELECT CASE WHEN level % 10 = 0 THEN -1 - id ELSE id END AS id, name || ' v2' AS name,
          'NEW ' || type AS type, human_readable_card_type, frame_type, upper(description) AS description,
          'Zombie' AS race, CASE WHEN level % 3 <> 0 THEN atk + 1 END AS atk, def, level, attribute,
          archetype, ygoprodeck_url || '/new' AS ygoprodeck_url
@@ -701,7 +695,7 @@ Q["q_parse_price"] = with_ctes(f"""
 SELECT card_id AS id, set_code, set_price AS price_text, {_parse_float('set_price')} AS parsed,
        {_stored_price('set_price')} AS stored
 FROM feed_sets""", "feed_sets")
-_INT = "TRY_CAST(NULLIF(regexp_extract(text, '^\\s*([+-]?\\d+)', 1), '') AS INTEGER)"
+_INT = "TRY_CAST(NULLIF(regexp_extract(text, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT)"
 Q["q_parse_int"] = with_ctes(f"""
 SELECT k, text, {_INT} AS parsed FROM (
   SELECT id AS k, "maxPlayers" AS text FROM tournaments_t
@@ -729,51 +723,83 @@ FROM cards WHERE name ILIKE '%ring%' ESCAPE '\\'""", "cards")
 Q["q_seller_conflicts"] = with_ctes(_CONFLICT.format(
     k0="correo", k1="dni", k2="konami_id", stored="vendedores", id="vendedor_id",
     regs="seller_regs_v"), "vendedores", "seller_regs_v")
-Q["q_default_roles"] = with_ctes("""
-SELECT seq, COALESCE(NULLIF(user_type, ''), 'cliente') AS role FROM user_regs_v WHERE error IS NULL""",
-    "user_regs_v")
 Q["q_tournament_admission"] = with_ctes("SELECT seq, idtournament, outcome FROM admission",
                                         "admission")
 # One-by-one replay of the candidates (valid, no stored conflict) in arrival
-# order; the state is the key lists of the accepted requests (one row, USING KEY)
-Q["q_register_batch"] = with_ctes("""
-WITH RECURSIVE stored_hit AS (
-  SELECT r.seq, (SELECT CASE WHEN u.username = r.username THEN 'username' WHEN u.email = r.email THEN 'email'
-                             WHEN u.dni = r.dni THEN 'dni' END
-                 FROM users_t u WHERE u.username = r.username OR u.email = r.email OR u.dni = r.dni
-                 ORDER BY u.id LIMIT 1) AS cf
-  FROM user_regs_v r WHERE r.error IS NULL),
+# order; the state is the key lists of the accepted requests (one row, USING KEY).
+# {a} {b} {c}: the unique keys in the order in which conflicts are reported
+_REPLAY = """
+WITH RECURSIVE hits0 AS (
+  SELECT r.seq, u.{id} AS id, 0 AS rk FROM {regs} r JOIN {stored} u ON u.{a} = r.{a} WHERE r.error IS NULL
+  UNION ALL SELECT r.seq, u.{id}, 1 FROM {regs} r JOIN {stored} u ON u.{b} = r.{b} WHERE r.error IS NULL
+  UNION ALL SELECT r.seq, u.{id}, 2 FROM {regs} r JOIN {stored} u ON u.{c} = r.{c} WHERE r.error IS NULL),
+stored_first AS (SELECT seq, min([id, rk]) AS m FROM hits0 GROUP BY seq),
+stored_hit AS (
+  SELECT r.seq, CASE m[2] WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' WHEN 2 THEN '{c}' END AS cf
+  FROM {regs} r LEFT JOIN stored_first s ON r.seq = s.seq WHERE r.error IS NULL),
 cand AS MATERIALIZED (
-  SELECT r.seq, r.username, r.email, r.dni, row_number() OVER (ORDER BY r.seq) AS rn
-  FROM user_regs_v r JOIN stored_hit h ON r.seq = h.seq WHERE h.cf IS NULL),
+  SELECT r.seq, r.{a} AS ka, r.{b} AS kb, r.{c} AS kc, row_number() OVER (ORDER BY r.seq) AS rn
+  FROM {regs} r JOIN stored_hit h ON r.seq = h.seq WHERE h.cf IS NULL),
 walk(k, rn, us, es, ds, acc) USING KEY (k) AS (
   SELECT 1, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])
   UNION ALL
   SELECT 1, c.rn,
-         CASE WHEN ok THEN list_append(w.us, c.username) ELSE w.us END,
-         CASE WHEN ok THEN list_append(w.es, c.email) ELSE w.es END,
-         CASE WHEN ok THEN list_append(w.ds, c.dni) ELSE w.ds END,
+         CASE WHEN ok AND c.ka IS NOT NULL THEN list_append(w.us, c.ka) ELSE w.us END,
+         CASE WHEN ok AND c.kb IS NOT NULL THEN list_append(w.es, c.kb) ELSE w.es END,
+         CASE WHEN ok AND c.kc IS NOT NULL THEN list_append(w.ds, c.kc) ELSE w.ds END,
          CASE WHEN ok THEN list_append(w.acc, c.seq) ELSE w.acc END
   FROM walk w JOIN cand c ON c.rn = w.rn + 1,
-       LATERAL (SELECT NOT (list_contains(w.us, c.username) OR list_contains(w.es, c.email)
-                            OR list_contains(w.ds, c.dni)) AS ok)),
+       LATERAL (SELECT NOT (COALESCE(list_contains(w.us, c.ka), FALSE) OR COALESCE(list_contains(w.es, c.kb), FALSE)
+                            OR COALESCE(list_contains(w.ds, c.kc), FALSE)) AS ok)),
 accepted AS (SELECT unnest(acc) AS seq FROM walk),
 acc_rows AS (SELECT c.* FROM cand c JOIN accepted a ON c.seq = a.seq),
 lost AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.seq = c.seq)),
-hits AS (SELECT l.seq, a.seq AS aseq, 0 AS rk FROM lost l JOIN acc_rows a ON a.username = l.username
-         UNION ALL SELECT l.seq, a.seq, 1 FROM lost l JOIN acc_rows a ON a.email = l.email
-         UNION ALL SELECT l.seq, a.seq, 2 FROM lost l JOIN acc_rows a ON a.dni = l.dni),
-lost_cf AS (SELECT seq, CASE arg_min(rk, aseq * 3 + rk) WHEN 0 THEN 'username' WHEN 1 THEN 'email'
-                             ELSE 'dni' END AS cf
-            FROM hits GROUP BY seq)
-SELECT r.seq,
-       CASE WHEN r.error IS NOT NULL THEN 'invalid'
-            WHEN COALESCE(h.cf, lc.cf) IS NOT NULL THEN 'conflict' ELSE 'accepted' END AS status,
-       r.error, COALESCE(h.cf, lc.cf) AS conflict_field,
-       CASE WHEN r.error IS NULL AND COALESCE(h.cf, lc.cf) IS NULL
-            THEN COALESCE(NULLIF(r.user_type, ''), 'cliente') END AS user_type
-FROM user_regs_v r LEFT JOIN stored_hit h ON r.seq = h.seq LEFT JOIN lost_cf lc ON r.seq = lc.seq""",
-    "users_t", "user_regs_v")
+hits AS (SELECT l.seq, a.seq AS aseq, 0 AS rk FROM lost l JOIN acc_rows a ON a.ka = l.ka
+         UNION ALL SELECT l.seq, a.seq, 1 FROM lost l JOIN acc_rows a ON a.kb = l.kb
+         UNION ALL SELECT l.seq, a.seq, 2 FROM lost l JOIN acc_rows a ON a.kc = l.kc),
+lost_cf AS (SELECT seq, CASE arg_min(rk, aseq * 3 + rk) WHEN 0 THEN '{a}' WHEN 1 THEN '{b}'
+                             ELSE '{c}' END AS cf
+            FROM hits GROUP BY seq),
+decided AS (
+  SELECT r.seq, r.error, COALESCE(h.cf, lc.cf) AS conflict_field,
+         CASE WHEN r.error IS NOT NULL THEN 'invalid'
+              WHEN COALESCE(h.cf, lc.cf) IS NOT NULL THEN 'conflict' ELSE 'accepted' END AS status
+  FROM {regs} r LEFT JOIN stored_hit h ON r.seq = h.seq LEFT JOIN lost_cf lc ON r.seq = lc.seq)"""
+_USERS = _REPLAY.format(a="username", b="email", c="dni", id="id", regs="user_regs_v", stored="users_t")
+_SELLERS = _REPLAY.format(a="correo", b="dni", c="konami_id", id="vendedor_id", regs="seller_regs_v",
+                          stored="vendedores")
+Q["q_register_batch"] = with_ctes(_USERS + """
+SELECT d.seq, d.status, d.error, d.conflict_field,
+       CASE WHEN d.status = 'accepted' THEN COALESCE(NULLIF(r.user_type, ''), 'cliente') END AS user_type
+FROM decided d JOIN user_regs_v r ON d.seq = r.seq""", "users_t", "user_regs_v")
+Q["q_register_sellers"] = with_ctes(_SELLERS + """
+SELECT seq, status, error, conflict_field FROM decided""", "vendedores", "seller_regs_v")
+Q["q_default_roles"] = with_ctes(_USERS + """
+SELECT d.seq, COALESCE(NULLIF(r.user_type, ''), 'cliente') AS role
+FROM decided d JOIN user_regs_v r ON d.seq = r.seq WHERE d.status = 'accepted'""", "users_t", "user_regs_v")
+Q["q_append_rows"] = with_ctes(_USERS + """
+SELECT * FROM users_t
+UNION ALL
+SELECT -1 - r.seq AS id, r.username, CAST(NULL AS VARCHAR) AS password_hash, r.email, r.dni,
+       COALESCE(NULLIF(r.user_type, ''), 'cliente') AS user_type, TRUE AS is_active,
+       TIMESTAMP '2002-01-01 00:00:00' AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
+FROM decided d JOIN user_regs_v r ON d.seq = r.seq WHERE d.status = 'accepted'""", "users_t", "user_regs_v")
+# The rows that a guarded update returns; D15: one column replaced, the last request holds
+Q["q_guarded_update_affected"] = with_ctes(f"""
+WITH u AS ({_UPDATES})
+SELECT i.inventario_id, i.vendedor_id, i.card_id, COALESCE(u.u_cantidad, i.cantidad) AS cantidad,
+       COALESCE(u.u_precio, i.precio) AS precio
+FROM inventario i JOIN u ON u.inventario_id = i.inventario_id AND u.vendedor_id = i.vendedor_id""", "inventario")
+Q["q_guarded_update_rejected"] = with_ctes(f"""
+WITH u AS ({_UPDATES})
+SELECT u.inventario_id, u.vendedor_id FROM u
+WHERE NOT EXISTS (SELECT 1 FROM inventario i
+                  WHERE u.inventario_id = i.inventario_id AND u.vendedor_id = i.vendedor_id)""", "inventario")
+Q["q_replace_password"] = with_ctes("""
+SELECT u.id, COALESCE(o.h, u.password_hash) AS password_hash
+FROM users_t u LEFT JOIN (
+  SELECT o_custkey AS id, 'new' || CAST(max(o_orderkey) AS VARCHAR) AS h FROM orders GROUP BY o_custkey) o
+ON u.id = o.id""", "users_t")
 
 # One-by-one replay as a recursive CTE over the attempts numbered per account
 Q["q_login_lockout"] = with_ctes("""

@@ -95,17 +95,22 @@ def q_inventory_detail(spark, d):
     return _detail(spark, d)
 
 
+def _admitted_users(spark, d):
+    """Registration requests that the batch admission accepted."""
+    regs = b.user_registrations(spark, d)
+    accepted = acc.register_users(regs, b.users(spark, d)).where("status = 'accepted'").select("seq")
+    return regs.join(accepted, "seq", "left_semi")
+
+
 @query
 def q_append_rows(spark, d):
-    users = b.users(spark, d)
-    regs = acc.validate_users(b.user_registrations(spark, d)).where(F.col("error").isNull())
-    rows = regs.select((F.col("seq") + 100_000_000).alias("id"), "username",
-                       F.lit(None).cast("string").alias("password_hash"), "email", "dni",
-                       F.coalesce(sem.falsy_to_null("user_type"), F.lit("cliente")).alias("user_type"),
-                       F.lit(True).alias("is_active"),
-                       sem.ntz_lit(b.NOW).alias("created_at"),
-                       F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return ch.append_rows(users, rows).new_state
+    rows = _admitted_users(spark, d).select(
+        (-1 - F.col("seq")).alias("id"), "username",  # below every stored id
+        F.lit(None).cast("string").alias("password_hash"), "email", "dni",
+        F.coalesce(sem.falsy_to_null("user_type"), F.lit("cliente")).alias("user_type"),
+        F.lit(True).alias("is_active"), sem.ntz_lit(b.NOW).alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return ch.append_rows(b.users(spark, d), rows).new_state
 
 
 @query
@@ -223,7 +228,7 @@ def q_semi_exists(spark, d):
 @query
 def q_anti_missing(spark, d):
     u = b.users(spark, d)
-    r = b.user_roles(spark, d)
+    r = b.user_roles(spark, d).where(F.col("role") == "admin")
     return u.join(r, u.id == r.user_id, "left_anti").select("id", "username")
 
 
@@ -418,7 +423,7 @@ def q_best_offers_per_card(spark, d):
 def _card_batch(spark, d):
     c = b.cards(spark, d)
     return c.select(
-        F.when(F.col("level") % 10 == 0, F.col("id") + 1_000_000_000).otherwise(F.col("id"))
+        F.when(F.col("level") % 10 == 0, -1 - F.col("id")).otherwise(F.col("id"))
          .alias("id"),
         F.concat("name", F.lit(" v2")).alias("name"),
         F.concat(F.lit("NEW "), "type").alias("type"),
@@ -615,12 +620,41 @@ def q_register_batch(spark, d):
     return acc.register_users(b.user_registrations(spark, d), b.users(spark, d))
 
 
+@query
+def q_register_sellers(spark, d):
+    return acc.register_sellers(b.seller_registrations(spark, d), b.vendedores(spark, d))
+
+
 @query
 def q_default_roles(spark, d):
-    v = acc.validate_users(b.user_registrations(spark, d)).where(F.col("error").isNull())
+    v = _admitted_users(spark, d)
     return acc.default_roles(v.withColumnRenamed("seq", "id")).withColumnRenamed("user_id", "seq")
 
 
+@query
+def q_guarded_update_affected(spark, d):
+    res = ch.guarded_update(b.inventario(spark, d), _inventory_updates(spark, d), "inventario_id",
+                            "vendedor_id", ["cantidad", "precio", "condicion", "edicion"])
+    return res.affected.select("inventario_id", "vendedor_id", "card_id", "cantidad", "precio")
+
+
+@query
+def q_guarded_update_rejected(spark, d):
+    res = ch.guarded_update(b.inventario(spark, d), _inventory_updates(spark, d), "inventario_id",
+                            "vendedor_id", ["cantidad", "precio", "condicion", "edicion"])
+    return res.rejected.select("inventario_id", "vendedor_id")
+
+
+@query
+def q_replace_password(spark, d):
+    """One request per order; a user's last order holds."""
+    o = b.read_table(spark, d, "orders")
+    new = o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"),
+                   F.concat(F.lit("new"), F.col("o_orderkey").cast("string")).alias("password_hash"))
+    return ch.set_columns(b.users(spark, d), new, ["id"], ["password_hash"], seq="seq").new_state.select(
+        "id", "password_hash")
+
+
 @query
 def q_login_lockout(spark, d):
     outcomes, _ = lk.login_lockout(b.login_attempts(spark, d), b.vendedores(spark, d),

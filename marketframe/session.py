@@ -31,6 +31,16 @@ _DEFAULTS = {
 }
 
 
+def _platform_keys() -> set[str]:
+    """Settings that the installation's ``spark-defaults.conf`` already makes."""
+    home = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    path = os.path.join(home, "spark-defaults.conf")
+    if not os.path.isfile(path):
+        return set()
+    with open(path, encoding="utf-8") as f:
+        return {line.split()[0] for line in f if line.strip() and not line.lstrip().startswith("#")}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "marketframe") -> SparkSession:
     """Return the active session or build a local one with our defaults."""
@@ -41,7 +51,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+        if key not in _platform_keys():
+            builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("MF_DRIVER_MEMORY", "16g"))
@@ -54,8 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed) folder there and we only read it.
-    When it is unset (local runs and tests) a fresh scratch folder is made
-    and registered, so ``DataFrame.checkpoint()`` works everywhere.
+    When it is unset, a local master (tests) gets a fresh scratch folder; on a
+    cluster that is an error, as executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -63,6 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     current = tempfile.mkdtemp(prefix="mf-ckpt-", dir=os.environ.get("MF_SCRATCH", "/tmp"))
     sc.setCheckpointDir(current)
     return current

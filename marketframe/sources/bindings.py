@@ -29,13 +29,25 @@ CUTOFF = _dt.datetime(1998, 1, 1)          # base inventory = lines shipped befo
 NOW = _dt.datetime(2002, 1, 1)             # the "current time" parameter of DML queries
 SELLER_EPOCH = _dt.datetime(2023, 1, 1)    # sellers' created_at origin
 LOCK_EPOCH = _dt.datetime(2024, 1, 1, 6)   # initial lock of some sellers
-INVENTORY_ID_STRIDE = 1_000_000_000        # inventario_id = seller * stride + card
 
 
 def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def _dni(key: Column) -> Column:
+    """The key as text of eight digits or more (never cut)."""
+    text = _s(key)
+    return F.when(F.length(text) > 8, text).otherwise(F.lpad(text, 8, "0"))
+
+
+def share(table: DataFrame, over: int, under: int) -> int:
+    """``over / under`` of a table's rows, at least 1: how many different keys
+    its requests draw from, so collisions stay as frequent at every scale.
+    The count comes from the Parquet footers."""
+    return max(1, table.count() * over // under)
+
+
 def _ts(value: _dt.datetime) -> Column:
     return ntz_lit(value)
 
@@ -137,7 +149,7 @@ def vendedores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Nation"), _s(F.col("s_nationkey"))).alias("apellidos"),
         F.concat(F.lit("seller"), _s(key), F.lit("@mail.test")).alias("correo"),
         F.concat(F.lit("hash"), _s(key)).alias("password_hash"),
-        F.lpad(_s(key), 8, "0").alias("dni"),
+        _dni(key).alias("dni"),
         F.when(key % 7 != 3, F.concat(F.lit("KID"), _s(key))).alias("konami_id"),
         F.when(key % 2 == 0, F.concat(F.lit("+51"), _s(key))).alias("whatsapp"),
         F.when(key % 3 == 0, F.concat(F.lit("@s"), _s(key))).alias("instagram"),
@@ -207,7 +219,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("username"),
         F.concat(F.lit("hash"), _s(key)).alias("password_hash"),
         F.concat(F.lit("p"), _s(key), F.lit("@mail.test")).alias("email"),
-        F.lpad(_s(key), 8, "0").alias("dni"),
+        _dni(key).alias("dni"),
         F.when(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"), "vendedor")
          .otherwise("cliente").alias("user_type"),
         (F.col("c_acctbal") > 0).alias("is_active"),
@@ -234,15 +246,15 @@ def user_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pr = F.col("o_orderpriority")
     return o.select(
         key.alias("seq"),
-        F.when(key % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("player"), _s(key % 5003)))
+        F.when(key % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("player"), _s(key % share(o, 1, 3))))
          .alias("username"),
         F.substring(F.lit("secretpassword"), 1, (key % 12).cast("int")).alias("password"),
         F.when(key % 10 == 0, F.lit("bad-email"))
          .when(key % 10 == 1, F.lit("with space@mail.test"))
          .when(key % 11 == 0, F.concat(F.lit("p"), _s(F.col("o_custkey")), F.lit("@mail.test")))
-         .otherwise(F.concat(F.lit("r"), _s(key % 20011), F.lit("@mail.test"))).alias("email"),
-        F.when(key % 13 == 0, F.lpad(_s(F.col("o_custkey")), 8, "0"))
-         .otherwise(F.concat(F.lit("R"), _s(key % 7001))).alias("dni"),
+         .otherwise(F.concat(F.lit("r"), _s(key % share(o, 4, 3)), F.lit("@mail.test"))).alias("email"),
+        F.when(key % 13 == 0, _dni(F.col("o_custkey")))
+         .otherwise(F.concat(F.lit("R"), _s(key % share(o, 7, 15)))).alias("dni"),
         F.when(pr == "1-URGENT", "vendedor").when(pr == "2-HIGH", "cliente")
          .when(pr == "4-NOT SPECIFIED", "admin").when(pr == "5-LOW", "")
          .alias("user_type"),
@@ -257,11 +269,11 @@ def seller_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("seq"),
         F.when(key % 11 == 0, F.lit("")).otherwise(F.col("c_name")).alias("nombres"),
         F.col("c_mktsegment").alias("apellidos"),
-        F.when(key % 13 != 0, F.concat(F.lit("Seller"), _s(key % 997), F.lit("@Mail.Test")))
+        F.when(key % 13 != 0, F.concat(F.lit("Seller"), _s(key % share(c, 2, 3)), F.lit("@Mail.Test")))
          .alias("correo"),
         F.substring(F.lit("contrasena-segura"), 1, (key % 14).cast("int")).alias("password"),
-        F.lpad(_s(key % 1201), 8, "0").alias("dni"),
-        F.when(F.col("c_nationkey") % 4 != 0, F.concat(F.lit("KID"), _s(key % 503)))
+        _dni(key % share(c, 4, 5)).alias("dni"),
+        F.when(F.col("c_nationkey") % 4 != 0, F.concat(F.lit("KID"), _s(key % share(c, 1, 3))))
          .alias("konami_id"),
         F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("+51"), _s(key))).otherwise(F.lit(""))
          .alias("whatsapp"),
@@ -286,21 +298,22 @@ def tournaments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Join requests and results name one of the first TOURNAMENT_SPAN tournaments,
-# so every scale has crowded tournaments and all outcomes occur.
-TOURNAMENT_SPAN = 37
+def crowded(spark: SparkSession, sf_dir: str) -> int:
+    """Join requests and results name one of the first 37 in 100 tournaments,
+    so every scale has crowded tournaments and all outcomes occur."""
+    return share(read_table(spark, sf_dir, "supplier"), 37, 100)
 
 
 def tournament_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join requests in arrival order ``seq`` (one per customer); every 50th
     names a tournament that does not exist."""
     c = read_table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
+    key, span = F.col("c_custkey"), crowded(spark, sf_dir)
     return c.select(
         key.alias("seq"),
         F.concat(F.lit("KID"), _s(key)).alias("konamiid"),
         F.col("c_name").alias("name"),
-        F.when(key % 50 == 49, -1 - key).otherwise(key % TOURNAMENT_SPAN)
+        F.when(key % 50 == 49, -1 - key).otherwise(key % span)
          .cast("long").alias("idtournament"),
     )
 
@@ -308,10 +321,10 @@ def tournament_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tournament_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result updates for players; some name no stored player."""
     c = read_table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
+    key, span = F.col("c_custkey"), crowded(spark, sf_dir)
     return (c.select(
         F.concat(F.lit("KID"), _s(key)).alias("konamiid"),
-        F.when(key % 7 == 0, key % TOURNAMENT_SPAN + 1).otherwise(key % TOURNAMENT_SPAN)
+        F.when(key % 7 == 0, key % span + 1).otherwise(key % span)
          .cast("long").alias("idtournament"),
         (key % 5).cast("int").alias("victory"),
         (key % 4).cast("int").alias("defeat"),

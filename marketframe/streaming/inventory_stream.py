@@ -20,6 +20,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,8 +40,10 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None) ->
     """Path of the newest committed version (older than ``before``)."""
     try:
         log = spark.read.schema(COMMIT_SCHEMA).parquet(f"{root.rstrip('/')}/{COMMITS}")
-    except Exception:  # noqa: BLE001 - no commit yet
-        return None
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":   # anything else is a real failure
+            raise
+        return None                                 # no commit yet
     if before is not None:
         log = log.where(F.col("batch_id") < before)
     row = log.orderBy(F.col("batch_id").desc()).select("path").first()

@@ -59,10 +59,8 @@ def _replay_base():
     return t
 
 
-@pytest.mark.parametrize("seed,bound", [(1, None), (2, 0), (3, None), (4, 0)])
-def test_upsert_additive_equals_sequential_replay(spark, seed, bound, monkeypatch):
-    if bound is not None:   # force the full-outer-join path
-        monkeypatch.setattr(ch, "MAX_BROADCAST_KEYS", bound)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_upsert_additive_equals_sequential_replay(spark, seed):
     rng = random.Random(seed)
     rows = _random_lines(rng, 40)
     res = ch.upsert_additive(_base(spark, BASE_ROWS), _lines(spark, rows), now=NOW)
@@ -77,10 +75,8 @@ def test_upsert_additive_equals_sequential_replay(spark, seed, bound, monkeypatc
     assert res.rejected.count() == sum(1 for r in rows if not r[2])
 
 
-@pytest.mark.parametrize("seed,bound", [(4, None), (5, 0)])
-def test_bulk_upsert_and_running_rows_equal_replay(spark, seed, bound, monkeypatch):
-    if bound is not None:
-        monkeypatch.setattr(ch, "MAX_BROADCAST_KEYS", bound)
+@pytest.mark.parametrize("seed", [4, 5])
+def test_bulk_upsert_and_running_rows_equal_replay(spark, seed):
     rng = random.Random(seed)
     rows = _random_lines(rng, 50)
     base = _base(spark, BASE_ROWS)
@@ -125,12 +121,10 @@ def test_upsert_partial_keeps_and_overwrites(spark):
                                  "id long, name string, type string, atk int, level int")
     batch = spark.createDataFrame([(1, "A", "X", None, 5), (3, "c", "Y", 30, 3)],
                                   "id long, name string, type string, atk int, level int")
-    for bound in (None, 0):
-        res = ch.upsert_columns(base, batch, ["id"], ["name", "atk", "level"],
-                                max_broadcast_keys=bound)
-        got = {r.id: tuple(r) for r in res.new_state.collect()}
-        assert got == {1: (1, "A", "T", None, 5), 2: (2, "b", "T", 20, 2), 3: (3, "c", "Y", 30, 3)}
-        assert sorted((r.id, r.was_update) for r in res.affected.collect()) == [(1, True), (3, False)]
+    res = ch.upsert_columns(base, batch, ["id"], ["name", "atk", "level"])
+    got = {r.id: tuple(r) for r in res.new_state.collect()}
+    assert got == {1: (1, "A", "T", None, 5), 2: (2, "b", "T", 20, 2), 3: (3, "c", "Y", 30, 3)}
+    assert sorted((r.id, r.was_update) for r in res.affected.collect()) == [(1, True), (3, False)]
 
 
 def test_batch_duplicates_report(spark):
@@ -214,3 +208,28 @@ def test_explode_bulk_requests(spark):
     got = {(r.vendedor_id, r.card_id): (r.cantidad, r.condicion) for r in res.new_state.collect()}
     assert got == {(1, 1): (3, "Near Mint")}     # first line's columns, key-less line skipped
     assert res.rejected.count() == 1
+
+
+def test_guarded_update_stays_within_the_owner_and_applies_in_turn(spark):
+    """Two sellers whose rows share an id; several changes to one row."""
+    base = spark.createDataFrame([(2_000_000_005, 1, 10), (2_000_000_005, 2, 20)],
+                                 "inventario_id long, vendedor_id long, cantidad long")
+    upd = spark.createDataFrame([(1, 2_000_000_005, 2, 8), (2, 2_000_000_005, 2, 9), (3, 2_000_000_005, 3, 7)],
+                                "seq long, inventario_id long, vendedor_id long, cantidad long")
+    res = ch.guarded_update(base, upd, "inventario_id", "vendedor_id", ["cantidad"], seq="seq")
+    assert sorted(map(tuple, res.new_state.collect())) == [(2_000_000_005, 1, 10), (2_000_000_005, 2, 9)]
+    assert [r.vendedor_id for r in res.rejected.collect()] == [3]
+
+
+def test_set_columns_keeps_the_last_of_repeated_keys(spark):
+    base = spark.createDataFrame([("K1", 1, 0), ("K2", 1, 0)], "k string, t long, v int")
+    new = spark.createDataFrame([(1, "K1", 1, 5), (2, "K1", 1, None)], "seq long, k string, t long, v int")
+    res = ch.set_columns(base, new, ["k", "t"], ["v"], seq="seq")
+    assert sorted(map(tuple, res.new_state.collect()), key=str) == [("K1", 1, None), ("K2", 1, 0)]
+
+
+def test_insert_ignore_keeps_the_first_row(spark):
+    base = spark.createDataFrame([(1, "a", 0)], "k long, v string, seq long")
+    batch = spark.createDataFrame([(2, "late", 9), (2, "early", 3), (1, "x", 1)], "k long, v string, seq long")
+    res = ch.insert_ignore(base, batch, ["k"], seq="seq")
+    assert [tuple(r) for r in res.affected.collect()] == [(2, "early", 3)]

@@ -54,3 +54,18 @@ def test_parse_float_matches_reference(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     got = [r[0] for r in df.select(sem.parse_float("x")).collect()]
     assert got == [_js_parse_float(t) for t in texts]
+
+
+def test_null_keys_and_values(spark):
+    """A NULL key is a run of its own; a NULL value adds nothing."""
+    from marketframe.operators.ordered import running_totals
+    rows = [(None if i % 2 else "a", i, None if i % 5 == 0 else i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    got = {(r.k, r.o): (r.rn, r.s) for r in running_totals(df, ["k"], ["o"], {"s": "v"}, "rn", 6).collect()}
+    want, state = {}, {}
+    for k, o, v in rows:
+        rn, s = state.get(k, (0, None))
+        s = s if v is None else (s or 0) + v
+        state[k] = (rn + 1, s)
+        want[k, o] = state[k]
+    assert got == want
