@@ -32,12 +32,17 @@ from marketframe.llm.queries import tokenizer_path, toxicity_lexicon
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lexicon = toxicity_lexicon(spark, docs, sf_dir)
-    return tox.score(docs, lexicon).where("predicted = 0").select(*docs.columns)
+    lexicon = toxicity_lexicon(spark, docs.select("doc_id", "text"), sf_dir)
+    # the row travels whole, so its columns cannot clash with the results
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return tox.score(rows, lexicon, texts=False).where("predicted = 0").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    out = dedup_lines(rows).select("row", "text")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,9 +304,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     chosen = materialise(wrappers(pages.select(host.alias("host"), F.col(html_col).alias("html"))))
     keep = [c for c in pages.columns if c not in ("text", "n_chars") and (keep_html or c != html_col)]
-    fields = [f for f in pages.schema.fields if f.name in keep]
-    rows = pages.withColumn("_host", host).join(
-        chosen.select(F.col("host").alias("_host"), F.col("region").alias("_region")), "_host", "left")
+    rows = pages.select(F.struct(*keep).alias("page"), F.col(html_col).alias("html"), host.alias("host")).join(
+        chosen.select("host", "region"), "host", "left")
 
     def read(html, region):
         out = []
@@ -316,5 +315,6 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
             out.append(text or b.text(best_region(b.regions())))
         return pd.Series(out, dtype=object)
     udf = F.pandas_udf(read, T.StringType(), F.PandasUDFType.SCALAR)
-    return (rows.withColumn("text", udf(F.col(html_col), F.col("_region")))
-            .select(*[f.name for f in fields], "text", F.length("text").cast("long").alias("n_chars")))
+    rows = rows.select("page", udf("html", "region").alias("text"))
+    return rows.select(*[F.col("page")[c].alias(c) for c in keep], "text",
+                       F.length("text").cast("long").alias("n_chars"))

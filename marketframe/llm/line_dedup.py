@@ -116,9 +116,10 @@ def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: st
         similar = materialise(halves.join(selected(common, "half"), "half", "left_semi").select("a", "b").distinct())
         at_first = materialise(similar.join(first, ["a", "b"]).select("a", "b", "first"))
         ids = materialise(at_first.select(F.col("first.doc_id").alias("doc_id")).distinct())
-        texts = documents.join(selected(ids, "doc_id").withColumnRenamed("doc_id", "_id"),
-                               documents[id_col] == F.col("_id"), "left_semi")
-        left = materialise(_places(texts, id_col, text_col).join(
+        docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        texts = docs.join(selected(ids, "doc_id").withColumnRenamed("doc_id", "_id"),
+                          F.col("doc_id") == F.col("_id"), "left_semi")
+        left = materialise(_places(texts, "doc_id", "text").join(
             at_first.select("a", "b", F.col("first").alias("at")), "at"))
 
     # earliest line of each variant; the rest of its group lies within the bound
@@ -148,11 +149,13 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
             .groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
             .agg(F.collect_set("place").alias("_gone")))
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    out = documents.withColumn("_text_row", F.xxhash64(text_col)).join(
-        gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left")
-    split = F.split(F.col(text_col), "\n")
+    # the row travels as one struct, so its columns cannot clash with others
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                            F.xxhash64(text_col).alias("_hash"), F.struct(*names).alias("doc"))
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    split = F.split("text", "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in names],
-                      F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in names],
+                      F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+                      F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
