@@ -35,41 +35,57 @@ from marketframe.llm.common import materialise, runtime_filter, selected
 
 #: Lines with fewer words are duplicates only when equal.
 MIN_WORDS = 8
-_SPACE = r"[ \t\n\x0B\f\r]+"
+_BLANKS = "\t\x0B\f\r"
+
+
+def _lines(text: Column) -> Column:
+    """Lines of a text, other white space made spaces where there is any."""
+    odd = text.contains(_BLANKS[0])
+    for c in _BLANKS[1:]:
+        odd = odd | text.contains(c)
+    return F.split(F.when(odd, F.translate(text, _BLANKS, " " * len(_BLANKS))).otherwise(text), "\n")
 
 
 def _words(line: Column) -> Column:
     """Lower-case words of a line, blanks left out."""
-    return F.filter(F.split(F.lower(line), _SPACE), lambda w: w != "")
+    return F.filter(F.split(F.lower(line), " "), lambda w: w != "")
 
 
 def _halves(w: Column) -> Column:
-    """Keys of the half that one edit leaves unchanged.  ``h`` words from
-    either end, ``h`` the largest power of two up to half the length; also
-    with the ``h`` of a line one word shorter, so that partners agree."""
+    """Keys of the half that one edit leaves unchanged, each with the places
+    where the edit can then be.  ``h`` words from either end, ``h`` the largest
+    power of two up to half the length; also with the ``h`` of a line one word
+    shorter, so that partners agree."""
     def half(n):
         return F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
 
     def pair(h):
-        return F.array(F.xxhash64(F.lit(0), h, F.array_join(F.slice(w, F.lit(1), h), " ")),
-                       F.xxhash64(F.lit(1), h, F.array_join(F.slice(w, -h, h), " ")))
+        first = F.struct(F.xxhash64(F.lit(0), h, F.slice(w, F.lit(1), h)).alias("half"),
+                         h.alias("lo"), n.alias("hi"))
+        last = F.struct(F.xxhash64(F.lit(1), h, F.slice(w, -h, h)).alias("half"),
+                        F.lit(0).alias("lo"), (n - h).alias("hi"))
+        return F.array(first, last)
     n = F.size(w)
     return F.flatten(F.transform(F.array_distinct(F.array(half(n), half(n - 1))), pair))
 
 
-def _variants(w: Column) -> Column:
-    """Hashed keys of the deletion neighbourhood: one for each word left out
-    and one for each gap.  ``before`` and ``after`` are running hashes of the
-    words before a place and of those after it, so the work is linear."""
+def _variants(w: Column, lo: Column, hi: Column) -> Column:
+    """Hashed keys of the deletion neighbourhood for edits at places ``lo`` to
+    ``hi``: one for each word left out and one for each gap.  ``before`` and
+    ``after`` are running hashes of the words before a place and of those after
+    it, so the work is linear."""
     seed = F.array(F.lit(0).cast("long"))
+
     def running(words):
         return F.aggregate(words, seed, lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
     n = F.size(w)
     before, after = running(w), F.reverse(running(F.reverse(w)))
     # zipped, so that each running hash is worked out once
-    gone = F.zip_with(F.slice(before, F.lit(1), n), F.slice(after, F.lit(2), n),
+    gone = F.zip_with(F.slice(before, lo + 1, hi - lo), F.slice(after, lo + 2, hi - lo),
                       lambda b, a: F.xxhash64(b, a, n - 1))
-    return F.concat(gone, F.zip_with(before, after, lambda b, a: F.xxhash64(b, a, n)))
+    gaps = F.zip_with(F.slice(before, lo + 1, hi - lo + 1), F.slice(after, lo + 1, hi - lo + 1),
+                      lambda b, a: F.xxhash64(b, a, n))
+    return F.concat(gone, gaps)
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -88,15 +104,14 @@ def _places(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line with a word: where it is (``at``: doc_id, hash of the whole
     text, place) and its words."""
     return (documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"),
-                             F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "raw"))
+                             F.posexplode(_lines(F.col(text_col))).alias("place", "raw"))
             .select(F.struct("doc_id", "row", "place").alias("at"), _words(F.col("raw")).alias("words"))
             .where(F.size("words") > 0))
 
 
 def _line_id(words: Column) -> list[Column]:
     """128-bit hash of a normalised line."""
-    norm = F.array_join(words, " ")
-    return [F.xxhash64(norm).alias("a"), F.xxhash64(F.lit(7), norm, F.length(norm)).alias("b")]
+    return [F.xxhash64(words).alias("a"), F.xxhash64(F.lit(7), F.size(words), words).alias("b")]
 
 
 def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
@@ -109,24 +124,28 @@ def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: st
     first = materialise(lines.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")))
 
     # lines that have a half in common with a different line
-    halves = lines.where(F.col("n_words") >= min_words).select("a", "b", F.explode("halves").alias("half"))
-    common = materialise(halves.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-                         .where("lo <> hi").select("half"))
+    halves = lines.where(F.col("n_words") >= min_words).select("a", "b", F.inline("halves"))
+    common = materialise(halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+                         .where("least <> most").select("half"))
     with runtime_filter(documents.sparkSession):
-        similar = materialise(halves.join(selected(common, "half"), "half", "left_semi").select("a", "b").distinct())
-        at_first = materialise(similar.join(first, ["a", "b"]).select("a", "b", "first"))
+        similar = materialise(halves.join(common, "half", "left_semi").groupBy("a", "b")
+                              .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        at_first = materialise(similar.join(first.select("a", "b", "first"), ["a", "b"]))
         ids = materialise(at_first.select(F.col("first.doc_id").alias("doc_id")).distinct())
         docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         texts = docs.join(selected(ids, "doc_id").withColumnRenamed("doc_id", "_id"),
                           F.col("doc_id") == F.col("_id"), "left_semi")
         left = materialise(_places(texts, "doc_id", "text").join(
-            at_first.select("a", "b", F.col("first").alias("at")), "at"))
-
-    # earliest line of each variant; the rest of its group lies within the bound
-    keyed = left.select(F.explode(F.array_distinct(_variants(F.col("words")))).alias("key"), "at", "a", "b")
-    place = F.struct("at", "a", "b")
-    lowest = (keyed.groupBy("key").agg(F.min(place).alias("low"), F.count("*").alias("n")).where("n > 1"))
-    found = (keyed.join(lowest, "key").where(F.col("at") != F.col("low.at"))
+            at_first.select("a", "b", F.col("first").alias("at"), "lo", "hi"), "at"))
+
+    # variants that different lines share, then the earliest line of each; the
+    # rest of its group lies within the bound
+    keyed = left.select(F.explode(_variants(F.col("words"), F.col("lo"), F.col("hi"))).alias("key"), "a")
+    shared = materialise(keyed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+                         .where("least <> most").select("key"))
+    hits = materialise(keyed.join(shared, "key", "left_semi").join(left.select("a", "b", "at"), "a"))
+    lowest = hits.groupBy("key").agg(F.min(F.struct("at", "a", "b")).alias("low"))
+    found = (hits.join(lowest, "key").where(F.col("at") != F.col("low.at"))
              .select("a", "b", F.col("low.a").alias("a2"), F.col("low.b").alias("b2")).distinct())
     words = left.select("a", "b", "words")
     near = (found.join(words, ["a", "b"])
