@@ -149,15 +149,15 @@ def _joined(batches):
     that linked documents are connected: every document is a pivot in turn,
     compared with later ones that are not connected to it yet and lie in the
     window of the first pivot's distances."""
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[int, np.ndarray, int]] = []
     cluster = None
 
     def links(docs):
         if len(docs) < 2:
             return []
-        size = np.array([len(s) for _, s in docs])
-        first = np.array([_distance(docs[0][1], s) for _, s in docs])
-        comp, out = np.arange(len(docs)), []
+        size = np.array([len(s) for _, s, _ in docs])
+        first = np.array([_distance(docs[0][1], s) for _, s, _ in docs])
+        comp, out = np.array([c for _, _, c in docs]), []
         for i in range(len(docs)):
             small, large = np.minimum(size[i], size), np.maximum(size[i], size)
             near = (comp != comp[i]) & (DEN * small >= NUM * large) & (np.abs(first - first[i]) <= RADIUS + _EPS)
@@ -173,11 +173,11 @@ def _joined(batches):
 
     for pdf in batches:
         out = []
-        for c, doc, raw in zip(pdf["cluster"], pdf["doc"], pdf["shingles"]):
+        for c, doc, comp, raw in zip(pdf["cluster"], pdf["doc"], pdf["comp"], pdf["shingles"]):
             if c != cluster:
                 out += links(held)
                 cluster, held = c, []
-            held.append((doc, np.frombuffer(raw, np.uint64)))
+            held.append((doc, np.frombuffer(raw, np.uint64), comp))
         yield pd.DataFrame(out, columns=["a", "b"])
     yield pd.DataFrame(links(held), columns=["a", "b"])
 
@@ -254,18 +254,26 @@ def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
         found.append(measured.where("linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
         around = placed.join(measured, ["doc", "pivot"])
         ring = around.where("not linked").groupBy("key").agg(F.min("dist").alias("ring"), F.count("*").alias("size"))
-        # only regions with an unlinked document can hold an open link
-        open_ = materialise(around.join(ring, "key")
-                            .where(F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring")))
-                            .select("key", "doc"))
+        # only regions with an unlinked document can hold an open link, and only
+        # one between documents that are not connected yet matters
+        open_ = around.join(ring, "key").where(
+            F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring"))).select("key", "doc")
+        comp = components(functools.reduce(DataFrame.unionByName, found))
+        open_ = materialise(open_.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
+                            .select("key", "doc", F.coalesce("component", "doc").alias("comp")))
+        apart = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        open_ = materialise(open_.join(apart.select("key"), "key", "left_semi"))
+        if open_.isEmpty():
+            break
         # overlapping open regions of few documents are joined in one task
-        cluster = materialise(_clusters(open_))
+        cluster = _clusters(open_)
         size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-        small = cluster.join(size.where(F.col("size") <= CLUSTER), "cluster").select("doc", "cluster")
+        small = materialise(cluster.join(size.where(F.col("size") <= CLUSTER), "cluster").select("doc", "cluster"))
+        comps = open_.select("doc", "comp").distinct()
         found.append(materialise(
-            small.join(sets, "doc").repartition("cluster").sortWithinPartitions("cluster", "doc")
-            .select("cluster", "doc", "shingles").mapInPandas(_joined, "a long, b long")))
-        regions = materialise(open_.join(small, "doc", "left_anti"))
+            small.join(comps, "doc").join(sets, "doc").repartition("cluster").sortWithinPartitions("cluster", "doc")
+            .select("cluster", "doc", "comp", "shingles").mapInPandas(_joined, "a long, b long")))
+        regions = materialise(open_.join(small, "doc", "left_anti").select("key", "doc"))
         if regions.isEmpty():
             break
     return classes, functools.reduce(DataFrame.unionByName, found)
