@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -43,6 +42,8 @@ LEXICON_SIZE = 20_000
 #: Entries need this many toxic labelled texts, this share of them, and this
 #: log odds.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 3.0
+#: Log odds from which a word leans to toxic texts, or a word pair to clean ones.
+LEANING = 0.5
 #: Lengths of word beginnings that may become entries.
 STEMS = range(4, 8)
 
@@ -85,13 +86,37 @@ def _features(words: set[str]):
                 yield f" {w[:n]}"
 
 
-def _count(batches):
-    total: dict[str, list[int]] = {}
-    for pdf in batches:
-        for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            for f in set(_features(set(fold(text).split()))):
-                total.setdefault(f, [0, 0])[int(toxic)] += 1
-    yield pd.DataFrame([(f, t, c) for f, (c, t) in total.items()], columns=["entry", "t", "c"])
+def _kept(words: list[str], exceptions: frozenset[str]) -> set[str]:
+    """Words that stand outside exception phrases at least once."""
+    if not exceptions:
+        return set(words)
+    pairs = [f"{a} {b}" in exceptions for a, b in zip(words, words[1:])]
+    return {w for w, left, right in zip(words, [False, *pairs], [*pairs, False]) if not (left or right)}
+
+
+def _count(exceptions: frozenset[str]):
+    """Toxic and clean texts of each possible entry."""
+    def run(batches):
+        total: dict[str, list[int]] = {}
+        for pdf in batches:
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                for f in set(_features(_kept(fold(text).split(), exceptions))):
+                    total.setdefault(f, [0, 0])[int(toxic)] += 1
+        yield pd.DataFrame([(f, t, c) for f, (c, t) in total.items()], columns=["entry", "t", "c"])
+    return run
+
+
+def _pair_rows(words: frozenset[str]):
+    """Toxic and clean texts of each word pair that holds one of ``words``."""
+    def run(batches):
+        total: dict[str, list[int]] = {}
+        for pdf in batches:
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                own = fold(text).split()
+                for p in {f"{a} {b}" for a, b in zip(own, own[1:]) if a in words or b in words}:
+                    total.setdefault(p, [0, 0])[int(toxic)] += 1
+        yield pd.DataFrame([(f, t, c) for f, (c, t) in total.items()], columns=["entry", "t", "c"])
+    return run
 
 
 @dataclass
@@ -117,17 +142,14 @@ class Lexicon:
                 best[at] = entry
         return sorted(best.items())
 
-    def measure(self, text: str | None, automaton) -> tuple[float, int, int, list[str]]:
-        """Summed weight, entries found, words, and the word pairs around them."""
+    def measure(self, text: str | None, automaton) -> tuple[float, int, int]:
+        """Summed weight, entries found outside exception phrases, and words."""
         folded = fold(text)
-        weight, n, pairs = 0.0, 0, []
+        weight, n = 0.0, 0
         for at, entry in self.matches(folded, automaton):
-            around = _pairs(folded, at)
-            if self.exceptions and any(p in self.exceptions for p in around):
-                continue
-            weight, n = weight + self.weights[entry], n + 1
-            pairs += around
-        return weight, n, len(folded.split()), pairs
+            if not (self.exceptions and any(p in self.exceptions for p in _pairs(folded, at))):
+                weight, n = weight + self.weights[entry], n + 1
+        return weight, n, len(folded.split())
 
     def score(self, weight: float, words: int) -> float:
         if self.curve is None:
@@ -150,17 +172,26 @@ def _inputs(weight: float, words: int) -> tuple[float, float, float]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge."""
-    b = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (y - p) - 0.1 * b
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(b))
-        step = np.linalg.solve(hess, grad)
-        b = b + step
-        if np.abs(step).max() < 1e-6:
-            break
-    return tuple(float(v) for v in b)
+    """Logistic regression by Newton steps with a small ridge.  More lexicon
+    weight never makes a text less toxic: an input whose coefficient comes out
+    negative is left out."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        z = x[:, use]
+        b = np.zeros(z.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            grad = z.T @ (y - p) - 0.1 * b
+            hess = (z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(b))
+            step = np.linalg.solve(hess, grad)
+            b = b + step
+            if np.abs(step).max() < 1e-6:
+                break
+        full = np.zeros(x.shape[1])
+        full[use] = b
+        if (full[1:] >= 0).all():
+            return tuple(float(v) for v in full)
+        use[1 + int(np.argmin(full[1:]))] = False
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
@@ -178,21 +209,26 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         if not sizes.get(1):
             return Lexicon()
         clean, toxic = sizes.get(0, 0), sizes[1]
-        counts = (train.mapInPandas(_count, "entry string, t long, c long").groupBy("entry")
-                  .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-                  .where(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)))
-        odds = (F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))).alias("odds")
-        rows = (counts.select("entry", "t", odds).where(F.col("odds") >= LEAST_ODDS)
-                .orderBy(F.desc("odds"), F.desc("t"), "entry").limit(lexicon_size).collect())
-        found = Lexicon({r["entry"]: r["odds"] for r in rows})
+        least = max(LEAST_TEXTS, LEAST_SHARE * toxic)
+
+        def odds_of(rows: DataFrame) -> DataFrame:
+            odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+            return (rows.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+                    .withColumn("odds", odds))
+
+        def entries(exceptions: frozenset[str], odds: float) -> dict[str, float]:
+            counts = odds_of(train.mapInPandas(_count(exceptions), "entry string, t long, c long"))
+            rows = (counts.where((F.col("t") >= least) & (F.col("odds") >= odds))
+                    .orderBy(F.desc("odds"), F.desc("t"), "entry").limit(lexicon_size).collect())
+            return {r["entry"]: r["odds"] for r in rows}
+        # words that lean to toxic texts, and the pairs in which clean texts use them
+        leaning = frozenset(e.strip() for e in entries(frozenset(), LEANING) if e.endswith(" "))
+        pairs = odds_of(train.mapInPandas(_pair_rows(leaning), "entry string, t long, c long"))
+        pairs = (pairs.where((F.col("c") >= LEAST_TEXTS) & (F.col("odds") <= -LEANING))
+                 .orderBy("odds", F.desc("c"), "entry").limit(lexicon_size).collect())
+        exceptions = frozenset(r["entry"] for r in pairs)
+        found = Lexicon(entries(exceptions, LEAST_ODDS), exceptions)
         measured = _measure(train, found).collect()  # bounded by sample_rows
-        seen = {0: Counter(), 1: Counter()}
-        for r in measured:
-            seen[int(r["toxic"])].update(set(r["pairs"]))
-        found.exceptions = frozenset(p for p, n in seen[0].items()
-                                     if n >= LEAST_TEXTS and n / clean > seen[1][p] / toxic)
-        if found.exceptions:
-            measured = _measure(train, found).collect()
         x = np.array([_inputs(r["weight"], r["words"]) for r in measured])
         found.curve = _fit(x, np.array([float(r["toxic"]) for r in measured]))
         return found
@@ -206,8 +242,8 @@ def _measure(train: DataFrame, lexicon: Lexicon) -> DataFrame:
         for pdf in batches:
             out = [lexicon.measure(t, automaton) for t in pdf["text"]]
             yield pd.DataFrame({"toxic": pdf["toxic"], "weight": [m[0] for m in out],
-                                "words": [m[2] for m in out], "pairs": [m[3] for m in out]})
-    return train.mapInPandas(run, "toxic int, weight double, words long, pairs array<string>")
+                                "words": [m[2] for m in out]})
+    return train.mapInPandas(run, "toxic int, weight double, words long")
 
 
 def score(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -219,7 +255,7 @@ def score(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", texts:
         def work(batch):
             out = []
             for t in batch:
-                weight, n, words, _ = lexicon.measure(t, automaton)
+                weight, n, words = lexicon.measure(t, automaton)
                 s = lexicon.score(weight, words)
                 out.append((s, int(s >= 0.5), n, weight))
             return out

@@ -43,16 +43,16 @@ def near(text, r, edits):
     return " ".join(w)
 
 
-def corpus(prose):
+def corpus(prose, groups=6, copies=40):
     r, pairs = random.Random(3), []
     passage = prose(60, 999)
-    for g in range(6):  # chains around the threshold
+    for g in range(groups):  # chains around the threshold
         text = prose(r.choice([30, 80, 200]), g)
         for _ in range(12):
             pairs.append(text)
             text = near(text, r, r.choice([0, 1, 2, 4]))
     base = prose(150, 50)
-    pairs += [near(base, r, e % 7) for e in range(40)]
+    pairs += [near(base, r, e % 7) for e in range(copies)]
     pairs += [prose(40, 100 + k) + " " + passage + " " + prose(40, 200 + k) for k in range(30)]
     pairs += [prose(100, 300 + k) for k in range(30)]
     pairs += ["", None, "  \n\t", "one two", "One\nTWO", "one two three", "a b c d e", prose(20000, 77)]
@@ -61,12 +61,12 @@ def corpus(prose):
     return [(7 + 3 * k, t) for k, t in enumerate(pairs)]
 
 
-@pytest.mark.parametrize("cluster, split", [(512, 2000), (1, 5)])
-def test_equals_brute_force(docs_of, prose, monkeypatch, cluster, split):
+@pytest.mark.parametrize("cluster, split, groups, copies", [(512, 2000, 6, 40), (1, 5, 1, 8)])
+def test_equals_brute_force(docs_of, prose, monkeypatch, cluster, split, groups, copies):
     """Also with all regions finished over the cluster, dealt in small parts."""
     monkeypatch.setattr(J, "CLUSTER", cluster)
     monkeypatch.setattr(J, "REGION_SPLIT", split)
-    pairs = corpus(prose)
+    pairs = corpus(prose, groups, copies)
     got = {tuple(r) for r in J.jaccard_components(docs_of(pairs)).collect()}
     assert got == brute(pairs)
 
