@@ -23,10 +23,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_queries() -> dict[str, str]:
-    return dict(_SQL)
-
-
-_SQL: dict[str, str] = {}
+    from marketframe.llm.oracle import SQL
+    return dict(SQL)
 
 
 @query
