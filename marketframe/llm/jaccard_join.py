@@ -58,7 +58,9 @@ SLACK = 0.08
 #: Documents of a region that one task compares with the region's pivot.
 REGION_SPLIT = 2000
 #: Overlapping open regions with at most so many documents are joined in one task.
-CLUSTER = 512
+CLUSTER = 4096
+#: Pivots of a region that are taken at once after the first one.
+LEADERS = 64
 RADIUS = 1 - NUM / DEN
 _EPS = 1e-9
 
@@ -244,20 +246,25 @@ def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
                            .mapInPandas(_sets(k), "doc long, shingles binary"))
 
     # 3, 4. regions around pivots, again for what the windows leave open
-    found = []
+    found: list[DataFrame] = []
     while True:
-        order = F.struct(F.xxhash64("doc").alias("priority"), F.col("doc"))
-        first = regions.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("size"))
-        placed = (regions.join(first.where("size > 1"), "key")
-                  .select("key", "doc", F.col("first.doc").alias("pivot")).where("doc <> pivot"))
+        # the first pivot halves most regions; what stays open takes many at a time
+        leaders = 1 if not found else LEADERS
+        priority = Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc")
+        pivots = (regions.withColumn("place", F.row_number().over(priority)).where(F.col("place") <= leaders)
+                  .select("key", F.col("doc").alias("pivot")))
+        placed = regions.join(pivots, "key").where("doc <> pivot")
         measured = materialise(_measure(placed.select("doc", "pivot").distinct(), sets))
         found.append(measured.where("linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-        around = placed.join(measured, ["doc", "pivot"])
-        ring = around.where("not linked").groupBy("key").agg(F.min("dist").alias("ring"), F.count("*").alias("size"))
-        # only regions with an unlinked document can hold an open link, and only
-        # one between documents that are not connected yet matters
-        open_ = around.join(ring, "key").where(
-            F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring"))).select("key", "doc")
+        if leaders == 1:
+            around = placed.join(measured, ["doc", "pivot"])
+            ring = around.where("not linked").groupBy("key").agg(F.min("dist").alias("ring"))
+            # only regions with an unlinked document can hold an open link
+            open_ = around.join(ring, "key").where(
+                F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring"))).select("key", "doc")
+        else:  # every pivot has met its whole region
+            open_ = regions.join(pivots.withColumnRenamed("pivot", "doc"), ["key", "doc"], "left_anti")
+        # and only one between documents that are not connected yet matters
         comp = components(functools.reduce(DataFrame.unionByName, found))
         open_ = materialise(open_.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
                             .select("key", "doc", F.coalesce("component", "doc").alias("comp")))
