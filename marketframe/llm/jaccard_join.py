@@ -60,7 +60,7 @@ REGION_SPLIT = 2000
 #: Overlapping open regions with at most so many documents are joined in one task.
 CLUSTER = 4096
 #: Pivots of a region that are taken at once after the first one.
-LEADERS = 64
+LEADERS = 8
 RADIUS = 1 - NUM / DEN
 _EPS = 1e-9
 
