@@ -42,6 +42,9 @@ LEXICON_SIZE = 20_000
 #: Entries need this many toxic labelled texts, this share of them, and this
 #: log odds.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 3.0
+#: Least log odds after two standard errors: a word that a few toxic texts hold
+#: by chance is no entry.
+SURE = 0.5
 #: Log odds from which a word leans to toxic texts, or a word pair to clean ones.
 LEANING = 0.5
 #: Lengths of word beginnings that may become entries.
@@ -213,21 +216,22 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
         def odds_of(rows: DataFrame) -> DataFrame:
             odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+            error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
             return (rows.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-                    .withColumn("odds", odds))
+                    .withColumn("odds", odds).withColumn("sure", F.col("odds") - 2 * error))
 
-        def entries(exceptions: frozenset[str], odds: float) -> dict[str, float]:
+        def entries(exceptions: frozenset[str], odds: float, sure: float) -> dict[str, float]:
             counts = odds_of(train.mapInPandas(_count(exceptions), "entry string, t long, c long"))
-            rows = (counts.where((F.col("t") >= least) & (F.col("odds") >= odds))
+            rows = (counts.where((F.col("t") >= least) & (F.col("odds") >= odds) & (F.col("sure") >= sure))
                     .orderBy(F.desc("odds"), F.desc("t"), "entry").limit(lexicon_size).collect())
             return {r["entry"]: r["odds"] for r in rows}
         # words that lean to toxic texts, and the pairs in which clean texts use them
-        leaning = frozenset(e.strip() for e in entries(frozenset(), LEANING) if e.endswith(" "))
+        leaning = frozenset(e.strip() for e in entries(frozenset(), LEANING, 0.0) if e.endswith(" "))
         pairs = odds_of(train.mapInPandas(_pair_rows(leaning), "entry string, t long, c long"))
         pairs = (pairs.where((F.col("c") >= LEAST_TEXTS) & (F.col("odds") <= -LEANING))
                  .orderBy("odds", F.desc("c"), "entry").limit(lexicon_size).collect())
         exceptions = frozenset(r["entry"] for r in pairs)
-        found = Lexicon(entries(exceptions, LEAST_ODDS), exceptions)
+        found = Lexicon(entries(exceptions, LEAST_ODDS, SURE), exceptions)
         measured = _measure(train, found).collect()  # bounded by sample_rows
         x = np.array([_inputs(r["weight"], r["words"]) for r in measured])
         found.curve = _fit(x, np.array([float(r["toxic"]) for r in measured]))

@@ -12,7 +12,7 @@ from marketframe.llm.common import materialise
 def tables(spark, prose, tmp_path_factory):
     """documents, labels and benchmark with known copies, leaks and toxic texts."""
     d = str(tmp_path_factory.mktemp("tables"))
-    item = prose(40, 7)
+    item = prose(40, 7007)
     rows = [(k, prose(60, k)) for k in range(120)]
     rows += [(200 + k, prose(50, 200 + k) + " scumbag morons " + prose(9, k)) for k in range(40)]
     rows += [(300, prose(30, 9) + " " + item + " " + prose(30, 8))]
@@ -22,7 +22,7 @@ def tables(spark, prose, tmp_path_factory):
                           ).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, int(200 <= i < 240)) for i, _ in rows if i < 240], "doc_id long, toxic int"
                           ).write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, item), (2, prose(30, 77))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, item), (2, prose(30, 7077))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
