@@ -37,7 +37,7 @@ from marketframe.llm.common import _BYTE_TABLE, _power_tables, materialise, mix,
 LENGTH, GRAM = 200, 64
 _SIDE = LENGTH - GRAM
 #: Contexts of one anchor that are sorted in one task; bytes of a sorted block.
-GROUP, BLOCK_BYTES = 2000, 1 << 18
+GROUP, BLOCK_BYTES = 5000, 1 << 18
 _INDEX_BITS = 24
 #: Stands for a null doc_id in joins.
 _NO_ID = -(1 << 63)
@@ -89,9 +89,10 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, place - begin[text], h[place]
 
 
-def two_stage_order(text: np.ndarray) -> np.ndarray:
+def two_stage_order(text: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffix order of ``text`` (0 ends a string and sorts first), right for
-    the first ``LENGTH`` bytes at least.
+    the first ``LENGTH`` bytes at least; of the ``wanted`` suffixes (and the
+    few that they are induced from) if a mask is given.
 
     Type B suffixes are smaller than their successors and sorted directly;
     type A suffixes are induced: their successors stand earlier, so a scan of
@@ -103,7 +104,17 @@ def two_stage_order(text: np.ndarray) -> np.ndarray:
     at = np.minimum(at, len(differs) - 1)
     type_a = text[differs[at]] > nxt[differs[at]]
     type_a &= text > 0
-    direct = np.flatnonzero(~type_a & (text > 0))
+    if wanted is None:
+        need = np.ones(n, bool)
+    else:  # a wanted run, and what follows it up to the next type B suffix
+        following = np.minimum.accumulate(np.where(type_a, n - 1, np.arange(n))[::-1])[::-1]
+        last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        edge = np.zeros(n + 1, int)
+        np.add.at(edge, last + 1, 1)
+        np.add.at(edge, np.maximum(following[last], last) + 1, -1)
+        need = wanted | (np.cumsum(edge[:n]) > 0)
+    type_a &= need
+    direct = np.flatnonzero(~type_a & need & (text > 0))
     padded = np.concatenate((text, np.zeros(LENGTH, np.uint8)))
     strings = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[direct]
     keys = np.ascontiguousarray(strings).view(f"S{LENGTH}").ravel()
@@ -114,7 +125,7 @@ def two_stage_order(text: np.ndarray) -> np.ndarray:
     order = []
     for c in range(257):
         if c == 0:
-            bucket = np.flatnonzero(text == 0)
+            bucket = np.flatnonzero((text == 0) & need)
         else:
             induced = pending[c]
             frontier = np.concatenate(induced) if induced else np.zeros(0, np.int64)
@@ -146,7 +157,8 @@ def repeated_starts(contexts: list[bytes], many: np.ndarray, place: np.ndarray,
     # bytes plus one (UTF-8 has no 0xFF), a zero after each context
     joined = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8) + np.uint8(1)
     begin = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
-    order = two_stage_order(joined)
+    room = np.repeat(begin + lens, lens + 1) - np.arange(len(joined))
+    order = two_stage_order(joined, room >= LENGTH)
     of = np.searchsorted(begin, order, "right") - 1
     inner = order - begin[of]
     valid = inner + LENGTH <= lens[of]
@@ -318,11 +330,13 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     small = (todo.where(F.col("ways") <= GROUP).repartition("anchor").sortWithinPartitions("anchor", "digest")
              .select("anchor", "digest", "n", "text_id", "start", "context")
              .mapInArrow(_sort_groups, "text_id long, start long, end long"))
-    large = todo.where(F.col("ways") > GROUP).select("text_id", "start", "context").mapInArrow(
-        _strings, "a long, b long, text_id long, start long")
+    strings = "a long, b long, text_id long, start long"
+    large = todo.where(F.col("ways") > GROUP)
+    open_ = large.where("n = 1").select("text_id", "start", "context").mapInArrow(_strings, strings)
+    large = large.select("text_id", "start", "context").mapInArrow(_strings, strings)
     twice = (large.groupBy("a", "b").agg(F.min(F.struct("text_id", "start")).alias("lo"),
                                          F.max(F.struct("text_id", "start")).alias("hi")).where("lo <> hi"))
-    large = large.join(twice, ["a", "b"], "left_semi").select(
+    large = open_.join(twice, ["a", "b"], "left_semi").select(
         "text_id", "start", (F.col("start") + LENGTH).alias("end"))
     spans = materialise(whole.unionByName(small).unionByName(large).distinct())
     return facts.join(copies.select("text_id", "copies"), "text_id"), spans

@@ -58,3 +58,8 @@ def test_two_stage_order(seed):
     assert sorted(order.tolist()) == list(range(len(text)))
     keys = [raw[i:i + 200].split(b"\0")[0] for i in order]
     assert keys == sorted(keys)
+    wanted = np.zeros(len(text), bool)
+    wanted[200:700] = wanted[1400:1950] = True
+    some = S.two_stage_order(text, wanted)
+    assert [i for i in some.tolist() if wanted[i]] == [i for i in order.tolist() if wanted[i]] or \
+        [raw[i:i + 200].split(b"\0")[0] for i in some if wanted[i]] == [k for i, k in zip(order, keys) if wanted[i]]
