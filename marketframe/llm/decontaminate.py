@@ -1,33 +1,41 @@
 """Benchmark decontamination: BM25 with block maxima over the test items.
 
-The test items are the indexed collection and every passage of every training
-text is a query.  An item's postings hold BM25 impacts divided by the item's
-own score, so a score is the weighted share of the item that a passage
-covers, and one threshold serves all items.
+The test items, cut into *pieces* of at most ``PIECE`` words (question and
+answer apart, as the rules below are), are the indexed collection, and every
+passage of every training text is a query.  A piece is no longer than the
+overlap of passages, so one that a text holds verbatim lies in one passage,
+however long its item is.  A piece's postings hold BM25 impacts divided by the
+piece's own score, so a score is the weighted share of the piece that a
+passage covers, and one threshold serves all pieces.
 
 For each passage (overlapping windows of words) the sum of its terms' largest
 impacts bounds every score; passages below the threshold stop there.  For the
 others block maxima are summed block by block, and only blocks that can reach
-the threshold have their postings scored, so all items above it are found.
-A retrieved (text, item) pair is then verified on word 5-grams: the shares
+the threshold have their postings scored, so all pieces above it are found.
+
+(text, item) pairs are verified on word 5-grams of the whole text: the shares
 found of the item's question (all lines but the last) and of its answer (the
 last line; an item of one line is all question).  A text is contaminated when
 half of the item's 5-grams occur in it, or nearly all of the question's.
+BM25 alone is not complete under that rule (the matching 5-grams may be common
+words, or lie far apart), so the 5-grams of the items are postings as well:
+the shares are counted from them for every pair, and a pair that no passage
+retrieved is reported too, with the score of its best passage.
 
-Document frequencies and lengths are counted in Spark over all items.  The
-index is cut into shards of at most ``SHARD_POSTINGS`` postings, each sent to
+Document frequencies and lengths are counted in Spark over all pieces.  The
+index is cut into shards of about ``SHARD_POSTINGS`` postings, each sent to
 the tasks in turn, so what a task holds is bounded however many items there
 are.
 
 Defined results: null and empty texts match nothing; items with fewer than
 five words (null included) hold no 5-gram and are not searched; repeated items
-are each reported; repeated rows of a doc_id are reported together, with their
-best values; other columns are ignored.
+are each reported, with the best values where their texts differ; repeated
+rows of a doc_id are reported together, with their best values; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,95 +46,161 @@ from pyspark.sql import functions as F
 from marketframe.llm.common import Words, materialise, slices, windows
 
 K1, B = 1.2, 0.75
-#: Least BM25 share of an item that a passage must cover to be retrieved.
+#: Least BM25 share of a piece that a passage must cover to be retrieved.
 THRESHOLD = 0.4
-#: Words of a passage and between starts of passages; an item longer than the
-#: overlap is still covered by the half that the threshold asks for.
+#: Words of a passage and between starts of passages; any ``PASSAGE - STRIDE``
+#: words in a row lie in one passage, so pieces are no longer than that.
 PASSAGE, STRIDE = 128, 64
+PIECE = PASSAGE - STRIDE
 GRAM = 5
 #: Least shares of 5-grams: of the item, or of its question alone.
 OVERLAP, QUESTION = 0.5, 0.9
 BLOCK = 16
 SHARD_POSTINGS = 1_000_000
+#: (gram, item) rows laid out at once; a single text's rows are one lot.
+GRAM_ROWS = 1 << 20
 
 
 def _lower(text: str | None) -> str | None:
     return text.lower() if isinstance(text, str) else None
 
 
-def _grams(text: str) -> np.ndarray:
-    w = Words([_lower(text).encode("utf-8", "surrogatepass")], lower=False)
-    return np.unique(windows(w.hashes(), w.doc, GRAM)[0])
+def _hashes(text: str) -> np.ndarray:
+    return Words([_lower(text).encode("utf-8", "surrogatepass")], lower=False).hashes()
+
+
+def _grams(h: np.ndarray) -> np.ndarray:
+    return np.unique(windows(h, np.zeros(len(h), np.int64), GRAM)[0])
+
+
+def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of an item's question and of its answer."""
+    text = text.strip("\n")
+    question, _, answer = text.rpartition("\n")
+    return (_hashes(question), _hashes(answer)) if question else (_hashes(text), np.zeros(0, np.uint64))
+
+
+def _pieces(text: str) -> list[np.ndarray]:
+    """Word hashes of the pieces of an item that is searched.  A part too
+    short for a 5-gram is no piece, unless only the whole item holds one."""
+    parts = _parts(text)
+    if sum(map(len, parts)) < GRAM:
+        return []
+    parts = [p for p in parts if len(p) >= GRAM] or [np.concatenate(parts)]
+    return [q for p in parts for q in np.array_split(p, -(-len(p) // PIECE))]
 
 
 def _item_terms(batches):
     for pdf in batches:
-        for first, raws in slices(map(_lower, pdf["text"])):
-            w = Words(raws, lower=False)
-            h = w.hashes().view(np.int64)
-            n = np.bincount(w.doc, minlength=len(raws))
-            out = pd.DataFrame({"i": w.doc, "term": h}).value_counts(["i", "term"]).rename("tf").reset_index()
-            out["item_id"] = pdf["item_id"].iloc[first:first + len(raws)].to_numpy()[out["i"]]
-            out["words"] = n[out["i"]]
-            yield out.loc[out["words"] >= GRAM, ["item_id", "term", "tf", "words"]]
+        out = []
+        for entry, text in zip(pdf["entry"], pdf["text"]):
+            for k, h in enumerate(_pieces(text)):
+                terms, tf = np.unique(h.view(np.int64), return_counts=True)
+                out.append(pd.DataFrame({"entry": entry, "piece": k, "term": terms, "tf": tf, "words": len(h)}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
 
 @dataclass
 class Shard:
-    """Postings of some items, grouped by term (sorted), items in blocks."""
+    """Postings of some items' pieces, grouped by term (sorted), pieces in
+    blocks; and postings of the items' 5-grams."""
     terms: np.ndarray      # sorted term hashes
     at: np.ndarray         # postings of term t: at[t]:at[t + 1]
-    item: np.ndarray       # item number within the shard, ascending in a term
+    piece: np.ndarray      # piece number within the shard, ascending in a term
     impact: np.ndarray
     top: np.ndarray        # largest impact of a term
     block_at: np.ndarray   # block maxima of term t: block_at[t]:block_at[t + 1]
     block: np.ndarray
     block_top: np.ndarray
-    ids: np.ndarray
-    grams: list            # for each item: all, question's, answer's 5-grams
+    item_of: np.ndarray    # item number of a piece
+    ids: np.ndarray        # item_id of an item number
+    grams: np.ndarray      # sorted 5-gram hashes
+    gram_at: np.ndarray    # items of gram g: gram_at[g]:gram_at[g + 1]
+    gram_item: np.ndarray
+    gram_part: np.ndarray  # whether the gram is in the item, its question, its answer (rows)
+    sizes: np.ndarray      # 5-grams of each item, its question, its answer (rows)
 
     @classmethod
-    def build(cls, rows: list, texts: dict[int, list[str]], n_items: int, mean: float) -> Shard:
-        ids = np.array(sorted(texts), np.int64)
-        item = np.searchsorted(ids, np.array([r["item_id"] for r in rows], np.int64))
+    def build(cls, rows: list, items: dict[int, tuple[int, str]], n_pieces: int, mean: float) -> Shard:
+        entries = np.array(sorted(items), np.int64)
+        entry, number = (np.array([r[c] for r in rows], np.int64) for c in ("entry", "piece"))
+        pieces, piece = np.unique(np.stack([np.searchsorted(entries, entry), number]), axis=1, return_inverse=True)
+        piece = piece.reshape(-1)
         term = np.array([r["term"] for r in rows], np.int64)
         tf, words, df = (np.array([r[c] for r in rows], float) for c in ("tf", "words", "df"))
-        weight = np.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (
+        weight = np.log(1 + (n_pieces - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (
             tf + K1 * (1 - B + B * words / mean))
-        weight /= np.bincount(item, weight, len(ids))[item]
-        order = np.lexsort((item, term))
-        term, item, weight = term[order], item[order], weight[order]
+        weight /= np.bincount(piece, weight)[piece]
+        order = np.lexsort((piece, term))
+        term, piece, weight = term[order], piece[order], weight[order]
         terms, at = np.unique(term, return_index=True)
-        block = item // BLOCK
+        block = piece // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         starts = np.flatnonzero(new)
-        grams = []
-        for i in ids.tolist():
-            text = texts[i][0].strip("\n")
-            question, _, answer = text.rpartition("\n")
-            parts = (text, question, answer) if question else (text, text, "")
-            grams.append([_grams(p) for p in parts])
-        return cls(terms, np.append(at, len(term)), item, weight, np.maximum.reduceat(weight, at),
+        held, parts, sizes = [], [], []
+        for i in entries.tolist():
+            question, answer = (_grams(h) for h in _parts(items[i][1]))
+            whole = _grams(np.concatenate(_parts(items[i][1])))
+            held.append(whole)
+            parts.append(np.stack([np.ones(len(whole), bool), np.isin(whole, question), np.isin(whole, answer)]))
+            sizes.append([len(whole), len(question), len(answer)])
+        gram = np.concatenate(held)
+        gram_item = np.repeat(np.arange(len(held)), list(map(len, held)))
+        by = np.lexsort((gram_item, gram))
+        grams, gram_at = np.unique(gram[by], return_index=True)
+        return cls(terms, np.append(at, len(term)), piece, weight, np.maximum.reduceat(weight, at),
                    np.append(np.searchsorted(starts, at), len(starts)), block[starts],
-                   np.maximum.reduceat(weight, starts), ids, grams)
+                   np.maximum.reduceat(weight, starts), pieces[0], np.array([items[i][0] for i in entries.tolist()], np.int64),
+                   grams, np.append(gram_at, len(gram)), gram_item[by],
+                   np.concatenate(parts, axis=1)[:, by].astype(np.int64), np.array(sizes, np.int64).T)
 
     def _spans(self, bounds: np.ndarray, terms: np.ndarray) -> np.ndarray:
         """Indices of the entries of ``terms``, joined."""
         n = bounds[terms + 1] - bounds[terms]
         return np.repeat(bounds[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
 
-    def retrieve(self, terms: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
-        """(item, score) of all items at or above ``threshold`` for a passage."""
+    def retrieve(self, terms: np.ndarray, threshold: float) -> dict[int, float]:
+        """Best score of the items with a piece at or above ``threshold`` for a passage."""
         at = self._spans(self.block_at, terms)
         bound = np.bincount(self.block[at], self.block_top[at])
         if bound.max(initial=0) < threshold:
-            return
+            return {}
         at = self._spans(self.at, terms)
-        at = at[bound[self.item[at] // BLOCK] >= threshold]
-        score = np.bincount(self.item[at], self.impact[at])
-        for i in np.flatnonzero(score >= threshold).tolist():
-            yield i, float(score[i])
+        at = at[bound[self.piece[at] // BLOCK] >= threshold]
+        score = np.bincount(self.piece[at], self.impact[at])
+        best: dict[int, float] = {}
+        for k in np.flatnonzero(score >= threshold).tolist():
+            i = int(self.item_of[k])
+            best[i] = max(best.get(i, 0.0), float(score[k]))
+        return best
+
+    def matches(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """Shares of 5-grams (of the item, its question, its answer) of all
+        (text, item) pairs within the bounds, for the words of some texts."""
+        gram, first = windows(h, doc, GRAM)
+        g = np.searchsorted(self.grams, gram)
+        g[g == len(self.grams)] = 0
+        known = self.grams[g] == gram
+        d, g = np.divmod(np.unique(doc[first[known]] * len(self.grams) + g[known]), len(self.grams))
+        rows = np.concatenate(([0], np.cumsum(self.gram_at[g + 1] - self.gram_at[g])))
+        ends = np.append(np.flatnonzero(d[1:] != d[:-1]) + 1, len(d)) if len(d) else d
+        found, start = {}, 0
+        while start < len(d):  # whole texts, about GRAM_ROWS rows at once
+            fit = ends[(ends > start) & (rows[ends] <= rows[start] + GRAM_ROWS)]
+            end = int(fit[-1] if len(fit) else ends[ends > start][0])
+            mine = g[start:end]
+            at = self._spans(self.gram_at, mine)
+            pair = np.repeat(d[start:end], self.gram_at[mine + 1] - self.gram_at[mine]) * len(self.ids) + self.gram_item[at]
+            pairs, inverse = np.unique(pair, return_inverse=True)
+            docs, items = np.divmod(pairs, len(self.ids))
+            shares = np.stack([np.bincount(inverse, self.gram_part[r][at], len(pairs)) for r in range(3)])
+            shares /= np.maximum(1, self.sizes[:, items])
+            for k in np.flatnonzero((shares[0] >= OVERLAP) | (shares[1] >= QUESTION)).tolist():
+                found[int(docs[k]), int(items[k])] = tuple(shares[:, k].tolist())
+            start = end
+        return found
 
 
 def _search(shard: Shard, threshold: float):
@@ -150,17 +224,22 @@ def _search(shard: Shard, threshold: float):
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 lo = at[doc] + k * STRIDE
                 hi = np.minimum(lo + PASSAGE, at[doc + 1])
-                best: dict[tuple[int, int], float] = {}
-                for p in np.flatnonzero(total[hi] - total[lo] >= threshold).tolist():
-                    mine = slice(lo[p], hi[p])
-                    for i, s in shard.retrieve(np.unique(t[mine][known[mine]]), threshold):
-                        key = (int(doc[p]), i)
-                        best[key] = max(s, best.get(key, 0.0))
-                grams: dict[int, np.ndarray] = {}
-                for (d, i), s in best.items():
-                    if d not in grams:
-                        grams[d] = windows(h[at[d]:at[d + 1]], w.doc[at[d]:at[d + 1]], GRAM)[0]
-                    shares = [float(np.isin(g, grams[d]).mean()) if len(g) else 0.0 for g in shard.grams[i]]
+
+                def scores(passages, least):
+                    best: dict[tuple[int, int], float] = {}
+                    for p in passages.tolist():
+                        mine = slice(lo[p], hi[p])
+                        for i, s in shard.retrieve(np.unique(t[mine][known[mine]]), least).items():
+                            key = (int(doc[p]), i)
+                            best[key] = max(s, best.get(key, 0.0))
+                    return best
+                best = scores(np.flatnonzero(total[hi] - total[lo] >= threshold), threshold)
+                found = shard.matches(h, w.doc)
+                # pairs that no passage retrieved: the score of their best one
+                missed = {d for d, i in found if (d, i) not in best}
+                rest = scores(np.flatnonzero(np.isin(doc, list(missed))), 0.0) if missed else {}
+                for (d, i), shares in found.items():
+                    s = best[d, i] if (d, i) in best else rest.get((d, i), 0.0)
                     out.append((pdf["doc_id"].iat[first + d], int(shard.ids[i]), s, *shares))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "overlap", "question", "answer"])
     return run
@@ -171,25 +250,21 @@ def contaminated(documents: DataFrame, items: DataFrame, threshold: float = THRE
     """(doc_id, item_id, score, overlap, question, answer) of every text that
     holds a test item; ``documents`` has doc_id and text, ``items`` item_id
     and text."""
-    items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    postings = items.groupBy("item_id", "text").count().select("item_id", "text").mapInPandas(
-        _item_terms, "item_id long, term long, tf long, words long")
-    postings = materialise(postings.groupBy("item_id", "term").agg(F.max("tf").alias("tf"), F.max("words").alias("words")))
+    items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    items = items.withColumn("entry", F.xxhash64("item_id", "text"))
+    postings = materialise(items.mapInPandas(_item_terms, "entry long, piece long, term long, tf long, words long"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    size = postings.agg(F.countDistinct("item_id").alias("items"), F.count("*").alias("rows")).first()
-    mean = postings.select("item_id", "words").distinct().agg(F.avg("words")).first()[0]
-    shards = max(1, -(-size["rows"] // shard_postings))
+    pieces = postings.select("entry", "piece", "words").distinct().agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
+    shards = max(1, -(-postings.count() // shard_postings))
     found = None
     for k in range(shards):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k
+        mine = F.pmod(F.xxhash64("entry"), F.lit(shards)) == k
         rows = postings.where(mine).join(df, "term").collect()  # about shard_postings rows
-        texts: dict[int, list[str]] = {}
-        for r in items.where(mine).collect():
-            texts.setdefault(r["item_id"], []).append(r["text"])
-        texts = {i: texts[i] for i in {r["item_id"] for r in rows}}
+        searched = {r["entry"] for r in rows}
+        texts = {r["entry"]: (r["item_id"], r["text"]) for r in items.where(mine).collect() if r["entry"] in searched}
         if not texts:
             continue
-        shard = Shard.build(rows, texts, size["items"], mean)
+        shard = Shard.build(rows, texts, pieces["n"], pieces["mean"])
         part = documents.select("doc_id", "text").mapInPandas(
             _search(shard, threshold),
             "doc_id long, item_id long, score double, overlap double, question double, answer double")
@@ -197,5 +272,4 @@ def contaminated(documents: DataFrame, items: DataFrame, threshold: float = THRE
     if found is None:
         return documents.sparkSession.createDataFrame(
             [], "doc_id long, item_id long, score double, overlap double, question double, answer double")
-    found = found.where((F.col("overlap") >= OVERLAP) | (F.col("question") >= QUESTION))
     return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question", "answer")])

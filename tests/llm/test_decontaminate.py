@@ -39,6 +39,30 @@ def test_equals_brute_force(spark, docs_of, prose, shard):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute(leaks, items)
 
 
+@pytest.mark.parametrize("shard", [10 ** 6, 300])
+def test_long_items_and_far_parts(spark, docs_of, prose, shard):
+    """Items longer than a passage, questions with long answers, parts far apart."""
+    items = [(1, prose(400, 11)), (2, prose(2000, 12)), (3, prose(30, 13) + "\n" + prose(300, 14)),
+             (4, prose(70, 15) + "\n" + prose(2000, 16)), (5, prose(60, 17)), (6, prose(300, 18)),
+             (7, "ab cd ef\ngh ij"), (8, prose(40, 19)), (8, prose(40, 20))]
+    word = {k: t.split() for k, (_, t) in enumerate(items)}
+    leaks = []
+    for k, (i, text) in enumerate(items):
+        n, w = len(word[k]), word[k]
+        far = "".join(f" {prose(190, 5000 + j)} " + " ".join(w[j:j + 12]) for j in range(0, n, 24))
+        leaks += [(10 * k, prose(37, 70 + k) + " " + text + " " + prose(90, k)),
+                  (10 * k + 1, prose(33, 80 + k) + " " + " ".join(w[:n // 2 + 4])),
+                  (10 * k + 2, " ".join(w[n // 2 - 4:]) + " " + prose(50, 90 + k)),
+                  (10 * k + 3, prose(45, 60 + k) + " " + text.split("\n")[0] + " " + prose(200, 50 + k)),
+                  (10 * k + 4, " ".join(w[:n // 3])), (10 * k + 5, far),
+                  (10 * k + 6, "".join(f" {prose(190, 6000 + j)} " + " ".join(w[j:j + 16]) for j in range(0, n, 16)))]
+    found = D.contaminated(docs_of(leaks), spark.createDataFrame(items, "item_id long, text string"), shard_postings=shard)
+    got = found.collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute(leaks, items)
+    assert {(0, 1), (11, 2), (23, 3), (33, 4), (46, 5), (70, 8), (80, 8)} <= {(r["doc_id"], r["item_id"]) for r in got}
+    assert all(r["score"] > 0 for r in got)
+
+
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs_of([(1, "a b c d e f")]), none).count() == 0
