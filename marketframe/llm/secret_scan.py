@@ -39,7 +39,6 @@ HEX = rf"[0-9a-f]{{{HEX_LEAST},}}"
 ASSIGN_LIKELY = ASSIGN[:-2] + f"{{{ASSIGN_LEAST},}})"
 #: Candidates besides the base findings.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-TOKEN_LIKELY = r"[A-Za-z+/_-]{0,19}[0-9][A-Za-z0-9+/_-]{8,}"
 KINDS = ("assign", "access", "hex", "owned")
 #: A value is an example from so many owners on.
 EXAMPLE_OWNERS = 3
@@ -90,7 +89,7 @@ def scan(documents: DataFrame, owner: Column, repository: Column, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_found(text, ASSIGN_LIKELY, ASSIGN, 0, 2, ASSIGN_LEAST), _found(text, "AKIA", ACCESS, 1, 0, ACCESS_LEAST),
                     _found(text, HEX, HEX, 2, 0, HEX_LEAST))
-    tokens = F.filter(_found(text, TOKEN_LIKELY, TOKEN, 3, 0, 20), lambda s: _random_looking(s["value"]))
+    tokens = F.filter(_found(text, TOKEN, TOKEN, 3, 0, 20), lambda s: _random_looking(s["value"]))
     # one materialised pass over the texts; what follows moves spans only
     rows = materialise(documents.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),

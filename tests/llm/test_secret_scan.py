@@ -38,6 +38,16 @@ def test_equals_python(docs_of):
     assert spans[10] == "assign:0:26,owned:32:52"    # added spans never overlap base ones
 
 
+def test_tokens_with_late_digits(docs_of):
+    """Digits among a token's last characters, alone in its text."""
+    late = ["QwErTyUiOpAsDfGhJkLz7", "abCDefGHijKLmnOPqrST4567", "AbCdEfGhIjKlMnOpQrS8"]
+    pairs = [(k, f"x {t} y") for k, t in enumerate(late)]
+    pairs += [(10 + k, f"copy {'Abcdefghijklmnopqrs9'}") for k in range(3)]
+    spans = {r["doc_id"]: r["spans"] for r in S.digest(S.scan(docs_of(pairs), F.col("source"), F.col("source"))).collect()}
+    assert [spans[k] for k in range(3)] == [f"owned:2:{2 + len(t)}" for t in late]
+    assert all(spans[10 + k] == "" for k in range(3))  # three owners
+
+
 def test_empty_table_and_plan(docs_of):
     out = S.digest(S.scan(docs_of([]), F.col("source"), F.col("source")))
     assert out.count() == 0
