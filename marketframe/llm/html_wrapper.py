@@ -14,13 +14,17 @@ inferred from the token streams of pages of the same host.
    neither gathered nor aligned in one task.
 3. Text slots hang below *regions* (the elements around them that hold
    several blocks).  Regions whose tags or class names say menu, header,
-   footer, sidebar, notice, advert, form or comments are left out; an article
+   footer, sidebar, notice, advert, form or comments are left out, unless such
+   a name or form is around the article or most of the page; an article
    or main element wins, else the region whose slots repeat in the wrapper and
    that holds most text outside links over the whole host.
 4. Each page is read by its host's wrapper: all blocks below the chosen region,
    in page order.  A page without that region (an outline the wrapper reaches
    only through options) is read by its own best one.
 
+Elements left open before the main text (buttons, icons, objects) lose their
+tag only; scripts, styles, titles, text areas and frames run to the end.
+
 Character references are decoded and white space inside a block becomes one
 space; blocks are joined by an empty line.  Line breaks inside a block are
 white space.
@@ -32,10 +36,12 @@ repeated rows are read alike; other columns pass through untouched.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import html as html_lib
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,59 +55,146 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
           "sub", "sup", "time", "tt", "u", "var"}
-RAW = ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "title",
-       "canvas", "audio", "video", "button")
+#: Elements of plain text, which run to the end of the page if left open.
+RAW = ("script", "style", "textarea", "title", "iframe")
+#: Elements left out with what they hold; left open, only their tag goes.
+INERT = ("noscript", "template", "select", "svg", "math", "object", "canvas", "audio", "video", "button")
+NESTING = {"template", "svg", "math", "object"}
 LEFT_OUT_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 LEFT_OUT_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|"
+    r"(?:^|[-_\s])(?<!\bhas[-_])(?<!\bwith[-_])(?<!\bno[-_])(?<!\bwithout[-_])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|"
     r"gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side|widget|nav|navbar|"
     r"navigation|menu|breadcrumbs?|pagination|pager|header|masthead|footer|foot|comments?|replies|reply|respond|"
     r"disqus|share|sharing|social|related|recommended|tags|search|toolbar|skip)(?:$|[-_\s])", re.I)
+#: What readers wrote is left out even if it is most of a page.
+READERS = re.compile(r"(?:^|[-_\s])(?:comments?|replies|reply|respond|disqus)(?:$|[-_\s])", re.I)
 PARTS_OF_HEAD = {"html", "body"}
 #: An open element of the first kind ends where one of the second opens.
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
              "th": {"td", "th", "tr"}, "option": {"option"}}
 LISTS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(" + "|".join(RAW) +
-                  r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+                  r")(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_INERT = re.compile(r"<(/?)(" + "|".join(INERT) + r")(?=[\s/>])(" + _ATTRIBUTES + r")>", re.I)
+_MAIN = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Parts that a host's outlines are dealt to before their wrappers meet.
 SALT = 16
 
 
+def _without_inert(page: str) -> str:
+    """``page`` without inert elements.  One that is left open, or that would
+    take an article or main element along, loses its tags only."""
+    mains = [m.start() for m in _MAIN.finditer(page)]
+    stack: list[tuple[str, int]] = []
+    held: Counter = Counter()
+    cuts = []
+    for m in _INERT.finditer(page):
+        tag = m[2].lower()
+        cuts.append((m.start(), m.end()))
+        if not m[1]:
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                continue
+            stack.append((tag, m.start()))
+            held[tag] = held[tag] + 1 if tag in NESTING else 1  # the earlier one stays open
+        elif held[tag]:
+            while True:
+                name, start = stack.pop()
+                held[name] = held[name] - 1 if name in NESTING else 0
+                if name == tag:
+                    break
+            if tag in ("noscript", "template") or bisect.bisect(mains, start) == bisect.bisect(mains, m.end()):
+                cuts.append((start, m.end()))
+    out, at = [], 0
+    for start, end in sorted(cuts):
+        if start >= at:
+            out += [page[at:start], " "]
+        at = max(at, end)
+    return "".join(out) + page[at:] if cuts else page
+
+
+@dataclass
+class LeftOut:
+    """An element to leave out: whether for its tag alone or as readers' words
+    (``always``), whether other containers lie in it, its text outside links."""
+    always: bool
+    holds: bool = False
+    chars: int = 0
+
+
 class Blocks:
     """A page's text blocks and outline."""
 
     def __init__(self, page: str | None):
         self.blocks: list[tuple[tuple[str, ...], bool, str, int]] = []  # path, left out, text, link characters
         self.outline: list[str] = []
-        self._stack: list[tuple[str, str, bool]] = []  # tag, token, left out
+        self._stack: list[tuple[str, str, LeftOut | None]] = []  # tag, token, left out
+        self._found: list[tuple[tuple[str, ...], list[LeftOut], str, int]] = []
+        self._mains: list[tuple[list[LeftOut], list[int]]] = []  # left out around it, its text outside links
+        self._open_mains: list[tuple[int, list[int]]] = []  # depth, text
         self._text: list[str] = []
         self._links, self._in_link = 0, 0
         if isinstance(page, str) and page:
-            self._read(_RAW.sub(" ", page))
+            self._read(_without_inert(_RAW.sub(" ", page)))
+            self._leave_out()
 
     def _flush(self) -> None:
         text = " ".join(html_lib.unescape("".join(self._text)).split())
         if text:
             path = tuple(t for _, t, _ in self._stack)
-            out = any(o for _, _, o in self._stack)
-            self.blocks.append((path, out, text, min(self._links, len(text))))
+            out = self._around()
+            links = min(self._links, len(text))
+            for o in out:
+                o.chars += len(text) - links
+            for _, chars in self._open_mains:
+                chars[0] += len(text) - links
+            self._found.append((path, out, text, links))
             self.outline.append("#")
         self._text, self._links = [], 0
 
+    def _around(self) -> list[LeftOut]:
+        return [o for _, _, o in self._stack if o is not None]
+
+    def _leave_out(self) -> None:
+        """Blocks, with those left out marked.  Where no article or main
+        element can be read otherwise, a name or form around the longest one
+        does not count; without any, nor does one around other containers that
+        holds most of the page's text."""
+        ignored: list[LeftOut] = []
+        if not any(chars[0] and not out for out, chars in self._mains):
+            inside = [(chars[0], out) for out, chars in self._mains if chars[0] and not any(o.always for o in out)]
+            if inside:
+                ignored = max(inside, key=lambda x: x[0])[1]
+            else:
+                total = sum(len(text) - links for _, _, text, links in self._found)
+                ignored = [o for _, out, _, _ in self._found for o in out
+                           if not o.always and o.holds and 2 * o.chars > total]
+        ids = {id(o) for o in ignored}
+        self.blocks = [(path, any(id(o) not in ids for o in out), text, links) for path, out, text, links in self._found]
+
     def _open(self, tag: str, rest: str) -> None:
         names = " ".join(x for m in _NAMES.findall(rest) for x in m if x) if rest else ""
         token = tag + "".join("." + n for n in sorted(set(re.sub(r"\d+", "", names).split())))
-        out = tag in LEFT_OUT_TAGS or bool(names and LEFT_OUT_NAMES.search(names) and tag not in PARTS_OF_HEAD)
+        out = None
+        if tag in LEFT_OUT_TAGS or (names and LEFT_OUT_NAMES.search(names) and tag not in PARTS_OF_HEAD):
+            out = LeftOut((tag in LEFT_OUT_TAGS and tag != "form") or bool(READERS.search(names)))
+        if not _LEAF.match(tag):
+            for o in self._around():
+                o.holds = True
+        if tag in ("article", "main"):
+            self._mains.append((self._around() + ([out] if out else []), [0]))
+            self._open_mains.append((len(self._stack), self._mains[-1][1]))
         self._stack.append((tag, token, out))
         self.outline.append("<" + token)
 
     def _close_to(self, depth: int) -> None:
         while len(self._stack) > depth:
             self.outline.append("/" + self._stack.pop()[1])
+        while self._open_mains and self._open_mains[-1][0] >= depth:
+            self._open_mains.pop()
 
     def _read(self, page: str) -> None:
         at = 0

@@ -1,3 +1,5 @@
+import pytest
+
 from marketframe.llm import html_wrapper as H
 
 
@@ -33,6 +35,35 @@ def test_main_text(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+MAIN = "<article><h1>Head</h1><p>The main text of this page</p></article>"
+READ = "Head\n\nThe main text of this page"
+DIVS = "<div class=post><p>The main text of this page</p></div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<body><svg class="i"/>{MAIN}', READ), (f"<button>Menu{MAIN}", READ),
+    (f"<button-group>{MAIN}</button-group>", READ), (f"<object data=x>{MAIN}<p>after", READ),
+    (f"<button>a{MAIN}<button>b</button>", READ), (f"<select><option>x{MAIN}", READ),
+    (f"<svg><svg><text>no</text></svg><text>no</text></svg>{MAIN}", READ),
+    (f"<noscript><p>no</p></noscript><video>{MAIN}</video>", READ),
+    (f'<div class="has-sidebar">{MAIN}</div>', READ), (f'<div class="layout sidebar">{MAIN}</div>', READ),
+    (f"<form action=/>{MAIN}<div class=sidebar>side</div></form>", READ),
+    (f'<form><div>{DIVS}<div class="sidebar">side</div></div></form>', "The main text of this page"),
+    (f'<div class="page header">{DIVS}<nav>no</nav></div>', "The main text of this page"),
+    (f'<div class="no-header">{DIVS}</div>', "The main text of this page"),
+    (f"{MAIN}<script>var a = '", READ), (f"{MAIN}<textarea>open <p>no</p>", READ),
+    # still left out
+    (f"{MAIN}<div class=comments><article><p>{'a reader says more ' * 9}</p></article></div>", READ),
+    (f"{DIVS}<div id=comments><div><p>{'a reader says more ' * 9}</p></div></div>", "The main text of this page"),
+    (f"{MAIN}<div class=related><article><p>{'other text ' * 20}</p></article></div>", READ),
+    ('<div class="cookie-notice"><p>ok</p></div>', ""), (f"<article>{DIVS}<button>Buy</button><svg><g/></svg></article>",
+                                                         "The main text of this page"),
+])
+def test_open_elements_and_outer_names(html, text):
+    b = H.Blocks(html)
+    assert b.text(H.best_region(b.regions())) == text
+
+
 def test_wrappers_generalise(spark):
     pages = spark.createDataFrame([("x", h) for i, u, h, _ in PAGES if u and u.lower().startswith("http://x.")],
                                   "host string, html string")
