@@ -13,9 +13,11 @@ from all texts that pass the base rules: the median, plus and minus ``REACH``
 times the distance to the quartile on that side.  A class with fewer than
 ``LEAST_TEXTS`` such texts takes its language's bands.  The quantiles are
 Spark's mergeable sketches, combined before the shuffle, so a language with a
-third of all rows is one sketch a task.  Texts with fewer than
-``LEAST_TOKENS`` tokens are judged by the base rules alone: their measures
-scatter too far to reject on.
+third of all rows is one sketch a task.  Texts of fewer than ``SHORT`` tokens
+share the lowest class, and their bands widen with ``SHORT`` over the tokens,
+as the measures of short texts scatter more; no length is left unjudged.
+``REACH`` is set on the labels outside the held-out rows (README has the kept
+junk and the rejected good texts of both).
 
 Base rules (fixed): a text fails with fewer than 10 words, or when more than
 20 % of its words lie in 5-word windows that occur twice in it.
@@ -38,10 +40,12 @@ from marketframe.llm.tokens import CachedTokenizer
 # Fixed values of the base rules.
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
-LEAST_TOKENS = 64
+#: Bands widen below so many tokens.
+SHORT = 128
 #: Band width in distances of the median to the quartiles, each at least
 #: MARGIN of the median; the byte share is never out of band below BYTE_SHARE.
-REACH, MARGIN, BYTE_SHARE = 7.0, 0.01, 0.1
+REACH = {"chars_per_token": 4.5, "chars_per_piece": 5.5, "byte_share": 5.0, "entropy": 4.5}
+MARGIN, BYTE_SHARE = 0.01, 0.1
 LEAST_TEXTS = 50
 #: Unknown languages are told apart by the script of most of their letters.
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}",
@@ -141,17 +145,27 @@ MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "entropy")
 
 
 def _edges(fair: DataFrame, *by: str) -> DataFrame:
-    """Lowest and highest value allowed of each measure, and the texts seen."""
+    """Median of each measure, how far it may lie below and above, and the
+    texts seen."""
     q = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
     edges = []
     for m in MEASURES:
         low, mid, high = (F.get(m, i) for i in range(3))
-        top = mid + REACH * F.greatest(high - mid, MARGIN * mid)
-        edges += [(mid - REACH * F.greatest(mid - low, MARGIN * mid)).alias(f"{m}_low"),
-                  (F.greatest(top, F.lit(BYTE_SHARE)) if m == "byte_share" else top).alias(f"{m}_high")]
+        edges += [mid.alias(f"{m}_mid"), (REACH[m] * F.greatest(mid - low, MARGIN * mid)).alias(f"{m}_below"),
+                  (REACH[m] * F.greatest(high - mid, MARGIN * mid)).alias(f"{m}_above")]
     return fair.groupBy(*by).agg(F.count("*").alias("texts"), *q).select(*by, "texts", *edges)
 
 
+def _outside(m: str) -> Column:
+    """Whether a measure is out of its band, wider for a short text."""
+    wide = F.greatest(F.lit(1.0), SHORT / F.greatest(F.lit(1), F.col("n_tokens")))
+    mid = F.col(f"band.{m}_mid")
+    top = mid + wide * F.col(f"band.{m}_above")
+    if m == "byte_share":
+        top = F.greatest(top, F.lit(BYTE_SHARE))
+    return (F.col(m) < mid - wide * F.col(f"band.{m}_below")) | (F.col(m) > top)
+
+
 def judge(documents: DataFrame, byte_bpe: str, piece_bpe: str, **columns: str) -> DataFrame:
     """Measures with base_failed, the measures out of band, and kept."""
     measured = measure(documents, byte_bpe, piece_bpe, **columns).withColumn(
@@ -159,17 +173,15 @@ def judge(documents: DataFrame, byte_bpe: str, piece_bpe: str, **columns: str) -
         | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     names = measured.columns
     measured = materialise(measured.withColumn(
-        "class", F.when(F.col("n_tokens") >= LEAST_TOKENS, F.floor(F.log2("n_tokens")))))
-    fair = measured.where(~F.col("base_failed") & F.col("class").isNotNull())
+        "class", F.floor(F.log2(F.greatest(F.lit(SHORT), "n_tokens")))))
+    fair = measured.where(~F.col("base_failed"))
     # one row for each language or script, and for each of its length classes
     own = _edges(fair, "group", "class").where(F.col("texts") >= LEAST_TEXTS).drop("texts")
     all_ = _edges(fair, "group").drop("texts")
-    every = [f"{m}_{e}" for m in MEASURES for e in ("low", "high")]
+    every = [f"{m}_{e}" for m in MEASURES for e in ("mid", "below", "above")]
     rows = (measured.join(own.select("group", "class", F.struct(*every).alias("own")), ["group", "class"], "left")
             .join(all_.select("group", F.struct(*every).alias("all")), "group", "left")
             .withColumn("band", F.coalesce("own", "all")))
-    outside = F.array_compact(F.array(*[
-        F.when((F.col(m) < F.col(f"band.{m}_low")) | (F.col(m) > F.col(f"band.{m}_high")), F.lit(m)) for m in MEASURES]))
-    out_of_band = F.when(F.col("class").isNotNull(), outside).otherwise(F.array().cast("array<string>"))
+    out_of_band = F.array_compact(F.array(*[F.when(_outside(m), F.lit(m)) for m in MEASURES]))
     return rows.withColumn("out_of_band", out_of_band).select(
         *names, "out_of_band", (~F.col("base_failed") & (F.size("out_of_band") == 0)).alias("kept"))

@@ -39,6 +39,25 @@ def test_base_measures_and_bands(docs_of, prose):
     assert all(not (r["kept"] and r["base_failed"]) for r in rows)
 
 
+def test_short_junk(docs_of, prose):
+    """Texts of few tokens are judged, too."""
+    pairs = [(k, prose(30 + k % 200, k)) for k in range(150)]
+    short = [(1000 + k, " ".join(chr(0x12000 + 11 * k + j) for j in range(10))) for k in range(3)]
+    rows = {r["doc_id"]: r for r in Q.judge(docs_of(pairs + short), *PATHS).collect()}
+    assert all(rows[i]["n_tokens"] < 64 and not rows[i]["base_failed"] and not rows[i]["kept"] for i, _ in short)
+    assert sum(rows[i]["kept"] for i, _ in pairs) >= 145
+
+
+def test_labelled_junk(spark):
+    """Labelled texts that pass the base rules: most junk goes, good ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = Q.judge(docs, *PATHS).where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = Counter({(r["quality"], r["kept"]): r["count"] for r in rows})
+    print("LABELS", dict(n))
+    assert n[0, False] >= 0.75 * (n[0, False] + n[0, True])
+    assert n[1, False] <= 0.01 * (n[1, False] + n[1, True])
+
+
 def test_empty_table_and_scripts(spark, docs_of):
     assert Q.judge(docs_of([]), *PATHS).count() == 0
     rows = spark.createDataFrame([("de", "x"), (None, "привет мир"), ("", "hello"), (None, None)], "lang string, text string")
