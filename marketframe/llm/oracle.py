@@ -99,3 +99,55 @@ per_doc AS (SELECT doc_id, COALESCE(string_agg(raw, chr(10) ORDER BY place) FILT
                    count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed FROM kept GROUP BY doc_id)
 SELECT d.doc_id, p.text, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id"""
+
+_WHOLE = r"""
+whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _round(n: int) -> str:
+    """Assignment to the entries of round ``n``, and the entries after it."""
+    return f"""
+near{n} AS MATERIALIZED (
+  SELECT r, p, min(struct_pack(d := list_sum(list_transform(list_zip(part, entry),
+                                                            lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m
+  FROM part JOIN book{n} USING (p) GROUP BY r, p),
+mean{n} AS MATERIALIZED (
+  SELECT p, e, list(x ORDER BY i) AS entry FROM (
+    SELECT p, m.e AS e, i, CAST(floor(sum(part[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x
+    FROM part JOIN near{n} USING (r, p), range(1, len(part) + 1) t(i) GROUP BY p, m.e, i) GROUP BY p, e),
+book{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, COALESCE(m.entry, b.entry) AS entry FROM book{n} b LEFT JOIN mean{n} m ON m.p = b.p AND m.e = b.e)"""
+
+
+SQL["op12_vector_codes"] = f"""
+WITH {_WHOLE},
+part AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS part FROM whole, range(16) t(p)),
+book0 AS MATERIALIZED (
+  SELECT p, e, part AS entry
+  FROM part JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM whole
+                  QUALIFY e < 64) USING (r)),
+{_round(0)},
+{_round(1)},
+last AS MATERIALIZED (
+  SELECT r, p, min(struct_pack(d := list_sum(list_transform(list_zip(part, entry),
+                                                            lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m
+  FROM part JOIN book2 USING (p) GROUP BY r, p),
+coded AS (
+  SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM last GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM coded JOIN whole USING (r)"""
+
+SQL["op13_bit_sliced_search"] = f"""
+WITH {_WHOLE}
+SELECT q.vec_id AS query_id,
+       CAST(row_number() OVER (PARTITION BY q.r ORDER BY score DESC, c.vec_id) AS INTEGER) AS rank, c.vec_id, score
+FROM (SELECT a.r AS q, b.r AS c, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.r <> b.r) s
+JOIN whole q ON q.r = s.q JOIN whole c ON c.r = s.c
+QUALIFY rank <= 5"""

@@ -116,3 +116,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"),
                       F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.periodic_runs import digest, find_runs, repeated_tail
+    return digest(find_runs(read_documents(spark, sf_dir), order=repeated_tail))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.vector_codes import compress, digest
+    return digest(*compress(read_documents(spark, sf_dir, "embeddings")))
+
+
+@query
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketframe.llm.bit_sliced_search import nearest
+    return nearest(read_documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
