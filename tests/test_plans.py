@@ -2,7 +2,7 @@
 import contextlib
 import io
 
-from conftest import SF_SMOKE
+from testdata import SF_SMOKE
 
 
 def _plan(df) -> str:

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import SF_SMOKE
+from testdata import SF_SMOKE
 
 ROOT = Path(__file__).resolve().parents[1]
 
