@@ -20,8 +20,8 @@ else in the corpus is marked.
    which is exact up to hash collisions and combines before the shuffle.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` bytes have
-no such string; rows that repeat a text (or a doc_id) are texts of their own,
-so each copy's bytes are marked; other columns are ignored.
+no such string; rows that repeat a text, an id or both, also null ids, are texts
+of their own, so each copy's bytes are marked; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,26 +195,21 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + LENGTH) for p in np.split(starts, new)]
 
 
-def _text_key(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-
-
 def _facts(batches):
-    """row, doc_id, text_id, n_bytes, and the digest of the whole text."""
+    """doc_id, ta, tb, n_bytes, and the digest of the whole text."""
     for batch in batches:
-        for first, raws in slices(batch.column(2).to_pylist()):
+        for first, raws in slices(batch.column(3).to_pylist()):
             n = len(raws)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, n), batch.column(1).slice(first, n),
-                 pa.array([_text_key(r) for r in raws], pa.int64()), pa.array([len(r) for r in raws], pa.int64()),
+                [*(batch.column(c).slice(first, n) for c in range(3)), pa.array([len(r) for r in raws], pa.int64()),
                  pa.array([hashlib.sha256(r).hexdigest() for r in raws], pa.string())],
-                names=["row", "doc_id", "text_id", "n_bytes", "sha256"])
+                names=["doc_id", "ta", "tb", "n_bytes", "sha256"])
 
 
 def _emit(batches):
     for batch in batches:
-        for _, raws in slices(batch.column(0).to_pylist()):
-            keys = np.array([_text_key(r) for r in raws], np.int64)
+        for first, raws in slices(batch.column(2).to_pylist()):
+            ta, tb = (batch.column(c).to_numpy()[first:first + len(raws)] for c in (0, 1))
             text, place, h = anchors(raws)
             order = np.lexsort((h, text))
             same = np.zeros(len(h), bool)
@@ -222,8 +217,8 @@ def _emit(batches):
             twice = np.zeros(len(h), bool)
             twice[order[same]] = True
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(keys[text]), pa.array(place), pa.array(twice)],
-                names=["anchor", "text_id", "place", "twice"])
+                [pa.array(h.view(np.int64)), pa.array(ta[text]), pa.array(tb[text]), pa.array(place), pa.array(twice)],
+                names=["anchor", "ta", "tb", "place", "twice"])
 
 
 def _contexts(batches):
@@ -232,24 +227,24 @@ def _contexts(batches):
     seen: set[bytes] = set()
     for batch in batches:
         rows = []
-        for text_id, text, places, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+        for ta, tb, text, places, hashes in zip(*(c.to_pylist() for c in batch.columns)):
             raw = text.encode("utf-8", "surrogatepass")
             for p, h in zip(places, hashes):
                 lo = max(0, p - _SIDE)
                 context = raw[lo:p + LENGTH]
                 digest = hashlib.blake2b(context + bytes([p - lo]), digest_size=16).digest()
-                rows.append((h, digest, text_id, lo, len(context), None if digest in seen else context))
+                rows.append((h, digest, ta, tb, lo, len(context), None if digest in seen else context))
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(digest)
-        cols = list(zip(*rows)) if rows else [()] * 6
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        cols = list(zip(*rows)) if rows else [()] * 7
+        kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                         names=["anchor", "digest", "text_id", "start", "length", "context"])
+                                         names=["anchor", "digest", "ta", "tb", "start", "length", "context"])
 
 
 def _sort_groups(batches):
-    """Rows (anchor, digest, n, text_id, start, context) sorted by anchor and
+    """Rows (anchor, digest, n, ta, tb, start, context) sorted by anchor and
     digest: repeated digests once; whole anchors fill a block."""
     held: list[tuple] = []
     size, last = 0, None
@@ -258,13 +253,14 @@ def _sort_groups(batches):
         found = []
         if held:
             many = np.array([r[2] > 1 for r in held])
-            starts = repeated_starts([r[5] for r in held], many, np.array([r[4] for r in held], np.int64),
-                                     np.array([r[3] for r in held], np.int64))
+            texts: dict[tuple[int, int], int] = {}
+            owner = np.array([texts.setdefault(r[3:5], len(texts)) for r in held], np.int64)
+            starts = repeated_starts([r[6] for r in held], many, np.array([r[5] for r in held], np.int64), owner)
             for r, s in zip(held, starts):
                 if r[2] == 1:
-                    found += [(r[3], r[4] + a, r[4] + b) for a, b in _runs(s)]
-        cols = list(zip(*found)) if found else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["text_id", "start", "end"])
+                    found += [(r[3], r[4], r[5] + a, r[5] + b) for a, b in _runs(s)]
+        cols = list(zip(*found)) if found else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ta", "tb", "start", "end"])
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if last is not None and row[0] != last[0] and size >= BLOCK_BYTES:
@@ -272,7 +268,7 @@ def _sort_groups(batches):
                 held, size = [], 0
             if last is None or row[:2] != last:
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
             last = row[:2]
     yield done()
 
@@ -280,7 +276,7 @@ def _sort_groups(batches):
 def _strings(batches):
     """Both hashes of every string of a context, with its place."""
     for batch in batches:
-        for text_id, start, context in zip(*(c.to_pylist() for c in batch.columns)):
+        for ta, tb, start, context in zip(*(c.to_pylist() for c in batch.columns)):
             buf = np.frombuffer(context, np.uint8)
             if len(buf) < LENGTH:
                 continue
@@ -288,62 +284,76 @@ def _strings(batches):
             b = _rolling(buf[::-1], LENGTH)[::-1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a.view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64)),
-                 pa.array(np.full(len(a), text_id)), pa.array(start + np.arange(len(a)))],
-                names=["a", "b", "text_id", "start"])
+                 pa.array(np.full(len(a), ta)), pa.array(np.full(len(a), tb)), pa.array(start + np.arange(len(a)))],
+                names=["a", "b", "ta", "tb", "start"])
+
+
+#: The 128-bit name of a text, as two columns.
+_TEXT = ["ta", "tb"]
 
 
 def _named(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (a stand-in for null), ta, tb, text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     return documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID).cast("long")).alias("doc_id"),
-                            F.col(text_col).alias("text"))
+                            F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(7), text).alias("tb"), text.alias("text"))
+
+
+def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, ta, tb, ...) with their texts: both the id and the text
+    must be the ones meant, whatever ids repeat or are null."""
+    meant = selected(rows.withColumnsRenamed({"doc_id": "_id", "ta": "_ta", "tb": "_tb"}), "_id")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("ta") == F.col("_ta")) & (F.col("tb") == F.col("_tb"))
+    return docs.join(meant, same).drop("_id", "_ta", "_tb")
 
 
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(facts, spans): ``facts`` has row, doc_id, text_id, n_bytes, sha256 and
-    ``copies`` for each row; ``spans`` has (text_id, start, end) of bytes to
+    """(facts, spans): ``facts`` has doc_id, ta, tb, n_bytes, sha256 and
+    ``copies`` for each row; ``spans`` has (ta, tb, start, end) of bytes to
     remove, overlapping; a text with copies goes whole and is not listed."""
     spark = documents.sparkSession
     docs = _named(documents, id_col, text_col)
-    facts = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        _facts, "row long, doc_id long, text_id long, n_bytes long, sha256 string"))
-    copies = materialise(facts.groupBy("text_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")))
-    found = docs.select("text").mapInArrow(_emit, "anchor long, text_id long, place long, twice boolean")
-    shared = materialise(found.groupBy("anchor").agg(
-        F.min("text_id").alias("lo"), F.max("text_id").alias("hi"), F.max("twice").alias("twice"))
-        .where("lo <> hi or twice").select("anchor"))
-    places = materialise(found.select("anchor", "text_id", "place").join(shared, "anchor", "left_semi")
-                         .groupBy("text_id").agg(F.collect_set(F.struct("place", "anchor")).alias("at")))
-    one = copies.join(places.select("text_id"), "text_id", "left_semi").select(F.col("first").alias("doc_id"), "text_id")
+    facts = materialise(docs.mapInArrow(_facts, "doc_id long, ta long, tb long, n_bytes long, sha256 string"))
+    copies = materialise(facts.groupBy(*_TEXT).agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")))
+    found = docs.select(*_TEXT, "text").mapInArrow(_emit, "anchor long, ta long, tb long, place long, twice boolean")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in _TEXT for f in (F.min, F.max)]
+    shared = materialise(found.groupBy("anchor").agg(*ends, F.max("twice").alias("twice"))
+                         .where("min_ta <> max_ta or min_tb <> max_tb or twice").select("anchor"))
+    places = materialise(found.select("anchor", *_TEXT, "place").join(shared, "anchor", "left_semi")
+                         .groupBy(*_TEXT).agg(F.collect_set(F.struct("place", "anchor")).alias("at")))
     with runtime_filter(spark):
-        one = materialise(one)
-        texts = docs.join(selected(one.withColumnRenamed("doc_id", "_id"), "_id"), F.col("doc_id") == F.col("_id"))
-        # rows that share a doc_id: the text must be the one meant
-        texts = texts.join(places, "text_id").select("text_id", "text", "at.place", "at.anchor")
+        one = materialise(copies.join(places.select(*_TEXT), _TEXT, "left_semi"))
+        texts = _texts_of(docs, one)
+        # several rows may hold the id and the text of a copied one: any of them does
+        copied = texts.where("copies > 1").groupBy(*_TEXT).agg(F.first("text").alias("text"))
+        texts = texts.where("copies = 1").select(*_TEXT, "text").unionByName(copied)
+        texts = texts.join(places, _TEXT).select(*_TEXT, "text", "at.place", "at.anchor")
         contexts = materialise(texts.mapInArrow(
-            _contexts, "anchor long, digest binary, text_id long, start long, length long, context binary"))
+            _contexts, "anchor long, digest binary, ta long, tb long, start long, length long, context binary"))
     ways = contexts.groupBy("anchor", "digest").agg(F.count("*").alias("n"))
     whole = (contexts.join(ways.where("n > 1"), ["anchor", "digest"], "left_semi").where(F.col("length") >= LENGTH)
-             .select("text_id", "start", (F.col("start") + F.col("length")).alias("end")))
+             .select(*_TEXT, "start", (F.col("start") + F.col("length")).alias("end")))
     groups = ways.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("n").alias("least")).where(
         "ways > 1 and least = 1").select("anchor", "ways")
-    todo = (contexts.where("context is not null").select("anchor", "digest", "text_id", "start", "context")
+    todo = (contexts.where("context is not null").select("anchor", "digest", *_TEXT, "start", "context")
             .join(ways, ["anchor", "digest"]).join(groups, "anchor"))
     small = (todo.where(F.col("ways") <= GROUP).repartition("anchor").sortWithinPartitions("anchor", "digest")
-             .select("anchor", "digest", "n", "text_id", "start", "context")
-             .mapInArrow(_sort_groups, "text_id long, start long, end long"))
-    strings = "a long, b long, text_id long, start long"
+             .select("anchor", "digest", "n", *_TEXT, "start", "context")
+             .mapInArrow(_sort_groups, "ta long, tb long, start long, end long"))
+    strings = "a long, b long, ta long, tb long, start long"
     large = todo.where(F.col("ways") > GROUP)
-    open_ = large.where("n = 1").select("text_id", "start", "context").mapInArrow(_strings, strings)
-    large = large.select("text_id", "start", "context").mapInArrow(_strings, strings)
-    twice = (large.groupBy("a", "b").agg(F.min(F.struct("text_id", "start")).alias("lo"),
-                                         F.max(F.struct("text_id", "start")).alias("hi")).where("lo <> hi"))
+    open_ = large.where("n = 1").select(*_TEXT, "start", "context").mapInArrow(_strings, strings)
+    large = large.select(*_TEXT, "start", "context").mapInArrow(_strings, strings)
+    twice = (large.groupBy("a", "b").agg(F.min(F.struct(*_TEXT, "start")).alias("lo"),
+                                         F.max(F.struct(*_TEXT, "start")).alias("hi")).where("lo <> hi"))
     large = open_.join(twice, ["a", "b"], "left_semi").select(
-        "text_id", "start", (F.col("start") + LENGTH).alias("end"))
+        *_TEXT, "start", (F.col("start") + LENGTH).alias("end"))
     spans = materialise(whole.unionByName(small).unionByName(large).distinct())
-    return facts.join(copies.select("text_id", "copies"), "text_id"), spans
+    return facts.join(copies.select(*_TEXT, "copies"), _TEXT), spans
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """text_id and its maximal removed runs, sorted."""
+    """ta, tb and the maximal removed runs, sorted."""
     runs = F.array_sort(F.collect_list(F.struct("start", "end")))
     first = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:long,end:long>>").alias("out"))
 
@@ -354,7 +364,7 @@ def merged(spans: DataFrame) -> DataFrame:
         out = F.when(joins, F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(grown))).otherwise(
             F.concat(acc["out"], F.array(s)))
         return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), out.alias("out"))
-    return spans.groupBy("text_id").agg(F.aggregate(runs, first, step)["out"].alias("runs"))
+    return spans.groupBy(*_TEXT).agg(F.aggregate(runs, first, step)["out"].alias("runs"))
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,35 +374,27 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     none = F.array().cast("array<struct<start:long,end:long>>")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    listed = materialise(facts.join(runs, "text_id", "left"))
+    listed = materialise(facts.join(runs, _TEXT, "left"))
     plain = listed.where(whole | F.col("runs").isNull()).select(
         "doc_id", "n_bytes", F.when(whole, all_of_it).otherwise(none).alias("runs"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha256")).alias("kept_sha256"))
-    cut = materialise(listed.where(~whole & F.col("runs").isNotNull()).select(
-        F.col("doc_id").alias("_id"), "text_id", "n_bytes", "runs"))
-    docs = _named(documents, id_col, text_col)
+    cut = materialise(listed.where(~whole & F.col("runs").isNotNull()).select("doc_id", *_TEXT, "n_bytes", "runs"))
 
     def digest(batches):
         for batch in batches:
-            keep = []
-            for i, (text_id, text, runs) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)))):
-                raw = text.encode("utf-8", "surrogatepass")
-                if _text_key(raw) != text_id:  # another text of the same doc_id
-                    continue
-                h, at = hashlib.sha256(), 0
+            out = []
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                raw, h, at = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0
                 for r in runs:
                     h.update(raw[at:r["start"]])
                     at = r["end"]
                 h.update(raw[at:])
-                keep.append((i, h.hexdigest()))
-            index = pa.array([i for i, _ in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(3).take(index), batch.column(4).take(index),
-                 pa.array([h for _, h in keep], pa.string())], names=["doc_id", "n_bytes", "runs", "kept_sha256"])
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.string())],
+                                             names=["doc_id", "n_bytes", "runs", "kept_sha256"])
     with runtime_filter(documents.sparkSession):
         edited = materialise(
-            docs.join(selected(cut, "_id"), F.col("doc_id") == F.col("_id"))
-            .select("doc_id", "text_id", "text", "n_bytes", "runs")
+            _texts_of(_named(documents, id_col, text_col), cut).select("doc_id", "text", "n_bytes", "runs")
             .mapInArrow(digest, "doc_id long, n_bytes long, runs array<struct<start:long,end:long>>, kept_sha256 string"))
     return plain.unionByName(edited).withColumn(
         "doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

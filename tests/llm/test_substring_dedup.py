@@ -45,6 +45,16 @@ def test_equals_brute_force(docs_of, prose, monkeypatch, group, block):
     assert sorted(rows, key=str) == brute(pairs)
 
 
+@pytest.mark.parametrize("ids", [(5, 5, 5, 5), (None, None, None, None), (5, None, 5, None)])
+def test_repeated_and_null_ids(docs_of, prose, ids):
+    passage = prose(75, 1)
+    pairs = [(i, prose(15, 20 + k) + " " + passage + " " + prose(11 + k, 40 + k)) for k, i in enumerate(ids)]
+    pairs += [(ids[0], pairs[0][1][:150]), (ids[1], prose(60, 7)), (ids[1], prose(60, 7)), (ids[2], None), (9, prose(60, 8))]
+    rows = [(r["doc_id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["runs"]), len(r["runs"]), r["kept_sha256"])
+            for r in S.remove_repeats(docs_of(pairs)).collect()]
+    assert sorted(rows, key=str) == brute(pairs)
+
+
 def test_empty_table(docs_of):
     assert S.remove_repeats(docs_of([])).count() == 0
 
