@@ -22,8 +22,9 @@ stay.
 Defined results: null text has no lines and comes back null; an empty text
 comes back empty; several rows with one ``doc_id`` are ordered by the hash of
 their text (fully equal rows are one document and come back alike); rows
-without a doc_id come first and take part with their equal lines only; other
-columns pass through untouched.
+without a doc_id come first and take part with their equal lines only, while
+other rows' lines are compared as if those rows were not there, but for equal
+ones; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -46,45 +47,66 @@ def _lines(text: Column) -> Column:
     return F.split(F.when(odd, F.translate(text, _BLANKS, " " * len(_BLANKS))).otherwise(text), "\n")
 
 
-def _words(line: Column) -> Column:
-    """Lower-case words of a line, blanks left out."""
-    return F.filter(F.split(F.lower(line), " "), lambda w: w != "")
+def _normal(line: Column) -> Column:
+    """The words of a line in lower case with one space between them."""
+    low = F.lower(line)
+    uneven = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(uneven, F.trim(F.regexp_replace(low, " +", " "))).otherwise(low)
 
 
-def _halves(w: Column) -> Column:
-    """Keys of the half that one edit leaves unchanged, each with the places
-    where the edit can then be.  ``h`` words from either end, ``h`` the largest
-    power of two up to half the length; also with the ``h`` of a line one word
-    shorter, so that partners agree."""
+def _halves(line: Column, n: Column) -> Column:
+    """Keys of the half of a normal line that one edit leaves unchanged, each
+    with the places where the edit can then be.  ``h`` words from either end,
+    ``h`` the largest power of two up to half the length; also with the ``h`` of
+    a line one word shorter, so that partners agree."""
     def half(n):
         return F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
 
     def pair(h):
-        first = F.struct(F.xxhash64(F.lit(0), h, F.slice(w, F.lit(1), h)).alias("half"),
-                         h.alias("lo"), n.alias("hi"))
-        last = F.struct(F.xxhash64(F.lit(1), h, F.slice(w, -h, h)).alias("half"),
-                        F.lit(0).alias("lo"), (n - h).alias("hi"))
-        return F.array(first, last)
-    n = F.size(w)
-    return F.flatten(F.transform(F.array_distinct(F.array(half(n), half(n - 1))), pair))
+        def end(count):
+            return F.call_function("substring_index", line, F.lit(" "), count)
+        return [F.struct(F.xxhash64(F.lit(0), h, end(h)).alias("half"),
+                         h.alias("lo"), n.alias("hi")),
+                F.struct(F.xxhash64(F.lit(1), h, end(-h)).alias("half"),
+                         F.lit(0).alias("lo"), (n - h).alias("hi"))]
+    long, short = half(n), half(n - 1)
+    return F.when(long == short, F.array(*pair(long))).otherwise(F.array(*pair(long), *pair(short)))
 
 
-def _variants(w: Column, lo: Column, hi: Column) -> Column:
-    """Hashed keys of the deletion neighbourhood for edits at places ``lo`` to
-    ``hi``: one for each word left out and one for each gap.  ``before`` and
-    ``after`` are running hashes of the words before a place and of those after
-    it, so the work is linear."""
+#: Words of a block of running hashes.
+_BLOCK = 64
+
+
+def _heads(w: Column) -> Column:
+    """Running hashes at the first word of every block of words."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / _BLOCK).cast("int")),
+                         lambda j: F.xxhash64(F.slice(w, j * _BLOCK + 1, F.lit(_BLOCK))))
     seed = F.array(F.lit(0).cast("long"))
+    return F.aggregate(blocks, seed, lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
+
 
-    def running(words):
-        return F.aggregate(words, seed, lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
-    n = F.size(w)
-    before, after = running(w), F.reverse(running(F.reverse(w)))
-    # zipped, so that each running hash is worked out once
-    gone = F.zip_with(F.slice(before, lo + 1, hi - lo), F.slice(after, lo + 2, hi - lo),
+def _running(w: Column, heads: Column, places: Column) -> Column:
+    """Hash of the words before each place: the block's running hash and the
+    few words since, so the work is linear but for one entry a block."""
+    def at(i):
+        block = F.floor(i / _BLOCK).cast("int")
+        return F.xxhash64(F.element_at(heads, block + 1), F.slice(w, block * _BLOCK + 1, i - block * _BLOCK))
+    return F.transform(places, at)
+
+
+def _variants(lo: Column, hi: Column) -> Column:
+    """Hashed keys of the deletion neighbourhood for edits at places ``lo`` to
+    ``hi``: one for each word left out and one for each gap, from the hashes of
+    the words before a place and, in reverse, of those after it.  The columns
+    ``words``, ``back`` (reversed), ``heads`` and ``tails`` are read."""
+    n = F.size("words")
+    before = _running(F.col("words"), F.col("heads"), F.sequence(lo, hi))
+    after = _running(F.col("back"), F.col("tails"), F.sequence(n - lo, n - hi, F.lit(-1)))
+    # (before, after) of each gap, zipped so that each hash is worked out once;
+    # a word left out has the gap before it on one side, the next gap on the other
+    gaps = F.zip_with(before, after, lambda b, a: F.xxhash64(b, a, n))
+    gone = F.zip_with(F.slice(before, F.lit(1), hi - lo), F.slice(after, F.lit(2), hi - lo),
                       lambda b, a: F.xxhash64(b, a, n - 1))
-    gaps = F.zip_with(F.slice(before, lo + 1, hi - lo + 1), F.slice(after, lo + 1, hi - lo + 1),
-                      lambda b, a: F.xxhash64(b, a, n))
     return F.concat(gone, gaps)
 
 
@@ -102,45 +124,53 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def _places(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line with a word: where it is (``at``: doc_id, hash of the whole
-    text, place) and its words."""
-    return (documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"),
+    text, place), normalised, and its number of words."""
+    line = (documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"),
                              F.posexplode(_lines(F.col(text_col))).alias("place", "raw"))
-            .select(F.struct("doc_id", "row", "place").alias("at"), _words(F.col("raw")).alias("words"))
-            .where(F.size("words") > 0))
+            .select(F.struct("doc_id", "row", "place").alias("at"), _normal(F.col("raw")).alias("line"))
+            .where("line <> ''"))
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return line.withColumn("n_words", spaces + 1)
 
 
-def _line_id(words: Column) -> list[Column]:
+def _line_id(line: Column) -> list[Column]:
     """128-bit hash of a normalised line."""
-    return [F.xxhash64(words).alias("a"), F.xxhash64(F.lit(7), F.size(words), words).alias("b")]
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b")]
 
 
 def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, row, place) of every line that goes."""
     places = _places(documents, id_col, text_col)
+    long = F.col("n_words") >= min_words
     lines = materialise(places.select(
-        "at", *_line_id(F.col("words")), F.size("words").alias("n_words"),
-        F.when(F.size("words") >= min_words, _halves(F.col("words"))).alias("halves")))
-    first = materialise(lines.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+        "at", *_line_id(F.col("line")), "n_words", F.when(long, _halves(F.col("line"), F.col("n_words"))).alias("halves")))
+    named = F.when(F.col("at.doc_id").isNotNull(), F.col("at"))
+    first = materialise(lines.groupBy("a", "b").agg(F.min("at").alias("first"), F.min(named).alias("named"),
+                                                    F.count("*").alias("n")))
 
     # lines that have a half in common with a different line
-    halves = lines.where(F.col("n_words") >= min_words).select("a", "b", F.inline("halves"))
+    halves = lines.where(long).select("a", "b", F.inline("halves"))
     common = materialise(halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most"))
                          .where("least <> most").select("half"))
     with runtime_filter(documents.sparkSession):
         similar = materialise(halves.join(common, "half", "left_semi").groupBy("a", "b")
                               .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-        at_first = materialise(similar.join(first.select("a", "b", "first"), ["a", "b"]))
-        ids = materialise(at_first.select(F.col("first.doc_id").alias("doc_id")).distinct())
+        at_first = materialise(similar.join(first.where("named is not null").select("a", "b", F.col("named").alias("at")),
+                                            ["a", "b"]))
+        ids = materialise(at_first.select(F.col("at.doc_id").alias("doc_id")).distinct())
         docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         texts = docs.join(selected(ids, "doc_id").withColumnRenamed("doc_id", "_id"),
                           F.col("doc_id") == F.col("_id"), "left_semi")
-        left = materialise(_places(texts, "doc_id", "text").join(
-            at_first.select("a", "b", F.col("first").alias("at"), "lo", "hi"), "at"))
+        words = F.split("line", " ")
+        # rows equal in id and text are one document
+        left = materialise(_places(texts, "doc_id", "text").join(at_first, "at").dropDuplicates(["a", "b"])
+                           .select("a", "b", "at", "lo", "hi", words.alias("words"), F.reverse(words).alias("back")))
+        left = materialise(left.withColumn("heads", _heads(F.col("words"))).withColumn("tails", _heads(F.col("back"))))
 
     # variants that different lines share, then the earliest line of each; the
     # rest of its group lies within the bound
-    keyed = left.select(F.explode(_variants(F.col("words"), F.col("lo"), F.col("hi"))).alias("key"), "a")
+    keyed = materialise(left.select(F.explode(_variants(F.col("lo"), F.col("hi"))).alias("key"), "a"))
     shared = materialise(keyed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most"))
                          .where("least <> most").select("key"))
     hits = materialise(keyed.join(shared, "key", "left_semi").join(left.select("a", "b", "at"), "a"))
@@ -152,12 +182,11 @@ def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: st
             .join(words.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("words2")),
                   ["a2", "b2"])
             .where(_within_one(F.col("words"), F.col("words2"))).select("a", "b").distinct())
-    near = materialise(near)
-    repeated = first.where("n > 1").select("a", "b", "first")
-    gone = repeated.join(near, ["a", "b"], "left_anti").unionByName(
-        near.withColumn("first", F.lit(None).cast(first.schema["first"].dataType)))
-    return (lines.select("at", "a", "b").join(gone, ["a", "b"])
-            .where(F.col("first").isNull() | (F.col("at") != F.col("first"))).select("at.*"))
+    near = materialise(near.withColumn("near", F.lit(True)))
+    gone = (first.join(near, ["a", "b"], "left").where("n > 1 or near")
+            .select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    goes = (F.col("at") != F.col("first")) | (F.col("near") & F.col("at.doc_id").isNotNull())
+    return lines.select("at", "a", "b").join(gone, ["a", "b"]).where(goes).select("at.*")
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",

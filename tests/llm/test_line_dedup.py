@@ -20,16 +20,18 @@ def one_edit(a, b):
 
 def brute(pairs):
     earlier, out = [], {}
-    for i, t in sorted(pairs, key=lambda p: p[0]):
+    for i, t in sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0)):
         if t is None:
             out[i] = (None, 0, 0)
             continue
         kept, lines = [], t.split("\n")
         for line in lines:
             w = words(line)
-            gone = bool(w) and any(w == e or (min(len(w), len(e)) >= L.MIN_WORDS and one_edit(w, e)) for e in earlier)
+            # a row without an id takes part with its equal lines only
+            gone = bool(w) and any(w == e or (named and i is not None and min(len(w), len(e)) >= L.MIN_WORDS
+                                              and one_edit(w, e)) for e, named in earlier)
             if w:
-                earlier.append(w)
+                earlier.append((w, i is not None))
             if not gone:
                 kept.append(line)
         out[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
@@ -52,6 +54,23 @@ def test_equals_brute_force(docs_of, prose):
     assert got == brute(pairs)
 
 
+def test_rows_without_an_id(docs_of, prose):
+    one, two = prose(12, 1).split(" "), prose(20, 2).split(" ")
+    pairs = [(None, " ".join(one) + "\n" + " ".join(two[:-1])), (2, " ".join(one)), (5, " ".join([*one[:4], "x", *one[5:]])),
+             (6, " ".join([*one[:7], "y", *one[8:]]) + "\nown line"), (7, " ".join(two)), (8, " ".join([*two, "z"]))]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in L.dedup_lines(docs_of(pairs)).collect()}
+    assert got == brute(pairs)
+    assert got[2][2] == got[5][2] == got[6][2] == got[8][2] == 1 and got[7][2] == got[None][2] == 0
+
+
+def test_long_lines(docs_of, prose):
+    words = prose(60_000, 3).split(" ")
+    pairs = [(1, " ".join(words)), (2, " ".join([*words[:40_000], "x", *words[40_001:]])), (3, " ".join(words[1:])),
+             (4, " ".join([*words[:100], "x", *words[101:50_000], "y", *words[50_001:]]))]
+    got = {r["doc_id"]: r["n_removed"] for r in L.dedup_lines(docs_of(pairs)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
 def test_empty_table_and_columns(docs_of):
     docs = docs_of([])
     out = L.dedup_lines(docs)
