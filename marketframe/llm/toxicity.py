@@ -1,8 +1,9 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
 Texts are folded first (lower case, accents off, homoglyphs of other scripts
-and digit or symbol substitutions replaced by the letter they stand for,
-everything that is no letter made a space).  The lexicon holds whole words
+replaced by the letter they look like, digits and symbols within a word or at
+its edge by the letter they stand for, ``!`` and ``|`` only within one,
+everything else made a space).  The lexicon holds whole words
 and word beginnings; it and its weights (log odds of a document being toxic
 when it holds the entry) are learned from labelled rows.  One automaton pass
 finds all entries of a text; for each word the longest entry counts, unless
@@ -12,8 +13,9 @@ and divided by the number of words, goes through a logistic curve fitted on
 the same rows.
 
 Bounds: at most ``SAMPLE_ROWS`` labelled rows are learned from (the lowest
-hashes of their ids) and at most ``LEXICON_SIZE`` entries kept; both are
-parameters, and they bound what reaches the driver.
+hashes of their ids) and at most ``LEXICON_SIZE`` entries kept, as many leaning
+words and as many exception phrases, the strongest ones; both are parameters,
+and they bound what reaches the driver.
 
 Defined results: null and empty texts hold no entry and get the curve's
 lowest score; without any toxic labelled row the lexicon is empty and every
@@ -26,6 +28,7 @@ them.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -52,8 +55,10 @@ STEMS = range(4, 8)
 
 # Letters of other scripts that look like Latin ones, and the
 # digits and symbols that stand for letters.
-HOMOGLYPHS = dict(zip("абвгеёзіїјкмнорстухѕԁһӏαβεηικνορτυχω", "a6breeziijkmhopctyxsdhiabehikvoptuxw"))
-SUBSTITUTES = dict(zip("0134579@$!|l", "oieastgasiii"))
+HOMOGLYPHS = dict(zip("абвгеёзіїјкмнорстухѕԁһӏαβεηικνορτυχω", "abbreeziijkmhopctyxsdhiabehikvoptuxw"))
+SUBSTITUTES = dict(zip("0134579@$!|", "oieastgasii"))
+#: l and i are one letter, as both are written for the other.
+_ONE_LETTER = {"l": "i"}
 HIDDEN = "­​‌‍⁠﻿"
 
 
@@ -67,18 +72,29 @@ class _Fold(dict):
         else:
             base = unicodedata.normalize("NFKD", c)[0]
             base = HOMOGLYPHS.get(base, base)
-            base = SUBSTITUTES.get(base, base)
-            out = base if base.isalpha() else " "
+            base = _ONE_LETTER.get(base, base)
+            out = base if base.isalpha() or base in SUBSTITUTES else " "
         self[code] = out
         return out
 
 
 _FOLD = _Fold()
+_LETTER, _SIGNS = r"[^\W\d_]", "".join(SUBSTITUTES)
+_INSIDE = re.compile(rf"(?<={_LETTER})[{_SIGNS}]+(?={_LETTER})")
+#: ``!`` and ``|`` at a word's end are punctuation.
+_EDGE = re.compile(rf"(?<={_LETTER})[{_SIGNS.strip('!|')}]+|[{_SIGNS.strip('!|')}]+(?={_LETTER})")
+_LETTERS = str.maketrans(SUBSTITUTES)
+_NO_LETTERS = str.maketrans(dict.fromkeys(_SIGNS, " "))
 
 
 def fold(text: str | None) -> str:
-    """The folded text as words between single or repeated spaces."""
-    return f" {text.translate(_FOLD)} " if text else ""
+    """The folded text: words with one space before and after each."""
+    if not text:
+        return ""
+    out = text.translate(_FOLD)
+    for at in (_INSIDE, _EDGE):
+        out = at.sub(lambda m: m[0].translate(_LETTERS), out)
+    return f" {' '.join(out.translate(_NO_LETTERS).split())} "
 
 
 def _features(words: set[str]):
@@ -164,10 +180,10 @@ class Lexicon:
 def _pairs(folded: str, at: int) -> list[str]:
     """The word that starts after ``at`` with its left and its right neighbour."""
     end = folded.find(" ", at + 1)
-    word = folded[at + 1:end if end > 0 else len(folded)]
-    left = folded[max(0, at - 60):at].split()
-    right = folded[end:end + 60].split() if end > 0 else []
-    return ([f"{left[-1]} {word}"] if left else []) + ([f"{word} {right[0]}"] if right else [])
+    word = folded[at + 1:end]
+    left = folded[folded.rfind(" ", 0, at) + 1:at] if at else ""
+    right = folded[end + 1:folded.find(" ", end + 1)] if end + 1 < len(folded) else ""
+    return ([f"{left} {word}"] if left else []) + ([f"{word} {right}"] if right else [])
 
 
 def _inputs(weight: float, words: int) -> tuple[float, float, float]:

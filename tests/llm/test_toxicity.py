@@ -41,11 +41,37 @@ def test_held_out_accuracy_folding_and_exceptions(spark, prose):
 
 
 def test_fold():
-    assert T.fold("Ìd1öt — ТRASH!").split() == ["idiot", "trashi"]
+    assert T.fold("Ìd1öt — ТRASH!").split() == ["idiot", "trash"]
+    assert T.fold("scum! m0r0ns. a$$ @ss v!le|y !no |yes| 5 stars, 2019! дум").split() == [
+        "scum", "morons", "ass", "ass", "viieiy", "no", "yes", "stars", "дyм".replace("м", "m")]
+    assert T.fold("ѕсum, бad б").split() == ["scum", "bad", "b"]
     assert T.fold("a​b") == " ab "
     assert T.fold(None) == T.fold("") == ""
 
 
+def test_matches_equal_naive_search(spark, prose):
+    """The automaton against looking every word up, with long neighbours."""
+    entries = {" scum ": 4.0, " scumb": 5.0, " mor": 3.0, " morons ": 6.0, " ass ": 2.0, " viie": 1.5}
+    lexicon = T.Lexicon(entries, frozenset(["scum detector", "x" * 200 + " morons", "ass " + "y" * 90]), (-2.0, 1.0, 1.0))
+    automaton = lexicon.automaton()
+
+    def naive(text):
+        words, weight, n = T.fold(text).split(), 0.0, 0
+        for k, w in enumerate(words):
+            held = [e for e in entries if (f" {w} " == e) or (not e.endswith(" ") and f" {w}".startswith(e))]
+            near = {f"{a} {b}" for a, b in zip(words[max(0, k - 1):k + 1], words[max(0, k - 1) + 1:k + 2])}
+            if held and not near & lexicon.exceptions:
+                weight, n = weight + entries[max(held, key=len)], n + 1
+        return weight, n, len(words)
+    r = random.Random(4)
+    parts = ["scum!", "SCUMBAG", "scum", "detector", "m0r0ns.", "morons", "x" * 200, "a$$", "y" * 90, "ѕсum", "v!le", "moron!",
+             "-", "ok", "mor", "scummy"]
+    for _ in range(500):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(0, 30)))
+        assert lexicon.measure(text, automaton) == naive(text), text
+    assert lexicon.measure("scum!", automaton)[1] == 1
+
+
 def test_extra_columns_empty_tables_and_no_labels(spark, docs_of, prose):
     docs = docs_of([(1, "some text"), (1, "some text"), (None, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
