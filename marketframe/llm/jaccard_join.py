@@ -14,19 +14,25 @@ metric.  Two documents link when ``d <= radius`` (0.2).
    kept, as many as still hold one of the shingles common to any partner.
    Passages that many unlike documents share are common shingles and drop
    out without comparing their documents.
-3. *Voronoi regions.*  Every kept shingle names a region; a document lies in
-   all regions of its kept shingles, so boundary documents are replicated.
-   The document of lowest priority in a region is its pivot.  Distances of
-   the region's documents to the pivot are computed exactly, once for each
-   (document, pivot) pair; a region with a third of all rows is dealt over
-   many tasks, each with a copy of the pivot's set.
-4. *Windows.*  ``|d(x,p) - d(z,p)| <= d(x,z)``: a document linked to the pivot
-   can only link to an unlinked one whose pivot distance lies within
-   ``radius`` of its own.  Linked documents outside every such window are done
-   (they are one component through the pivot); the rest of the region is
-   joined again, recursively, around the next pivot: within one task once it
-   is small, else over the cluster.
-5. Links become component ids by large-star / small-star rounds.
+3. *First pivots.*  Every kept shingle names a region; a document lies in all
+   regions of its kept shingles.  The document of lowest priority in a region is
+   its pivot.  Exact distances to it are worked out once for each (document,
+   pivot) pair; a region with a third of all rows is dealt over many tasks.
+   ``|d(x,p) - d(z,p)| <= d(x,z)``: a document linked to the pivot can only link
+   to an unlinked one whose distance lies within ``radius`` of its own.  Linked
+   documents outside every such window are done; the others stay open.
+4. *Coverage.*  An open document whose shingles are not to four fifths in other
+   open documents has no open partner and leaves; open regions that still overlap
+   are one cell.
+5. *Voronoi cells.*  A cell of more than ``CELL_BYTES`` is split around several
+   pivots: each document goes home to its nearest pivot and is copied into every
+   cell whose pivot is at most ``2 * radius`` further, so the home cell of either
+   document of a link holds both.  Cells split recursively.
+6. *Joining.*  A cell's home documents are indexed in a task, by blocks of at most
+   ``CELL_BYTES``, and all documents of the cell pass by: shingles in order of
+   rarity, prefixes looked up, sizes of the intersections verified.  Blocks also
+   finish cells that copies keep from shrinking.
+7. Links become component ids by large-star / small-star rounds.
 
 Equal sets are one class from the start; only class representatives are
 joined and every copy gets the class's component.
@@ -57,10 +63,10 @@ NUM, DEN = 4, 5
 SLACK = 0.08
 #: Documents of a region that one task compares with the region's pivot.
 REGION_SPLIT = 2000
-#: Overlapping open regions with at most so many documents are joined in one task.
-CLUSTER = 4096
-#: Pivots of a region that are taken at once after the first one.
-LEADERS = 8
+#: Bytes of shingle sets (8 a shingle) that a task holds of a cell at once.
+CELL_BYTES = 24 << 20
+#: Most pivots that split a cell.
+PIVOTS = 32
 RADIUS = 1 - NUM / DEN
 _EPS = 1e-9
 
@@ -84,37 +90,36 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketch(k: int, with_prefix: bool):
-    """Arrow batches (doc_id, text) to doc_id, set size and digest of the set;
-    with the class number and the emitted shingles if asked for."""
+def _named(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """128-bit names of sets, as two columns."""
+    raw = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+    return list(np.frombuffer(raw, np.int64).reshape(-1, 2).T)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(arrays)), pa.int64()))
+
+
+def _sketch(k: int, shown: str):
+    """Arrow batches (doc_id, text) to doc_id, size and name of the set, with
+    the emitted shingles or the whole set if asked for."""
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for first, raws in slices(texts):
+            for first, raws in slices(batch.column(1).to_pylist()):
                 sets = shingle_sets(raws, k)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                columns = {"doc_id": ids.slice(first, len(sets)),
-                           "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                           "set_id": pa.array(digests, pa.binary())}
-                if with_prefix:
-                    del columns["set_id"]
-                    columns["cls"] = pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
-                    cut = [_signed(s[:_missing(len(s)) + _extra(len(s))]) for s in sets]
-                    ends = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int32)
-                    columns["prefix"] = pa.ListArray.from_arrays(
-                        pa.array(ends), pa.array(np.concatenate(cut), pa.int64()))
+                s1, s2 = _named(sets)
+                columns = {"doc_id": batch.column(0).slice(first, len(sets)),
+                           "n": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array(s1), "s2": pa.array(s2)}
+                if shown == "prefix":
+                    columns["prefix"] = _lists([s[:_missing(len(s)) + _extra(len(s))] for s in sets])
+                elif shown == "shingles":
+                    columns["shingles"] = _lists(sets)
                 yield pa.RecordBatch.from_pydict(columns)
     return run
 
 
-def _sets(k: int):
-    def run(batches):
-        for pdf in batches:
-            for first, raws in slices(pdf["text"]):
-                sets = shingle_sets(raws, k)
-                yield pd.DataFrame({"doc": pdf["doc"].iloc[first:first + len(sets)].to_numpy(),
-                                    "shingles": [s.tobytes() for s in sets]})
-    return run
+_SKETCH = "doc_id long, n long, s1 long, s2 long"
 
 
 def _distances(batches):
@@ -123,7 +128,7 @@ def _distances(batches):
     for pdf in batches:
         out = []
         for p, part, doc, raw in zip(pdf["pivot"], pdf["part"], pdf["doc"], pdf["shingles"]):
-            s = np.frombuffer(raw, np.uint64)
+            s = np.asarray(raw).view(np.uint64)
             if (p, part) != pivot:
                 pivot, base = (p, part), s
                 continue
@@ -146,54 +151,205 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInPandas(_distances, "pivot long, doc long, dist double, linked boolean"))
 
 
-def _joined(batches):
-    """Links within clusters (rows sorted by cluster), one at a time, enough
-    that linked documents are connected: every document is a pivot in turn,
-    compared with later ones that are not connected to it yet and lie in the
-    window of the first pivot's distances."""
-    held: list[tuple[int, np.ndarray, int]] = []
-    cluster = None
-
-    def links(docs):
-        if len(docs) < 2:
-            return []
-        size = np.array([len(s) for _, s, _ in docs])
-        first = np.array([_distance(docs[0][1], s) for _, s, _ in docs])
-        comp, out = np.array([c for _, _, c in docs]), []
-        for i in range(len(docs)):
-            small, large = np.minimum(size[i], size), np.maximum(size[i], size)
-            near = (comp != comp[i]) & (DEN * small >= NUM * large) & (np.abs(first - first[i]) <= RADIUS + _EPS)
-            near[:i + 1] = False
-            for j in np.flatnonzero(near).tolist():
-                if comp[j] == comp[i]:
-                    continue
-                common = intersection_size(docs[i][1], docs[j][1])
-                if DEN * common >= NUM * (size[i] + size[j] - common):
-                    out.append((docs[j][0], docs[i][0]))
-                    comp[comp == comp[j]] = comp[i]
+class Block:
+    """Shingle sets indexed by the prefixes of a rare-first order."""
+
+    def __init__(self, docs: list[int], sets: list[np.ndarray]):
+        self.docs, self.sets = docs, sets
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
+        self.keys, self.places, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.lexsort((self.keys, df))
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        prefixes = [np.sort(self.rank[self.places[a:a + n]])[:_missing(n) + 1]
+                    for a, n in zip(self.start.tolist(), self.size.tolist())]
+        owner = np.repeat(np.arange(len(docs)), [len(p) for p in prefixes])
+        flat = np.concatenate(prefixes)
+        by = np.argsort(flat, kind="stable")
+        self.posted, self.post_start = owner[by], np.searchsorted(flat[by], np.arange(len(order) + 1))
+        self.comp = np.arange(len(docs))
+
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """Size of the intersection of ``s`` with every set."""
+        held = np.zeros(len(self.keys) + 1, bool)
+        at = np.searchsorted(self.keys, s)
+        held[at[self.keys[np.minimum(at, len(self.keys) - 1)] == s]] = True
+        return np.add.reduceat(held[self.places], self.start)
+
+    def linked(self, s: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Those of ``rows`` that link with ``s``."""
+        small, large = np.minimum(self.size[rows], len(s)), np.maximum(self.size[rows], len(s))
+        rows = rows[DEN * small >= NUM * large]
+        if len(rows) > 200:
+            both = self.common(s)[rows]
+        else:
+            both = np.array([intersection_size(s, self.sets[r]) for r in rows.tolist()], np.int64)
+        return rows[DEN * both >= NUM * (self.size[rows] + len(s) - both)]
+
+    def candidates(self, s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        known = self.keys[at] == s
+        # shingles that the block does not hold are the rarest
+        ranks = np.sort(self.rank[at[known]])[:max(0, _missing(len(s)) + 1 - int((~known).sum()))]
+        lists = [self.posted[a:b] for a, b in zip(self.post_start[ranks].tolist(), self.post_start[ranks + 1].tolist())]
+        return np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+
+    def _tie(self, i: int, rows: np.ndarray, out: list):
+        for j in rows.tolist():
+            if self.comp[j] != self.comp[i]:
+                out.append((self.docs[i], self.docs[j]))
+                self.comp[self.comp == self.comp[j]] = self.comp[i]
+
+    def own_links(self) -> list[tuple[int, int]]:
+        """Links between the block's sets, enough that linked ones are
+        connected: a few leaders meet all sets first, which joins large groups
+        of copies; sets outside the largest group then look up all others."""
+        out: list[tuple[int, int]] = []
+        everyone = np.arange(len(self.docs))
+        for i in everyone[np.linspace(0, len(self.docs) - 1, min(16, len(self.docs))).astype(int)].tolist():
+            self._tie(i, self.linked(self.sets[i], everyone), out)
+        largest = np.bincount(self.comp).argmax()
+        for i in np.flatnonzero(self.comp != largest).tolist():
+            rows = self.candidates(self.sets[i])
+            rows = rows[self.comp[rows] != self.comp[i]]
+            if len(rows):
+                self._tie(i, self.linked(self.sets[i], rows), out)
         return out
 
+    def links_to(self, doc: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """A link to one set of each group that the passing set links with."""
+        rows = self.candidates(s)
+        rows = self.linked(s, rows) if len(rows) else rows
+        _, first = np.unique(self.comp[rows], return_index=True)
+        return [(doc, self.docs[r]) for r in rows[first].tolist()]
+
+
+def _blocks_joined(batches):
+    """Links of blocks: rows (cell, block, passing, doc, shingles), sorted, the
+    block's own documents before the passing ones."""
+    name, held, block = None, [], None
+
+    def built():
+        nonlocal block
+        if block is None and held:
+            block = Block([d for d, _ in held], [s for _, s in held])
+            return block.own_links()
+        return []
     for pdf in batches:
         out = []
-        for c, doc, comp, raw in zip(pdf["cluster"], pdf["doc"], pdf["comp"], pdf["shingles"]):
-            if c != cluster:
-                out += links(held)
-                cluster, held = c, []
-            held.append((doc, np.frombuffer(raw, np.uint64), comp))
+        for cell, part, passing, doc, raw in zip(*(pdf[c] for c in ("cell", "block", "passing", "doc", "shingles"))):
+            if (cell, part) != name:
+                out += built()
+                name, held, block = (cell, part), [], None
+            s = np.asarray(raw).view(np.uint64)
+            if not passing:
+                held.append((doc, s))
+                continue
+            out += built()
+            if block is not None:
+                out += block.links_to(doc, s)
         yield pd.DataFrame(out, columns=["a", "b"])
-    yield pd.DataFrame(links(held), columns=["a", "b"])
-
-
-def _distance(a: np.ndarray, b: np.ndarray) -> float:
-    common = intersection_size(a, b)
-    return 1.0 - common / (len(a) + len(b) - common)
+    yield pd.DataFrame(built(), columns=["a", "b"])
 
 
-def _clusters(rows: DataFrame) -> DataFrame:
-    """(doc, cluster): documents whose open regions overlap, in turn."""
+def _homes(batches):
+    """Cells of the next level: rows (cell, part, own, doc, home, shingles),
+    sorted, the pivots of a cell (own = 0) before its documents."""
+    name, pivots = None, []
+    for pdf in batches:
+        out = []
+        for cell, part, own, doc, home, raw in zip(*(pdf[c] for c in ("cell", "part", "own", "doc", "home", "shingles"))):
+            if (cell, part) != name:
+                name, pivots = (cell, part), []
+            s = np.asarray(raw).view(np.uint64)
+            if not own:
+                pivots.append(s)
+                continue
+            both = np.array([intersection_size(p, s) for p in pivots])
+            away = 1.0 - both / (np.array([len(p) for p in pivots]) + len(s) - both)
+            near = int(away.argmin())
+            for k in np.flatnonzero(away <= away[near] + 2 * RADIUS + _EPS).tolist():
+                out.append((cell, k, doc, bool(home) and k == near))
+        yield pd.DataFrame(out, columns=["cell", "child", "doc", "home"])
+
+
+def _split(cells: DataFrame, big: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Members (parent, cell, doc, home, n) of the ``big`` cells (cell, bytes)
+    dealt to the cells around several pivots each."""
+    rows = cells.join(big, "cell")
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("doc", F.lit(level)), "doc")
+    many = F.least(F.lit(PIVOTS), 2 * F.ceil(F.col("bytes") / CELL_BYTES))
+    pivots = (rows.where("home").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+              .where(F.col("place") <= many).select("cell", "doc", "place", "bytes"))
+    parts = F.ceil(F.col("bytes") / CELL_BYTES).cast("int")
+    dealt = rows.select("cell", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"), F.lit(1).alias("own"),
+                        F.lit(0).alias("place"), "doc", "home")
+    heads = pivots.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("own"),
+                          "place", "doc", F.lit(True).alias("home"))
+    met = (dealt.unionByName(heads).join(sets, "doc").repartition("cell", "part")
+           .sortWithinPartitions("cell", "part", "own", "place")
+           .select("cell", "part", "own", "doc", "home", "shingles")
+           .mapInPandas(_homes, "cell long, child long, doc long, home boolean"))
+    return (met.join(rows.select("cell", "doc", "n"), ["cell", "doc"])
+            .select(F.col("cell").alias("parent"), F.xxhash64("cell", "child", F.lit(level)).alias("cell"), "doc", "home", "n"))
+
+
+def _work(cells: DataFrame, name: str) -> DataFrame:
+    """(name, work): bytes that pass blocks if no cell of ``name`` is split."""
+    own = F.sum(F.when(F.col("home"), F.col("n") * 8).otherwise(0))
+    each = cells.select("cell", F.col(name).alias("of"), "home", "n").groupBy("cell", "of").agg(
+        (F.ceil(own / CELL_BYTES) * F.sum(F.col("n") * 8)).alias("work"))
+    return each.groupBy(F.col("of").alias(name)).agg(F.sum("work").alias("work"))
+
+
+def _cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between documents of the same cell; ``cells`` has cell, doc, n."""
+    todo = materialise(cells.select("cell", "doc", F.lit(True).alias("home"), "n"))
+    done, held, level = [], F.sum(F.col("n") * 8), 0
+    while True:
+        size = todo.groupBy("cell").agg(held.alias("bytes"), F.count_if("home").alias("homes"))
+        big = materialise(size.where((F.col("bytes") > CELL_BYTES) & (F.col("homes") > 1)).select("cell", "bytes"))
+        if big.isEmpty():
+            break
+        parted = materialise(_split(todo, big, sets, level))
+        # a split that does not halve the work is not made: blocks finish the cell
+        before = _work(todo.join(big, "cell", "left_semi"), "cell").withColumnRenamed("work", "before")
+        good = materialise(before.join(_work(parted, "parent").withColumnRenamed("parent", "cell"), "cell")
+                           .where("2 * work <= before").select("cell"))
+        done.append(todo.join(good, "cell", "left_anti"))
+        todo = materialise(parted.join(good.withColumnRenamed("cell", "parent"), "parent", "left_semi").drop("parent"))
+        level += 1
+    cells = functools.reduce(DataFrame.unionByName, [*done, todo])
+    blocks = cells.where("home").groupBy("cell").agg(F.ceil(held / CELL_BYTES).cast("int").alias("blocks"))
+    rows = cells.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    met = rows.select("cell", "doc", "own", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # of two own blocks the later one passes by the earlier
+    met = met.where(~F.col("home") | (F.col("own") >= F.col("block")))
+    passing = (~F.col("home") | (F.col("own") != F.col("block"))).alias("passing")
+    return (met.select("cell", "block", passing, "doc").join(sets, "doc").repartition("cell", "block")
+            .sortWithinPartitions("cell", "block", "passing").select("cell", "block", "passing", "doc", "shingles")
+            .mapInPandas(_blocks_joined, "a long, b long"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """(doc, cell): documents whose open regions overlap, in turn."""
     low = rows.groupBy("key").agg(F.min("doc").alias("b"))
     comp = components(rows.join(low, "key").select(F.col("doc").alias("a"), "b"))
-    return comp.select(F.col("id").alias("doc"), F.col("component").alias("cluster"))
+    return comp.select(F.col("id").alias("doc"), F.col("component").alias("cell"))
+
+
+def _covered(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Open rows (key, doc) of documents that have enough of their shingles in
+    other open documents."""
+    for _ in range(2):
+        each = materialise(sets.join(open_.select("doc").distinct(), "doc", "left_semi")
+                           .select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+        shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle")
+        stay = (each.join(shared, "shingle", "left_semi").groupBy("doc", "n").agg(F.count("*").alias("m"))
+                .where(F.col("m") * DEN >= F.col("n") * NUM).select("doc"))
+        open_ = materialise(open_.join(stay, "doc", "left_semi"))
+    return open_
 
 
 def _frequent_enough(rows: DataFrame) -> DataFrame:
@@ -209,26 +365,37 @@ def _frequent_enough(rows: DataFrame) -> DataFrame:
 def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
                   text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes, links): ``classes`` has doc_id, n_shingles, rep (smallest id
-    with an equal set); ``links`` has (a, b) between class representatives,
-    enough of them that linked documents are connected."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = docs.mapInArrow(_sketch(k, True), "doc_id long, n_shingles long, cls long, prefix array<long>")
-    plain = materialise(docs.mapInArrow(_sketch(k, False), "doc_id long, n_shingles long, set_id binary"))
-    reps = plain.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    classes = materialise(plain.join(reps, "set_id", "left")
-                          .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    with an equal set); ``links`` has (a, b) between ids, enough of them that
+    linked documents are connected."""
+    spark = documents.sparkSession
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = materialise(docs.mapInArrow(_sketch(k, "none"), _SKETCH))
+    docs = docs.where("doc_id is not null")
+    sketched = docs.mapInArrow(_sketch(k, "prefix"), _SKETCH + ", prefix array<long>")
+    reps = materialise(plain.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")))
+    reps = materialise(reps.withColumn("cls", F.monotonically_increasing_id()))
+    # only copied sets need their representative looked up
+    copied = reps.where("rows > 1").select("s1", "s2", "rep")
+    wordy = plain.where("n > 0 and doc_id is not null").join(copied, ["s1", "s2"], "left")
+    bare = plain.where("n = 0 or doc_id is null").withColumn("rep", F.col("doc_id"))
+    classes = materialise(wordy.unionByName(bare).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
+    # rows that repeat an id with other texts are one document
+    several = classes.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    one_id = classes.join(several.select("doc_id"), "doc_id", "left_semi").where("doc_id <> rep").select(
+        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # 1. documents with enough emitted shingles that another set emits too
-    emitted = sketched.select("cls", "n_shingles", F.explode("prefix").alias("key"))
-    common = (emitted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-              .where("lo <> hi").select("key"))
-    rep_rows = sketched.select("doc_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("key"))
-    common = materialise(common)
-    with runtime_filter(documents.sparkSession):
-        found = materialise(rep_rows.join(selected(common, "key"), "key", "left_semi"))
+    emitted = sketched.select("s1", F.explode("prefix").alias("key"))
+    common = materialise(emitted.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
+                         .where("lo <> hi").select("key"))
+    rows = sketched.select("doc_id", "s1", "s2", F.explode("prefix").alias("key"))
+    with runtime_filter(spark):
+        found = materialise(rows.join(selected(common, "key"), "key", "left_semi"))
     # one row for each key and class, of documents that have enough of them
-    own = classes.where("doc_id = rep").select(F.col("doc_id").alias("doc")).distinct()
-    rows = found.withColumnRenamed("doc_id", "doc").join(own, "doc", "left_semi").distinct()
+    own = reps.select("s1", "s2", F.col("rep").alias("doc_id"), "n", F.col("cls").alias("doc"))
+    rows = found.join(own, ["s1", "s2", "doc_id"]).select("doc", "n", "key").distinct()
     rows = materialise(_frequent_enough(materialise(_frequent_enough(rows).select("doc", "n", "key")))
                        .select("doc", "n", "key", "df", "m"))
 
@@ -239,51 +406,37 @@ def jaccard_links(documents: DataFrame, k: int = 5, id_col: str = "doc_id",
                           .select("key", "doc"))
 
     # sets of the documents that are left
-    members = materialise(regions.select("doc").distinct())
-    with runtime_filter(documents.sparkSession):
-        texts = docs.join(selected(members, "doc"), F.col("doc_id") == F.col("doc"), "left_semi")
-        sets = materialise(texts.select(F.col("doc_id").alias("doc"), "text")
-                           .mapInPandas(_sets(k), "doc long, shingles binary"))
-
-    # 3, 4. regions around pivots, again for what the windows leave open
-    found: list[DataFrame] = []
-    while True:
-        # the first pivot halves most regions; what stays open takes many at a time
-        leaders = 1 if not found else LEADERS
-        priority = Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc")
-        pivots = (regions.withColumn("place", F.row_number().over(priority)).where(F.col("place") <= leaders)
-                  .select("key", F.col("doc").alias("pivot")))
-        placed = regions.join(pivots, "key").where("doc <> pivot")
-        measured = materialise(_measure(placed.select("doc", "pivot").distinct(), sets))
-        found.append(measured.where("linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-        if leaders == 1:
-            around = placed.join(measured, ["doc", "pivot"])
-            ring = around.where("not linked").groupBy("key").agg(F.min("dist").alias("ring"))
-            # only regions with an unlinked document can hold an open link
-            open_ = around.join(ring, "key").where(
-                F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring"))).select("key", "doc")
-        else:  # every pivot has met its whole region
-            open_ = regions.join(pivots.withColumnRenamed("pivot", "doc"), ["key", "doc"], "left_anti")
-        # and only one between documents that are not connected yet matters
-        comp = components(functools.reduce(DataFrame.unionByName, found))
-        open_ = materialise(open_.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
-                            .select("key", "doc", F.coalesce("component", "doc").alias("comp")))
-        apart = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        open_ = materialise(open_.join(apart.select("key"), "key", "left_semi"))
-        if open_.isEmpty():
-            break
-        # overlapping open regions of few documents are joined in one task
-        cluster = _clusters(open_)
-        size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-        small = materialise(cluster.join(size.where(F.col("size") <= CLUSTER), "cluster").select("doc", "cluster"))
-        comps = open_.select("doc", "comp").distinct()
-        found.append(materialise(
-            small.join(comps, "doc").join(sets, "doc").repartition("cluster").sortWithinPartitions("cluster", "doc")
-            .select("cluster", "doc", "comp", "shingles").mapInPandas(_joined, "a long, b long")))
-        regions = materialise(open_.join(small, "doc", "left_anti").select("key", "doc"))
-        if regions.isEmpty():
-            break
-    return classes, functools.reduce(DataFrame.unionByName, found)
+    members = materialise(own.join(regions.select("doc").distinct(), "doc", "left_semi"))
+    ids = materialise(members.select(F.col("doc_id").alias("_id")).distinct())
+    with runtime_filter(spark):
+        texts = docs.join(selected(ids, "_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+        sets = texts.mapInArrow(_sketch(k, "shingles"), _SKETCH + ", shingles array<long>")
+        sets = materialise(sets.join(members.select("doc_id", "s1", "s2", "doc"), ["doc_id", "s1", "s2"])
+                           .select("doc", "shingles").dropDuplicates(["doc"]))
+
+    # 3. regions around their first pivots
+    priority = Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc")
+    pivots = (regions.withColumn("place", F.row_number().over(priority)).where(F.col("place") == 1)
+              .select("key", F.col("doc").alias("pivot")))
+    placed = regions.join(pivots, "key").where("doc <> pivot")
+    measured = materialise(_measure(placed.select("doc", "pivot").distinct(), sets))
+    found = measured.where("linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    around = placed.join(measured, ["doc", "pivot"])
+    ring = around.where("not linked").groupBy("key").agg(F.min("dist").alias("ring"))
+    # only regions with an unlinked document can hold an open link
+    open_ = materialise(around.join(ring, "key").where(
+        F.expr("not linked") | (F.col("dist") + RADIUS + _EPS >= F.col("ring"))).select("key", "doc"))
+
+    # 4 to 6. what the windows leave open, in cells
+    open_ = _covered(open_, sets)
+    apart = open_.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    open_ = materialise(open_.join(apart.select("key"), "key", "left_semi"))
+    cells = _cells(open_).join(members.select("doc", "n"), "doc")
+    found = materialise(found.unionByName(_cell_links(cells, sets)))
+    named = members.select(F.col("doc").alias("a"), F.col("doc_id").alias("rep_a"))
+    links = (found.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("rep_a").alias("rep_b")), "b")
+             .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    return classes, links.unionByName(one_id)
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, id_col: str = "doc_id",

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketframe.llm import jaccard_join as J
 
@@ -17,23 +18,21 @@ def shingles(text):
 
 
 def brute(pairs):
-    sets = {}
-    for i, t in pairs:
-        sets.setdefault(i, shingles(t))
-    up = {i: i for i in sets}
+    """Rows (id, set size, component); rows of one id are one document."""
+    rows = [(i, shingles(t)) for i, t in pairs]
+    up = {i: i for i, _ in rows}
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1:]:
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[k + 1:]:
+            both = len(a & b)
+            if a and b and 100 * both >= 80 * (len(a) + len(b) - both):
+                x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
-    return {(i, len(sets[i]), find(i)) for i in ids}
+    return sorted((i, len(s), find(i)) for i, s in rows)
 
 
 def near(text, r, edits):
@@ -61,16 +60,51 @@ def corpus(prose, groups=6, copies=40):
     return [(7 + 3 * k, t) for k, t in enumerate(pairs)]
 
 
-@pytest.mark.parametrize("cluster, split, groups, copies", [(512, 2000, 6, 40), (1, 5, 1, 8)])
-def test_equals_brute_force(docs_of, prose, monkeypatch, cluster, split, groups, copies):
-    """Also with all regions finished over the cluster, dealt in small parts."""
-    monkeypatch.setattr(J, "CLUSTER", cluster)
+@pytest.mark.parametrize("cell, split, groups, copies", [(24 << 20, 2000, 6, 40), (20_000, 5, 6, 40), (1, 50, 2, 12)])
+def test_equals_brute_force(docs_of, prose, monkeypatch, cell, split, groups, copies):
+    """Also with cells that are split around pivots and finished in blocks."""
+    monkeypatch.setattr(J, "CELL_BYTES", cell)
     monkeypatch.setattr(J, "REGION_SPLIT", split)
     pairs = corpus(prose, groups, copies)
-    got = {tuple(r) for r in J.jaccard_components(docs_of(pairs)).collect()}
+    got = sorted(tuple(r) for r in J.jaccard_components(docs_of(pairs)).collect())
     assert got == brute(pairs)
 
 
+def test_repeated_ids_with_different_texts(docs_of, prose):
+    a, b, c = (prose(90, k) for k in (1, 2, 3))
+    r = random.Random(1)
+    pairs = [(2, a), (5, a), (5, b), (9, b), (11, c), (2, near(c, r, 1)), (20, prose(40, 4)), (20, prose(40, 5)), (21, None),
+             (21, near(a, r, 1)), (30, ""), (30, prose(30, 6))]
+    got = sorted(tuple(x) for x in J.jaccard_components(docs_of(pairs)).collect())
+    assert got == brute(pairs)
+    assert {x[2] for x in got if x[0] in (2, 5, 9, 11, 21)} == {2}
+
+
+def test_homes_and_copies_hold_every_link(spark, prose, monkeypatch):
+    """Cells around pivots of texts on a line of edits, none of them alike by
+    a first pivot: the home cell of either text of a link holds both."""
+    monkeypatch.setattr(J, "CELL_BYTES", 3000)
+    r, text, rows = random.Random(2), prose(60, 1), []
+    for k in range(80):
+        sets = J.shingle_sets([text.encode()], 5)[0]
+        rows.append((k, [int(x) for x in sets.view("int64")], len(sets)))
+        text = near(text, r, 2)
+    df = spark.createDataFrame(rows, "doc long, shingles array<long>, n long")
+    links = J._cell_links(df.select(F.lit(1).cast("long").alias("cell"), "doc", "n"), df.select("doc", "shingles")).collect()
+    held = {i: set(s) for i, s, _ in rows}
+    want = {(a, b) for a in held for b in held if a < b
+            and 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])}
+    assert {(min(a, b), max(a, b)) for a, b in links} <= want
+
+    def groups(edges):
+        up = dict(zip(held, held))
+        for _ in held:
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+    assert groups(links) == groups(want)
+
+
 def test_empty_table_and_repeated_rows(docs_of):
     assert J.jaccard_components(docs_of([])).count() == 0
     rows = J.jaccard_components(docs_of([(4, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f"), (None, "x y")]))
