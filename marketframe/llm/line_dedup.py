@@ -74,7 +74,7 @@ def _halves(line: Column, n: Column) -> Column:
 
 
 #: Words of a block of running hashes.
-_BLOCK = 64
+_BLOCK = 16
 
 
 def _heads(w: Column) -> Column:

@@ -802,7 +802,7 @@ FROM users_t u LEFT JOIN (
 ON u.id = o.id""", "users_t")
 
 # One-by-one replay as a recursive CTE over the attempts numbered per account
-Q["q_login_lockout"] = with_ctes("""
+_WALK = """
 WITH RECURSIVE ev AS (
   SELECT a.account_id, a."at", a.password_ok,
          row_number() OVER (PARTITION BY a.account_id ORDER BY a."at") AS rn
@@ -827,6 +827,9 @@ walk AS (
          CASE WHEN NOT (w.lk IS NOT NULL AND w.lk > e."at") AND NOT e.password_ok
                    AND COALESCE(w.n, 0) + 1 < 5 THEN CAST(5 - (COALESCE(w.n, 0) + 1) AS INTEGER) END
   FROM walk w JOIN ev e ON e.account_id = w.account_id AND e.rn = w.rn + 1)
+"""
+
+Q["q_login_lockout"] = with_ctes(_WALK + """
 SELECT account_id, "at", outcome, n AS intentos_fallidos, lk AS bloqueado_hasta,
        minutos AS minutos_restantes, restantes AS intentos_restantes
 FROM walk WHERE rn > 0
@@ -842,6 +845,16 @@ SELECT a.account_id, a."at",
 FROM attempts_t a LEFT JOIN vendedores s ON a.account_id = s.vendedor_id
 WHERE s.vendedor_id IS NULL OR NOT s.activo""", "attempts_t", "vendedores")
 
+Q["q_login_lockout_sellers"] = with_ctes(_WALK + """
+SELECT s.vendedor_id, w.n AS intentos_fallidos, w.lk AS bloqueado_hasta,
+       COALESCE((SELECT max(o."at") FROM walk o WHERE o.account_id = s.vendedor_id AND o.outcome = 'ok'),
+                s.ultimo_login) AS ultimo_login
+FROM vendedores s JOIN walk w ON w.account_id = s.vendedor_id
+ AND w.rn = (SELECT max(x.rn) FROM walk x WHERE x.account_id = s.vendedor_id)
+UNION ALL
+SELECT vendedor_id, intentos_fallidos, bloqueado_hasta, ultimo_login FROM vendedores WHERE NOT activo""",
+                                          "attempts_t", "vendedores")
+
 
 def oracle_queries() -> dict[str, str]:
     return dict(Q)

@@ -662,6 +662,13 @@ def q_login_lockout(spark, d):
     return outcomes
 
 
+@query
+def q_login_lockout_sellers(spark, d):
+    """The sellers' login state after the whole log."""
+    _, sellers = lk.login_lockout(b.login_attempts(spark, d), b.vendedores(spark, d), lock=LOCK_LENGTH)
+    return sellers.select("vendedor_id", "intentos_fallidos", "bloqueado_hasta", "ultimo_login")
+
+
 @query
 def q_tournament_admission(spark, d):
     _, _, out = _admission(spark, d)

@@ -144,6 +144,56 @@ def test_lockout_equals_sequential_replay(spark, seed, chunks):
         assert final[k] == (v["n"], v["lock"]), k
 
 
+def test_transition_tables_equal_stepping():
+    """Every state before a chunk, also with attempts at the same time."""
+    rng = random.Random(31)
+    for _ in range(300):
+        lock = rng.choice([0, 3, 10, 40])
+        at = sorted(rng.randint(0, 60) for _ in range(rng.randint(1, 25)))
+        ok = [rng.random() < rng.choice([0, 0.2, 0.6]) for _ in at]
+        table = lk.transitions(at, ok, lock)
+        for n0 in (None, 0, 1, 2, 3, 4, 5, 9):
+            for until0 in (None, at[0], *(rng.randint(0, at[0] + lock) for _ in range(4)), at[0] + lock):
+                n, until = n0, until0
+                for t, good in zip(at, ok):
+                    n, until, *_ = lk.step(n, until, t, good, lock)
+                _, _, fresh, count, end = next(r for r in table if r[0] == min(n0 or 0, 4)
+                                               and (until0 is None or until0 <= r[1]))
+                assert (count if fresh else n0 if not count else (n0 or 0) + count) == n
+                assert (until0 if end == lk._KEEP else None if end == lk._NONE else end) == until
+
+
+def test_lockout_passes_do_not_grow_with_the_chunks(spark):
+    """One account that never succeeds, attempts denser than the lock."""
+    t0 = dt.datetime(2024, 1, 1)
+    attempts = [(1, t0 + dt.timedelta(seconds=s), s % 97 == 96) for s in range(3000)]
+    attempts += [(2, t0 + dt.timedelta(seconds=s), False) for s in range(0, 3000, 10)]
+    accounts = {1: dict(activo=True, n=0, lock=None), 2: dict(activo=True, n=None, lock=None)}
+    want, state = replay.lockout(accounts, sorted(attempts, key=lambda a: a[1]), dt.timedelta(minutes=1))
+    sellers = spark.createDataFrame([(k, v["activo"], v["n"], v["lock"], None) for k, v in accounts.items()], SELLERS)
+    att = spark.createDataFrame(attempts, "account_id long, at timestamp_ntz, password_ok boolean")
+    jobs = {}
+    for chunks in (2, 64):
+        spark.sparkContext.setJobGroup(f"lockout-{chunks}", "lockout")
+        out, new_sellers = lk.login_lockout(att, sellers, lock=dt.timedelta(minutes=1), num_chunks=chunks)
+        jobs[chunks] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lockout-{chunks}"))
+        spark.sparkContext.setJobGroup("", "")
+        assert sorted((r.account_id, r.at, r.outcome) for r in out.collect()) == sorted(want)
+        assert {r.vendedor_id: (r.intentos_fallidos, r.bloqueado_hasta) for r in new_sellers.collect()} == {
+            k: (v["n"], v["lock"]) for k, v in state.items()}
+    assert 0 < jobs[64] <= jobs[2] + 2, jobs
+
+
+def test_lockout_ties_come_by_event_id(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    sellers = spark.createDataFrame([(1, True, 4, None, None)], SELLERS)
+    for ids, want in (((1, 2), ["ok", "failed"]), ((2, 1), ["locked_now", "locked"])):
+        att = spark.createDataFrame([(1, t0, True, ids[0]), (1, t0, False, ids[1])],
+                                    "account_id long, at timestamp_ntz, password_ok boolean, event_id long")
+        out, _ = lk.login_lockout(att, sellers)
+        assert sorted(r.outcome for r in out.collect()) == sorted(want)
+
+
 def test_lockout_minutes_left_rounds_up(spark):
     t0 = dt.datetime(2024, 1, 1)
     sellers = spark.createDataFrame([(1, True, 5, t0 + dt.timedelta(minutes=10, seconds=1), None)], SELLERS)
