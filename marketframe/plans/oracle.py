@@ -855,6 +855,9 @@ UNION ALL
 SELECT vendedor_id, intentos_fallidos, bloqueado_hasta, ultimo_login FROM vendedores WHERE NOT activo""",
                                           "attempts_t", "vendedores")
 
+# micro-batches in arrival order give what one batch gives
+Q["q_inventory_log"] = Q["q_bulk_upsert"]
+
 
 def oracle_queries() -> dict[str, str]:
     return dict(Q)

@@ -6,6 +6,7 @@ would carry (search text, filters, k, page) are fixed values below."""
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from marketframe.operators import inventory as inv
 from marketframe.operators import lockout as lk
 from marketframe.operators import search as se
 from marketframe.operators import tournaments as tn
+from marketframe.session import checkpoint_dir
 from marketframe.sources import bindings as b
+from marketframe.streaming import inventory_stream as ist
 
 # Fixed request parameters of the registered queries.
 SEARCH_OFFERS = "ro"          # my-inventory search text
@@ -34,6 +37,7 @@ SELLER_SEARCH = "gear"
 CARD_SEARCH = "ring"
 SELLER_TEXT = "1"
 PAGE_LIMIT, PAGE_OFFSET = 20, 5
+LOG_BUCKETS = 16
 LOCK_LENGTH = _dt.timedelta(days=1)  # a user has an attempt every ~11 hours
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,6 +253,21 @@ def q_bulk_upsert(spark, d):
     return ch.bulk_upsert(base, lines, now=b.NOW).new_state
 
 
+@query
+def q_inventory_log(spark, d):
+    """The change log applied in micro-batches, one a year of arrival,
+    to the log-structured inventory; the first one is delivered twice."""
+    base, lines = _base_and_changes(spark, d)
+    log = ist.inventory_log(spark, f"{checkpoint_dir(spark).rstrip('/')}/inventory-{uuid.uuid4().hex}", LOG_BUCKETS)
+    log.create(base)
+    year = F.year("at")
+    apply = ist.apply_bulk_batches(log, lambda _: b.NOW)
+    years = sorted(r[0] for r in lines.select(year).distinct().collect())  # a few numbers
+    for batch_id in [*years[:1], *years]:
+        apply(lines.where(year == batch_id), batch_id)
+    return log.read()
+
+
 # ---- joins ---------------------------------------------------------------------------
 def _flat_doc(doc: DataFrame) -> DataFrame:
     return doc.select(

@@ -1,18 +1,13 @@
 """The bulk-add route as a stream.  Inventory change lines land as
 files; every micro-batch is folded and applied with the D5 rule
-(``marketframe.operators.changes.bulk_upsert``) and written as a new
-version folder of the inventory.
-
-Exactly-once without a table format: version ``k`` is always computed from
-the newest committed version *older* than ``k``, written with overwrite,
-and only then recorded in a small commit log (``_commits``).  A micro-batch
-that is replayed after a failure rewrites the same version from the same
-input and base, so the result is the same; readers only trust versions
-listed in the log.  Everything is Spark reads and writes, so the folders
-live on whatever shared file system the cluster uses.
-
-At large scale a v2 table format with ``DataFrame.mergeInto`` would write
-only the touched rows; ``bulk_upsert`` already returns them as ``affected``.
+(``marketframe.operators.changes.bulk_upsert``) to the stored rows of its keys,
+and only the rows it touched are written, as a delta of a log-structured table
+(``marketframe.streaming.inventory_log``).
+
+Exactly-once without a table format: a micro-batch's id is its version.  A
+batch that is replayed after a failure finds its version committed and changes
+nothing, or finds it missing and writes the same rows from the same input and
+the same older versions.
 """
 
 from __future__ import annotations
@@ -20,62 +15,33 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marketframe.operators.changes import bulk_upsert
-from marketframe.schemas import INVENTORY_LINES
-
-COMMITS = "_commits"
-COMMIT_SCHEMA = "batch_id long, path string"
-
-
-def version_path(root: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/v{batch_id:020d}"
+from marketframe.operators.changes import INVENTORY_KEY, bulk_upsert, valid_lines
+from marketframe.schemas import INVENTARIO, INVENTORY_LINES
+from marketframe.session import checkpoint_dir
+from marketframe.streaming.inventory_log import BUCKETS, KeyedLog
 
 
-def latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    """Path of the newest committed version (older than ``before``)."""
-    try:
-        log = spark.read.schema(COMMIT_SCHEMA).parquet(f"{root.rstrip('/')}/{COMMITS}")
-    except AnalysisException as ex:
-        if ex.getCondition() != "PATH_NOT_FOUND":   # anything else is a real failure
-            raise
-        return None                                 # no commit yet
-    if before is not None:
-        log = log.where(F.col("batch_id") < before)
-    row = log.orderBy(F.col("batch_id").desc()).select("path").first()
-    return row.path if row else None
+def inventory_log(spark: SparkSession, root: str, buckets: int = BUCKETS) -> KeyedLog:
+    return KeyedLog(spark, root, INVENTARIO, INVENTORY_KEY, buckets)
 
 
-def read_inventory(spark: SparkSession, root: str, initial: DataFrame | None = None) -> DataFrame:
-    """The current inventory: newest committed version, else ``initial``."""
-    path = latest_version(spark, root)
-    if path is None:
-        if initial is None:
-            raise FileNotFoundError(f"no committed inventory under {root}")
-        return initial
-    return spark.read.parquet(path)
+def read_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """The current inventory."""
+    return inventory_log(spark, root).read()
 
 
-def apply_bulk_batches(initial: DataFrame, root: str,
-                       now_fn: Callable[[int], _dt.datetime] | None = None):
+def apply_bulk_batches(log: KeyedLog, now_fn: Callable[[int], _dt.datetime] | None = None):
     """``foreachBatch`` function applying each micro-batch of change lines."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():      # nothing to apply: keep the current version
-            return
-        spark = batch.sparkSession
-        prev = latest_version(spark, root, before=batch_id)
-        base = spark.read.parquet(prev) if prev else initial
         now = now_fn(batch_id) if now_fn else None
-        res = bulk_upsert(base, batch, now=now)
-        out = version_path(root, batch_id)
-        res.new_state.write.mode("overwrite").parquet(out)
-        spark.createDataFrame([(batch_id, out)], COMMIT_SCHEMA) \
-             .write.mode("append").parquet(f"{root.rstrip('/')}/{COMMITS}")
+        checkpoint_dir(batch.sparkSession)
+        lines = valid_lines(batch)[0].checkpoint()   # read once
+        if log.apply(batch_id, lines, lambda stored: bulk_upsert(stored, lines, now=now).affected):
+            log.compact()
 
     return run
 
@@ -85,12 +51,15 @@ def start_bulk_stream(spark: SparkSession, source_dir: str, initial: DataFrame,
                       now_fn: Callable[[int], _dt.datetime] | None = None,
                       available_now: bool = True, max_files_per_trigger: int | None = None
                       ) -> StreamingQuery:
-    """Start the stream over files of ``INVENTORY_LINES`` rows in ``source_dir``."""
+    """Start the stream over files of ``INVENTORY_LINES`` rows in
+    ``source_dir``; ``initial`` is stored as the first base if there is none."""
+    log = inventory_log(spark, root)
+    log.create(initial)
     reader = spark.readStream.schema(INVENTORY_LINES).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.load(source_dir)
-    writer = (lines.writeStream.foreachBatch(apply_bulk_batches(initial, root, now_fn))
+    writer = (lines.writeStream.foreachBatch(apply_bulk_batches(log, now_fn))
                    .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

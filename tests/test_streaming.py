@@ -2,6 +2,8 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from marketframe.operators import changes as ch
 from marketframe.operators import lockout as lk
 from marketframe.schemas import INVENTARIO, INVENTORY_LINES
@@ -26,11 +28,66 @@ def test_bulk_stream_equals_batch(spark, scratch_dir):
     got = ist.read_inventory(spark, f"{scratch_dir}/inv")
     want = ch.bulk_upsert(base, spark.createDataFrame(rows, INVENTORY_LINES), now=NOW).new_state
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    # a replayed micro-batch (same id) rewrites the same version
-    ist.apply_bulk_batches(base, f"{scratch_dir}/inv", lambda b: NOW)(
+    # a replayed micro-batch (same id) changes nothing
+    before = ist.inventory_log(spark, f"{scratch_dir}/inv").commits()
+    ist.apply_bulk_batches(ist.inventory_log(spark, f"{scratch_dir}/inv"), lambda b: NOW)(
         spark.createDataFrame(rows[:10], INVENTORY_LINES), 0)
     again = ist.read_inventory(spark, f"{scratch_dir}/inv")
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(ist.inventory_log(spark, f"{scratch_dir}/inv").commits()) == sorted(before)
+
+
+def _lines(spark, rows):
+    return spark.createDataFrame([(k, s, c, q, None, None, None, None, None) for k, (s, c, q) in enumerate(rows)],
+                                 INVENTORY_LINES)
+
+
+def test_log_writes_what_a_batch_touches_and_survives_a_lost_commit(spark, scratch_dir):
+    base = spark.range(4000).selectExpr(
+        "1000000000 + id AS inventario_id", "1L AS vendedor_id", "id AS card_id", "5L AS cantidad",
+        "CAST(1 AS DECIMAL(12,2)) AS precio", "'Mint' AS condicion", "'EN' AS idioma", "CAST(NULL AS STRING) AS edicion",
+        "CAST(NULL AS STRING) AS notas", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS created_at",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS updated_at").selectExpr(*[
+            f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in INVENTARIO.fields])
+    root = f"{scratch_dir}/log"
+    log = ist.inventory_log(spark, root)
+    log.create(base)
+    log.create(base.limit(0))                   # there is a base already
+    run = ist.apply_bulk_batches(log, lambda b: NOW)
+    batches = [_lines(spark, [(1, 7, 2), (1, 9, 1), (2, 7, 4), (1, 7, 1), (1, 0, 3)]), _lines(spark, [(1, 7, 1)])]
+    run(batches[0], 0)
+    # data written by a writer that died before its commit is not seen, and is overwritten
+    base.limit(50).withColumn("bucket", F.lit(3)).write.partitionBy("bucket").parquet(f"{root}/data/kind=delta/version=1")
+    got = {(r.vendedor_id, r.card_id): r.cantidad for r in log.read().where("card_id IN (7, 9)").collect()}
+    assert got == {(1, 7): 8, (1, 9): 6, (2, 7): 4}
+    run(batches[1], 1)
+    assert {(c.kind, c.version, c.rows) for c in log.commits()} == {
+        ("base", -1, 4000), ("delta", 0, 3), ("delta", 1, 1)}
+    want = ch.bulk_upsert(ch.bulk_upsert(base, batches[0], now=NOW).new_state, batches[1], now=NOW).new_state
+    assert sorted(map(tuple, log.read().collect())) == sorted(map(tuple, want.collect()))
+    # a batch of one key opens one bucket
+    named = [r[0] for r in batches[1].select(log._bucket()).collect()]
+    assert log._versions(None, named).select(F.input_file_name()).distinct().count() <= 3
+    assert log.spark.read.parquet(f"{root}/data").select(F.input_file_name()).distinct().count() > 60
+    assert log.compact() is False and log.compact(always=True) is True
+    assert sorted(map(tuple, log.read().collect())) == sorted(map(tuple, want.collect()))
+    assert log.read(before=1).where("vendedor_id = 1 AND card_id = 7").first().cantidad == 8
+    run(batches[0], 2)
+    assert log.read().where("vendedor_id = 1 AND card_id = 7").first().cantidad == 12
+
+
+def test_log_compacts_by_rows(spark, scratch_dir):
+    root = f"{scratch_dir}/small"
+    log = ist.inventory_log(spark, root)
+    log.create(spark.createDataFrame([], INVENTARIO))
+    run = ist.apply_bulk_batches(log, lambda b: NOW)
+    for k in range(4):
+        run(_lines(spark, [(1, c, 1) for c in range(1, 6 + k)]), k)
+    run(_lines(spark, []), 4)
+    kinds = [c.kind for c in log.commits()]
+    assert kinds.count("base") >= 3 and kinds.count("delta") == 5
+    assert {r.card_id: r.cantidad for r in log.read().collect()} == {
+        c: sum(c < 6 + k for k in range(4)) for c in range(1, 9)}
 
 
 def test_lockout_stream_equals_batch(spark, scratch_dir):
