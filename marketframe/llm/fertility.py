@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import Words, materialise, slices, windows
-from marketframe.llm.tokens import CachedTokenizer
+from marketframe.llm.tokens import ByteLevelTokenizer
 
 # Fixed values of the base rules.
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -108,7 +108,7 @@ def measure(documents: DataFrame, byte_bpe: str, piece_bpe: str, id_col: str = "
         import sentencepiece
         pieces = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         is_byte = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
-        tokens = CachedTokenizer(byte_bpe, byte_level=True)
+        tokens = ByteLevelTokenizer(byte_bpe)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             rows = []

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import materialise
-from marketframe.llm.tokens import CachedTokenizer
+from marketframe.llm.tokens import ByteLevelTokenizer
 
 CAPACITY = 1024
 #: Tokens by which piece lengths are rounded up in the plan.
@@ -140,13 +140,13 @@ def pieces(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        tokenizer = CachedTokenizer(path, byte_level=True)
+        tokenizer = ByteLevelTokenizer(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(-(-capacity // grain) + 1, np.int64)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(tokenizer.encode(text), END_ID).astype("<u4")
+            for doc, found in zip(batch.column(0).to_pylist(), map(tokenizer.encode, batch.column(1).to_pylist())):
+                ids = np.append(found, END_ID).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     piece = ids[at:at + capacity]
                     size = -(-len(piece) // grain)

@@ -185,7 +185,7 @@ class Segment:
 
 def _writer(path: str):
     def run(batches):
-        tokenizer = CachedTokenizer(path, byte_level=False)
+        tokenizer = CachedTokenizer(path)
         part, segment = TaskContext.get().partitionId(), 0
         docs: list[tuple[int, int]] = []
         held: list[np.ndarray] = []
@@ -197,8 +197,8 @@ def _writer(path: str):
                 [pa.array([part], pa.int64()), pa.array([segment], pa.int64()), pa.array([size], pa.int64()),
                  pa.array([data], pa.binary())], names=["part", "segment", "n_ids", "data"])
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(tokenizer.encode(text), END_ID).astype(np.uint32)
+            for doc, found in zip(batch.column(0).to_pylist(), tokenizer.encode_batch(batch.column(1).to_pylist())):
+                ids = np.append(found, END_ID).astype(np.uint32)
                 if size and size + len(ids) > SEGMENT:
                     yield close()
                     docs, held, size, segment = [], [], 0, segment + 1

@@ -1,88 +1,140 @@
-"""Token ids of whole texts by a public tokenizer, with a cache of pieces.
-
-Both vocabularies used here split a text into words before merging, so the
-ids of a text are the ids of its pieces, joined.  Texts are cut only at
-places where that holds whatever stands around, repeated pieces are looked
-up, and new ones go to the tokenizer in batches.  A text with runs of white
-space is cut at single spaces between two visible characters only."""
+"""Token ids of whole texts by the public tokenizers."""
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces held by each of the cache's two generations.
-GENERATION = 300_000
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_TWICE = object()
+#: Pieces held by each of the cache's two generations; new words in a call.
+GENERATION, LINE = 300_000, 256
+#: Characters looked up at a time.
+BATCH = 1 << 20
 
 
 class CachedTokenizer:
-    """``byte_level``: white space is part of the tokens (byte-level BPE);
-    otherwise the tokenizer drops it and any white space is a cut."""
+    """Ids of a vocabulary with word ends, which drops white space: the ids of a
+    text are the ids of its pieces between spaces, joined.  Pieces seen before
+    are looked up, new ones go to the tokenizer many at a time."""
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.byte_level = byte_level
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        """Ids of each piece.  Pieces of letters alone are one word each, so
+        ``LINE`` of them go as one line and are told apart by their ends."""
+        out: list[bytes | None] = [None] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if p.isalpha()]
+        groups = [words[k:k + LINE] for k in range(0, len(words), LINE)]
+        lines = self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in g]) for g in groups],
+                                                 add_special_tokens=False)
+        for group, line in zip(groups, lines):
+            ids = np.array(line.ids, self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):
+                continue  # one of them is no single word to this vocabulary
+            raw, first = ids.tobytes(), 0
+            for i, end in zip(group, (ends * self.dtype.itemsize).tolist()):
+                out[i], first = raw[first:end], end
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(left, self.tokenizer.encode_batch_fast([pieces[i] for i in left], add_special_tokens=False)):
+            out[i] = np.array(e.ids, self.dtype).tobytes()
+        return out
 
-    def _joined(self, pieces: list[str], text_of) -> bytes | None:
-        """Ids of the pieces; None when one of them must not be cut off."""
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
         got = list(map(self.young.get, pieces))
-        if None in got:
-            missing: dict[str, bytes | None] = {}
-            for p, v in zip(pieces, got):
-                if v is None:
-                    missing[p] = self.old.get(p)
+        missing = dict.fromkeys([p for p, v in zip(pieces, got) if v is None])
+        if missing:
+            for p in missing:
+                missing[p] = self.old.get(p)
             new = [p for p, v in missing.items() if v is None]
             if len(self.young) + len(missing) > GENERATION:
                 self.old, self.young = self.young, {}
-            if new:
-                texts = [text_of(p) for p in new]
-                ids = iter(self._encode([t for t in texts if t is not None]))
-                for p, t in zip(new, texts):
-                    missing[p] = _TWICE if t is None else next(ids)
+            missing.update(zip(new, self._encode(new)))
             self.young.update(missing)
             got = [missing[p] if v is None else v for p, v in zip(pieces, got)]
-        if _TWICE in got:
-            return None
-        return b"".join(got)
-
-    @staticmethod
-    def _marked(piece: str) -> str | None:
-        """The text of a piece of the fast cut: pieces were preceded by a
-        space unless marked by a line break (kept) or a carriage return (the
-        text's first).  None: white space at its edge may join a run."""
-        if piece[:1] == "\r":
-            body = piece[1:]
-            return body if body and not body[0].isspace() and not body[-1].isspace() else None
-        if piece[:1] == "\n":
-            body = piece[1:]
-            return piece if body and not body[0].isspace() and not body[-1].isspace() else None
-        return " " + piece if piece and not piece[0].isspace() and not piece[-1].isspace() else None
+        return got
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null texts have none."""
+        pieces: list[str] = []
+        ends = []
+        for text in texts:
+            if text:
+                pieces += text.replace("\n", " ").split(" ")
+            ends.append(len(pieces))
+        got, first, out = self._looked_up(pieces), 0, []
+        for end in ends:
+            out.append(np.frombuffer(b"".join(got[first:end]), self.dtype))
+            first = end
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, worked out for about ``BATCH`` characters at a time."""
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text or "") > BATCH:
+                yield from self.encode_many(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text or "")
+        yield from self.encode_many(held)
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: visible
+    Latin-1 characters for themselves, the others numbered from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+#: Fixed value: where a byte-level vocabulary splits texts into words.
+_SPLIT = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts of a task that are compared with the vocabulary's own library first.
+COMPARED = 32
+
+
+class ByteLevelTokenizer:
+    """Ids of a byte-level vocabulary file.  The file and the ids are those of
+    the tokenizers library; merging is done by tiktoken, which is several times
+    faster on texts full of new words.  The first texts of a task go through
+    both; where they differ, tokenizers does all of them."""
+
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special}
+        byte = _byte_of()
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in self.tokenizer.get_vocab().items()
+                 if token not in special}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.left = COMPARED
+
+    def _slow(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return np.zeros(0, self.dtype)
-        if not self.byte_level:
-            raw = self._joined(text.replace("\n", " ").split(" "), lambda p: p)
-        else:
-            raw = None
-            if "\r" not in text:
-                raw = self._joined(("\r" + text.replace("\n", " \n")).split(" "), self._marked)
-            if raw is None:
-                first, *rest = _BETWEEN.split(text)
-                raw = self._joined(["\r\r" + first, *["\r " + p for p in rest]],
-                                   lambda p: p[2:] if p[1] == "\r" else p[1:])
-        return np.frombuffer(raw, self.dtype)
+            return np.zeros(0, np.uint32)
+        if self.fast is None:
+            return self._slow(text)
+        ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.left:
+            self.left -= 1
+            own = self._slow(text)
+            if not np.array_equal(ids, own):
+                self.fast, ids = None, own
+        return ids

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from marketframe.llm import token_files as T
+from marketframe.llm import tokens
 from marketframe.llm.tokens import CachedTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -57,11 +58,40 @@ def test_empty_table(docs_of):
     assert T.round_trip(docs_of([]), PATH).count() == 0
 
 
-@pytest.mark.parametrize("name, byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_cached_ids_equal_the_tokenizer(name, byte_level):
-    cached = CachedTokenizer(public_tokenizers.path(name), byte_level)
-    r = np.random.default_rng(2)
-    parts = ["a", "b", " ", "\n", "\t", "  ", "'s", "1", "é", "!", "\r", "\xa0", "́", "\x1c", "\x85", "Zz", "日本"]
-    for _ in range(1500):
-        text = "".join(parts[k] for k in r.integers(0, len(parts), r.integers(0, 14)))
-        assert cached.encode(text).tolist() == cached.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+PARTS = ["a", "b", " ", "\n", "\t", "  ", "'s", "'S", "1", "é", "!", "\r", "\xa0", "\u0301", "\x1c", "\x85", "Zz", "日本", "ς", "ªº",
+         "²", "\u2028", "<|endoftext|>", "</w>", "😀", "\u200d", "it've", "ǅ", "ٱ", "\x00", " ,", "_", "word", "ΑΒ"]
+
+
+def _fuzz(seed, n=3000):
+    r = np.random.default_rng(seed)
+    for _ in range(n):
+        yield "".join(PARTS[k] for k in r.integers(0, len(PARTS), r.integers(0, 14)))
+    for _ in range(n):
+        codes = r.choice([r.integers(32, 127), r.integers(0, 0x800), r.integers(0x2000, 0x3100), r.integers(0x10000, 0x1F700)],
+                         r.integers(1, 8))
+        yield "".join(map(chr, (int(c) for c in codes)))
+
+
+def test_cached_ids_equal_the_tokenizer():
+    cached = CachedTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [*_fuzz(2), None, "word " * 3000]
+    for _ in range(2):  # new, then looked up
+        for text, ids in zip(texts, cached.encode_batch(texts)):
+            own = cached.tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert ids.tolist() == own, repr(text)
+
+
+def test_byte_level_ids_equal_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(tokens, "COMPARED", 0)
+    fast = tokens.ByteLevelTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in [*_fuzz(3), None, "word " * 3000]:
+        own = fast.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert fast.encode(text).tolist() == own, repr(text)
+
+
+def test_another_vocabulary_is_noticed():
+    fast = tokens.ByteLevelTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    fast.fast = type("Other", (), {"encode_to_numpy": lambda self, text, **_: np.zeros(1, np.uint32)})()
+    for text in ("some words", "more words"):
+        assert fast.encode(text).tolist() == fast.tokenizer.encode(text, add_special_tokens=False).ids
+    assert fast.fast is None
