@@ -858,6 +858,34 @@ SELECT vendedor_id, intentos_fallidos, bloqueado_hasta, ultimo_login FROM vended
 # micro-batches in arrival order give what one batch gives
 Q["q_inventory_log"] = Q["q_bulk_upsert"]
 
+_cte("search_reqs", """
+SELECT k AS request_id, CASE WHEN k = 24 THEN '  ' WHEN k % 6 = 0 THEN upper(substr(p_name, 2, 4))
+            WHEN k % 6 = 1 THEN substr(p_name, 1, 2) WHEN k % 6 = 2 THEN replace(substr(p_name, 1, 5), 'e', '_')
+            WHEN k % 6 = 3 THEN substr(p_name, 1, 2) || '%' || right(p_name, 2)
+            WHEN k % 6 = 4 THEN substr(p_name, 3, 1) ELSE p_name END AS text,
+       CASE WHEN k % 3 = 1 THEN 'R' WHEN k % 3 = 2 THEN '' END AS condicion,
+       CASE WHEN k % 4 = 1 THEN 'F' END AS idioma, CASE WHEN k % 5 <> 2 THEN (k + 1) * 4000.0 END AS precio_max
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) JOIN part ON p_partkey = 3 * k + 1""")
+
+Q["q_search_many_cards"] = with_ctes("""
+SELECT r.request_id, c.id FROM search_reqs r JOIN cards c ON c.name ILIKE '%' || r.text || '%' ESCAPE '\\'
+WHERE trim(r.text) <> ''""", "search_reqs", "cards")
+
+Q["q_search_many_sellers"] = with_ctes("""
+SELECT k AS request_id, s.vendedor_id
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, '%' || CASE WHEN n_nationkey % 3 = 0 THEN 'kid' || n_nationkey
+             WHEN n_nationkey % 3 = 1 THEN CAST(n_nationkey AS VARCHAR) ELSE 'NATION_' || n_nationkey END || '%' AS p
+      FROM nation) r
+JOIN vendedores s ON s.nombres ILIKE p OR s.apellidos ILIKE p OR s.konami_id ILIKE p
+WHERE s.activo""", "vendedores")
+
+Q["q_offers_many"] = with_ctes("""
+SELECT r.request_id, d.inventario_id, d.vendedor_id, d.card_id, d.precio
+FROM search_reqs r JOIN detail d ON d.card_name ILIKE '%' || r.text || '%' ESCAPE '\\'
+WHERE trim(r.text) <> '' AND (COALESCE(r.condicion, '') = '' OR d.condicion = r.condicion)
+  AND (COALESCE(r.idioma, '') = '' OR d.idioma = r.idioma)
+  AND (r.precio_max IS NULL OR CAST(d.precio AS DOUBLE) <= r.precio_max)""", "search_reqs", "detail")
+
 
 def oracle_queries() -> dict[str, str]:
     return dict(Q)

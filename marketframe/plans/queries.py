@@ -18,6 +18,7 @@ from marketframe.operators import catalog as cat
 from marketframe.operators import changes as ch
 from marketframe.operators import inventory as inv
 from marketframe.operators import lockout as lk
+from marketframe.operators import multi_search as ms
 from marketframe.operators import search as se
 from marketframe.operators import tournaments as tn
 from marketframe.session import checkpoint_dir
@@ -628,6 +629,31 @@ def q_search_cards(spark, d):
     return se.search_cards(b.cards(spark, d), CARD_SEARCH)
 
 
+@query
+def q_search_many_cards(spark, d):
+    """P8 for all search requests at once."""
+    return ms.search_many(b.cards(spark, d), ["name"], b.search_requests(spark, d))
+
+
+@query
+def q_search_many_sellers(spark, d):
+    """P9 for many texts: pieces of seller numbers and nations."""
+    texts = b.read_table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("request_id"),
+        F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("kid"), F.col("n_nationkey").cast("string")))
+         .when(F.col("n_nationkey") % 3 == 1, F.col("n_nationkey").cast("string"))
+         .otherwise(F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string"))).alias("text"))
+    sellers = b.vendedores(spark, d).where("activo")
+    return ms.search_many(sellers, ["nombres", "apellidos", "konami_id"], texts, "vendedor_id")
+
+
+@query
+def q_offers_many(spark, d):
+    """P10 and P11 for many listings, each with its own optional filters."""
+    return ms.offers_for_requests(_detail(spark, d), b.search_requests(spark, d)).select(
+        "request_id", "inventario_id", "vendedor_id", "card_id", "precio")
+
+
 # ---- rules ----------------------------------------------------------------------------------
 @query
 def q_seller_conflicts(spark, d):

@@ -340,3 +340,20 @@ def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("at"),
         (~F.col("event_type").isin("error", "view", "click")).alias("password_ok"),
     )
+
+
+# ---- searches ----------------------------------------------------------------
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search requests, one a nation: a stretch of the name of some card, in
+    other case, with wildcards or short; one is blank.  Some carry filters."""
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("request_id"))
+    p = read_table(spark, sf_dir, "part").select(((F.col("p_partkey") - 1) / 3).alias("request_id"),
+                                                 F.col("p_name").alias("name"))
+    k, name = F.col("request_id"), F.col("name")
+    text = (F.when(k == 24, F.lit("  ")).when(k % 6 == 0, F.upper(F.substring(name, 2, 4)))
+             .when(k % 6 == 1, F.substring(name, 1, 2)).when(k % 6 == 2, F.replace(F.substring(name, 1, 5), F.lit("e"), F.lit("_")))
+             .when(k % 6 == 3, F.concat(F.substring(name, 1, 2), F.lit("%"), F.substring(name, -2, 2)))
+             .when(k % 6 == 4, F.substring(name, 3, 1)).otherwise(name))
+    return n.join(p, "request_id").select(
+        "request_id", text.alias("text"), F.when(k % 3 == 1, "R").when(k % 3 == 2, "").alias("condicion"),
+        F.when(k % 4 == 1, "F").alias("idioma"), F.when(k % 5 != 2, (k + 1) * 4000.0).alias("precio_max"))
