@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.semantics import falsy_to_null, parse_float_or_zero
@@ -64,23 +65,29 @@ def shred_prices(feed: DataFrame) -> DataFrame:
     return s.select("card_id", *[parse_float_or_zero(f).alias(f) for f in PRICE_FIELDS])
 
 
+def report_measures() -> dict[str, Column]:
+    """Rows prepared per table (before any dedupe), as aggregates."""
+    def entries(array: str) -> Column:
+        return F.coalesce(F.sum(F.size(F.coalesce(array, F.array()))), F.lit(0))
+    return {"cards": F.count(F.lit(1)), "types": entries("typeline"), "printings": entries("card_sets"),
+            "banlist": F.count("banlist_info"), "images": entries("card_images"), "prices": entries("card_prices")}
+
+
 def ingest_report(feed: DataFrame) -> DataFrame:
-    """Rows prepared per child table (before any dedupe), in one pass."""
-    return feed.agg(
-        F.count(F.lit(1)).alias("cards"),
-        F.coalesce(F.sum(F.size(F.coalesce("typeline", F.array()))), F.lit(0)).alias("types"),
-        F.coalesce(F.sum(F.size(F.coalesce("card_sets", F.array()))), F.lit(0)).alias("printings"),
-        F.count("banlist_info").alias("banlist"),
-        F.coalesce(F.sum(F.size(F.coalesce("card_images", F.array()))), F.lit(0)).alias("images"),
-        F.coalesce(F.sum(F.size(F.coalesce("card_prices", F.array()))), F.lit(0)).alias("prices"),
-    )
+    """S8 in one pass over the feed."""
+    return feed.agg(*[m.alias(n) for n, m in report_measures().items()])
 
 
-def unnest_zip(arrays: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """``SELECT * FROM unnest(a1, a2, ...)``: several arrays of one row
-    zipped into rows; shorter arrays pad with NULL."""
-    cols = names or arrays.columns
-    return arrays.select(F.inline(F.arrays_zip(*[F.col(c) for c in cols])))
+def unnest_zip(arrays: DataFrame, names: dict[str, str] | list[str] | None = None,
+               types: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``SELECT * FROM unnest($1::type[], ...)``: several arrays of
+    one row zipped into rows; shorter arrays pad with NULL.  ``names`` renames
+    the outputs, ``types`` casts the arrays first (an entry that cannot be cast
+    is an error, as in the source), ``keep`` repeats columns on every row."""
+    names = names if isinstance(names, dict) else {c: c for c in (names or arrays.columns)}
+    types = types or {}
+    zipped = [(F.col(c).cast(f"array<{types[c]}>") if c in types else F.col(c)).alias(n) for c, n in names.items()]
+    return arrays.select(*(keep or []), F.inline(F.arrays_zip(*zipped)))
 
 
 class CatalogState(NamedTuple):
@@ -102,8 +109,7 @@ def ingest(state: CatalogState, feed: DataFrame, check_duplicates: bool = True)
     * banlist: D6 upsert of ``ban_ocg``; a card that left the list keeps it.
 
     Duplicate card ids in one feed are an error (D2), as in the source.
-    Callers write every returned table to a new version folder; the version
-    switch is the commit."""
+    ``CatalogStore`` makes the returned tables one new version."""
     if check_duplicates:
         ch.assert_unique(feed, ["id"])
         ch.assert_unique(shred_banlist(feed), ["card_id"])
@@ -119,7 +125,68 @@ def ingest(state: CatalogState, feed: DataFrame, check_duplicates: bool = True)
                         banlist.new_state, images.new_state, prices.new_state)
 
 
-def write_catalog(state: CatalogState, folder: str, mode: str = "errorifexists") -> None:
-    """Write all six tables under one new version folder."""
-    for name, df in state._asdict().items():
-        df.write.mode(mode).parquet(f"{folder.rstrip('/')}/{name}")
+class CatalogStore:
+    """Versions of the six tables under ``root``, each seen whole or not at all::
+
+        v=N/<table>/      one version of a table
+        v=N/_feed, _ids   the delivery it was made of
+        manifest/         one row per version, written last
+
+    Readers follow the manifest, so an ingest that dies half-way leaves the
+    version before it in place; its folder is overwritten by the next attempt.
+    What the load reports (S8, D2, rows per table) is observed while the data
+    are written: no extra job counts them."""
+
+    MANIFEST = "version long, report map<string,long>"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def versions(self) -> DataFrame:
+        return self.spark.read.schema(self.MANIFEST).parquet(f"{self.root}/manifest")
+
+    def latest(self) -> int | None:
+        try:
+            return self.versions().agg(F.max("version")).first()[0]
+        except AnalysisException as ex:
+            if ex.getCondition() != "PATH_NOT_FOUND":   # anything else is a real failure
+                raise
+            return None                                 # no version yet
+
+    def read(self, version: int | None = None) -> CatalogState:
+        version = self.latest() if version is None else version
+        if version is None:
+            raise FileNotFoundError(f"no committed catalog under {self.root}")
+        return CatalogState(*[self.spark.read.parquet(f"{self.root}/v={version}/{t}") for t in CatalogState._fields])
+
+    def _written(self, df: DataFrame, path: str, **measures: Column) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        df.observe(seen, *[m.alias(n) for n, m in measures.items()]).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get
+
+    def write(self, version: int, state: CatalogState, report: dict | None = None) -> dict:
+        """All six tables, then the manifest row that makes them a version."""
+        report = dict(report or {})
+        for name, df in state._asdict().items():
+            _, seen = self._written(df, f"{self.root}/v={version}/{name}", rows=F.count(F.lit(1)))
+            report[f"rows_{name}"] = seen["rows"]
+        self.spark.createDataFrame([(version, report)], self.MANIFEST).coalesce(1).write.mode("append").parquet(
+            f"{self.root}/manifest")
+        return report
+
+    def ingest(self, feed: DataFrame) -> dict:
+        """R10 as one step: the delivery is staged once (S8 observed), its ids
+        are folded (D2 observed), the changed tables become the next version.
+        Raises on a repeated card id, with no version made.  Returns the report."""
+        before = self.latest()
+        version = 0 if before is None else before + 1
+        path = f"{self.root}/v={version}"
+        staged, report = self._written(feed, f"{path}/_feed", **report_measures())
+        ids = staged.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+        ids, seen = self._written(ids, f"{path}/_ids", most=F.max("times"))
+        if (seen["most"] or 0) > 1:
+            raise ValueError("the feed repeats a card id")
+        shred = (shred_cards, shred_types, shred_printings, shred_banlist, shred_images, shred_prices)
+        state = self.read(before) if before is not None else CatalogState(
+            *[self.spark.createDataFrame([], f(staged).schema) for f in shred])
+        return self.write(version, ingest(state, staged, check_duplicates=False), report)

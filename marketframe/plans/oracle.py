@@ -334,12 +334,24 @@ ban AS (SELECT id AS card_id, CASE WHEN level % 4 = 0 THEN 'Limited' END AS ban_
         SELECT card_id, ban_ocg FROM feed_banlist WHERE card_id IN (SELECT id FROM batch)),
 printings AS (SELECT * FROM feed_printings WHERE card_id NOT IN (SELECT id FROM batch)
               UNION ALL SELECT * FROM feed_printings_new)
-SELECT 'cards' AS table_name, count(*) AS row_count, CAST(NULL AS DECIMAL(22,2)) AS total FROM cards
-UNION ALL SELECT 'card_types', count(*), NULL FROM types
-UNION ALL SELECT 'card_printings', count(*), CAST(sum(set_price) AS DECIMAL(22,2)) FROM printings
-UNION ALL SELECT 'banlist_info', count(*), CAST(count(ban_ocg) AS DECIMAL(22,2)) FROM ban
-UNION ALL SELECT 'card_images', count(*), NULL FROM feed_images
-UNION ALL SELECT 'card_prices', count(*), NULL FROM feed_prices""",
+SELECT 'cards' AS table_name, concat_ws('|', COALESCE(CAST(id AS VARCHAR), '~'), COALESCE(CAST(name AS VARCHAR), '~'),
+         COALESCE(CAST(type AS VARCHAR), '~'), COALESCE(CAST(human_readable_card_type AS VARCHAR), '~'),
+         COALESCE(CAST(frame_type AS VARCHAR), '~'), COALESCE(CAST(description AS VARCHAR), '~'),
+         COALESCE(CAST(race AS VARCHAR), '~'), COALESCE(CAST(atk AS VARCHAR), '~'),
+         COALESCE(CAST(def AS VARCHAR), '~'), COALESCE(CAST(level AS VARCHAR), '~'),
+         COALESCE(CAST(attribute AS VARCHAR), '~'), COALESCE(CAST(archetype AS VARCHAR), '~'),
+         COALESCE(CAST(ygoprodeck_url AS VARCHAR), '~')) AS row FROM cards
+UNION ALL SELECT 'card_types' AS table_name, concat_ws('|', COALESCE(CAST(card_id AS VARCHAR), '~'), COALESCE(CAST(type_name AS VARCHAR), '~')) AS row FROM types
+UNION ALL SELECT 'card_printings' AS table_name, concat_ws('|', COALESCE(CAST(card_id AS VARCHAR), '~'), COALESCE(CAST(set_name AS VARCHAR), '~'),
+         COALESCE(CAST(set_code AS VARCHAR), '~'), COALESCE(CAST(set_rarity AS VARCHAR), '~'),
+         COALESCE(CAST(set_rarity_code AS VARCHAR), '~'), COALESCE(CAST(set_price AS VARCHAR), '~')) AS row FROM printings
+UNION ALL SELECT 'banlist_info' AS table_name, concat_ws('|', COALESCE(CAST(card_id AS VARCHAR), '~'), COALESCE(CAST(ban_ocg AS VARCHAR), '~')) AS row FROM ban
+UNION ALL SELECT 'card_images' AS table_name, concat_ws('|', COALESCE(CAST(card_id AS VARCHAR), '~'), COALESCE(CAST(image_url AS VARCHAR), '~'),
+         COALESCE(CAST(image_url_small AS VARCHAR), '~'), COALESCE(CAST(image_url_cropped AS VARCHAR), '~')) AS row FROM feed_images
+UNION ALL SELECT 'card_prices' AS table_name, concat_ws('|', COALESCE(CAST(card_id AS VARCHAR), '~'),
+         COALESCE(CAST(cardmarket_price AS VARCHAR), '~'), COALESCE(CAST(tcgplayer_price AS VARCHAR), '~'),
+         COALESCE(CAST(ebay_price AS VARCHAR), '~'), COALESCE(CAST(amazon_price AS VARCHAR), '~'),
+         COALESCE(CAST(coolstuffinc_price AS VARCHAR), '~')) AS row FROM feed_prices""",
     "cards", "feed_types", "feed_banlist", "feed_printings", "feed_printings_new", "feed_sets_new",
     "feed_images", "feed_prices")
 Q["q_unnest_zip"] = with_ctes("""

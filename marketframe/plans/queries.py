@@ -6,6 +6,7 @@ would carry (search text, filters, k, page) are fixed values below."""
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -126,29 +127,21 @@ def q_ingest_report(spark, d):
 @query
 def q_ingest_catalog(spark, d):
     """A later feed delivery (cards with sets shipped from the cutoff on)
-    applied to the catalog stored from the full feed."""
+    applied to the stored catalog as its next version; all rows of the six
+    tables, each as its columns' text."""
     f = b.feed(spark, d)
     c = b.cards(spark, d)
-    state = cat.CatalogState(
+    store = cat.CatalogStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}")
+    store.write(0, cat.CatalogState(
         c, c.select(F.col("id").alias("card_id"), F.col("type").alias("type_name")),
         cat.shred_printings(f),
         c.select(F.col("id").alias("card_id"),
                  F.when(F.col("level") % 4 == 0, F.lit("Limited")).alias("ban_ocg")),
-        cat.shred_images(f), cat.shred_prices(f))
-    new = cat.ingest(state, b.feed(spark, d, since=b.CUTOFF))
-    def summary(name, df, total=None):
-        t = total if total is not None else F.lit(None).cast("decimal(22,2)")
-        return df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"),
-                      t.cast("decimal(22,2)").alias("total"))
-
-    parts = [summary("cards", new.cards), summary("card_types", new.card_types),
-             summary("card_printings", new.card_printings, F.sum("set_price")),
-             summary("banlist_info", new.banlist_info, F.count("ban_ocg")),
-             summary("card_images", new.card_images), summary("card_prices", new.card_prices)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        cat.shred_images(f), cat.shred_prices(f)))
+    store.ingest(b.feed(spark, d, since=b.CUTOFF))
+    parts = [t.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[_nz(x) for x in t.columns]).alias("row"))
+             for name, t in store.read()._asdict().items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -157,9 +150,7 @@ def q_unnest_zip(spark, d):
     arrays = f.select("id", F.coalesce("typeline", F.array().cast("array<string>")).alias("a"),
                       F.transform(F.array_sort(F.coalesce("card_sets", F.array())),
                                   lambda s: s["set_name"]).alias("b"))
-    z = arrays.select("id", F.inline(F.arrays_zip(F.col("a").alias("type_name"),
-                                                   F.col("b").alias("set_name"))))
-    return z.select("id", "type_name", "set_name")
+    return cat.unnest_zip(arrays, {"a": "type_name", "b": "set_name"}, keep=["id"])
 
 
 # ---- projections / filters -----------------------------------------------------------

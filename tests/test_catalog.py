@@ -61,7 +61,6 @@ def test_ingest_and_round_trip(spark, scratch_dir):
     st2 = cat.ingest(st, feed)          # re-ingest: same content, no duplicates
     for a, b in zip(st, st2):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    cat.write_catalog(st2, f"{scratch_dir}/v1")
     docs = se.search_nested(*st2, name="dragon")
     d = docs.first()
     # card_types is unique on (card_id, type_name): the repeated entry is stored once
@@ -75,6 +74,41 @@ def test_ingest_and_round_trip(spark, scratch_dir):
     assert doc["banlist_info"] == {"ban_ocg": "Banned"}
 
 
+def test_store_makes_a_version_whole_or_not_at_all(spark, scratch_dir, monkeypatch):
+    import pytest
+    feed = _feed(spark, scratch_dir)
+    store = cat.CatalogStore(spark, f"{scratch_dir}/catalog")
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    report = store.ingest(feed)
+    assert {k: report[k] for k in ("cards", "types", "printings", "banlist", "images", "prices")} == cat.ingest_report(
+        feed).first().asDict()
+    assert report["rows_card_types"] == 2 and report["rows_cards"] == 2
+    first = [sorted(map(tuple, t.collect())) for t in store.read()]
+    # a later delivery dies after the third table: the first version stays
+    later = feed.withColumn("name", F.concat("name", F.lit("!")))
+    written = store._written
+
+    def dies(df, path, **measures):
+        if path.endswith("/banlist_info"):
+            raise RuntimeError("executor lost")
+        return written(df, path, **measures)
+    monkeypatch.setattr(store, "_written", dies)
+    with pytest.raises(RuntimeError):
+        store.ingest(later)
+    assert store.latest() == 0 and [sorted(map(tuple, t.collect())) for t in store.read()] == first
+    monkeypatch.setattr(store, "_written", written)
+    store.ingest(later)
+    assert store.latest() == 1 and {r.name for r in store.read().cards.collect()} == {"100% Dragon_X!", "Plain!"}
+    assert [sorted(map(tuple, t.collect())) for t in store.read(0)] == first
+    # a repeated id makes no version
+    with pytest.raises(ValueError):
+        store.ingest(feed.unionByName(feed))
+    assert store.latest() == 1
+    same = cat.ingest(store.read(0), later)
+    assert [sorted(map(tuple, t.collect())) for t in same] == [sorted(map(tuple, t.collect())) for t in store.read()]
+
+
 def test_duplicate_ids_are_an_error(spark):
     feed = spark.createDataFrame([(1, "a"), (1, "b")], "id long, name string")
     import pytest
