@@ -228,6 +228,17 @@ def user_roles(users: DataFrame, roles: DataFrame) -> DataFrame:
                     F.coalesce("roles", F.array().cast("array<string>")).alias("roles"))
 
 
+def login_check(users: DataFrame, roles: DataFrame, logins: DataFrame) -> DataFrame:
+    """The login / verify check as one result: the user of each login name
+    with the sorted roles; an inactive user is refused and shows none."""
+    hits = user_lookup(users, logins)
+    held = user_roles(users, roles).select("id", "roles")
+    none = F.array().cast("array<string>")
+    return hits.join(held, "id").select(
+        "login", "id", "username", "email", "user_type", "status",
+        F.when(F.col("status") == "ok", F.col("roles")).otherwise(none).alias("roles"))
+
+
 def role_filter(with_roles: DataFrame, role: str = SELLER_ROLE) -> DataFrame:
     """Users whose role list contains ``role`` (missing roles -> denied)."""
     return with_roles.where(F.coalesce(F.array_contains("roles", role), F.lit(False)))

@@ -81,12 +81,14 @@ def ingest_report(feed: DataFrame) -> DataFrame:
 def unnest_zip(arrays: DataFrame, names: dict[str, str] | list[str] | None = None,
                types: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``SELECT * FROM unnest($1::type[], ...)``: several arrays of
-    one row zipped into rows; shorter arrays pad with NULL.  ``names`` renames
+    one row zipped into rows; shorter arrays pad with NULL, a NULL array counts as
+    empty.  ``names`` renames
     the outputs, ``types`` casts the arrays first (an entry that cannot be cast
     is an error, as in the source), ``keep`` repeats columns on every row."""
     names = names if isinstance(names, dict) else {c: c for c in (names or arrays.columns)}
     types = types or {}
-    zipped = [(F.col(c).cast(f"array<{types[c]}>") if c in types else F.col(c)).alias(n) for c, n in names.items()]
+    kinds = {c: f"array<{types[c]}>" if c in types else arrays.schema[c].dataType.simpleString() for c in names}
+    zipped = [F.coalesce(F.col(c).cast(kinds[c]), F.array().cast(kinds[c])).alias(n) for c, n in names.items()]
     return arrays.select(*(keep or []), F.inline(F.arrays_zip(*zipped)))
 
 

@@ -195,3 +195,21 @@ def offers_nested(detail: DataFrame, page_size: int = 50,
                  F.first("whatsapp").alias("whatsapp"),
                  F.first("instagram").alias("instagram")).alias("vendedor"),
         F.array_sort(F.collect_list(line)).alias("inventario"))
+
+
+def offers_by_card(detail: DataFrame, page_size: int = 50) -> DataFrame:
+    """Per card, the header (id, name, number of offers) and the offers by
+    price (NULLs last), in pages of at most ``page_size`` lines as in
+    ``offers_nested``."""
+    from marketframe.operators.ordered import running_totals
+    narrow = detail.select("card_id", "card_name", "inventario_id", "vendedor_id", "vendedor_nombre", "konami_id",
+                           "whatsapp", "instagram", "precio", "condicion", "idioma")
+    numbered = running_totals(narrow, ["card_id"], [F.col("precio").asc_nulls_last(), F.col("inventario_id")],
+                              rank_name="line_no")
+    total = detail.groupBy("card_id").agg(F.count(F.lit(1)).alias("total"))
+    line = F.struct("line_no", "inventario_id", "vendedor_id", "vendedor_nombre", "konami_id", "whatsapp", "instagram",
+                    "precio", "condicion", "idioma")
+    pages = numbered.groupBy("card_id", F.floor((F.col("line_no") - 1) / page_size).cast("long").alias("page")).agg(
+        F.first("card_name").alias("name"), F.array_sort(F.collect_list(line)).alias("ofertas"))
+    return pages.join(total, "card_id").select(
+        "card_id", "page", F.struct(F.col("card_id").alias("id"), "name", "total").alias("carta"), "ofertas")

@@ -167,22 +167,33 @@ SELECT c_custkey AS seq, 'KID' || CAST(c_custkey AS VARCHAR) AS konamiid, c_name
        CAST(CASE WHEN c_custkey % 50 = 49 THEN -1 - c_custkey ELSE c_custkey % (SELECT greatest(1, count(*) * 37 // 100) FROM supplier) END AS BIGINT) AS idtournament
 FROM customer""")
 
-# R8 closed form; no stored players, so the real count before the batch is 0
+_cte("stored_players", """
+SELECT c_name AS name, 'KID' || CAST(c_custkey AS VARCHAR) AS konamiid,
+       CAST(c_custkey * 7 % (SELECT greatest(1, count(*) * 37 // 100) FROM supplier) AS BIGINT) AS idtournament,
+       CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END AS INTEGER) AS victory,
+       CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 END AS INTEGER) AS defeat, CAST(NULL AS INTEGER) AS draw
+FROM customer""")
+
+# R8 closed form
 _cte("admission", """
 SELECT j.seq, j.idtournament, j.konamiid, j.name,
        CASE WHEN t.id IS NULL THEN 'not_found'
             WHEN (t.mx IS NULL OR t.p < t.mx)
-                 AND (j.k = 1 OR t.mx IS NULL OR 0 + j.k - 1 < t.mx) THEN 'ok'
+                 AND (j.k = 1 OR t.mx IS NULL OR COALESCE(s.n, 0) + j.k - 1 < t.mx) THEN 'ok'
             ELSE 'full' END AS outcome
 FROM (SELECT *, row_number() OVER (PARTITION BY idtournament ORDER BY seq) AS k FROM joins_t) j
 LEFT JOIN (SELECT id, COALESCE(participants, 0) AS p,
                   TRY_CAST(NULLIF(regexp_extract("maxPlayers", '^\\s*([+-]?\\d+)', 1), '') AS INTEGER) AS mx
-           FROM tournaments_t) t ON j.idtournament = t.id""", ("joins_t", "tournaments_t"))
+           FROM tournaments_t) t ON j.idtournament = t.id
+LEFT JOIN (SELECT idtournament, count(*) AS n FROM stored_players GROUP BY idtournament) s
+  ON j.idtournament = s.idtournament""", ("joins_t", "tournaments_t", "stored_players"))
 
 _cte("players_t", """
+SELECT name, konamiid, idtournament, victory, defeat, draw FROM stored_players
+UNION ALL
 SELECT name, konamiid, idtournament, CAST(NULL AS INTEGER) AS victory,
        CAST(NULL AS INTEGER) AS defeat, CAST(NULL AS INTEGER) AS draw
-FROM admission WHERE outcome = 'ok'""", ("admission",))
+FROM admission WHERE outcome = 'ok'""", ("admission", "stored_players"))
 
 _cte("results_t", """
 SELECT 'KID' || CAST(c_custkey AS VARCHAR) AS konamiid,
@@ -684,8 +695,9 @@ FROM users_t u""", "users_t", "user_regs")
 Q["q_refresh_counts"] = with_ctes("""
 SELECT t.id, t.name, COALESCE(c.n, t.participants) AS participants, t."maxPlayers"
 FROM tournaments_t t
-LEFT JOIN (SELECT idtournament, CAST(count(*) AS INTEGER) AS n FROM players_t GROUP BY idtournament) c
-  ON t.id = c.idtournament""", "tournaments_t", "players_t")
+LEFT JOIN (SELECT idtournament, CAST(count(*) AS INTEGER) AS n FROM players_t
+           WHERE idtournament IN (SELECT idtournament FROM admission WHERE outcome = 'ok') GROUP BY idtournament) c
+  ON t.id = c.idtournament""", "tournaments_t", "players_t", "admission")
 Q["q_upgrade_sellers"] = with_ctes(f"""
 WITH has AS (SELECT DISTINCT user_id FROM roles_t WHERE role = 'vendedor'),
 roles2 AS (SELECT user_id, role FROM roles_t
@@ -898,6 +910,66 @@ WHERE trim(r.text) <> '' AND (COALESCE(r.condicion, '') = '' OR d.condicion = r.
   AND (COALESCE(r.idioma, '') = '' OR d.idioma = r.idioma)
   AND (r.precio_max IS NULL OR CAST(d.precio AS DOUBLE) <= r.precio_max)""", "search_reqs", "detail")
 
+Q["q_login_check"] = with_ctes("""
+WITH logins AS (SELECT email AS login FROM user_regs UNION SELECT username FROM users_t)
+SELECT DISTINCT l.login, u.id, u.username, u.email, u.user_type,
+       CASE WHEN u.is_active THEN 'ok' ELSE 'inactive' END AS status,
+       CASE WHEN u.is_active THEN COALESCE(r.roles, '') ELSE '' END AS roles
+FROM logins l JOIN users_t u ON l.login = u.username OR l.login = u.email
+LEFT JOIN (SELECT user_id, string_agg(role, ',' ORDER BY role) AS roles FROM roles_t GROUP BY user_id) r
+  ON r.user_id = u.id""", "user_regs", "users_t", "roles_t")
+
+Q["q_card_offers_nested"] = with_ctes("""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY precio ASC NULLS LAST, inventario_id) AS line_no,
+                  count(*) OVER (PARTITION BY card_id) AS total FROM detail)
+SELECT card_id, CAST((line_no - 1) // 50 AS BIGINT) AS page, max(card_name) AS name, max(total) AS total,
+       string_agg(CAST(line_no AS VARCHAR) || ':' || CAST(inventario_id AS VARCHAR) || ':'
+                  || COALESCE(CAST(precio AS VARCHAR), '~'), ',' ORDER BY line_no) AS items
+FROM n GROUP BY card_id, (line_no - 1) // 50""", "detail")
+
+Q["q_nest_banlist_last"] = """
+SELECT l_partkey AS card_id, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS ban_ocg
+FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_partkey
+                           ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC,
+                                    l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC,
+                                    l_linestatus DESC) = 1"""
+
+_cte("bulk_items", """
+SELECT o_orderkey AS req, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                                             l_quantity, l_extendedprice, l_returnflag, l_linestatus) - 1 AS pos,
+       o_custkey AS vendedor_id,
+       CASE WHEN l_quantity = 25 THEN 0 WHEN l_linenumber % 4 <> 0 THEN l_partkey END AS card_id,
+       CASE WHEN l_quantity <> 50 THEN CAST(l_quantity AS BIGINT) ELSE 1 END AS cantidad,
+       NULLIF(CAST(l_extendedprice AS DECIMAL(12,2)), 0) AS precio, NULLIF(l_returnflag, '') AS condicion,
+       NULLIF(l_linestatus, '') AS edicion
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 <> 1""")
+
+Q["q_bulk_requests"] = with_ctes("""
+WITH n AS (SELECT vendedor_id, card_id, sum(cantidad) AS cantidad,
+                  arg_min({'p': precio, 'c': COALESCE(condicion, 'Near Mint'), 'e': edicion}, {'r': req, 'p': pos}) AS f
+           FROM bulk_items WHERE card_id <> 0 GROUP BY vendedor_id, card_id)
+SELECT n.vendedor_id, n.card_id, CAST(CASE WHEN b.card_id IS NULL THEN n.cantidad ELSE b.cantidad + n.cantidad END AS BIGINT) AS cantidad,
+       CASE WHEN b.card_id IS NULL THEN n.f.p ELSE b.precio END AS precio,
+       CASE WHEN b.card_id IS NULL THEN n.f.c ELSE b.condicion END AS condicion,
+       CASE WHEN b.card_id IS NULL THEN 'Inglés' ELSE b.idioma END AS idioma,
+       CASE WHEN b.card_id IS NULL THEN n.f.e ELSE b.edicion END AS edicion
+FROM n LEFT JOIN inventario b ON b.vendedor_id = n.vendedor_id AND b.card_id = n.card_id""", "bulk_items", "inventario")
+
+Q["q_bulk_requests_rejected"] = with_ctes("""
+SELECT o_orderkey AS seq, CAST(NULL AS INTEGER) AS line, o_custkey AS vendedor_id, 'empty or missing array' AS reason
+FROM orders WHERE o_orderkey % 10 = 1 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL
+SELECT req, CAST(pos AS INTEGER), vendedor_id, 'missing card_id' FROM bulk_items WHERE card_id IS NULL OR card_id = 0""",
+                                           "bulk_items")
+
+Q["q_array_casts"] = """
+SELECT o_orderkey, CAST(z.a AS BIGINT) AS card_id, CAST(trim(z.b) AS DECIMAL(12,2)) AS price, CAST(z.c AS INTEGER) AS level
+FROM (SELECT o_orderkey, unnest([CAST(o_orderkey AS VARCHAR), '12', NULL]) AS a,
+             unnest([CAST(o_custkey AS VARCHAR) || '.25', NULL, ' 7.5 ']) AS b,
+             unnest([CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 100 AS VARCHAR) END, NULL, NULL]) AS c
+      FROM orders) z"""
+
 
 def oracle_queries() -> dict[str, str]:
     return dict(Q)

@@ -75,8 +75,7 @@ def _feed_tables(spark, d):
 
 def _admission(spark, d):
     t = b.tournaments(spark, d)
-    players = spark.createDataFrame([], "name string, konamiid string, idtournament long, "
-                                        "victory int, defeat int, draw int")
+    players = b.stored_players(spark, d)
     out = tn.admit_players(t, players, b.tournament_joins(spark, d))
     return t, players, out
 
@@ -153,6 +152,18 @@ def q_unnest_zip(spark, d):
     return cat.unnest_zip(arrays, {"a": "type_name", "b": "set_name"}, keep=["id"])
 
 
+@query
+def q_array_casts(spark, d):
+    """Arrays of text, cast to typed arrays and zipped into rows."""
+    key, user = F.col("o_orderkey"), F.col("o_custkey")
+    arrays = b.read_table(spark, d, "orders").select(
+        "o_orderkey", F.array(key.cast("string"), F.lit("12")).alias("ids"),
+        F.array(F.concat(user.cast("string"), F.lit(".25")), F.lit(None).cast("string"), F.lit(" 7.5 ")).alias("prices"),
+        F.when(key % 3 == 0, F.array((key % 100).cast("string"))).alias("levels"))
+    return cat.unnest_zip(arrays, {"ids": "card_id", "prices": "price", "levels": "level"},
+                          types={"ids": "bigint", "prices": "decimal(12,2)", "levels": "int"}, keep=["o_orderkey"])
+
+
 # ---- projections / filters -----------------------------------------------------------
 @query
 def q_seller_public(spark, d):
@@ -186,6 +197,15 @@ def q_user_lookup(spark, d):
     return acc.user_lookup(b.users(spark, d), logins)
 
 
+@query
+def q_login_check(spark, d):
+    """Users by login name with status and roles."""
+    logins = b.user_registrations(spark, d).select(F.col("email").alias("login")).unionByName(
+        b.users(spark, d).select(F.col("username").alias("login"))).distinct()
+    hits = acc.login_check(b.users(spark, d), b.user_roles(spark, d), logins)
+    return hits.withColumn("roles", F.array_join("roles", ","))
+
+
 @query
 def q_user_conflicts(spark, d):
     return acc.user_conflicts(b.user_registrations(spark, d), b.users(spark, d))
@@ -245,6 +265,23 @@ def q_bulk_upsert(spark, d):
     return ch.bulk_upsert(base, lines, now=b.NOW).new_state
 
 
+@query
+def q_bulk_requests(spark, d):
+    """Bulk requests as they come, arrays of lines; the rows they touch."""
+    lines, _ = ch.explode_bulk_requests(b.bulk_requests(spark, d))
+    res = ch.bulk_upsert(b.inventario(spark, d), lines, now=b.NOW)
+    return res.affected.select("vendedor_id", "card_id", "cantidad", "precio", "condicion", "idioma", "edicion")
+
+
+@query
+def q_bulk_requests_rejected(spark, d):
+    """Requests without an array, lines without a card."""
+    lines, refused = ch.explode_bulk_requests(b.bulk_requests(spark, d))
+    _, skipped = ch.valid_lines(lines)
+    return refused.select("seq", F.lit(None).cast("int").alias("line"), "vendedor_id", "reason").unionByName(
+        skipped.select(F.col("seq._req").alias("seq"), F.col("seq._pos").alias("line"), "vendedor_id", "reason"))
+
+
 @query
 def q_inventory_log(spark, d):
     """The change log applied in micro-batches, one a year of arrival,
@@ -381,6 +418,13 @@ def q_nest_banlist(spark, d):
     return se.nest_banlist(banlist).select("card_id", F.col("banlist_info.ban_ocg").alias("ban_ocg"))
 
 
+@query
+def q_nest_banlist_last(spark, d):
+    """Of a card's many rows the last to arrive holds."""
+    rows = b.inventory_lines(spark, d).select("card_id", F.col("condicion").alias("ban_ocg"), "seq")
+    return se.nest_banlist(rows, "seq").select("card_id", F.col("banlist_info.ban_ocg").alias("ban_ocg"))
+
+
 @query
 def q_name_offers_total(spark, d):
     return inv.name_offers_total(_detail(spark, d), NAME_PATTERN, TOP_K)
@@ -418,6 +462,16 @@ def q_offers_nested(spark, d):
         .alias("items"))
 
 
+@query
+def q_card_offers_nested(spark, d):
+    """Offers of a card under its header."""
+    n = inv.offers_by_card(_detail(spark, d), PAGE_SIZE)
+    return n.select("card_id", "page", F.col("carta.name").alias("name"), F.col("carta.total").alias("total"),
+                    F.array_join(F.transform("ofertas", lambda x: F.concat_ws(
+                        ":", x["line_no"].cast("string"), x["inventario_id"].cast("string"), _nz(x["precio"]))), ",")
+                    .alias("items"))
+
+
 @query
 def q_bulk_running_qty(spark, d):
     base, lines = _base_and_changes(spark, d)

@@ -304,6 +304,16 @@ def crowded(spark: SparkSession, sf_dir: str) -> int:
     return share(read_table(spark, sf_dir, "supplier"), 37, 100)
 
 
+def stored_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players of earlier join requests, one a customer; some have results."""
+    c = read_table(spark, sf_dir, "customer")
+    key, span = F.col("c_custkey"), crowded(spark, sf_dir)
+    return c.select(F.col("c_name").alias("name"), F.concat(F.lit("KID"), _s(key)).alias("konamiid"),
+                    (key * 7 % span).cast("long").alias("idtournament"),
+                    F.when(key % 3 == 0, key % 4).cast("int").alias("victory"),
+                    F.when(key % 3 == 0, key % 2).cast("int").alias("defeat"), F.lit(None).cast("int").alias("draw"))
+
+
 def tournament_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join requests in arrival order ``seq`` (one per customer); every 50th
     names a tournament that does not exist."""
@@ -357,3 +367,24 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(p, "request_id").select(
         "request_id", text.alias("text"), F.when(k % 3 == 1, "R").when(k % 3 == 2, "").alias("condicion"),
         F.when(k % 4 == 1, "F").alias("idioma"), F.when(k % 5 != 2, (k + 1) * 4000.0).alias("precio_max"))
+
+
+# ---- bulk requests -----------------------------------------------------------
+def bulk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk-add requests, one an order, with its lines as the array ``cartas``.
+    Some arrays are missing or empty, some lines name no card."""
+    li = read_table(spark, sf_dir, "lineitem", spread=True)
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        *order, "l_returnflag", "l_linestatus"))).alias("lines"))
+
+    def item(x):
+        return F.struct(
+            F.when(x["l_quantity"] == 25, 0).when(x["l_linenumber"] % 4 != 0, x["l_partkey"]).cast("long").alias("card_id"),
+            F.when(x["l_quantity"] != 50, x["l_quantity"]).cast("int").alias("cantidad"),
+            x["l_extendedprice"].cast(MONEY).alias("precio"), x["l_returnflag"].alias("condicion"),
+            F.lit("").alias("idioma"), x["l_linestatus"].alias("edicion"), F.lit(None).cast("string").alias("notas"))
+    o = read_table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    items = F.transform(F.coalesce("lines", F.array()), item)
+    return o.select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("vendedor_id"),
+                    F.when(F.col("o_orderkey") % 10 != 1, items).alias("cartas"))

@@ -120,3 +120,11 @@ def test_duplicate_ids_are_an_error(spark):
 def test_unnest_zip_pads(spark):
     df = spark.createDataFrame([([1, 2, 3], ["a"])], "a array<long>, b array<string>")
     assert [tuple(r) for r in cat.unnest_zip(df).collect()] == [(1, "a"), (2, None), (3, None)]
+
+
+def test_unnest_zip_casts_and_null_arrays(spark):
+    df = spark.createDataFrame([(1, ["1", None], None, ["7.50"]), (2, None, None, None), (3, [], ["9"], [" 2 "])],
+                               "k int, a array<string>, b array<string>, c array<string>")
+    out = cat.unnest_zip(df, {"a": "x", "b": "y", "c": "z"}, types={"a": "bigint", "b": "int", "c": "decimal(12,2)"}, keep=["k"])
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, 1, None, Decimal("7.50")), (1, None, None, None), (3, None, 9, Decimal("2.00"))], key=str)
