@@ -5,7 +5,8 @@ in the shared checkpoint folder and connected components."""
 from __future__ import annotations
 
 import contextlib
-import functools
+import sys
+import types
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +21,8 @@ from marketframe.session import checkpoint_dir
 
 #: Bytes of text handled by one numpy pass (a longer single text is one pass).
 SLICE_BYTES = 1 << 20
+#: Name under which a worker process keeps its power tables.
+_TABLES = "marketframe_power_tables"
 
 
 def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -72,19 +75,18 @@ def slices(texts: Iterable[str | None], limit: int = SLICE_BYTES) -> Iterator[tu
         yield first, held
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
-    up = np.full(n, base, np.uint64)
-    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    assert base & mask
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(size)
+    """Powers of the hash base and of its inverse, ``n`` at least.  One pair
+    lives in the worker process, whatever task asks: functions arrive with
+    modules of their own, which would each hold another."""
+    held = sys.modules.setdefault(_TABLES, types.ModuleType(_TABLES)).__dict__
+    if "tables" not in held or len(held["tables"][0]) < n:
+        size, base = 1 << max(16, int(n).bit_length()), 0x9E3779B97F4A7C15
+        up = np.full(size, base, np.uint64)
+        down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        held["tables"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return held["tables"]
 
 
 _BYTE_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(

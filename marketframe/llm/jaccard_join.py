@@ -64,7 +64,7 @@ SLACK = 0.08
 #: Documents of a region that one task compares with the region's pivot.
 REGION_SPLIT = 2000
 #: Bytes of shingle sets (8 a shingle) that a task holds of a cell at once.
-CELL_BYTES = 24 << 20
+CELL_BYTES = 8 << 20
 #: Most pivots that split a cell.
 PIVOTS = 32
 RADIUS = 1 - NUM / DEN

@@ -60,7 +60,7 @@ def corpus(prose, groups=6, copies=40):
     return [(7 + 3 * k, t) for k, t in enumerate(pairs)]
 
 
-@pytest.mark.parametrize("cell, split, groups, copies", [(24 << 20, 2000, 6, 40), (20_000, 5, 6, 40), (1, 50, 2, 12)])
+@pytest.mark.parametrize("cell, split, groups, copies", [(8 << 20, 2000, 6, 40), (20_000, 5, 6, 40), (1, 50, 2, 12)])
 def test_equals_brute_force(docs_of, prose, monkeypatch, cell, split, groups, copies):
     """Also with cells that are split around pivots and finished in blocks."""
     monkeypatch.setattr(J, "CELL_BYTES", cell)
