@@ -29,8 +29,7 @@ PUBLIC_SELLER_COLUMNS = ("vendedor_id", "nombres", "apellidos", "konami_id", "wh
 SENSITIVE_SELLER_COLUMNS = ("password_hash", "intentos_fallidos", "bloqueado_hasta")
 USER_KEYS = ("username", "email", "dni")
 SELLER_KEYS = ("correo", "dni", "konami_id")
-LAST_ROUNDS = 0  # rounds used by the most recent batch admission (for tests and tuning)
-CHECKPOINT_EVERY = 4  # rounds between checkpoints of the undecided requests
+LAST_ROUNDS = 0  # rounds and pointer jumps of the most recent batch admission (for tests and tuning)
 
 
 def _ts(now) -> Column:
@@ -117,6 +116,36 @@ def _key_rows(df: DataFrame, keys) -> DataFrame:
              .where(F.col("kv").isNotNull())
 
 
+def _ranked_keys(und: DataFrame) -> DataFrame:
+    """The key rows of undecided requests with the earliest and second
+    earliest request of each key.  Grouped minima only (map-side combined)."""
+    mins = und.groupBy("kt", "kv").agg(F.min("seq").alias("_min"))
+    j = und.join(mins, ["kt", "kv"])
+    seconds = (j.where(F.col("seq") != F.col("_min"))
+                .groupBy("kt", "kv").agg(F.min("seq").alias("_second")))
+    return j.join(seconds, ["kt", "kv"], "left")
+
+
+def _chain_ends(links: DataFrame) -> tuple[DataFrame, int]:
+    """Pointer jumping over ``(seq, ptr)`` links, each saying "``seq`` is
+    accepted iff ``ptr`` is not": every link is led to the first request of its
+    chain that has no link of its own, with ``odd`` = an odd number of links
+    lies between.  A chain of n links takes about log2(n) steps; returns the
+    number of steps too."""
+    links = links.withColumn("odd", F.lit(True))
+    steps = 0
+    while True:
+        steps += 1
+        nxt = links.select(F.col("seq").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("odd").alias("_odd"))
+        moved = (links.select("seq", "ptr", "odd").join(nxt, "ptr", "left")
+                      .select("seq", F.coalesce("_ptr", "ptr").alias("ptr"),
+                              (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                              F.col("_ptr").isNotNull().alias("_moved")).checkpoint())
+        links = moved
+        if moved.where("_moved").isEmpty():
+            return links.select("seq", "ptr", "odd"), steps
+
+
 def admit_batch(candidates: DataFrame, keys) -> DataFrame:
     """R5 core: the requests that a one-by-one replay in ``seq`` order accepts
     when a request is refused iff it shares a key with an earlier accepted
@@ -124,35 +153,50 @@ def admit_batch(candidates: DataFrame, keys) -> DataFrame:
     conflict graph).
 
     Each round accepts every undecided request that is the earliest
-    undecided one on all of its keys, then refuses the undecided requests
-    sharing a key with a newly accepted one.  Per-key minima are grouped
-    aggregates (map-side combine, so a hot key value costs one partial row
-    per task).  Each round's decisions are checkpointed to the shared
-    checkpoint folder, and the undecided set every few rounds, so lineage
-    stays short and a lost executor costs at most a few rounds.  Returns
-    ``seq`` of the accepted requests."""
+    undecided one on all of its keys.  A request with exactly one earlier
+    undecided neighbour is accepted iff that one is not, so such requests form
+    chains; they are contracted by pointer jumping, and a chain that ends at a
+    request refused in this round is decided as a whole.  Then every request
+    sharing a key with a newly accepted one is refused.  A chain of n requests
+    takes about log2(n) steps; requests with several earlier neighbours wait
+    for the next round, so only a run of these that hang on each other still
+    takes a round per link.
+
+    Per-key minima are grouped aggregates (a hot key value costs one partial
+    row per task).  Every round starts from tables in the shared checkpoint
+    folder, so a lost executor costs at most one round.  Returns ``seq`` of
+    the accepted requests."""
     checkpoint_dir(candidates.sparkSession)
     und = _key_rows(candidates, keys).checkpoint()
     accepted = None
     rounds = 0
+    seq, low = F.col("seq"), F.col("_min")
     while not und.isEmpty():
         rounds += 1
-        mins = und.groupBy("kt", "kv").agg(F.min("seq").alias("_min"))
-        j = und.join(mins, ["kt", "kv"])
-        winners = (j.groupBy("seq").agg(F.min(F.col("seq") == F.col("_min")).alias("_win"))
-                    .where("_win").select("seq"))
-        # a winner is the minimum of every key it has, so the requests that
-        # share a key with a winner are exactly those whose key minimum won
-        losers = (j.where(F.col("seq") != F.col("_min"))
-                   .join(winners.withColumnRenamed("seq", "_min"), "_min", "left_semi")
-                   .select("seq").distinct())
-        decided = (winners.withColumn("_acc", F.lit(True))
-                          .unionByName(losers.withColumn("_acc", F.lit(False))).checkpoint())
-        won = decided.where("_acc").select("seq")
+        ranked = _ranked_keys(und).checkpoint()
+        later = seq != low
+        nodes = ranked.groupBy("seq").agg(
+            F.min(~later).alias("_free"),
+            F.min(F.when(later, seq == F.col("_second"))).alias("_next"),
+            F.min(F.when(later, low)).alias("_pred"), F.max(F.when(later, low)).alias("_pred2"))
+        won = nodes.where("_free").select("seq")
+        # a free request is the minimum of every key it has, so the requests that
+        # share a key with one are exactly those whose key minimum is free
+        lost = (ranked.where(later).join(won.select(seq.alias("_min")), "_min", "left_semi")
+                      .select("seq").distinct())
+        links = (nodes.where(~F.col("_free") & F.col("_next") & (F.col("_pred") == F.col("_pred2")))
+                      .select("seq", F.col("_pred").alias("ptr"))
+                      .join(lost, "seq", "left_anti").checkpoint())
+        if not links.isEmpty():
+            ends, steps = _chain_ends(links)
+            rounds += steps
+            won = won.unionByName(ends.where("odd").join(lost.select(seq.alias("ptr")), "ptr", "left_semi")
+                                      .select("seq"))
+        won = won.checkpoint()
         accepted = won if accepted is None else accepted.unionByName(won)
-        und = und.join(decided.select("seq"), "seq", "left_anti")
-        if rounds % CHECKPOINT_EVERY == 0:   # keep the lineage short on long chains
-            und = und.checkpoint()
+        taken = ranked.join(won, "seq", "left_semi").select("kt", "kv")  # a key has one accepted request at most
+        gone = ranked.join(taken, ["kt", "kv"], "left_semi").select("seq").distinct()
+        und = ranked.select("seq", "kt", "kv").join(gone, "seq", "left_anti").checkpoint()
     global LAST_ROUNDS
     LAST_ROUNDS = rounds
     # requests without any key conflict with nobody

@@ -69,14 +69,39 @@ def test_register_batch_equals_sequential(spark, seed):
         assert r.conflict_field in ("username", "email", "dni")
 
 
-def test_admit_batch_chain_needs_many_rounds(spark):
-    """Request i shares its username with i-1 or its email with i-1 in turn,
-    so each round can only settle the head of the chain."""
-    reqs = [dict(seq=i, username=f"u{(i + 1) // 2}", email=f"e{i // 2}") for i in range(14)]
+def test_admit_batch_contracts_chains(spark):
+    """Request i shares its username with i-1 or its email with i-1 in turn: a
+    replay settles one request after the other, pointer jumping log2 of them."""
+    reqs = [dict(seq=i, username=f"u{(i + 1) // 2}", email=f"e{i // 2}") for i in range(200)]
     df = spark.createDataFrame([(r["seq"], r["username"], r["email"]) for r in reqs],
                                "seq long, username string, email string")
     got = sorted(r.seq for r in acc.admit_batch(df, ["username", "email"]).collect())
-    assert got == replay.register([], reqs, ["username", "email"]) == list(range(0, 14, 2))
+    assert got == replay.register([], reqs, ["username", "email"]) == list(range(0, 200, 2))
+    assert acc.LAST_ROUNDS <= 12
+
+
+@pytest.mark.parametrize("seed", [41, 42, 43, 44])
+def test_admit_batch_chains_equal_replay(spark, seed):
+    """Chains with branches, hot keys and missing keys in random order."""
+    rng = random.Random(seed)
+    reqs = []
+    for chain in range(5):
+        n = rng.randint(1, 40)
+        for i in range(n):
+            reqs.append(dict(username=f"u{chain}-{(i + 1) // 2}", email=f"e{chain}-{i // 2}",
+                             dni=None if rng.random() < 0.6 else f"d{rng.randint(0, 30)}"))
+            if rng.random() < 0.2:   # a branch
+                reqs.append(dict(username=f"u{chain}-{rng.randint(0, n)}", email=None, dni=None))
+    reqs += [dict(username=None, email=None, dni=rng.choice(["d1", "hot", None])) for _ in range(40)]
+    if seed % 2:                     # chains stay in order otherwise
+        rng.shuffle(reqs)
+    for i, r in enumerate(reqs):
+        r["seq"] = i
+    keys = ["username", "email", "dni"]
+    df = spark.createDataFrame([(r["seq"], *(r[k] for k in keys)) for r in reqs],
+                               "seq long, username string, email string, dni string")
+    got = sorted(r.seq for r in acc.admit_batch(df, keys).collect())
+    assert got == replay.register([], reqs, keys)
 
 
 def test_user_roles_and_filters(spark):
