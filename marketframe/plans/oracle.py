@@ -710,6 +710,15 @@ FROM users_t u""", "users_t", "roles_t")
 
 # ---- scalar functions -------------------------------------------------------------------
 Q["q_feed_shred_cards"] = with_ctes("SELECT * FROM cards", "cards")
+Q["q_feed_landed"] = with_ctes(f"""
+SELECT c.*, CAST(COALESCE(s.n, 0) AS INTEGER) AS n_sets, COALESCE(s.sets, '') AS sets, COALESCE(t.types, '') AS types,
+       c.level % 6 IN (0, 1) AS has_banlist
+FROM cards c
+LEFT JOIN (SELECT card_id, count(*) AS n, string_agg(x, '|' ORDER BY x) AS sets
+           FROM (SELECT card_id, concat_ws('/', {_nz('set_code')}, {_nz('set_rarity_code')}, {_nz('set_price')}) AS x
+                 FROM feed_sets) GROUP BY card_id) s ON s.card_id = c.id
+LEFT JOIN (SELECT p_partkey, concat_ws('|', p_type, CASE WHEN p_size % 2 = 0 THEN 'Effect' ELSE 'Normal' END, p_type) AS types
+           FROM part WHERE p_size % 7 > 1) t ON t.p_partkey = c.id""", "cards", "feed_sets")
 Q["q_feed_shred_types"] = with_ctes("SELECT * FROM feed_types", "feed_types")
 Q["q_feed_shred_printings"] = with_ctes("SELECT * FROM feed_printings", "feed_printings")
 Q["q_feed_shred_banlist"] = with_ctes("SELECT * FROM feed_banlist", "feed_banlist")

@@ -24,6 +24,7 @@ from marketframe.operators import search as se
 from marketframe.operators import tournaments as tn
 from marketframe.session import checkpoint_dir
 from marketframe.sources import bindings as b
+from marketframe.sources.feed_split import read_feed_split
 from marketframe.streaming import inventory_stream as ist
 
 # Fixed request parameters of the registered queries.
@@ -143,6 +144,23 @@ def q_ingest_catalog(spark, d):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+@query
+def q_feed_landed(spark, d):
+    """Landed feed documents, each cut at card borders and read by many tasks."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    b.land_feed(b.feed(spark, d), folder)
+    f = read_feed_split(spark, folder)
+    cards = cat.shred_cards(f)
+    sets = F.coalesce("card_sets", F.array())
+    nested = f.select(
+        "id", F.size(sets).alias("n_sets"),
+        F.array_join(F.array_sort(F.transform(sets, lambda s: F.concat_ws(
+            "/", _nz(s["set_code"]), _nz(s["set_rarity_code"]), _nz(s["set_price"])))), "|").alias("sets"),
+        F.array_join(F.coalesce("typeline", F.array().cast("array<string>")), "|").alias("types"),
+        F.col("banlist_info").isNotNull().alias("has_banlist"))
+    return cards.join(nested, "id")
+
+
 @query
 def q_unnest_zip(spark, d):
     f = b.feed(spark, d)

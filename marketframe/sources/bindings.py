@@ -28,6 +28,7 @@ from marketframe.sources.tables import read_table
 CUTOFF = _dt.datetime(1998, 1, 1)          # base inventory = lines shipped before
 NOW = _dt.datetime(2002, 1, 1)             # the "current time" parameter of DML queries
 SELLER_EPOCH = _dt.datetime(2023, 1, 1)    # sellers' created_at origin
+LANDED_CARDS = 100_000                     # cards of one landed feed document
 LOCK_EPOCH = _dt.datetime(2024, 1, 1, 6)   # initial lock of some sellers
 
 
@@ -139,6 +140,22 @@ def feed(spark: SparkSession, sf_dir: str, since: _dt.datetime | None = None) ->
         "card_sets", "banlist_info", "card_images", "card_prices")
 
 
+def land_feed(cards: DataFrame, path: str) -> None:
+    """Feed rows as landed JSON documents ``{"data": [card, ...]}`` under
+    ``path``, one file for each ``LANDED_CARDS`` consecutive card ids."""
+    rows = cards.select(F.floor(F.col("id") / LANDED_CARDS).alias("document"), "id",
+                        F.to_json(F.struct(*cards.columns)).alias("value"))
+    ends = rows.groupBy("document").agg(F.max("id").alias("last"))
+    lines = (rows.join(ends, "document")
+                 .select("document", F.lit(1).alias("part"), "id",
+                         F.concat("value", F.when(F.col("id") < F.col("last"), ",").otherwise("")).alias("value")))
+    for part, text in ((0, '{"data": ['), (2, "]}")):
+        lines = lines.unionByName(ends.select("document", F.lit(part).alias("part"), F.lit(0).cast("long").alias("id"),
+                                              F.lit(text).alias("value")))
+    (lines.repartition("document").sortWithinPartitions("document", "part", "id")
+          .select("document", "value").write.partitionBy("document").text(path))
+
+
 # ---- sellers and inventory ----------------------------------------------------
 def vendedores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier")
