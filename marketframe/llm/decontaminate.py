@@ -1,26 +1,26 @@
 """Benchmark decontamination: BM25 with block maxima over the test items.
 
-The test items, cut into *pieces* of at most ``PIECE`` words (question and
-answer apart, as the rules below are), are the indexed collection, and every
-passage of every training text is a query.  A piece is no longer than the
-overlap of passages, so one that a text holds verbatim lies in one passage,
-however long its item is.  A piece's postings hold BM25 impacts divided by the
-piece's own score, so a score is the weighted share of the piece that a
-passage covers, and one threshold serves all pieces.
+The terms of the index are word 5-grams.  The test items, cut into *pieces* of at
+most ``PIECE`` 5-grams in a row, are the indexed collection, and every passage of
+every training text is a query.  A piece is no longer than the overlap of passages,
+so one that a text holds verbatim lies in one passage, however long its item is.  A
+piece's postings hold BM25 impacts divided by the piece's own score, so a score is
+the weighted share of the piece that a passage covers, and one threshold serves all
+pieces.
 
 For each passage (overlapping windows of words) the sum of its terms' largest
 impacts bounds every score; passages below the threshold stop there.  For the
-others block maxima are summed block by block, and only blocks that can reach
-the threshold have their postings scored, so all pieces above it are found.
-
-(text, item) pairs are verified on word 5-grams of the whole text: the shares
-found of the item's question (all lines but the last) and of its answer (the
-last line; an item of one line is all question).  A text is contaminated when
-half of the item's 5-grams occur in it, or nearly all of the question's.
-BM25 alone is not complete under that rule (the matching 5-grams may be common
-words, or lie far apart), so the 5-grams of the items are postings as well:
-the shares are counted from them for every pair, and a pair that no passage
-retrieved is reported too, with the score of its best passage.
+others block maxima are summed block by block; blocks that cannot reach the
+threshold are skipped with all their postings, the rest is scored, so all pieces at
+or above it are retrieved.
+
+Only retrieved (text, item) pairs are verified, on the 5-grams of the whole text:
+the shares found of the item's question (all lines but the last) and of its answer
+(the last line; an item of one line is all question).  A text is contaminated when
+half of the item's 5-grams occur in it, or nearly all of the question's.  The
+threshold is far below these shares: what it misses are items scattered so thinly
+that no passage holds a twentieth of any piece, or whose matching 5-grams are
+common to nearly all pieces.
 
 Document frequencies and lengths are counted in Spark over all pieces.  The
 index is cut into shards of about ``SHARD_POSTINGS`` postings, each sent to
@@ -47,18 +47,18 @@ from marketframe.llm.common import Words, materialise, slices, windows
 
 K1, B = 1.2, 0.75
 #: Least BM25 share of a piece that a passage must cover to be retrieved.
-THRESHOLD = 0.4
+THRESHOLD = 0.05
+GRAM = 5
 #: Words of a passage and between starts of passages; any ``PASSAGE - STRIDE``
 #: words in a row lie in one passage, so pieces are no longer than that.
 PASSAGE, STRIDE = 128, 64
-PIECE = PASSAGE - STRIDE
-GRAM = 5
+PIECE = PASSAGE - STRIDE - GRAM + 1
 #: Least shares of 5-grams: of the item, or of its question alone.
 OVERLAP, QUESTION = 0.5, 0.9
 BLOCK = 16
 SHARD_POSTINGS = 1_000_000
-#: (gram, item) rows laid out at once; a single text's rows are one lot.
-GRAM_ROWS = 1 << 20
+#: (passage, block) rows laid out at once; a single passage's rows are one lot.
+LOT = 1 << 20
 
 
 def _lower(text: str | None) -> str | None:
@@ -70,7 +70,8 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def _grams(h: np.ndarray) -> np.ndarray:
-    return np.unique(windows(h, np.zeros(len(h), np.int64), GRAM)[0])
+    """The 5-grams of some words, in order."""
+    return windows(h, np.zeros(len(h), np.int64), GRAM)[0]
 
 
 def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,45 +82,43 @@ def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(text: str) -> list[np.ndarray]:
-    """Word hashes of the pieces of an item that is searched.  A part too
-    short for a 5-gram is no piece, unless only the whole item holds one."""
-    parts = _parts(text)
-    if sum(map(len, parts)) < GRAM:
-        return []
-    parts = [p for p in parts if len(p) >= GRAM] or [np.concatenate(parts)]
-    return [q for p in parts for q in np.array_split(p, -(-len(p) // PIECE))]
+    """5-grams of the pieces of an item; none if it is too short for one."""
+    grams = _grams(np.concatenate(_parts(text)))
+    return np.array_split(grams, -(-len(grams) // PIECE)) if len(grams) else []
 
 
 def _item_terms(batches):
     for pdf in batches:
         out = []
         for entry, text in zip(pdf["entry"], pdf["text"]):
-            for k, h in enumerate(_pieces(text)):
-                terms, tf = np.unique(h.view(np.int64), return_counts=True)
-                out.append(pd.DataFrame({"entry": entry, "piece": k, "term": terms, "tf": tf, "words": len(h)}))
+            for k, grams in enumerate(_pieces(text)):
+                terms, tf = np.unique(grams.view(np.int64), return_counts=True)
+                out.append(pd.DataFrame({"entry": entry, "piece": k, "term": terms, "tf": tf, "length": len(grams)}))
         if out:
             yield pd.concat(out, ignore_index=True)
 
 
+def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``start:end``, joined."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Shard:
-    """Postings of some items' pieces, grouped by term (sorted), pieces in
-    blocks; and postings of the items' 5-grams."""
+    """Postings of some items' pieces, grouped by term (sorted), pieces in blocks;
+    and the items' 5-grams to verify with."""
     terms: np.ndarray      # sorted term hashes
-    at: np.ndarray         # postings of term t: at[t]:at[t + 1]
-    piece: np.ndarray      # piece number within the shard, ascending in a term
-    impact: np.ndarray
     top: np.ndarray        # largest impact of a term
-    block_at: np.ndarray   # block maxima of term t: block_at[t]:block_at[t + 1]
+    block_at: np.ndarray   # blocks of term t: block_at[t]:block_at[t + 1]
     block: np.ndarray
-    block_top: np.ndarray
+    block_top: np.ndarray  # largest impact of a term in a block
+    at: np.ndarray         # postings of a term's block b: at[b]:at[b + 1]
+    piece: np.ndarray      # piece number within the shard
+    impact: np.ndarray
     item_of: np.ndarray    # item number of a piece
     ids: np.ndarray        # item_id of an item number
-    grams: np.ndarray      # sorted 5-gram hashes
-    gram_at: np.ndarray    # items of gram g: gram_at[g]:gram_at[g + 1]
-    gram_item: np.ndarray
-    gram_part: np.ndarray  # whether the gram is in the item, its question, its answer (rows)
-    sizes: np.ndarray      # 5-grams of each item, its question, its answer (rows)
+    grams: list            # distinct 5-grams of each item, its question, its answer
 
     @classmethod
     def build(cls, rows: list, items: dict[int, tuple[int, str]], n_pieces: int, mean: float) -> Shard:
@@ -128,119 +127,93 @@ class Shard:
         pieces, piece = np.unique(np.stack([np.searchsorted(entries, entry), number]), axis=1, return_inverse=True)
         piece = piece.reshape(-1)
         term = np.array([r["term"] for r in rows], np.int64)
-        tf, words, df = (np.array([r[c] for r in rows], float) for c in ("tf", "words", "df"))
+        tf, length, df = (np.array([r[c] for r in rows], float) for c in ("tf", "length", "df"))
         weight = np.log(1 + (n_pieces - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (
-            tf + K1 * (1 - B + B * words / mean))
+            tf + K1 * (1 - B + B * length / mean))
         weight /= np.bincount(piece, weight)[piece]
         order = np.lexsort((piece, term))
         term, piece, weight = term[order], piece[order], weight[order]
-        terms, at = np.unique(term, return_index=True)
+        terms, first = np.unique(term, return_index=True)
         block = piece // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        starts = np.flatnonzero(new)
-        held, parts, sizes = [], [], []
+        at = np.flatnonzero(new)
+        grams = []
         for i in entries.tolist():
-            question, answer = (_grams(h) for h in _parts(items[i][1]))
-            whole = _grams(np.concatenate(_parts(items[i][1])))
-            held.append(whole)
-            parts.append(np.stack([np.ones(len(whole), bool), np.isin(whole, question), np.isin(whole, answer)]))
-            sizes.append([len(whole), len(question), len(answer)])
-        gram = np.concatenate(held)
-        gram_item = np.repeat(np.arange(len(held)), list(map(len, held)))
-        by = np.lexsort((gram_item, gram))
-        grams, gram_at = np.unique(gram[by], return_index=True)
-        return cls(terms, np.append(at, len(term)), piece, weight, np.maximum.reduceat(weight, at),
-                   np.append(np.searchsorted(starts, at), len(starts)), block[starts],
-                   np.maximum.reduceat(weight, starts), pieces[0], np.array([items[i][0] for i in entries.tolist()], np.int64),
-                   grams, np.append(gram_at, len(gram)), gram_item[by],
-                   np.concatenate(parts, axis=1)[:, by].astype(np.int64), np.array(sizes, np.int64).T)
-
-    def _spans(self, bounds: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """Indices of the entries of ``terms``, joined."""
-        n = bounds[terms + 1] - bounds[terms]
-        return np.repeat(bounds[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-
-    def retrieve(self, terms: np.ndarray, threshold: float) -> dict[int, float]:
-        """Best score of the items with a piece at or above ``threshold`` for a passage."""
-        at = self._spans(self.block_at, terms)
-        bound = np.bincount(self.block[at], self.block_top[at])
-        if bound.max(initial=0) < threshold:
-            return {}
-        at = self._spans(self.at, terms)
-        at = at[bound[self.piece[at] // BLOCK] >= threshold]
-        score = np.bincount(self.piece[at], self.impact[at])
-        best: dict[int, float] = {}
-        for k in np.flatnonzero(score >= threshold).tolist():
-            i = int(self.item_of[k])
-            best[i] = max(best.get(i, 0.0), float(score[k]))
-        return best
-
-    def matches(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
-        """Shares of 5-grams (of the item, its question, its answer) of all
-        (text, item) pairs within the bounds, for the words of some texts."""
-        gram, first = windows(h, doc, GRAM)
-        g = np.searchsorted(self.grams, gram)
-        g[g == len(self.grams)] = 0
-        known = self.grams[g] == gram
-        d, g = np.divmod(np.unique(doc[first[known]] * len(self.grams) + g[known]), len(self.grams))
-        rows = np.concatenate(([0], np.cumsum(self.gram_at[g + 1] - self.gram_at[g])))
-        ends = np.append(np.flatnonzero(d[1:] != d[:-1]) + 1, len(d)) if len(d) else d
-        found, start = {}, 0
-        while start < len(d):  # whole texts, about GRAM_ROWS rows at once
-            fit = ends[(ends > start) & (rows[ends] <= rows[start] + GRAM_ROWS)]
-            end = int(fit[-1] if len(fit) else ends[ends > start][0])
-            mine = g[start:end]
-            at = self._spans(self.gram_at, mine)
-            pair = np.repeat(d[start:end], self.gram_at[mine + 1] - self.gram_at[mine]) * len(self.ids) + self.gram_item[at]
-            pairs, inverse = np.unique(pair, return_inverse=True)
-            docs, items = np.divmod(pairs, len(self.ids))
-            shares = np.stack([np.bincount(inverse, self.gram_part[r][at], len(pairs)) for r in range(3)])
-            shares /= np.maximum(1, self.sizes[:, items])
-            for k in np.flatnonzero((shares[0] >= OVERLAP) | (shares[1] >= QUESTION)).tolist():
-                found[int(docs[k]), int(items[k])] = tuple(shares[:, k].tolist())
+            question, answer = _parts(items[i][1])
+            grams.append([np.unique(_grams(h)) for h in (np.concatenate([question, answer]), question, answer)])
+        return cls(terms, np.maximum.reduceat(weight, first), np.append(np.searchsorted(at, first), len(at)), block[at],
+                   np.maximum.reduceat(weight, at), np.append(at, len(term)), piece, weight, pieces[0],
+                   np.array([items[i][0] for i in entries.tolist()], np.int64), grams)
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float):
+        """(passage, item, score) of all pieces at or above ``threshold``; the
+        passages' distinct terms come in order of the passages."""
+        rows = np.concatenate(([0], np.cumsum(self.block_at[term + 1] - self.block_at[term])))
+        ends = np.append(np.flatnonzero(passage[1:] != passage[:-1]) + 1, len(passage)) if len(passage) else passage
+        start = 0
+        while start < len(passage):  # whole passages, about LOT rows at once
+            fit = ends[(ends > start) & (rows[ends] <= rows[start] + LOT)]
+            end = int(fit[-1] if len(fit) else ends[np.searchsorted(ends, start, "right")])
+            mine = term[start:end]
+            b = _spans(self.block_at[mine], self.block_at[mine + 1])
+            p = np.repeat(passage[start:end], self.block_at[mine + 1] - self.block_at[mine])
+            _, group = np.unique(p * (len(self.item_of) // BLOCK + 1) + self.block[b], return_inverse=True)
+            alive = np.bincount(group, self.block_top[b])[group] >= threshold
+            b, p = b[alive], p[alive]
+            at, p = _spans(self.at[b], self.at[b + 1]), np.repeat(p, self.at[b + 1] - self.at[b])
+            pairs, group = np.unique(p * len(self.item_of) + self.piece[at], return_inverse=True)
+            score = np.bincount(group, self.impact[at], len(pairs))
+            good = score >= threshold
+            p, piece = np.divmod(pairs[good], len(self.item_of))
+            yield from zip(p.tolist(), self.item_of[piece].tolist(), score[good].tolist())
             start = end
-        return found
+
+    def verify(self, item: int, text: np.ndarray) -> list[float] | None:
+        """Shares of the 5-grams of an item, its question and its answer among a
+        text's; None below the bounds."""
+        shares = [float(np.isin(g, text).sum() / max(1, len(g))) for g in self.grams[item]]
+        return shares if shares[0] >= OVERLAP or shares[1] >= QUESTION else None
 
 
 def _search(shard: Shard, threshold: float):
     def run(batches):
         for pdf in batches:
             out = []
-            for first, raws in slices(map(_lower, pdf["text"])):
+            for start, raws in slices(map(_lower, pdf["text"])):
                 w = Words(raws, lower=False)
-                h = w.hashes()
-                if not len(h):
-                    continue
-                t = np.searchsorted(shard.terms, h.view(np.int64))
+                gram, first = windows(w.hashes(), w.doc, GRAM)
+                t = np.searchsorted(shard.terms, gram.view(np.int64))
                 t[t == len(shard.terms)] = 0
-                known = shard.terms[t] == h.view(np.int64)
-                total = np.concatenate(([0.0], np.cumsum(np.where(known, shard.top[t], 0))))
+                known = shard.terms[t] == gram.view(np.int64)
+                t, first, gram = t[known], first[known], gram[known]   # in order of the words
+                if not len(t):
+                    continue
+                total = np.concatenate(([0.0], np.cumsum(shard.top[t])))
+                # passages of all texts at once: starts every STRIDE words
                 at = np.searchsorted(w.doc, np.arange(len(raws) + 1))
-                # windows of all texts at once: starts every STRIDE words
                 n = np.diff(at)
                 count = np.where(n > 0, 1 + np.maximum(0, -(-(n - PASSAGE) // STRIDE)), 0)
                 doc = np.repeat(np.arange(len(raws)), count)
-                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                lo = at[doc] + k * STRIDE
+                lo = at[doc] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
                 hi = np.minimum(lo + PASSAGE, at[doc + 1])
-
-                def scores(passages, least):
-                    best: dict[tuple[int, int], float] = {}
-                    for p in passages.tolist():
-                        mine = slice(lo[p], hi[p])
-                        for i, s in shard.retrieve(np.unique(t[mine][known[mine]]), least).items():
-                            key = (int(doc[p]), i)
-                            best[key] = max(s, best.get(key, 0.0))
-                    return best
-                best = scores(np.flatnonzero(total[hi] - total[lo] >= threshold), threshold)
-                found = shard.matches(h, w.doc)
-                # pairs that no passage retrieved: the score of their best one
-                missed = {d for d, i in found if (d, i) not in best}
-                rest = scores(np.flatnonzero(np.isin(doc, list(missed))), 0.0) if missed else {}
-                for (d, i), shares in found.items():
-                    s = best[d, i] if (d, i) in best else rest.get((d, i), 0.0)
-                    out.append((pdf["doc_id"].iat[first + d], int(shard.ids[i]), s, *shares))
+                lo, hi = np.searchsorted(first, lo), np.searchsorted(first, hi - GRAM, "right")
+                hi = np.maximum(lo, hi)
+                asked = np.flatnonzero((hi > lo) & (total[hi] - total[lo] >= threshold))
+                p, term = np.divmod(np.unique(np.repeat(asked, (hi - lo)[asked]) * len(shard.terms)
+                                              + t[_spans(lo[asked], hi[asked])]), len(shard.terms))
+                best: dict[tuple[int, int], float] = {}
+                for k, item, score in shard.retrieve(p, term, threshold):
+                    pair = int(doc[k]), item
+                    best[pair] = max(score, best.get(pair, 0.0))
+                ends = np.searchsorted(w.doc[first], np.arange(len(raws) + 1))
+                mine, text = -1, None
+                for (d, item), score in sorted(best.items()):
+                    if d != mine:
+                        mine, text = d, np.unique(gram[ends[d]:ends[d + 1]])
+                    shares = shard.verify(item, text)
+                    if shares:
+                        out.append((pdf["doc_id"].iat[start + d], int(shard.ids[item]), score, *shares))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "overlap", "question", "answer"])
     return run
 
@@ -252,9 +225,9 @@ def contaminated(documents: DataFrame, items: DataFrame, threshold: float = THRE
     and text."""
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     items = items.withColumn("entry", F.xxhash64("item_id", "text"))
-    postings = materialise(items.mapInPandas(_item_terms, "entry long, piece long, term long, tf long, words long"))
+    postings = materialise(items.mapInPandas(_item_terms, "entry long, piece long, term long, tf long, length long"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    pieces = postings.select("entry", "piece", "words").distinct().agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
+    pieces = postings.select("entry", "piece", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     shards = max(1, -(-postings.count() // shard_postings))
     found = None
     for k in range(shards):

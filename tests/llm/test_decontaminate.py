@@ -68,3 +68,48 @@ def test_empty_tables(spark, docs_of):
     assert D.contaminated(docs_of([(1, "a b c d e f")]), none).count() == 0
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.contaminated(docs_of([]), items).count() == 0
+
+
+def test_pairs_come_from_the_index(spark, docs_of, prose):
+    """Nothing is reported that BM25 did not retrieve."""
+    items = [(k, prose(80, 40 + k)) for k in range(20)]
+    docs = docs_of([(k, prose(100, 300 + k) + " " + items[k][1]) for k in range(20)])
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert D.contaminated(docs, table).count() == 20
+    assert D.contaminated(docs, table, threshold=99.0).count() == 0
+
+
+def test_blocks_are_skipped_without_loss(prose):
+    """Scores of all pieces at or above a threshold equal plain sums, in lots of any size."""
+    import numpy as np
+    shared = prose(20, 1)
+    items = {k: (k, " ".join([prose(20, 50 + k), shared, prose(30, 90 + k % 5)])) for k in range(70)}
+    rows = []
+    for k, (_, text) in items.items():
+        for n, grams in enumerate(D._pieces(text)):
+            terms, tf = np.unique(grams.view(np.int64), return_counts=True)
+            rows += [dict(entry=k, piece=n, term=t, tf=c, length=len(grams)) for t, c in zip(terms.tolist(), tf.tolist())]
+    df = {}
+    for r in rows:
+        df[r["term"]] = df.get(r["term"], 0) + 1
+    shard = D.Shard.build([r | {"df": df[r["term"]]} for r in rows], items, 140, 33.0)
+    term = np.concatenate([np.unique(np.searchsorted(shard.terms, D._grams(D._hashes(t)).view(np.int64)))
+                           for _, t in list(items.values())[:12]])
+    n = [len(np.unique(D._grams(D._hashes(t)))) for _, t in list(items.values())[:12]]
+    passage = np.repeat(np.arange(12), n)
+    start = np.searchsorted(np.concatenate([shard.block_at]), np.arange(shard.block_at[-1]), "right") - 1
+    of = np.repeat(start, np.diff(shard.at))        # the term of every posting
+    for threshold in (0.01, 0.3, 0.9):
+        want = {}
+        for p, t in zip(passage.tolist(), term.tolist()):
+            for j in np.flatnonzero(of == t).tolist():
+                key = p, int(shard.piece[j])
+                want[key] = want.get(key, 0.0) + float(shard.impact[j])
+        want = sorted((p, int(shard.item_of[k]), round(s, 9)) for (p, k), s in want.items() if s >= threshold)
+        old = D.LOT
+        try:
+            for D.LOT in (1, 300, 1 << 20):
+                got = sorted((p, i, round(s, 9)) for p, i, s in shard.retrieve(passage, term, threshold))
+                assert got == want
+        finally:
+            D.LOT = old
