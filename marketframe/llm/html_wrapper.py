@@ -4,23 +4,26 @@ inferred from the token streams of pages of the same host.
 1. A page becomes a tree (comments, scripts, styles and the like gone, implied
    end tags added) and its *outline*: the token stream of block elements and
    text slots in which repeated neighbouring groups are folded to ``(...)+``.
+   On pages without an article or main element a text that most such pages of
+   the host hold at the same place is a token of its own, no slot.
 2. Distinct outlines of a host are aligned one after the other: equal tokens
    stay; where one stream has a group that the other repeats, the group becomes
    a repetition; tokens that only one stream has become optional ``(...)?``.
    The result, the host's wrapper, accepts all outlines it was made from.
    Pages are reduced to distinct outlines with their text masses before the
-   shuffle, and the outlines of a host are first aligned in salted parts and
-   the parts' wrappers again, so a host that holds a third of all pages is
-   neither gathered nor aligned in one task.
+   shuffle, and a host's outlines are aligned in groups of about ``FAN``, the
+   groups' wrappers in groups again and so on, so a host that holds a third of
+   all pages is neither gathered nor aligned in one task.
 3. Text slots hang below *regions* (the elements around them that hold
    several blocks).  Regions whose tags or class names say menu, header,
    footer, sidebar, notice, advert, form or comments are left out, unless such
-   a name or form is around the article or most of the page; an article
-   or main element wins, else the region whose slots repeat in the wrapper and
-   that holds most text outside links over the whole host.
-4. Each page is read by its host's wrapper: all blocks below the chosen region,
-   in page order.  A page without that region (an outline the wrapper reaches
-   only through options) is read by its own best one.
+   a name or form is around the article or most of the page.
+4. Each page is read by its host's wrapper.  With an article or main element:
+   all blocks below the host's region, in page order - the article or main
+   element with most text outside links over the host; a page without that
+   region is read by its own best one.  Without one: the texts of all slots,
+   that is of every block that is no constant of the wrapper, but for regions
+   that are links for the most part.
 
 Elements left open before the main text (buttons, icons, objects) lose their
 tag only; scripts, styles, titles, text areas and frames run to the end.
@@ -38,6 +41,7 @@ from __future__ import annotations
 
 import bisect
 import difflib
+import hashlib
 import html as html_lib
 import re
 from collections import Counter
@@ -81,8 +85,10 @@ _INERT = re.compile(r"<(/?)(" + "|".join(INERT) + r")(?=[\s/>])(" + _ATTRIBUTES
 _MAIN = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Parts that a host's outlines are dealt to before their wrappers meet.
-SALT = 16
+#: Outlines, or wrappers of the level below, that one task aligns (about).
+FAN = 64
+#: Least pages that hold a constant of a wrapper; also more than half of the host's.
+CONSTANT = 3
 
 
 def _without_inert(page: str) -> str:
@@ -131,6 +137,8 @@ class Blocks:
     def __init__(self, page: str | None):
         self.blocks: list[tuple[tuple[str, ...], bool, str, int]] = []  # path, left out, text, link characters
         self.outline: list[str] = []
+        self.keys: list[int] = []  # place and text of each block
+        self._slots: list[int] = []  # where it is in the outline
         self._stack: list[tuple[str, str, LeftOut | None]] = []  # tag, token, left out
         self._found: list[tuple[tuple[str, ...], list[LeftOut], str, int]] = []
         self._mains: list[tuple[list[LeftOut], list[int]]] = []  # left out around it, its text outside links
@@ -152,6 +160,9 @@ class Blocks:
             for _, chars in self._open_mains:
                 chars[0] += len(text) - links
             self._found.append((path, out, text, links))
+            key = hashlib.blake2b("/".join((*path, "", text)).encode("utf-8", "surrogatepass"), digest_size=8)
+            self.keys.append(int.from_bytes(key.digest(), "big", signed=True))
+            self._slots.append(len(self.outline))
             self.outline.append("#")
         self._text, self._links = [], 0
 
@@ -248,6 +259,24 @@ class Blocks:
                 r[1] += 1
         return {k: (v[0], v[1]) for k, v in found.items()}
 
+    def tokens(self, constants: frozenset[int]) -> list[str]:
+        """The outline with constants as tokens of their own."""
+        out = list(self.outline)
+        for at, key in zip(self._slots, self.keys):
+            if key in constants:
+                out[at] = f'"{key & (1 << 64) - 1:016x}'
+        return out
+
+    def slots(self, constants: frozenset[int]) -> str:
+        """The texts of all slots in regions that are not mostly links; the best
+        region's if there is none."""
+        links: Counter = Counter()
+        for path, _, text, n in self.blocks:
+            links[region_of(path)] += 2 * n - len(text)
+        return "\n\n".join(text for (path, out, text, _), key in zip(self.blocks, self.keys)
+                           if not out and key not in constants and links[region_of(path)] <= 0) \
+            or self.text(best_region(self.regions()))
+
     def text(self, region: str | None) -> str:
         return "\n\n".join(t for path, out, t, _ in self.blocks
                            if not out and region is not None and below(path, region))
@@ -274,12 +303,12 @@ def below(path: tuple[str, ...], region: str) -> bool:
     return region == "" or own == region or own.startswith(region + "/")
 
 
-def best_region(regions: dict[str, tuple[int, int]], repeated: frozenset[str] = frozenset()) -> str | None:
-    """Article or main first, then repeated slots, then text outside links."""
+def best_region(regions: dict[str, tuple[int, int]]) -> str | None:
+    """Article or main first, then text outside links."""
     def rank(item):
         region, (chars, _) = item
         last = region.rpartition("/")[2].split(".")[0]
-        return (last in ("article", "main") and chars > 0, chars * (2 if region in repeated else 1), region)
+        return (last in ("article", "main") and chars > 0, chars, region)
     return max(regions.items(), key=rank)[0] if regions else None
 
 
@@ -334,17 +363,15 @@ def _unit(tokens: list[str]) -> str:
     return text[1:-2] if len(tokens) == 1 and text.endswith(")+") else text
 
 
-def repeated_regions(wrapper: list[str]) -> frozenset[str]:
-    """Regions with a repeated or optional text slot directly below."""
-    found, path = set(), []
-    for t in re.findall(r"\(|\)[+?]|[^\s()]+", " ".join(wrapper)):
-        if t[0] == "<":
-            path.append(t[1:])
-        elif t[0] == "/" and path:
-            path.pop()
-        elif t == "(":
-            found.add(region_of(tuple(path)))
-    return frozenset(found)
+def _constant_candidates(batches):
+    """(host, place and text, pages) of a task's pages; null stands for all pages."""
+    for pdf in batches:
+        seen: Counter = Counter()
+        for host, page in zip(pdf["host"], pdf["html"]):
+            seen[host, None] += 1
+            seen.update((host, key) for key in set(Blocks(page).keys))
+        yield pd.DataFrame({"host": [h for h, _ in seen], "slot": pd.array([k for _, k in seen], dtype="Int64"),
+                            "pages": list(seen.values())})
 
 
 def _outlines(batches):
@@ -352,44 +379,62 @@ def _outlines(batches):
     masses of their regions."""
     for pdf in batches:
         seen: dict[tuple[str, str], Counter] = {}
-        for host, page in zip(pdf["host"], pdf["html"]):
+        for host, page, constants in zip(pdf["host"], pdf["html"], pdf["constants"]):
             b = Blocks(page)
-            mass = seen.setdefault((host, "\n".join(fold(b.outline))), Counter())
+            tokens = b.tokens(frozenset(() if constants is None else constants.tolist()))
+            mass = seen.setdefault((host, "\n".join(fold(tokens))), Counter())
             for region, (chars, _) in b.regions().items():
                 mass[region] += chars
         yield pd.DataFrame([(h, o, list(m.keys()), list(m.values())) for (h, o), m in seen.items()],
-                           columns=["host", "outline", "region", "chars"])
+                           columns=["host", "wrapper", "region", "chars"])
+
 
+def _merge(key, pdf):
+    wrapper: list[str] | None = None
+    for o in sorted(set(pdf["wrapper"]), key=lambda o: (len(o), o)):
+        tokens = o.split("\n") if o else []
+        wrapper = tokens if wrapper is None else align(wrapper, tokens)
+    return pd.DataFrame({"host": [key[0]], "wrapper": ["\n".join(wrapper or [])]})
 
-def _merge(column: str):
-    def run(key, pdf):
-        wrapper: list[str] | None = None
-        for o in sorted(set(pdf[column]), key=lambda o: (len(o), o)):
-            tokens = o.split("\n") if o else []
-            wrapper = tokens if wrapper is None else align(wrapper, tokens)
-        return pd.DataFrame({"host": [key[0]], "wrapper": ["\n".join(wrapper or [])]})
-    return run
+
+def _merged(outlines: DataFrame) -> DataFrame:
+    """One wrapper a host, by a tree of groups of about ``FAN``."""
+    level = outlines.select("host", "wrapper").distinct()
+    while True:
+        count = level.groupBy("host").agg(F.count("*").alias("n"))
+        part = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / FAN))
+        level = materialise(level.join(count, "host").select("host", "wrapper", part.alias("part"))
+                            .groupBy("host", "part").applyInPandas(_merge, "host string, wrapper string"))
+        if level.groupBy("host").count().where("count > 1").isEmpty():
+            return level
+
+
+def has_main(html) -> F.Column:
+    return F.coalesce(F.col(html).rlike(f"(?i){_MAIN.pattern}"), F.lit(False))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, region) from ``pages`` (host, html)."""
-    rows = materialise(pages.select("host", "html").mapInPandas(
-        _outlines, "host string, outline string, region array<string>, chars array<long>"))
-    distinct = rows.select("host", "outline").distinct().withColumn(
-        "part", F.pmod(F.xxhash64("outline"), F.lit(SALT)).cast("int"))
-    parts = distinct.groupBy("host", "part").applyInPandas(_merge("outline"), "host string, wrapper string")
-    whole = parts.groupBy("host").applyInPandas(_merge("wrapper"), "host string, wrapper string")
+    """(host, wrapper, region, constants) from ``pages`` (host, html)."""
+    pages = pages.select("host", "html")
+    plain = pages.where(~has_main("html")).dropDuplicates()  # a page that comes often is no template
+    held = (plain.mapInPandas(_constant_candidates, "host string, slot long, pages long")
+            .groupBy("host", "slot").agg(F.sum("pages").alias("pages")))
+    total = held.where("slot IS NULL").select("host", F.col("pages").alias("total"))
+    # fewer than two pages' blocks a host, as each is on more than half of its pages
+    constants = (held.where(F.col("slot").isNotNull() & (F.col("pages") >= CONSTANT)).join(total, "host")
+                 .where(2 * F.col("pages") > F.col("total"))
+                 .groupBy("host").agg(F.collect_list("slot").alias("constants")))
+    marked = pages.where(has_main("html")).withColumn("constants", F.lit(None).cast("array<bigint>")).unionByName(
+        plain.join(constants, "host", "left"))
+    rows = materialise(marked.mapInPandas(
+        _outlines, "host string, wrapper string, region array<string>, chars array<long>"))
+    # the region of hosts whose pages have an article or main element
     mass = (rows.select("host", F.explode(F.arrays_zip("region", "chars")).alias("r"))
-            .groupBy("host", "r.region").agg(F.sum("r.chars").alias("chars"))
-            .groupBy("host").agg(F.collect_list(F.struct("region", "chars")).alias("mass")))
-
-    def choose(batches):
-        for pdf in batches:
-            regions = [best_region({r["region"]: (r["chars"], 1) for r in mass} if mass is not None else {},
-                                   repeated_regions(w.split("\n")))
-                       for w, mass in zip(pdf["wrapper"], pdf["mass"])]
-            yield pdf[["host", "wrapper"]].assign(region=regions)
-    return whole.join(mass, "host", "left").mapInPandas(choose, "host string, wrapper string, region string")
+            .groupBy("host", "r.region").agg(F.sum("r.chars").alias("chars")))
+    main = F.regexp_extract("region", r"([^/.]*)(?:\.[^/]*)?$", 1).isin("article", "main") & (F.col("chars") > 0)
+    best = mass.groupBy("host").agg(F.max(F.struct(main, "chars", "region"))["region"].alias("region"))
+    found = F.regexp_extract_all("wrapper", F.lit('"([0-9a-f]{16})'))
+    return _merged(rows).join(best, "host", "left").select("host", "wrapper", "region", found.alias("constants"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep_html: bool = False) -> DataFrame:
@@ -398,16 +443,20 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     chosen = materialise(wrappers(pages.select(host.alias("host"), F.col(html_col).alias("html"))))
     keep = [c for c in pages.columns if c not in ("text", "n_chars") and (keep_html or c != html_col)]
     rows = pages.select(F.struct(*keep).alias("page"), F.col(html_col).alias("html"), host.alias("host")).join(
-        chosen.select("host", "region"), "host", "left")
+        chosen.select("host", "region", "constants"), "host", "left").withColumn("main", has_main("html"))
 
-    def read(html, region):
+    def read(html, main, region, constants):
         out = []
-        for page, r in zip(html, region):
+        for page, article, r, texts in zip(html, main, region, constants):
             b = Blocks(page)
-            text = b.text(r) if isinstance(r, str) else ""
-            out.append(text or b.text(best_region(b.regions())))
+            if article:
+                text = b.text(r) if isinstance(r, str) else ""
+                out.append(text or b.text(best_region(b.regions())))
+            else:
+                keys = (int(x, 16) for x in (() if texts is None else texts))
+                out.append(b.slots(frozenset(k - (1 << 64) if k >> 63 else k for k in keys)))
         return pd.Series(out, dtype=object)
     udf = F.pandas_udf(read, T.StringType(), F.PandasUDFType.SCALAR)
-    rows = rows.select("page", udf("html", "region").alias("text"))
+    rows = rows.select("page", udf("html", "main", "region", "constants").alias("text"))
     return rows.select(*[F.col("page")[c].alias(c) for c in keep], "text",
                        F.length("text").cast("long").alias("n_chars"))

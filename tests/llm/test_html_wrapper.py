@@ -78,3 +78,38 @@ def test_fold_and_align():
     assert H.fold(unit * 3) == ["(<p # /p)+"]
     assert H.align(unit, ["(<p # /p)+"]) == ["(<p # /p)+"]
     assert H.align(["<a", "/a"], ["<a", "<b", "/b", "/a"]) == ["<a", "(<b /b)?", "/a"]
+
+
+def test_wrapper_reads_pages_without_article(spark):
+    """All slots are read, a lead in a container of its own too; texts that most
+    pages of the host share are template, whatever their containers are called."""
+    def plain(k, more=""):
+        return (f"<body><div class=x1><p>Welcome to our site</p><p>Established long ago</p></div><div class=lead><p>Lead {k}</p></div>"
+                f"<div class=body><p>Body {k} of the text</p><p>and its end {k}</p>{more}</div>"
+                f"<div class=links><p><a href=/a>See also {k}</a></p></div><div class=x2>All rights kept by us</div>")
+    rows = [(k, "http://one.test/", plain(k, "<p>Only here</p>" if k == 3 else "")) for k in range(1, 8)]
+    rows += [(100, "http://two.test/", plain(100)), (8, "http://one.test/", "<article><p>With article</p></article>")]
+    rows += [(200 + j, "http://copies.test/", plain(j // 6)) for j in range(7)]  # a page six times, another once
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    for k in range(1, 8):
+        want = [f"Lead {k}", f"Body {k} of the text", f"and its end {k}"] + ["Only here"] * (k == 3)
+        assert got[k] == "\n\n".join(want)
+    assert got[8] == "With article"
+    assert got[100].startswith("Welcome to our site\n\nEstablished") and "Lead 100" in got[100]  # one page shows no template
+    assert "Body 0 of the text" in got[200] and "Body 1 of the text" in got[206]
+    (w,) = [r for r in H.wrappers(pages.selectExpr("'h' AS host", "html").where("html LIKE '%Lead%'")).collect()]
+    assert len(w["constants"]) == 3 and "#" in w["wrapper"]
+
+
+def test_outlines_are_merged_in_a_tree(spark, monkeypatch):
+    """The host's wrapper accepts all outlines, in groups of any size."""
+    pages = spark.createDataFrame([("h", f"<article>{'<p>a</p>' if k % 2 else ''}<h2>b</h2>{'<ul><li>c</ul>' * (k % 5)}"
+                                    f"<div class=k{'abcdefghij'[k % 10]}>d</div></article>") for k in range(40)],
+                                  "host string, html string")
+    for fan in (3, 64):
+        monkeypatch.setattr(H, "FAN", fan)
+        (w,) = H.wrappers(pages).collect()
+        assert w["region"] == "article" and "<h2\n#\n/h2" in w["wrapper"]
+        for c in "abcdefghij":
+            assert f"<div.k{c}" in w["wrapper"]
