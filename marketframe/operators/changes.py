@@ -247,15 +247,21 @@ def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None)
     applying them one by one in ``seq`` order to an empty table: quantities
     add up; ``precio``, ``edicion``, ``notas`` keep the last non-NULL value;
     ``condicion`` / ``idioma`` take the last line (defaults already applied).
-    Each request is stamped with ``time_col`` when given, else with ``now``."""
+    Each request is stamped with ``time_col`` when given, else with ``now``.
+
+    The lines themselves are shuffled, each with its (wide) arrival order once;
+    partial rows would hold it once a buffer, five times a line.  A key's lines
+    are sorted by key, with spilling, and folded one by one.  Rows come out
+    dealt by id and seller, so joins on both move them no further."""
     d = _with_add_defaults(lines)
     t = F.col(time_col) if time_col else _ts(now)
-    d = d.withColumn("_t", t)
-    # Values of the last line travel in one struct so that the (wide) arrival
-    # order is held by as few aggregation buffers as possible.
+    d = d.withColumn("_t", t).withColumn("inventario_id", _inventory_id(F.col("vendedor_id"), F.col("card_id")))
+    d = d.repartition("inventario_id", "vendedor_id")
+    # Values of the last line travel in one struct so that the arrival order is
+    # held by as few aggregation buffers as possible.
     last = F.max(F.struct(F.col("seq").alias("s"), F.col("condicion").alias("condicion"),
                           F.col("idioma").alias("idioma"), F.col("_t").alias("t")))
-    g = d.groupBy(*INVENTORY_KEY).agg(
+    g = d.groupBy("inventario_id", *INVENTORY_KEY).agg(
         F.sum("cantidad").alias("cantidad"),
         _last_non_null("precio").alias("precio"),
         _last_non_null("edicion").alias("edicion"),
@@ -263,8 +269,7 @@ def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None)
         F.min_by("_t", "seq").alias("created_at"),
         last.alias("_last"),
     )
-    return g.select(_inventory_id(F.col("vendedor_id"), F.col("card_id")).alias("inventario_id"),
-                    "vendedor_id", "card_id", "cantidad", "precio",
+    return g.select("inventario_id", "vendedor_id", "card_id", "cantidad", "precio",
                     F.col("_last.condicion").alias("condicion"),
                     F.col("_last.idioma").alias("idioma"), "edicion", "notas", "created_at",
                     F.col("_last.t").alias("updated_at"))
