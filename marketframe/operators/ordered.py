@@ -17,13 +17,15 @@ one straggler.  Instead:
    offset table is bounded by twice the number of partitions and is joined
    with a broadcast whose size is proven by construction.
 
-The local result is checkpointed once: range bounds are sampled anew each
+The local result is written once to the shared checkpoint folder, as Parquet,
+so later branches read the columns they need: range bounds are sampled anew each
 time an exchange re-runs, so every later branch (and any recomputation
 after a lost executor) must read the same chunks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -101,7 +103,6 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     order_c = _order_cols(order)
     spark = df.sparkSession
     n = num_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(spark)
 
     fields = list(df.schema.fields)
     out_schema = T.StructType(
@@ -111,7 +112,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_c)
                 .sortWithinPartitions(*[F.col(k) for k in keys], *order_c)
                 .withColumn("_chunk", F.spark_partition_id()))
-    local = ranged.mapInPandas(_local_prefix(keys, sums), out_schema).checkpoint()
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    ranged.mapInPandas(_local_prefix(keys, sums), out_schema).write.parquet(folder)
+    local = spark.read.schema(out_schema).parquet(folder)
 
     totals = local.groupBy("_chunk", *keys).agg(
         F.max("_lrank").alias("_trank"),
