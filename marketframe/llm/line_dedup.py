@@ -127,8 +127,9 @@ def _places(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text, place), normalised, and its number of words."""
     line = (documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"),
                              F.posexplode(_lines(F.col(text_col))).alias("place", "raw"))
-            .select(F.struct("doc_id", "row", "place").alias("at"), _normal(F.col("raw")).alias("line"))
-            .where("line <> ''"))
+            # a condition on the normal line would normalise every line twice
+            .where(F.trim("raw") != "")
+            .select(F.struct("doc_id", "row", "place").alias("at"), _normal(F.col("raw")).alias("line")))
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return line.withColumn("n_words", spaces + 1)
 

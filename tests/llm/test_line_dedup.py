@@ -81,3 +81,16 @@ def test_empty_table_and_columns(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = L.dedup_lines(docs_of([(1, "a\nb")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_lines_are_normalised_once(spark):
+    """The check's op9 figure: no condition repeats the normal form."""
+    import contextlib
+    import io
+    docs = spark.createDataFrame([(1, "A b  c\n \n\n\t\nx"), (2, None), (3, "")], "doc_id long, text string")
+    rows = L._places(docs, "doc_id", "text")
+    assert sorted((r.at.doc_id, r.at.place, r.line, r.n_words) for r in rows.collect()) == [(1, 0, "a b c", 3), (1, 4, "x", 1)]
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        rows.explain()
+    assert not any("lower(" in x for x in out.getvalue().splitlines() if "Filter" in x)
