@@ -5,7 +5,8 @@ Plain Parquet tables have no MERGE, so each change is a function
 built from joins; writing ``new_state`` to a new version folder is the
 commit.  Batches are folded per key with aggregates that combine map-side
 (``sum``, ``max_by``, ``min_by``), so a hot key costs one partial row per
-task, never one giant group.  Base tables are joined on their key; storing
+task, never one giant group; ``fold_additive_lines`` alone shuffles the lines
+themselves, so a hot key is one long task there.  Base tables are joined on their key; storing
 them bucketed by that key lets Spark skip the shuffle of the big side.
 """
 
