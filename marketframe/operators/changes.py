@@ -337,11 +337,15 @@ def bulk_upsert(base: DataFrame, lines: DataFrame, now=None) -> ChangeResult:
     ``updated_at`` change; lines without a card id are skipped; no check that
     the card exists."""
     ok, rejected = valid_lines(lines, None)
-    n = fold_bulk_lines(ok, now=now)
-    res = _merge_inventory(base, n, now, additive_only=True)
+    res = merge_bulk(base, fold_bulk_lines(ok, now=now), now)
     return ChangeResult(res.new_state, res.affected, rejected)
 
 
+def merge_bulk(base: DataFrame, folded: DataFrame, now=None) -> ChangeResult:
+    """D5 for lines folded to one row a key (``fold_bulk_lines``)."""
+    return _merge_inventory(base, folded, now, additive_only=True)
+
+
 def _merge_inventory(base: DataFrame, folded: DataFrame, now, additive_only: bool) -> ChangeResult:
     cols = INVENTORY_COLUMNS
 

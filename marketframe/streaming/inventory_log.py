@@ -9,13 +9,17 @@ Layout under ``root`` (Parquet, on whatever shared file system the cluster uses)
 
 * Rows carry a bucket, the hash of their key modulo the buckets, so the rows
   that a change set meets are looked up in the buckets that it names only.
+* The data folder is a Spark table bucketed by the key into ``parts`` (a multiple
+  of the buckets): every version is dealt alike, so reading, compaction and the
+  join of stored rows with a change set that is dealt alike (``dealt``) move no
+  stored row.  The catalog entry names the folder only and is made anew by
+  whoever opens it.
 * A commit writes its data folder, then one manifest row.  Readers see folders
   that the manifest lists, so a half-written version does not exist, and a
   version that is listed already is not applied again: a replayed micro-batch
   changes nothing.
 * A read takes the newest base and the deltas after it and keeps, for every key,
-  the row of the highest version: one grouped ``max_by`` that combines before the
-  shuffle.
+  the row of the highest version: one grouped ``max_by`` inside each part.
 * Compaction writes a new base.  It is due once the deltas hold half as many
   rows as the base, so the rows written in all stay within a constant factor of
   the rows changed.
@@ -25,6 +29,7 @@ One writer at a time (as in a streaming query); any number of readers.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -36,7 +41,7 @@ from pyspark.sql import types as T
 BUCKETS = 64
 #: Share of the base's rows from which the deltas are compacted.
 COMPACT_SHARE = 0.5
-MANIFEST = "kind string, version long, rows long, buckets int"
+MANIFEST = "kind string, version long, rows long, buckets int, parts int"
 
 
 class KeyedLog:
@@ -48,7 +53,24 @@ class KeyedLog:
         self.schema = schema
         # one writer: what it commits itself is all that is new
         self.known = self.commits()
-        self.buckets = self.known[0].buckets if self.known else buckets
+        if any(c.parts is None for c in self.known):
+            raise ValueError(f"{self.root} was written without parts; its rows must be loaded anew")
+        at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets, self.parts = ((self.known[0].buckets, self.known[0].parts) if self.known
+                                    else (buckets, -(-at_once // buckets) * buckets))
+        self.table = f"keyed_log_{hashlib.sha256(self.root.encode()).hexdigest()[:24]}"
+        self._declare()
+
+    def _declare(self) -> None:
+        """Name the data folder in the catalog; its partitions are found by listing."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        folder = self.root.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"""CREATE TABLE IF NOT EXISTS {self.table} ({columns}, kind string, version bigint, bucket int)
+            USING parquet PARTITIONED BY (kind, version, bucket) CLUSTERED BY ({keys}) INTO {self.parts} BUCKETS
+            LOCATION '{folder}/data'""")
+        if self.known:
+            self.spark.catalog.recoverPartitions(self.table)
 
     # ---- manifest ------------------------------------------------------------
     def commits(self) -> list[Row]:
@@ -71,14 +93,16 @@ class KeyedLog:
 
     # ---- reading -------------------------------------------------------------
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        # Spark's own bucket hash, so a bucket is a whole number of parts
+        return F.pmod(F.hash(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows``, shuffled as the stored ones are: joins on the keys move neither side."""
+        return rows.repartition(self.parts, *self.keys)
 
     def _versions(self, before: int | None, buckets: list[int] | None) -> DataFrame:
         base, deltas = self._live(before)
-        layout = T.StructType(self.schema.fields + [T.StructField("kind", T.StringType()),
-                                                    T.StructField("version", T.LongType()),
-                                                    T.StructField("bucket", T.IntegerType())])
-        rows = self.spark.read.schema(layout).parquet(f"{self.root}/data")
+        rows = self.spark.table(self.table)
         # partition filters: only the listed folders are opened
         listed = (F.col("kind") == "base") & (F.col("version") == base.version)
         if deltas:
@@ -102,27 +126,34 @@ class KeyedLog:
 
     # ---- writing -------------------------------------------------------------
     def _commit(self, kind: str, version: int, rows: DataFrame) -> None:
-        path = f"{self.root}/data/kind={kind}/version={version}"
+        """``rows`` dealt as the stored ones make one file a part."""
         written = Observation()
-        # counted in the writing pass
-        (rows.select(*self.schema.names, self._bucket().alias("bucket")).repartition("bucket")
+        # counted in the writing pass; whatever an uncommitted writer left there is replaced
+        folder = f"{self.table}_{kind}_{version}".replace("-", "_")
+        (rows.select(*self.schema.names, self._bucket().alias("bucket"))
              .observe(written, F.count("*").alias("rows"))
-             .write.mode("overwrite").partitionBy("bucket").parquet(path))
-        commit = Row(kind=kind, version=version, rows=written.get["rows"], buckets=self.buckets)
+             .write.mode("overwrite").partitionBy("bucket").bucketBy(self.parts, *self.keys)
+             .option("path", f"{self.root}/data/kind={kind}/version={version}").saveAsTable(folder))
+        self.spark.sql(f"DROP TABLE {folder}")                # its files stay, as partitions of the whole
+        self.spark.catalog.recoverPartitions(self.table)
+        commit = Row(kind=kind, version=version, rows=written.get["rows"], buckets=self.buckets, parts=self.parts)
         self.spark.createDataFrame([commit], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         self.known.append(commit)
 
     def create(self, rows: DataFrame) -> None:
         """The first base, version -1; nothing if there is one already."""
         if not any(c.kind == "base" for c in self.known):
-            self._commit("base", -1, rows)
+            self._commit("base", -1, self.dealt(rows))
+
+    def committed(self, version: int) -> bool:
+        return any(c.kind == "delta" and c.version == version for c in self.known)
 
     def apply(self, version: int, changes: DataFrame, change: Callable[[DataFrame], DataFrame]) -> bool:
         """Commit the rows that ``change`` makes of the stored rows with the
         keys of ``changes``; False if ``version`` is committed already."""
-        if any(c.kind == "delta" and c.version == version for c in self.known):
+        if self.committed(version):
             return False
-        self._commit("delta", version, change(self.stored(changes, before=version)))
+        self._commit("delta", version, self.dealt(change(self.stored(changes, before=version))))
         return True
 
     def compact(self, always: bool = False) -> bool:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from marketframe.operators.changes import INVENTORY_KEY, bulk_upsert, valid_lines
+from marketframe.operators.changes import INVENTORY_KEY, fold_bulk_lines, merge_bulk, valid_lines
 from marketframe.schemas import INVENTARIO, INVENTORY_LINES
 from marketframe.session import checkpoint_dir
 from marketframe.streaming.inventory_log import BUCKETS, KeyedLog
@@ -37,10 +37,13 @@ def apply_bulk_batches(log: KeyedLog, now_fn: Callable[[int], _dt.datetime] | No
     """``foreachBatch`` function applying each micro-batch of change lines."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if log.committed(batch_id):                  # replayed: nothing to do
+            return
         now = now_fn(batch_id) if now_fn else None
         checkpoint_dir(batch.sparkSession)
-        lines = valid_lines(batch)[0].checkpoint()   # read once
-        if log.apply(batch_id, lines, lambda stored: bulk_upsert(stored, lines, now=now).affected):
+        # read and folded once, dealt as the stored rows are
+        folded = log.dealt(fold_bulk_lines(valid_lines(batch)[0], now=now)).checkpoint()
+        if log.apply(batch_id, folded, lambda stored: merge_bulk(stored, folded, now=now).affected):
             log.compact()
 
     return run
