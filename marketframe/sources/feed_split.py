@@ -12,8 +12,10 @@ cut out of the stream:
 2. prefix sums over the summaries (``ordered.running_totals``, so one file may hold
    everything) give every piece its true start state and the number of cards that
    ended before it;
-3. each piece is cut at its card ends.  Whole cards stay in their task; only the
-   head and tail of a piece are shuffled, to be joined with their neighbours.
+3. the records of each piece, told apart again, are cut at its card ends, a batch of
+   records at a time, so a task's memory does not grow with its pieces.  Whole cards
+   stay in their task; only the head and tail of such a run of records are shuffled,
+   to be joined with their neighbours.
 
 Pieces are written once to the shared checkpoint folder: all three passes see the
 same cuts, also after a lost executor or when the cluster changes its size.
@@ -39,7 +41,7 @@ DOCUMENT_END = r'^\s*(?:\{\s*"data"\s*:\s*(?:\[|null))?\s*\]?\s*\}[\s}]*$'
 
 _PIECE = ("file string, block long, piece long, text string, flips int, out_moves int, out_depths array<int>, "
           "out_ends array<int>, in_moves int, in_depths array<int>, in_ends array<int>")
-_CUT = "file string, block long, piece long, card long, whole boolean, text string"
+_CUT = "file string, block long, piece long, first long, card long, whole boolean, text string"
 
 
 def _marks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -86,21 +88,34 @@ def _pieces(batches):
 
 
 def _cut(batches):
-    """Pieces with their start state, cut behind every card's closing brace."""
+    """Records of pieces, in order within a piece, cut behind every card's closing
+    brace.  ``in_string``, ``depth`` and ``card`` are those at the piece's start; they
+    are carried on from one batch to the next."""
     columns = [c.split()[0] for c in _CUT.split(", ")]
+    last, after = None, None
     for pdf in batches:
+        if pdf.empty:
+            continue
         rows = []
-        for file, block, piece, text, in_string, depth, card in pdf.itertuples(index=False, name=None):
-            raw = text.encode()
+        turn = (pdf[["file", "block", "piece"]] != pdf[["file", "block", "piece"]].shift()).any(axis=1).cumsum()
+        for _, run in pdf.groupby(turn, sort=False):
+            head = run.iloc[0]
+            here = (head["file"], int(head["block"]), int(head["piece"]))
+            in_string, depth, card = after if here == last else (
+                int(head["in_string"]), int(head["depth"]), int(head["card"]))
+            raw = ("}".join(run["record"]) + "}").encode()
             marks, at = _marks(raw)
-            after, ends = _depths(marks, in_string)
-            cuts = at[ends & (after + depth == CARD_DEPTH)] + 1
-            start = 0
+            moved, ends = _depths(marks, in_string)
+            cuts = at[ends & (moved + depth == CARD_DEPTH)] + 1
+            start, first = 0, int(head["at"])
             for i, end in enumerate(cuts.tolist()):
-                rows.append((file, block, piece, card + i, i > 0, raw[start:end].decode()))
+                rows.append((*here, first, card + i, i > 0, raw[start:end].decode()))
                 start = end
             if start < len(raw):
-                rows.append((file, block, piece, card + len(cuts), False, raw[start:].decode()))
+                rows.append((*here, first, card + len(cuts), False, raw[start:].decode()))
+            last = here
+            after = ((in_string + int((marks == 0x22).sum())) % 2, depth + (int(moved[-1]) if len(moved) else 0),
+                     card + len(cuts))
         yield pd.DataFrame(rows, columns=columns)
 
 
@@ -140,11 +155,15 @@ def read_feed_split(spark: SparkSession, path: str) -> DataFrame:
     text.mapInPandas(_pieces, _PIECE).write.parquet(folder)
     pieces = spark.read.schema(_PIECE).parquet(folder)
     states = _start_states(pieces)
-    cut = (pieces.select("file", "block", "piece", "text").join(states, ["file", "block", "piece"])
-                 .mapInPandas(_cut, _CUT))
+    place = ["file", "block", "piece"]
+    # small rows, so a batch for Python is small too; a piece ends with the separator
+    records = pieces.select(*place, "text").join(states, place).select(
+        *place, "in_string", "depth", "card", F.posexplode(F.split(F.expr("left(text, length(text) - 1)"), "[}]", -1))
+        .alias("at", "record"))
+    cut = records.mapInPandas(_cut, _CUT)
     whole = cut.where("whole").select("text")
     joined = (cut.where(~F.col("whole")).groupBy("file", "card")   # the pieces of one card
-                 .agg(F.array_sort(F.collect_list(F.struct("block", "piece", "text"))).alias("parts"))
+                 .agg(F.array_sort(F.collect_list(F.struct("block", "piece", "first", "text"))).alias("parts"))
                  .select(F.array_join(F.col("parts.text"), "").alias("text")))
     found = whole.unionByName(joined).where(~F.col("text").rlike(DOCUMENT_END) & (F.trim("text") != ""))
     card = (F.when(F.col("text").rlike(BEFORE_CARD), F.regexp_replace("text", BEFORE_CARD, ""))

@@ -11,8 +11,7 @@ Layout under ``root`` (Parquet, on whatever shared file system the cluster uses)
   that a change set meets are looked up in the buckets that it names only.
 * The data folder is a Spark table bucketed by the key into ``parts`` (a multiple
   of the buckets): every version is dealt alike, so reading, compaction and the
-  join of stored rows with a change set that is dealt alike (``dealt``) move no
-  stored row.  The catalog entry names the folder only and is made anew by
+  join of stored rows with a change set move no stored row.  The catalog entry names the folder only and is made anew by
   whoever opens it.
 * A commit writes its data folder, then one manifest row.  Readers see folders
   that the manifest lists, so a half-written version does not exist, and a
@@ -119,7 +118,7 @@ class KeyedLog:
 
     def stored(self, keys: DataFrame, before: int | None = None) -> DataFrame:
         """Stored rows of the given keys, from the buckets that hold them."""
-        keys = keys.select(*self.keys).distinct()
+        keys = keys.select(*self.keys)
         # at most as many numbers as buckets
         named = [r[0] for r in keys.select(self._bucket()).distinct().collect()]
         return self.read(before, named).join(keys, self.keys, "left_semi")

@@ -41,8 +41,7 @@ def apply_bulk_batches(log: KeyedLog, now_fn: Callable[[int], _dt.datetime] | No
             return
         now = now_fn(batch_id) if now_fn else None
         checkpoint_dir(batch.sparkSession)
-        # read and folded once, dealt as the stored rows are
-        folded = log.dealt(fold_bulk_lines(valid_lines(batch)[0], now=now)).checkpoint()
+        folded = fold_bulk_lines(valid_lines(batch)[0], now=now).checkpoint()   # read and folded once
         if log.apply(batch_id, folded, lambda stored: merge_bulk(stored, folded, now=now).affected):
             log.compact()
 

@@ -1,10 +1,11 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marketframe.sources.feed_split import read_feed_split
+from marketframe.sources.feed_split import _cut, read_feed_split
 from marketframe.sources.tables import read_feed
 
 NASTY = ["}", "{", '"', "\\", '\\"', "}]}", '{"data":[{', ",", "ñ", "龍", "\n", " ", "[", "]", "a", '"}']
@@ -78,3 +79,19 @@ def test_other_documents_fail(spark, scratch_dir, text):
         f.write(text)
     with pytest.raises(Exception, match="not a card|MALFORMED|Malformed"):
         read_feed_split(spark, scratch_dir).collect()
+
+
+def test_cut_holds_one_batch_at_a_time(spark):
+    """A piece comes as records; what a batch gives out is what it got, and the
+    state goes on from one batch to the next."""
+    text = json.dumps({"data": list(_cards(random.Random(7), 60))}, ensure_ascii=False)
+    records = text.split("}")[:-1]
+    pdf = pd.DataFrame({"file": "f", "block": 0, "piece": 3, "in_string": 0, "depth": 0, "card": 10,
+                        "at": range(len(records)), "record": records})
+    batches = [pdf[i:i + 8] for i in range(0, len(pdf), 8)]
+    got = list(_cut(iter(batches)))
+    assert len(got) == len(batches) > 20
+    assert [g["text"].str.cat() for g in got] == ["}".join(b["record"]) + "}" for b in batches]
+    whole = pd.concat(got).groupby("card", sort=True)["text"].sum().tolist()
+    cards = [json.loads(t.removeprefix('{"data": [').removeprefix(", ")) for t in whole[:-1]]
+    assert cards == json.loads(text)["data"] and whole[-1] == "]}"
