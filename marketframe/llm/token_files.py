@@ -46,13 +46,20 @@ PRECISION = 20
 LANES = 256
 #: Ids of a block and of a segment.
 BLOCK, SEGMENT = 1 << 16, 1 << 20
+#: Ids below this are counted and placed by tables as long as the largest of them.
+_TABLE_IDS = 1 << 22
 _LOW = np.uint64(1 << 31)
 _NO_ID = -(1 << 63)
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, frequencies >= 1 that sum to 2^PRECISION) of the ids."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < _TABLE_IDS:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     total = 1 << PRECISION
     if len(symbols) > total:
         raise ValueError("more symbols than the table can hold")
@@ -96,7 +103,12 @@ def encode_segment(docs: list[tuple[int, int]], ids: np.ndarray) -> bytes:
     """``docs``: (doc_id, ids of it here); ``ids``: all of them, joined."""
     symbols, freq = frequencies(ids)
     start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
-    index = np.searchsorted(symbols, ids)
+    if symbols[-1] < _TABLE_IDS:
+        place = np.zeros(int(symbols[-1]) + 1, np.int64)
+        place[symbols] = np.arange(len(symbols))
+        index = place[ids]
+    else:
+        index = np.searchsorted(symbols, ids)
     entries, firsts, checks, payload = [], [], [], []
     whole = len(ids) // BLOCK
     groups = [(index[:whole * BLOCK].reshape(whole, BLOCK), BLOCK)] if whole else []

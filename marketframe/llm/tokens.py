@@ -11,6 +11,8 @@ import numpy as np
 GENERATION, LINE = 300_000, 256
 #: Characters looked up at a time.
 BATCH = 1 << 20
+#: Marks that may end a word; with letters before them they are a word of their own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class CachedTokenizer:
@@ -28,8 +30,43 @@ class CachedTokenizer:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Ids of marks behind letters; None where they are no word of their own.
+        self.tails: dict[str, bytes | None] = {}
+
+    def _one(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _tail(self, head: str, tail: str) -> bytes | None:
+        if tail not in self.tails:
+            ids = self._one(tail)
+            self.tails[tail] = ids if self._one(head + tail) == self._one(head) + ids else None
+        return self.tails[tail]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; letters followed by marks take the ids of both."""
+        heads: dict[str, bytes | None] = {}
+        parts = []
+        for i, p in enumerate(pieces):
+            if not p.isalpha():
+                head = p.rstrip(MARKS)
+                if head.lower().isalpha() and len(p) - len(head) <= 8 and self._tail(head, p[len(head):]) is not None:
+                    parts.append((i, head, p[len(head):]))
+                    heads[head] = self.young.get(head) or self.old.get(head)
+        joined = {i for i, _, _ in parts}
+        whole = [i for i in range(len(pieces)) if i not in joined]
+        plain = [pieces[i] for i in whole]
+        known = set(plain)
+        new = [h for h, ids in heads.items() if ids is None and h not in known]
+        found = self._encode_whole(plain + new)
+        heads.update(zip(plain + new, found))
+        out: list[bytes] = [b""] * len(pieces)
+        for i, ids in zip(whole, found):
+            out[i] = ids
+        for i, head, tail in parts:
+            out[i] = heads[head] + self.tails[tail]
+        return out
+
+    def _encode_whole(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece.  Pieces of letters alone are one word each, so
         ``LINE`` of them go as one line and are told apart by their ends."""
         out: list[bytes | None] = [None] * len(pieces)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -95,3 +96,37 @@ def test_another_vocabulary_is_noticed():
     for text in ("some words", "more words"):
         assert fast.encode(text).tolist() == fast.tokenizer.encode(text, add_special_tokens=False).ids
     assert fast.fast is None
+
+
+def test_marks_behind_words_are_told_apart():
+    """Words with marks share the ids of the words; few texts go to the tokenizer."""
+    class Counted:
+        def __init__(self, tokenizer):
+            self.inner, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **kw)
+
+        def encode(self, text, **kw):
+            self.texts += 1
+            return self.inner.encode(text, **kw)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeñéÉß", k=rng.randint(1, 9))) for _ in range(400)]
+    odd = ["İ.", "σΣ,", "é.", "a.́", "don't.", "x9.", "9,", "ﬁ!!", "a²", "'s", "a's", "a'", "...", "a" + "." * 40,
+           "Ⅷ.", "a_b", "(a)", "<|a|>", "a̸>"]
+    pieces = [w + mark for w in words for mark in ("", ".", ",", "!!", ",###")] + odd
+    cached = CachedTokenizer(PATH)
+    plain, cached.tokenizer = cached.tokenizer, Counted(cached.tokenizer)
+    got = cached.encode_many([" ".join(pieces), *odd])
+    want = plain.encode_batch([" ".join(pieces), *odd], add_special_tokens=False)
+    assert [g.tolist() for g in got] == [w.ids for w in want]
+    assert cached.tokenizer.texts < 150
+
+
+def test_tables_of_ids_equal_sorting(monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 3000, 70_000).astype(np.uint32) ** 2 // 7
+    one = T.encode_segment([(1, len(ids))], ids)
+    monkeypatch.setattr(T, "_TABLE_IDS", 0)
+    assert T.encode_segment([(1, len(ids))], ids) == one
+    assert np.array_equal(T.Segment(one).ids(), ids)
