@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.tokens import CachedTokenizer
+from marketframe.llm.tokens import cached_tokenizer
 from marketframe.session import checkpoint_dir
 
 END_ID = 2
@@ -79,15 +79,14 @@ def _code_blocks(index: np.ndarray, freq: np.ndarray, start: np.ndarray, n: int)
     check, after = state, np.zeros(blocks, np.int64)
     for t in range(steps - 1, -1, -1):
         width = min(LANES, n - t * LANES)
-        s = index[:, t * LANES:t * LANES + width]
-        f, x = freq[s], state[:, :width]
-        full = x >= f << np.uint64(63 - PRECISION)
-        b, lane = np.nonzero(full)
-        emitted.append((x[b, lane] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-        owner.append(b)
+        s = np.ascontiguousarray(index[:, t * LANES:t * LANES + width])
+        f, x = freq.take(s), state[:, :width]
+        full = x >> np.uint64(63 - PRECISION) >= f
+        emitted.append(x[full].astype("<u4"))  # the low half
+        owner.append(np.nonzero(full)[0])
         x = np.where(full, x >> np.uint64(32), x)
         q = x // f
-        state[:, :width] = (q << np.uint64(PRECISION)) + (x - q * f) + start[s]
+        state[:, :width] = (q << np.uint64(PRECISION)) + (x - q * f) + start.take(s)
         if t == half:
             check = state.copy()
             after = np.bincount(np.concatenate(owner), minlength=blocks)
@@ -149,29 +148,31 @@ class Segment:
         self.firsts, self.checks = take("<u8", n_blocks, LANES), take("<u8", n_blocks, LANES)
         self.words = take("<u4", int(self.entries[:, 1].sum()))
         self.bounds = np.concatenate(([0], np.cumsum(self.entries[:, 1].astype(np.int64))))
-        self.freq, self.start = freq, np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
-        self.slot = np.repeat(np.arange(n_symbols), freq.astype(np.int64))
+        self.freq = freq.astype(np.int64)
+        self.start = np.cumsum(self.freq) - self.freq
+        self.slot = np.repeat(np.arange(n_symbols, dtype=np.uint32), self.freq)
 
     def _run(self, blocks: np.ndarray, n: int, state: np.ndarray, place: np.ndarray, first: int) -> np.ndarray:
         steps = -(-n // LANES)
-        out = np.zeros((len(blocks), n - first * LANES), np.int64)
-        mask = np.uint64((1 << PRECISION) - 1)
-        state, place = state.astype(np.uint64), place.copy()
+        out = np.empty((len(blocks), n - first * LANES), np.uint32)
+        # states are below 2^63
+        state, place = state.astype(np.int64), place.copy()
         for t in range(first, steps):
             width = min(LANES, n - t * LANES)
             x = state[:, :width]
-            low = x & mask
-            s = self.slot[low.astype(np.int64)]
+            low = x & ((1 << PRECISION) - 1)
+            s = self.slot.take(low)
             out[:, (t - first) * LANES:(t - first) * LANES + width] = s
-            x = self.freq[s] * (x >> np.uint64(PRECISION)) + low - self.start[s]
-            empty = x < _LOW
+            x = self.freq.take(s) * (x >> PRECISION) + low - self.start.take(s)
+            empty = x < int(_LOW)
             count = empty.sum(axis=1)
-            if count.any():
-                at = place[:, None] + np.cumsum(empty, axis=1) - 1
-                x[empty] = (x[empty] << np.uint64(32)) | self.words[at[empty]].astype(np.uint64)
+            ends = np.cumsum(count)
+            if ends[-1]:
+                at = np.arange(ends[-1]) + np.repeat(place - ends + count, count)
+                x[empty] = x[empty] << 32 | self.words.take(at)
                 place += count
             state[:, :width] = x
-        return self.symbols[out]
+        return self.symbols.take(out)
 
     def verify(self) -> None:
         for b in range(len(self.entries)):
@@ -197,7 +198,7 @@ class Segment:
 
 def _writer(path: str):
     def run(batches):
-        tokenizer = CachedTokenizer(path)
+        tokenizer = cached_tokenizer(path)
         part, segment = TaskContext.get().partitionId(), 0
         docs: list[tuple[int, int]] = []
         held: list[np.ndarray] = []
@@ -209,7 +210,7 @@ def _writer(path: str):
                 [pa.array([part], pa.int64()), pa.array([segment], pa.int64()), pa.array([size], pa.int64()),
                  pa.array([data], pa.binary())], names=["part", "segment", "n_ids", "data"])
         for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), tokenizer.encode_batch(batch.column(1).to_pylist())):
+            for doc, found in zip(batch.column(0).to_pylist(), tokenizer.encode_column(batch.column(1))):
                 ids = np.append(found, END_ID).astype(np.uint32)
                 if size and size + len(ids) > SEGMENT:
                     yield close()

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -130,3 +131,48 @@ def test_tables_of_ids_equal_sorting(monkeypatch):
     monkeypatch.setattr(T, "_TABLE_IDS", 0)
     assert T.encode_segment([(1, len(ids))], ids) == one
     assert np.array_equal(T.Segment(one).ids(), ids)
+
+
+def test_plain_pieces_are_looked_up_without_capitals_and_accents():
+    """Capitals, composed accents and inner marks: the whole tokenizer sees none of these texts."""
+    cached = CachedTokenizer(PATH)
+    plain, cached.tokenizer = cached.tokenizer, None
+    pieces = [a + chr(c) + b for c in range(33, 0x300) if chr(c) not in "\x7fİ\xadȺȾ" and not 0x7F < c < 0xA1
+              for a, b in (("", ""), ("a", "b"), ("'S", ".."), ("x,", "9"))]
+    texts = [" ".join(pieces), "The the THE The. the,", "Cafe\u0301 caf\xe9 CAFÉ, it've IT'VE a.b@c-d"]
+
+    class Left:  # has no piece to do
+        def encode_batch_fast(self, texts, **kw):
+            assert not texts
+            return []
+    cached.tokenizer = Left()
+    got = cached.encode_many(texts)
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"the", "caf\xe9"} <= cached.young.keys() and not {"The", "cafe\u0301", "the."} & cached.young.keys()
+
+
+def test_accents_that_compose_with_small_letters_only():
+    cached = CachedTokenizer(PATH)
+    texts = ["Ⱥ. 'SȺ.. x,Ⱥ9 Ⱦ,", "J̌ H̱. T̈x", "İ. İx", "क़. क़,", "É Ώ A", "À. ; ̈́", "", None]
+    for _ in range(2):
+        got = cached.encode_many(texts)
+        assert [g.tolist() for g in got] == [cached.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_other_rules_have_no_bare_vocabulary(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        config = json.load(file)
+    config["normalizer"] = {"type": "NFC"}  # capitals stay
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(config), encoding="utf-8")
+    cached = CachedTokenizer(str(path))
+    assert cached.bare is None
+    texts = ["The THE the, a.b", "Café"]
+    assert [g.tolist() for g in cached.encode_many(texts)] == [
+        cached.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_worker_keeps_its_tokenizer():
+    one = tokens.cached_tokenizer(PATH)
+    list(one.encode_batch(["some words"]))
+    assert tokens.cached_tokenizer(PATH) is one and "words" in one.young
