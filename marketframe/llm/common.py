@@ -54,6 +54,20 @@ def runtime_filter(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession):
+    """Within the block, Spark removes the shuffle files of a query when it
+    ends, not when the driver happens to collect its garbage: a table that is
+    written is read from its files afterwards, never from the shuffle."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def selected(df: DataFrame, key: str) -> DataFrame:
     """Non-null rows of ``df``, stated as a range of the long ``key``: the
     planner builds runtime filters from sides that have such a predicate."""

@@ -15,9 +15,11 @@ else in the corpus is marked.
    sorted directly; all others are induced by scanning the buckets of first
    bytes in order.  Adjacent suffixes with a common prefix of ``LENGTH`` bytes
    mark their strings, unless both are the same place of the corpus.
-4. Anchors with more than ``GROUP`` different contexts are not gathered: each
-   of their strings is counted by a 128-bit hash over the cluster instead,
-   which is exact up to hash collisions and combines before the shuffle.
+4. Contexts are dealt once, by anchor; a task counts equal ones and sorts the
+   others.  Only anchors with more than ``GROUP`` contexts are counted over the
+   cluster.  With more than ``GROUP`` different ones they are not gathered:
+   each of their strings is counted by a 128-bit hash instead, which is exact
+   up to hash collisions and combines before the shuffle.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` bytes have
 no such string; rows that repeat a text, an id or both, also null ids, are texts
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import _BYTE_TABLE, _power_tables, materialise, mix, runtime_filter, selected, slices
+from marketframe.llm.common import _BYTE_TABLE, _power_tables, materialise, mix, runtime_filter, selected, short_shuffles, slices
 
 LENGTH, GRAM = 200, 64
 _SIDE = LENGTH - GRAM
@@ -244,32 +246,54 @@ def _contexts(batches):
 
 
 def _sort_groups(batches):
-    """Rows (anchor, digest, n, ta, tb, start, context) sorted by anchor and
-    digest: repeated digests once; whole anchors fill a block."""
-    held: list[tuple] = []
-    size, last = 0, None
+    """Spans to remove from rows (anchor, digest, n, ta, tb, start, length,
+    context) sorted by anchor and digest.  A context with several rows, or
+    standing for ``n`` > 1, is covered whole; different contexts of an anchor,
+    one of them without a copy, are sorted: whole anchors fill a block."""
+    held: list[list] = []
+    group: list[list] = []  # [many, owner, start, context] of each digest of an anchor
+    whole: list[tuple] = []
+    size, last = 0, (None, None)
 
     def done():
-        found = []
+        found = list(whole)
         if held:
-            many = np.array([r[2] > 1 for r in held])
+            many, owner, start, contexts = zip(*held)
             texts: dict[tuple[int, int], int] = {}
-            owner = np.array([texts.setdefault(r[3:5], len(texts)) for r in held], np.int64)
-            starts = repeated_starts([r[6] for r in held], many, np.array([r[5] for r in held], np.int64), owner)
-            for r, s in zip(held, starts):
-                if r[2] == 1:
-                    found += [(r[3], r[4], r[5] + a, r[5] + b) for a, b in _runs(s)]
+            places = np.array([texts.setdefault(o, len(texts)) for o in owner], np.int64)
+            starts = repeated_starts(list(contexts), np.array(many), np.array(start, np.int64), places)
+            for m, o, lo, at in zip(many, owner, start, starts):
+                if not m:
+                    found += [(*o, lo + x, lo + y) for x, y in _runs(at)]
         cols = list(zip(*found)) if found else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ta", "tb", "start", "end"])
+
+    def close():
+        """Bytes of the anchor's contexts, if they are to be sorted."""
+        if len(group) < 2 or all(g[0] for g in group):
+            return 0
+        held.extend(group)
+        return sum(len(g[3]) for g in group)
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if last is not None and row[0] != last[0] and size >= BLOCK_BYTES:
-                yield done()
-                held, size = [], 0
-            if last is None or row[:2] != last:
-                held.append(row)
-                size += len(row[6])
-            last = row[:2]
+        for anchor, digest, n, ta, tb, start, length, context in zip(*(c.to_pylist() for c in batch.columns)):
+            if anchor != last[0]:
+                size += close()
+                group = []
+                if size >= BLOCK_BYTES or len(whole) >= 100_000:
+                    yield done()
+                    held, whole, size = [], [], 0
+            if (anchor, digest) != last:
+                group.append([n > 1, (ta, tb), start, context])
+                first, last = (ta, tb, start, start + length), (anchor, digest)
+                if n > 1 and length >= LENGTH:
+                    whole.append(first)
+                continue
+            same = group[-1]
+            if length >= LENGTH:
+                whole += [(ta, tb, start, start + length)] if same[0] else [first, (ta, tb, start, start + length)]
+            same[0] = True
+            same[3] = context if same[3] is None else same[3]
+    close()
     yield done()
 
 
@@ -323,22 +347,30 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                          .groupBy(*_TEXT).agg(F.collect_set(F.struct("place", "anchor")).alias("at")))
     with runtime_filter(spark):
         one = materialise(copies.join(places.select(*_TEXT), _TEXT, "left_semi"))
-        texts = _texts_of(docs, one)
+        # the places go to the texts, by the key that the texts were fetched by: texts move once
+        placed = places.join(one.select("doc_id", *_TEXT), _TEXT)
+        texts = _texts_of(docs, one).join(placed, ["doc_id", *_TEXT]).select(*_TEXT, "text", "at", "copies")
         # several rows may hold the id and the text of a copied one: any of them does
-        copied = texts.where("copies > 1").groupBy(*_TEXT).agg(F.first("text").alias("text"))
-        texts = texts.where("copies = 1").select(*_TEXT, "text").unionByName(copied)
-        texts = texts.join(places, _TEXT).select(*_TEXT, "text", "at.place", "at.anchor")
+        copied = texts.where("copies > 1").groupBy(*_TEXT).agg(F.first("text").alias("text"), F.first("at").alias("at"))
+        texts = texts.where("copies = 1").select(*_TEXT, "text", "at").unionByName(copied)
+        texts = texts.select(*_TEXT, "text", "at.place", "at.anchor")
         contexts = materialise(texts.mapInArrow(
             _contexts, "anchor long, digest binary, ta long, tb long, start long, length long, context binary"))
-    ways = contexts.groupBy("anchor", "digest").agg(F.count("*").alias("n"))
-    whole = (contexts.join(ways.where("n > 1"), ["anchor", "digest"], "left_semi").where(F.col("length") >= LENGTH)
+    # only anchors of many contexts are counted over the cluster; the others' rows move once
+    busy = materialise(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor"))
+    crowd = contexts.join(busy, "anchor", "left_semi")
+    ways = crowd.groupBy("anchor", "digest").agg(F.count("*").alias("n"))
+    ways = materialise(ways.join(ways.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("n").alias("least")), "anchor"))
+    # a row without bytes repeats one of its task; only the others need to be looked up
+    sent, long = F.col("context").isNotNull(), F.col("length") >= LENGTH
+    whole = (crowd.where(long & sent).join(ways.where("n > 1"), ["anchor", "digest"], "left_semi").select(*_TEXT, "start", "length")
+             .unionByName(crowd.where(long & ~sent).select(*_TEXT, "start", "length"))
              .select(*_TEXT, "start", (F.col("start") + F.col("length")).alias("end")))
-    groups = ways.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("n").alias("least")).where(
-        "ways > 1 and least = 1").select("anchor", "ways")
-    todo = (contexts.where("context is not null").select("anchor", "digest", *_TEXT, "start", "context")
-            .join(ways, ["anchor", "digest"]).join(groups, "anchor"))
-    small = (todo.where(F.col("ways") <= GROUP).repartition("anchor").sortWithinPartitions("anchor", "digest")
-             .select("anchor", "digest", "n", *_TEXT, "start", "context")
+    todo = crowd.where(sent).join(ways.where("ways > 1 and least = 1"), ["anchor", "digest"])
+    row = ["anchor", "digest", "n", *_TEXT, "start", "length", "context"]
+    small = (contexts.join(busy, "anchor", "left_anti").withColumn("n", F.lit(1).cast("long")).select(*row)
+             .unionByName(todo.where(F.col("ways") <= GROUP).select(*row))
+             .repartition("anchor").sortWithinPartitions("anchor", "digest")
              .mapInArrow(_sort_groups, "ta long, tb long, start long, end long"))
     strings = "a long, b long, ta long, tb long, start long"
     large = todo.where(F.col("ways") > GROUP)
@@ -369,6 +401,11 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, runs (removed bytes, maximal), kept_sha256."""
+    with short_shuffles(documents.sparkSession):
+        return _removed(documents, id_col, text_col)
+
+
+def _removed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     facts, spans = repeated_spans(documents, id_col, text_col)
     runs = materialise(merged(spans))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)

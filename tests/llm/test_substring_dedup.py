@@ -1,7 +1,11 @@
+import contextlib
 import hashlib
+import io
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marketframe.llm import substring_dedup as S
@@ -55,6 +59,48 @@ def test_repeated_and_null_ids(docs_of, prose, ids):
     assert sorted(rows, key=str) == brute(pairs)
 
 
+def test_contexts_move_once(spark, docs_of, prose, monkeypatch):
+    """Of all tables that are written, one shuffle holds contexts."""
+    moved, write = [], S.materialise
+
+    def watched(df):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            df.explain("formatted")
+        inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan.getvalue())
+        moved.extend(x for x in inputs if "context#" in x)
+        return write(df)
+    monkeypatch.setattr(S, "materialise", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    try:
+        S.remove_repeats(docs_of(corpus(prose)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(moved) == 1
+
+
+def test_shuffle_files_go_with_their_query(spark, docs_of, prose):
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before = held.size()
+    S.remove_repeats(docs_of(corpus(prose)))
+    assert held.size() <= before
+
+
+def test_sort_groups_counts_contexts(prose):
+    """Rows of equal contexts, in several batches, one with bytes; a row for
+    several places; a single context; two that share a part."""
+    a, b, c, f = (prose(60, k).encode()[:300] for k in (1, 2, 3, 4))
+    d, e = a[:220] + b[:80], a[:220] + c[:80]
+    rows = [(1, b"a", 1, 1, 0, 0, 300, None), (1, b"a", 1, 2, 0, 5, 300, a), (1, b"b", 1, 3, 0, 0, 300, b),
+            (2, b"a", 3, 4, 0, 7, 300, c), (2, b"b", 1, 5, 0, 0, 300, f), (3, b"a", 1, 6, 0, 0, 300, c),
+            (4, b"d", 1, 7, 0, 10, 300, d), (4, b"e", 1, 8, 0, 20, 300, e)]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 5, pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part), kinds)], names=list("adntuslc"))
+               for part in (rows[:1], rows[1:5], rows[5:7], rows[7:])]
+    out = sorted(x for o in S._sort_groups(batches) for x in zip(*(c.to_pylist() for c in o.columns)))
+    assert out == [(1, 0, 0, 300), (2, 0, 5, 305), (4, 0, 7, 307), (7, 0, 10, 230), (8, 0, 20, 240)]
+
+
 def test_empty_table(docs_of):
     assert S.remove_repeats(docs_of([])).count() == 0
 
