@@ -79,11 +79,13 @@ def test_contexts_move_once(spark, docs_of, prose, monkeypatch):
     assert len(moved) == 1
 
 
-def test_shuffle_files_go_with_their_query(spark, docs_of, prose):
-    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
-    before = held.size()
+def test_shuffle_files_go_with_their_query(spark, docs_of, prose, monkeypatch):
+    """Each table is written with Spark's clean-up of shuffle files on; the session's own setting comes back."""
+    key, write, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", S.materialise, []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(S, "materialise", lambda df: (seen.append(spark.conf.get(key)), write(df))[1])
     S.remove_repeats(docs_of(corpus(prose)))
-    assert held.size() <= before
+    assert seen and set(seen) == {"true"} and spark.conf.get(key) == before
 
 
 def test_sort_groups_counts_contexts(prose):
