@@ -239,11 +239,11 @@ def _with_add_defaults(lines: DataFrame) -> DataFrame:
     })
 
 
-def _inventory_id(v: Column, c: Column) -> Column:
+def inventory_id(v: Column, c: Column) -> Column:
     return v * F.lit(INVENTORY_ID_STRIDE) + c
 
 
-def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None) -> DataFrame:
+def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None, dealt: bool = False) -> DataFrame:
     """D4 fold of a batch of add requests into one row per key, equal to
     applying them one by one in ``seq`` order to an empty table: quantities
     add up; ``precio``, ``edicion``, ``notas`` keep the last non-NULL value;
@@ -253,11 +253,13 @@ def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None)
     The lines themselves are shuffled, each with its (wide) arrival order once;
     partial rows would hold it once a buffer, five times a line.  A key's lines
     are sorted by key, with spilling, and folded one by one.  Rows come out
-    dealt by id and seller, so joins on both move them no further."""
+    dealt by id and seller, so joins on both move them no further.  ``dealt``:
+    the lines come so already, made from narrower rows after the shuffle."""
     d = _with_add_defaults(lines)
     t = F.col(time_col) if time_col else _ts(now)
-    d = d.withColumn("_t", t).withColumn("inventario_id", _inventory_id(F.col("vendedor_id"), F.col("card_id")))
-    d = d.repartition("inventario_id", "vendedor_id")
+    d = d.withColumn("_t", t).withColumn("inventario_id", inventory_id(F.col("vendedor_id"), F.col("card_id")))
+    if not dealt:
+        d = d.repartition("inventario_id", "vendedor_id")
     # Values of the last line travel in one struct so that the arrival order is
     # held by as few aggregation buffers as possible.
     last = F.max(F.struct(F.col("seq").alias("s"), F.col("condicion").alias("condicion"),
@@ -326,7 +328,7 @@ def fold_bulk_lines(lines: DataFrame, now=None) -> DataFrame:
     first = F.min_by(F.struct("precio", "condicion", "idioma", "edicion", "notas"), F.col("seq"))
     g = d.groupBy(*INVENTORY_KEY).agg(F.sum("cantidad").alias("cantidad"), first.alias("_f"))
     t = _ts(now)
-    return g.select(_inventory_id(F.col("vendedor_id"), F.col("card_id")).alias("inventario_id"),
+    return g.select(inventory_id(F.col("vendedor_id"), F.col("card_id")).alias("inventario_id"),
                     "vendedor_id", "card_id", "cantidad", "_f.precio", "_f.condicion",
                     "_f.idioma", "_f.edicion", "_f.notas", t.alias("created_at"),
                     t.alias("updated_at"))

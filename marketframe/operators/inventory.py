@@ -201,22 +201,9 @@ def offers_by_card(detail: DataFrame, page_size: int = 50) -> DataFrame:
     """Per card, the header (id, name, number of offers) and the offers by
     price (NULLs last), in pages of at most ``page_size`` lines as in
     ``offers_nested``."""
-    from marketframe.operators.ordered import running_totals
-    narrow = detail.select("card_id", "card_name", "inventario_id", "vendedor_id", "vendedor_nombre", "konami_id",
-                           "whatsapp", "instagram", "precio", "condicion", "idioma")
-    numbered = running_totals(narrow, ["card_id"], [F.col("precio").asc_nulls_last(), F.col("inventario_id")],
-                              rank_name="line_no")
-    line = F.struct("line_no", "inventario_id", "vendedor_id", "vendedor_nombre", "konami_id", "whatsapp", "instagram",
-                    "precio", "condicion", "idioma")
-    pages = (numbered.where(F.col("card_id").isNotNull())
-             .groupBy("card_id", F.floor((F.col("line_no") - 1) / page_size).cast("long").alias("page"))
-             .agg(F.first("card_name").alias("name"), F.array_sort(F.collect_list(line)).alias("ofertas"),
-                  F.max("line_no").alias("total")))
-    # a first page that is not full is its card's only one; the others need the
-    # card's last number, and only they are moved to it
-    only = F.col("total") < page_size
-    last = numbered.where(F.col("line_no") >= page_size).groupBy("card_id").agg(F.max("line_no").alias("total"))
-    whole = pages.where(only)
-    rest = pages.where(~only).drop("total").join(last, "card_id")
-    return whole.unionByName(rest).select(
-        "card_id", "page", F.struct(F.col("card_id").alias("id"), "name", "total").alias("carta"), "ofertas")
+    from marketframe.operators.ordered import paged_lists
+    pages = paged_lists(detail, "card_id", [F.col("precio").asc_nulls_last(), F.col("inventario_id")], "card_name",
+                        ["inventario_id", "vendedor_id", "vendedor_nombre", "konami_id", "whatsapp", "instagram",
+                         "precio", "condicion", "idioma"], page_size)
+    return pages.select("card_id", "page", F.struct(F.col("card_id").alias("id"), F.col("card_name").alias("name"),
+                                                    "total").alias("carta"), F.col("lines").alias("ofertas"))

@@ -21,6 +21,11 @@ The local result is written once to the shared checkpoint folder, as Parquet,
 so later branches read the columns they need: range bounds are sampled anew each
 time an exchange re-runs, so every later branch (and any recomputation
 after a lost executor) must read the same chunks.
+
+``paged_lists`` nests the rows of each key in numbered pages on the same
+chunks.  A key that begins and ends inside a chunk is numbered, counted and
+nested there and moves no more; only the first and the last key of a chunk may
+go on in another one, and only their rows are numbered and grouped again.
 """
 
 from __future__ import annotations
@@ -28,12 +33,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from marketframe.session import checkpoint_dir, drop_written, written
 
-from marketframe.session import checkpoint_dir
+# Rows of a chunk of ``paged_lists``; lines of one key that a task holds at most.
+CHUNK_ROWS = 500_000
+HELD_LINES = 20_000
 
 _SUMMABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
@@ -142,3 +155,96 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
         extra.append(F.coalesce(F.col(f"_l_{name}") + F.col(f"_o_{name}"), F.col(f"_l_{name}"),
                                 F.col(f"_o_{name}")).alias(name))
     return out.select(*[f.name for f in fields], *extra)
+
+
+def _local_pages(key: str, head: str, lines: list[str], page_size: int, schema: pa.Schema, held: int):
+    """``mapInArrow`` body of ``paged_lists``: rows are sorted by (key, order)
+    within the partition.  Keys that begin and end inside it give finished pages
+    with ``total``; the others, and keys of over ``held`` lines, pages without
+    it, numbered from the chunk's first line of the key."""
+    line_type = schema.field("lines").type.value_type
+
+    def pages(rows: pa.RecordBatch, starts: np.ndarray, done: int, open_first: bool, open_last: bool):
+        """Runs that begin at ``starts``; ``done`` lines of the first one are out already."""
+        n = rows.num_rows
+        ends = np.append(starts[1:], n)
+        number = np.arange(n) - np.repeat(starts, ends - starts) + 1
+        number[:ends[0]] += done
+        total, known = ends - starts, np.ones(len(starts), bool)
+        known[0] &= not open_first
+        known[-1] &= not open_last
+        first = (number - 1) % page_size == 0
+        first[starts] = True
+        at = np.flatnonzero(first)
+        run = np.searchsorted(starts, at, "right") - 1
+        struct = pa.StructArray.from_arrays(
+            [pa.array(number, pa.int64()), *(rows.column(c).cast(line_type.field(c).type) for c in lines)],
+            fields=[line_type.field(i) for i in range(line_type.num_fields)])
+        heads = rows.select([key, head, "_chunk"]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays(
+            [*(heads.column(i).cast(schema.field(i).type) for i in range(3)), pa.array((number[at] - 1) // page_size, pa.int64()),
+             pa.array(total[run], pa.int64(), mask=~known[run]),
+             pa.ListArray.from_arrays(pa.array(np.append(at, n), pa.int32()), struct, type=schema.field("lines").type)],
+            schema=schema)
+
+    def run(batches):
+        rest, done, open_first = None, 0, True      # rows of the run that may go on, its lines that are out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            keys = rows.column(key)
+            cut = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(cut) + 1]).astype(np.int64)
+            last = int(starts[-1])
+            if last:
+                yield pages(rows.slice(0, last), starts[:-1], done, open_first, False)
+                done, open_first = 0, False
+            rest = rows.slice(last)
+            if rest.num_rows > held:      # one row stays, to be compared with the next key
+                yield pages(rest.slice(0, rest.num_rows - 1), np.zeros(1, np.int64), done, True, True)
+                done, open_first = done + rest.num_rows - 1, True
+                rest = rest.slice(rest.num_rows - 1)
+        if rest is not None:
+            yield pages(rest, np.zeros(1, np.int64), done, True, True)
+    return run
+
+
+def paged_lists(df: DataFrame, key: str, order: Sequence[str | Column], head: str, lines: Sequence[str],
+                page_size: int, num_chunks: int | None = None, held: int = HELD_LINES) -> DataFrame:
+    """Per ``key`` the rows in ``order``, nested in pages of at most
+    ``page_size``: ``(key, page, head, total, lines)``, where ``lines`` are
+    structs of ``line_no`` (1-based in the key) and the named columns, ``head``
+    is of a row of the page and ``total`` counts the key's rows.  NULL keys are
+    dropped.  ``order`` must be a total order within a key."""
+    spark = df.sparkSession
+    order_c = _order_cols(order)
+    df = df.where(F.col(key).isNotNull()).select(key, head, *lines)
+    # the shuffles that made the rows go before theirs begins; the footers count them
+    rows, folder = written(df, "rows")
+    n = num_chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHUNK_ROWS))
+    line_type = T.StructType([T.StructField("line_no", T.LongType())] + [rows.schema[c] for c in lines])
+    schema = T.StructType([rows.schema[key], rows.schema[head], T.StructField("_chunk", T.IntegerType()),
+                           T.StructField("page", T.LongType()), T.StructField("total", T.LongType()),
+                           T.StructField("lines", T.ArrayType(line_type))])
+    ranged = (rows.repartitionByRange(n, F.col(key), *order_c).sortWithinPartitions(F.col(key), *order_c)
+                  .withColumn("_chunk", F.spark_partition_id()))
+    pieces, _ = written(ranged.mapInArrow(
+        _local_pages(key, head, list(lines), page_size, to_arrow_schema(schema), held), schema), "pages")
+    drop_written(spark, folder)
+
+    opened = pieces.where(F.col("total").isNull())
+    counts = opened.groupBy(key, "_chunk").agg(F.sum(F.size("lines")).alias("_n"))
+    span = Window.partitionBy(key)
+    before = span.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # at most two open keys a chunk, besides those of over ``held`` lines: safe to broadcast
+    counts = counts.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.sum("_n").over(span).alias("_total"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    again = (opened.join(F.broadcast(counts), (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+             .select(key, head, "_total", "_before", F.inline("lines"))
+             .withColumn("line_no", F.col("line_no") + F.col("_before")))
+    again = again.groupBy(key, F.floor((F.col("line_no") - 1) / page_size).cast("long").alias("page")).agg(
+        F.first(head).alias(head), F.first("_total").alias("total"),
+        F.array_sort(F.collect_list(F.struct("line_no", *lines))).alias("lines"))
+    columns = [key, "page", head, "total", "lines"]
+    return pieces.where(F.col("total").isNotNull()).select(*columns).unionByName(again.select(*columns))

@@ -6,10 +6,12 @@ fills in settings that are still unset, so cluster settings always win.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied when the caller has not set them.  They describe the
 # plan shape we want at any scale: AQE re-plans joins and coalesces or
@@ -82,3 +84,55 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = tempfile.mkdtemp(prefix="mf-ckpt-", dir=os.environ.get("MF_SCRATCH", "/tmp"))
     sc.setCheckpointDir(current)
     return current
+
+
+# A shuffle of a written table starts with a partition for so many bytes of
+# its sources, and small ones are merged up to so many bytes of shuffle.
+_SOURCE_BYTES, _SHUFFLE_BYTES = 4 << 20, 16 << 20
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as far as the planner knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+@contextlib.contextmanager
+def written_shuffles(df: DataFrame):
+    """Settings for writing ``df``: enough shuffle partitions that a task sorts
+    its rows in memory, whatever the size (adaptive execution merges small
+    ones), and Spark removes the shuffle files when the write ends, not when
+    the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    parse = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    merged = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    new = {initial: max(int(conf.get(initial, None) or conf.get("spark.sql.shuffle.partitions")),
+                        source_bytes(df) // _SOURCE_BYTES),
+           merged: min(parse(conf.get(merged)), _SHUFFLE_BYTES),
+           "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: conf.get(k, None) for k in new}
+    for k, v in new.items():
+        conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once into the shared checkpoint folder as Parquet and
+    read back, and its folder."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    with written_shuffles(df):
+        df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def drop_written(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of ``written`` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

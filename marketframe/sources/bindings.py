@@ -186,14 +186,21 @@ ARRIVAL_COLUMNS = ("at", "l_orderkey", "l_linenumber", "l_quantity", "l_extended
                    "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
-def inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory_lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Inventory change lines (add / bulk add requests) from lineitem.
 
     ``seq`` is the arrival order: a struct of every lineitem column, ship
     date first (no two lineitem rows are equal, so it is a total order).  It
     is compared, never numbered, so no window or single task is needed.
+
+    ``dealt``: as ``fold_additive_lines`` wants them.  The stored rows are
+    shuffled and sorted; a line holds their values twice.
     """
     li = read_table(spark, sf_dir, "lineitem", spread=True)
+    if dealt:
+        from marketframe.operators.changes import inventory_id
+        key = [inventory_id(F.col("l_suppkey"), F.col("l_partkey")), F.col("l_suppkey")]
+        li = li.repartition(*key).sortWithinPartitions(*key, "l_partkey")
     q, tax, disc = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     lines = li.select(
         F.col("l_suppkey").alias("vendedor_id"),
@@ -221,10 +228,10 @@ def inventario(spark: SparkSession, sf_dir: str, before: _dt.datetime | None = N
     empty table with the single-add rule, each request stamped with its own
     time.  ``before`` keeps only lines that arrived before that time."""
     from marketframe.operators.changes import fold_additive_lines, valid_lines
-    lines, _ = valid_lines(inventory_lines(spark, sf_dir))
+    lines, _ = valid_lines(inventory_lines(spark, sf_dir, dealt=True))
     if before is not None:
         lines = lines.where(F.col("at") < ntz_lit(before))
-    return fold_additive_lines(lines, time_col="at")
+    return fold_additive_lines(lines, time_col="at", dealt=True)
 
 
 # ---- users, roles -------------------------------------------------------------
