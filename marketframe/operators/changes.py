@@ -254,11 +254,13 @@ def fold_additive_lines(lines: DataFrame, time_col: str | None = None, now=None,
     partial rows would hold it once a buffer, five times a line.  A key's lines
     are sorted by key, with spilling, and folded one by one.  Rows come out
     dealt by id and seller, so joins on both move them no further.  ``dealt``:
-    the lines come so already, made from narrower rows after the shuffle."""
+    the lines come so already, with ``inventario_id``, made from narrower rows
+    after the shuffle."""
     d = _with_add_defaults(lines)
     t = F.col(time_col) if time_col else _ts(now)
-    d = d.withColumn("_t", t).withColumn("inventario_id", inventory_id(F.col("vendedor_id"), F.col("card_id")))
+    d = d.withColumn("_t", t)
     if not dealt:
+        d = d.withColumn("inventario_id", inventory_id(F.col("vendedor_id"), F.col("card_id")))
         d = d.repartition("inventario_id", "vendedor_id")
     # Values of the last line travel in one struct so that the arrival order is
     # held by as few aggregation buffers as possible.

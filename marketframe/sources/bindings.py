@@ -193,13 +193,14 @@ def inventory_lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> Da
     date first (no two lineitem rows are equal, so it is a total order).  It
     is compared, never numbered, so no window or single task is needed.
 
-    ``dealt``: as ``fold_additive_lines`` wants them.  The stored rows are
-    shuffled and sorted; a line holds their values twice.
+    ``dealt``: as ``fold_additive_lines`` wants them, with ``inventario_id``.
+    The stored rows are shuffled and sorted; a line holds their values twice.
     """
     li = read_table(spark, sf_dir, "lineitem", spread=True)
     if dealt:
         from marketframe.operators.changes import inventory_id
-        key = [inventory_id(F.col("l_suppkey"), F.col("l_partkey")), F.col("l_suppkey")]
+        li = li.withColumn("inventario_id", inventory_id(F.col("l_suppkey"), F.col("l_partkey")))
+        key = ["inventario_id", "l_suppkey"]
         li = li.repartition(*key).sortWithinPartitions(*key, "l_partkey")
     q, tax, disc = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     lines = li.select(
@@ -215,12 +216,12 @@ def inventory_lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> Da
         F.when(disc >= 0.05, F.concat(F.lit("orden "), _s(F.col("l_orderkey")))).alias("notas"),
         F.col("l_shipdate").alias("at"),
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
+        "l_returnflag", "l_linestatus", *(["inventario_id"] if dealt else []),
     )
     return lines.select(
         F.struct(*ARRIVAL_COLUMNS).alias("seq"),
         "vendedor_id", "card_id", "cantidad", "precio", "condicion", "idioma", "edicion",
-        "notas", "at")
+        "notas", "at", *(["inventario_id"] if dealt else []))
 
 
 def inventario(spark: SparkSession, sf_dir: str, before: _dt.datetime | None = None) -> DataFrame:
